@@ -4,21 +4,125 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lectern.llm import minhash
+from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
+from lectern.llm.state import cut, fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC archives in the shared folder, read back."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage: one row for each document and item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "distance")).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.round("b.similarity", 6).alias("similarity"), "b.distance")
+
+
+def chat_records(conversations: DataFrame) -> DataFrame:
+    """Each row of ``conversations`` as a JSON record in one of three layouts, and conversation -1 in a fourth."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    layouts = [
+        F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))),
+        F.to_json(F.struct(F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"))),
+        F.to_json(F.struct(F.struct(F.array(F.struct(role.alias("speaker"), text.alias("utterance"))).alias("turns")).alias("dialog"))),
+    ]
+    pick = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    record = F.when(pick == 0, layouts[0]).when(pick == 1, layouts[1]).otherwise(layouts[2])
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), record.alias("record"))
+    probe = "</s>[INST] ok [/INST]"
+    extra = conversations.sparkSession.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_json(F.struct(F.lit(probe).alias("instruction"), F.lit(probe).alias("output"))).alias("record"))
+    return rows.unionByName(extra)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as chats, read back from the formatted text. Rows of a conversation by turn (null first), then role and text."""
+    turns = chat.canonical_turns(chat_records(table(spark, sf_dir, "conversations")))
+    rows = turns.select("conv_id", "turn", F.posexplode("turns").alias("i", "t"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "i", "t.role", "t.text"))).alias("r"))
+    chats = chats.select("conv_id", F.transform("r", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
+    done = chat.format_chat(chats).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    done = done.withColumns({"lines": F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "under": F.array_join("loss", "")})
+    return done.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"),
+        F.length("under").cast("long").alias("loss_chars"),
+        F.sha2(F.col("under").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.severity(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
+def _counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    def of(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [of(k) for k in kinds]
+
+
+def _digests(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    base = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return [F.sha2(pii.span_digest(base).cast("binary"), 256).alias("base_sha256"), pii.span_digest(spans).alias("spans")]
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *_counts(F.col("pii"), pii.KINDS[:4]), *_digests(F.col("pii"), pii.KINDS[:4]))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in the mixture; targets are the square roots of the sources' sizes."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cut(knn.integer_vectors(table(spark, sf_dir, "embeddings")), "integers")
+    return knn.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "v"), 5)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *_counts(F.col("secrets"), secrets.KINDS[:3]), *_digests(F.col("secrets"), secrets.KINDS[:3]))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    got = langid.predict(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_decontamination": op3_decontamination,
+    "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
+    "op7_mixing": op7_mixing,
+    "op8_top_k": op8_top_k,
+    "op9_secrets": op9_secrets,
+    "op10_language": op10_language,
 }
 
 OP2_SQL = r"""
@@ -42,6 +146,18 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
 FROM sets s LEFT JOIN (SELECT id, min(other) AS low FROM reach GROUP BY id) m ON m.id = s.doc_id
 """
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": OP2_SQL,
+    "op8_top_k": OP8_SQL,
 }
