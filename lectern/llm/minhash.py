@@ -5,10 +5,14 @@ minwise token under the first, second, third ... random order of the tree, so se
 together after d steps with probability s**d. A set stops in the first tree node, from the second step on, that
 holds at most ``leaf`` sets; at the last step it stops in any case. Sets that meet in a node are compared:
 
-1. each with a random member of its node (its pivot), confirmed on full shingle sets. Copies of one text are all
-   linked by this, at a cost that is linear in their number;
-2. nodes whose members are then still in different components are compared exhaustively, every member outside the
-   node's largest component with every other member, in blocks of bounded size.
+1. each with a random member of its node, its pivot, on full shingle sets. This links close copies at a cost that is
+   linear in their number;
+2. in nodes whose members are then in different components, each with the most central member: the one with the
+   highest mean similarity to the pivots it has met. Variants of one text are often similar enough to that text only,
+   and this finds it;
+3. in nodes that are still not of one component exhaustively: every member outside the node's largest component with
+   every other member, on full sets. Large nodes are cut into blocks of bounded size. In small ones, pairs whose
+   minwise values agree in so few places that a link is out of the question (five standard deviations) are left out.
 
 A pair is missed only if no tree brings it together: at most (1 - s**levels)**trees, 2.4e-7 for s = 0.85 and the
 defaults (1e-5 for s = 0.8).
@@ -19,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from lectern.llm.state import bounded, cut
 
 TREES = 16
 LEVELS = 3
-LEAF = 64
+LEAF = 8
 BLOCK = 256
 
 
@@ -48,11 +53,11 @@ def signatures(docs: DataFrame, k: int, trees: int = TREES, levels: int = LEVELS
                     d2.append(H.mix(own + np.uint64(1)).sum(dtype=np.uint64))
                 sig = H.minwise(hashes, begin, trees * levels)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.array([row.tobytes() for row in sig], pa.binary())],
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int32).ravel()), sig.shape[1]).cast(pa.list_(pa.int32()))],
                     ["doc_id", "n_shingles", "d1", "d2", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
 def paths(classes: DataFrame, trees: int, levels: int) -> DataFrame:
@@ -62,7 +67,7 @@ def paths(classes: DataFrame, trees: int, levels: int) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 4096):
                 batch = whole.slice(a, 4096)
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, trees, levels).astype(np.uint64)
+                sig = batch.column("sig").flatten().to_numpy().view(np.uint32).reshape(batch.num_rows, trees, levels).astype(np.uint64)
                 node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (batch.num_rows, trees)) * np.uint64(0x9E3779B97F4A7C15)
                 names = []
                 for level in range(levels):
@@ -106,34 +111,91 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return some.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose full shingle sets have ``100 * intersection >= percent * union``."""
+def measured(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``pairs(a, b, ...)`` with ``both`` and ``either``, the sizes of intersection and union of the full shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = cut(shingle_sets(docs, ids, k), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    ok = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(ok).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return met.withColumn("either", F.size("sa") + F.size("sb") - F.col("both")).drop("sa", "sb")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs in one tree node and in different components: each member outside the node's largest component with all others."""
+def _linked(percent: int):
+    return 100 * F.col("both") >= percent * F.col("either")
+
+
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the tree nodes that hold several components: ``node, id, n, component, main`` (the largest) and ``size``."""
     rows = members.select("node", F.col("rep").alias("id"), "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = cut(rows, "labelled")
     parts = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
     info = parts.groupBy("node").agg(F.max(F.struct("c", "component")).getField("component").alias("main"), F.sum("c").alias("size"), F.count("*").alias("parts"))
-    info = cut(info.where("parts > 1").drop("parts"), "open")
-    rows = rows.join(info, "node").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    return rows.join(cut(info.where("parts > 1").drop("parts"), "open"), "node")
+
+
+def _central_stars(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """Each member of an open node with the node's most central one, if it is in another component."""
+    rank = met.groupBy(F.col("rep").alias("id")).agg(F.avg(F.col("both") / F.col("either")).alias("near"))
+    rows = cut(rows.join(rank, "id", "left").withColumn("near", F.coalesce("near", F.lit(0.0))), "ranked")
+    best = cut(rows.groupBy("node").agg(F.max(F.struct("near", F.col("id").alias("hub"), F.col("component").alias("hub_component"))).alias("m")).select("node", "m.hub", "m.hub_component"), "hubs")
+    stars = rows.join(best, "node").where("component <> hub_component")
+    return stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, classes: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """Pairs of different components in small open nodes, where enough minwise values agree for a link."""
+    share = percent / 100
+    least = int(coordinates * share - 5 * (coordinates * share * (1 - share)) ** 0.5)
+    rows = rows.join(classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"]), "id")
+    p, q = (rows.select(F.col("node").alias(f"node_{x}"), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("sig").alias(f"s_{x}")) for x in "pq")
+    agree = F.size(F.filter(F.zip_with("s_p", "s_q", lambda x, y: x == y), lambda e: e))
+    able = (F.col("node_p") == F.col("node_q")) & (F.col("id_p") < F.col("id_q")) & (F.col("c_p") != F.col("c_q"))
+    able = able & (100 * F.least("n_p", "n_q") >= percent * F.greatest("n_p", "n_q")) & (agree >= least)
+    return p.join(q, able).select(F.col("id_p").alias("a"), F.col("id_q").alias("b")).distinct()
+
+
+def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between probes and members of one block, one for each two components: all intersections at once, as products of 0/1 matrices."""
+    p, q = group[group.probe], group[~group.probe]
+    if not len(p) or not len(q):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    sizes = group.shingles.map(len).to_numpy()
+    owner = np.repeat(np.arange(len(group)), sizes)
+    probe = group.probe.to_numpy()
+    place = np.cumsum(probe) - 1, np.cumsum(~probe) - 1
+    _, word, times = np.unique(np.concatenate(group.shingles.to_list()), return_inverse=True, return_counts=True)
+    # shingles of one row only meet nothing
+    number = np.cumsum(times > 1) - 1
+    shared = times[word] > 1
+    owner, word = owner[shared], number[word[shared]]
+    both = np.zeros((len(p), len(q)), np.float32)
+    for lo in range(0, int(word.max()) + 1 if len(word) else 0, 1 << 13):
+        part = (word >= lo) & (word < lo + (1 << 13))
+        left, right = np.zeros((len(p), 1 << 13), np.float32), np.zeros((len(q), 1 << 13), np.float32)
+        o, w = owner[part], word[part] - lo
+        left[place[0][o[probe[o]]], w[probe[o]]] = 1
+        right[place[1][o[~probe[o]]], w[~probe[o]]] = 1
+        both += left @ right.T
+    union = sizes[probe][:, None] + sizes[~probe][None, :] - both
+    ci, cj = p.component.to_numpy(), q.component.to_numpy()
+    i, j = np.nonzero((100 * both >= percent * union) & (ci[:, None] != cj[None, :]))
+    out = pd.DataFrame({"a": p.id.to_numpy()[i], "b": q.id.to_numpy()[j], "ci": ci[i], "cj": cj[j]})
+    return out.drop_duplicates(["ci", "cj"])[["a", "b"]]
+
+
+def _dense_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links in large open nodes: each member outside the node's largest component against all others, in blocks, on full sets."""
+    rows = cut(rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "dense")
+    sets = shingle_sets(docs, cut(rows.select(F.col("id").alias("doc_id")).distinct(), "dense-ids"), k).withColumnRenamed("doc_id", "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    inner = rows.select("node", "id", "n", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), own.alias("y"))
-    outer = rows.where("component <> main").select("node", "id", "n", "component", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    # only blocks that hold a probe need their inner rows
-    used = cut(outer.select("node", "x").distinct(), "used")
-    p = outer.select("node", "x", "y", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("component").alias("ci"))
-    q = inner.join(used, ["node", "x"], "left_semi").select("node", "x", "y", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("component").alias("cj"))
-    alike = 100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")
-    return p.join(q, ["node", "x", "y"]).where((F.col("ci") != F.col("cj")) & alike).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    p = rows.where("component <> main").select("node", own.alias("x"), every.alias("y"), "id", "component", F.lit(True).alias("probe"))
+    # only blocks that hold a probe need their members
+    used = cut(p.select("node", "x").distinct(), "used")
+    q = rows.select("node", every.alias("x"), own.alias("y"), "id", "component", F.lit(False).alias("probe")).join(used, ["node", "x"], "left_semi")
+    full = p.unionByName(q.select("node", "x", "y", "id", "component", "probe")).join(sets, "id")
+    return full.groupBy("node", "x", "y").applyInPandas(lambda group: _block_links(group, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
@@ -154,17 +216,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     # ids that stand for several sets, because a doc_id was given to several texts
     shared = full.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").where("doc_id <> rep") if _repeats(sigs) else None
 
-    stars = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = cut(confirmed(docs, cut(stars, "stars"), k, percent), "links")
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after some more links."""
+        if links.isEmpty():
+            return labels
+        known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        return cut(connected_components(known.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
+
+    stars = cut(members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep").distinct(), "stars")
+    met = cut(measured(docs, stars, k), "met")
+    edges = met.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if shared is not None:
         edges = edges.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = cut(connected_components(edges), "labels")
-    rest = cut(_open_pairs(members, labels, percent), "rest")
-    more = cut(confirmed(docs, rest, k, percent), "more")
-    if not more.isEmpty():
-        known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-        labels = cut(connected_components(known.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
+    hubs = cut(_central_stars(_open_members(members, labels), met), "hub-stars")
+    hubs = hubs.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    labels = joined(labels, cut(measured(docs, hubs, k).where(_linked(percent)), "hub-links"))
+    rows = cut(_open_members(members, labels), "open-members")
+    rest = cut(_open_pairs(rows.where(F.col("size") <= leaf), classes, percent, trees * levels), "rest")
+    rest = measured(docs, rest, k).where(_linked(percent)).select("a", "b")
+    labels = joined(labels, cut(rest.unionByName(_dense_links(rows.where(F.col("size") > leaf), docs, k, percent)), "rest-links"))
     by_set = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     by_set = cut(by_set, "components")
     some = full.join(by_set, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
