@@ -92,6 +92,14 @@ def chat_text(c: Column) -> Column:
     return squash_ws(t)
 
 
+def help_text(c: Column) -> Column:
+    """The other form of chat wording: contractions spelt out first, marks and underscores kept."""
+    t = F.translate(F.lower(c), "’", "'")
+    for pattern, to in ((r"\b(?:whats|what's)\b", "what is"), (r"\b(?:cant|can't)\b", "cannot"), (r"(?U)[^\w\s']", " "), ("'", " ")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.regexp_replace(squash_ws(t), r"\bu\b", "you")
+
+
 def dedupe_list(arr: Column, normal: Callable[[Column], Column] = squash_ws) -> Column:
     """Normalised values without blanks, first occurrence kept."""
     return F.array_distinct(F.filter(F.transform(arr, normal), lambda v: v != ""))

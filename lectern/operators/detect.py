@@ -80,28 +80,30 @@ def intent_label(text: Column, n_codes: Column | None = None, n_topics: Column |
     A bare topic or country question is no intent if it carries entities and topics of its own; a follow-up such as
     "anything else" counts only while the talk is about capabilities.
     """
-    t = X.chat_text(text)
-    words = F.split(t, " ")
     free = F.lit(True)
     if n_codes is not None and n_topics is not None:
         free = ~((n_codes > 0) & (n_topics > 0))
     talk = about_capabilities if about_capabilities is not None else F.lit(True)
-    rules: list[tuple[Column, str]] = []
-    for name, phrases in V.INTENT_PHRASES:
-        rules.append((t.isin(*phrases) & (talk if name == "capability_followup" else F.lit(True)), name))
-    for name, patterns in V.INTENT_FULL_PATTERNS:
-        rules.append((X.any_pattern(t, patterns), name))
-    for name, patterns in V.INTENT_SEARCH_PATTERNS:
-        rules.append((X.any_pattern(t, patterns) & free, name))
-    for name, sets in V.INTENT_WORD_SETS:
-        hit = free
-        for s in sets:
-            hit = hit & F.arrays_overlap(words, F.array(*[F.lit(w) for w in s]))
-        rules.append((hit, name))
-    out = F.lit(None).cast("string")
-    for hit, name in reversed(rules):
-        out = F.when(hit, name).otherwise(out)
-    return out
+
+    def first_rule(t: Column, h: Column) -> Column:
+        rules: list[tuple[Column, str]] = []
+        for name, phrases in V.INTENT_PHRASES:
+            rules.append((t.isin(*phrases) & (talk if name == "capability_followup" else F.lit(True)), name))
+        for name, patterns in V.INTENT_FULL_PATTERNS:
+            rules.append((X.any_pattern(t, patterns), name))
+        for name, patterns in V.INTENT_SEARCH_PATTERNS:
+            rules.append((X.any_pattern(h, patterns) & free, name))
+        for name, sets in V.INTENT_WORD_SETS:
+            hit = free
+            for s in sets:
+                hit = hit & F.arrays_overlap(F.split(h, " "), F.array(*[F.lit(w) for w in s]))
+            rules.append((hit, name))
+        out = F.lit(None).cast("string")
+        for hit, name in reversed(rules):
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    return X.let(X.chat_text(text), lambda t: X.let(X.help_text(text), lambda h: first_rule(t, h)))
 
 
 def signal_flags(text: Column) -> dict[str, Column]:

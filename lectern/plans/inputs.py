@@ -97,7 +97,7 @@ REQUESTS_SQL = """requests AS (
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as generated answers: lines as bullets with a citation, now and then a heading, a wrong number or a repeated bullet."""
-    b = blocks(spark, sf_dir).where("pos < 6")
+    b = blocks(spark, sf_dir).where("pos < 8")
     line = F.regexp_replace(F.substring("text", 1, 80), r"[\[\]]", "")
     cite = F.when(F.col("pos") % 3 == 2, "").otherwise(F.concat(F.lit(" ["), (F.col("doc_id") % 7 + F.col("pos")).cast("string"), F.lit("]")))
     text = F.when(F.col("pos") == 3, "Comparison").otherwise(F.concat(F.lit("- "), line, cite))
@@ -110,7 +110,7 @@ ANSWERS_SQL = (
     + """, answers AS (
   SELECT doc_id AS answer_id, 'SRC' || CAST(doc_id % 5 AS VARCHAR) || chr(10) || string_agg(CASE WHEN pos = 3 THEN 'Comparison' ELSE
     '- ' || regexp_replace(substr(text, 1, 80), '[\\[\\]]', '', 'g') || CASE WHEN pos % 3 = 2 THEN '' ELSE ' [' || CAST(doc_id % 7 + pos AS VARCHAR) || ']' END END, chr(10) ORDER BY pos) AS answer
-  FROM blocks WHERE pos < 6 GROUP BY doc_id)"""
+  FROM blocks WHERE pos < 8 GROUP BY doc_id)"""
 )
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import search_queries
+from lectern.plans import answer_queries, corpus_queries, search_queries, stream_queries, text_queries
 
-_MODULES = (search_queries,)
+_MODULES = (search_queries, corpus_queries, text_queries, answer_queries, stream_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
