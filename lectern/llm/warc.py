@@ -5,14 +5,16 @@ first chunk is a ``response``, further ones are ``continuation`` records with se
 of the payload so far. Spark's text writer commits them; its line separator is the blank line that ends a record, and
 no row holds more than ``CHUNK`` characters. Payloads that were written before are ``revisit`` records without a body.
 
-Reading walks the bytes of an archive file without copying bodies and gives chunk rows back. Digests of records of
+Reading takes an archive apart as a stream and gives chunk rows back. Digests of records of
 several chunks are taken in chunk order over a stream of rows; no record is ever put together in memory.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -96,7 +98,7 @@ def revisit_record(page_id: int | None, copy: int, url: str | None, digest: str,
     return _record(headers, "")
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int = CHUNK) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int = CHUNK, compression: str = "gzip") -> None:
     """Write a WARC record for each row of ``pages(page_id, url, html)`` under ``path``.
 
     Of rows with equal payloads of at least ``min_revisit`` bytes, that with the smallest ``page_id`` (null after all
@@ -138,23 +140,25 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int
 
     records = full.select("page_id", "url", "html", "wanted").mapInArrow(respond, "value string")
     again = revisits.select("page_id", "copy", "url", base32_of_hex(F.col("sha")).alias("digest"), "bytes", "original").mapInArrow(revisit, "value string")
-    records.unionByName(again).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def _parse(data: memoryview) -> Iterator[tuple]:
-    """Chunk rows of an archive's bytes; bodies are views until they are hashed or handed on."""
-    raw = data.obj
-    at = 0
-    while at < len(data):
-        head = raw.find(b"\r\n\r\n", at)
-        if not raw.startswith(b"WARC/1.", at) or head < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        h = dict(line.split(": ", 1) for line in raw[at:head].decode().split("\r\n")[1:])
-        lo = head + 4
-        hi = lo + int(h["Content-Length"])
-        if hi + 4 > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        at = hi + 4
+    records.unionByName(again).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+
+
+def _open(content: bytes) -> io.BufferedReader:
+    """An archive's bytes as a stream; gzip is taken apart piece by piece."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, 1 << 16)
+
+
+def _parse(data: io.BufferedReader) -> Iterator[tuple]:
+    """Chunk rows of an archive; one body at a time is in memory."""
+    while first := data.readline():
+        if not first.startswith(b"WARC/1."):
+            raise ValueError(f"no WARC record begins with {first[:40]!r}")
+        h = dict(line.rstrip(b"\r\n").decode().split(": ", 1) for line in iter(data.readline, b"\r\n"))
+        length = int(h["Content-Length"])
+        body = data.read(length)
+        if len(body) < length or data.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {h['WARC-Record-ID']} is cut off")
         kind = h["WARC-Type"]
         digest = h.get("WARC-Payload-Digest", "sha1:")[5:] or None
         page, refers = (int(h[k]) if k in h else None for k in ("X-Page-ID", "X-Refers-To-Page"))
@@ -162,10 +166,10 @@ def _parse(data: memoryview) -> Iterator[tuple]:
             yield h["WARC-Record-ID"], 1, kind, page, refers, digest, int(h["X-Payload-Length"]), digest, True, None
             continue
         if kind == "response":
-            lo = raw.index(b"\r\n\r\n", lo) + 4
+            body = memoryview(body)[body.index(b"\r\n\r\n") + 4 :]
         number = int(h.get("WARC-Segment-Number", 1))
         origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
-        yield origin, number, "response", page, None, digest, hi - lo, h["X-Running-Digest"][5:], digest is not None, data[lo:hi]
+        yield origin, number, "response", page, None, digest, len(body), h["X-Running-Digest"][5:], digest is not None, body
 
 
 def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -176,7 +180,7 @@ def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
         for batch in batches:
             for content in batch.column("content"):
                 out: list[tuple] = []
-                for row in _parse(memoryview(content.as_py())):
+                for row in _parse(_open(content.as_py())):
                     body = row[-1]
                     if body is not None:
                         single = row[1] == 1 and row[8]
