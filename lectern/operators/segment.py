@@ -156,7 +156,7 @@ def split_pieces(content: Column, limit: int = MAX_CHARS) -> Column:
     if limit < 100:
         raise ValueError("a piece has to be allowed 100 characters at least")
     def full(arr: Column) -> Column:
-        return F.filter(F.transform(arr, F.trim), lambda p: p != "")
+        return F.filter(F.transform(arr, lambda p: F.trim(p)), lambda p: p != "")
 
     words = lambda s: _level(full(F.split(s, r"\s+")), " ", limit, lambda w: _slices(w, limit))
     sentences = lambda p: _level(full(F.split(p, r"(?<=[.!?])\s+(?=[A-Z0-9À-ÖØ-Þ\"'(])")), " ", limit, words)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions import values as V
+from lectern.functions.frames import plain
 
 MESSAGES, MESSAGE_CHARS, TOTAL_CHARS = 20, 4000, 33_333
 
@@ -86,6 +87,7 @@ def same_subject(text: Column, codes: Column, names: Column) -> Column:
 # ---- STR4: context that is carried over ----------------------------------------------------------------------------
 
 STATE = "struct<types:array<string>,codes:array<array<string>>,subject:string>"
+CARRY_COLUMNS, CARRY_STRINGS = ["conv_id", "turn", "resolution", "type", "codes", "subject", "reason"], ("resolution", "type", "codes", "subject", "reason")
 TURN_OUT = "conv_id long, turn long, resolution string, type string, codes array<string>, subject string, reason string"
 
 
@@ -152,7 +154,7 @@ def carry_context(turns: DataFrame) -> DataFrame:
                     conv, state = r.conv_id, ([], [], None)
                 state, got = next_step(state, {"codes": None if r.codes is None else list(r.codes), "operation": r.operation, "type": r.type, "subject": r.subject})
                 out.append((r.conv_id, r.turn, got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "resolution", "type", "codes", "subject", "reason"])
+            yield plain(out, CARRY_COLUMNS, CARRY_STRINGS)
 
     return ordered.mapInPandas(run, TURN_OUT)
 

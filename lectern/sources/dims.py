@@ -67,15 +67,15 @@ def small(dim: DataFrame) -> DataFrame:
 
 def join_topic(df: DataFrame, label: Column, dim: DataFrame, out: str = "topic") -> DataFrame:
     """JN1: exact match of the normalised label with a topic alias; unmatched rows get null."""
-    d = dim.select(F.lower("label").alias("_label"), F.col("topic").alias(out))
-    return df.withColumn("_label", F.lower(label)).join(small(d), "_label", "left").drop("_label")
+    d = dim.select(F.lower("label").alias("_alias"), F.col("topic").alias(out))
+    return df.withColumn("_alias", F.lower(label)).join(small(d), "_alias", "left").drop("_alias")
 
 
 def join_subsection(df: DataFrame, parent: str, label: Column, dim: DataFrame, out: str = "canonical_subsection") -> DataFrame:
     """JN2: (topic, label) to the canonical subsection; a null topic is the overview."""
-    d = dim.select(F.col("parent").alias("_parent"), F.col("label").alias("_l"), F.col("subsection").alias(out))
+    d = dim.select(F.col("parent").alias("_of"), F.col("label").alias("_l"), F.col("subsection").alias(out))
     rows = df.withColumn("_sub", X.subsection_label(label))
-    return rows.join(small(d), F.col(parent).eqNullSafe(F.col("_parent")) & (F.col("_sub") == F.col("_l")), "left").drop("_parent", "_l", "_sub")
+    return rows.join(small(d), F.col(parent).eqNullSafe(F.col("_of")) & (F.col("_sub") == F.col("_l")), "left").drop("_of", "_l", "_sub")
 
 
 def join_entity(df: DataFrame, name: Column, dim: DataFrame, out: str = "entity_code") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lectern.operators.turns import TURN_OUT, next_step
+from lectern.functions.frames import plain
+from lectern.operators.turns import CARRY_COLUMNS, CARRY_STRINGS, TURN_OUT, next_step
 from lectern.sources.corpus import upsert_document
 
 LIMIT, WINDOW_SECONDS = 60, 60
+LIMIT_COLUMNS = ["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"]
 LIMIT_OUT = "identity string, ts timestamp, request_id long, current long, remaining long, retry_after double, exceeded boolean"
 
 
@@ -41,7 +43,7 @@ def rate_limit_batch(requests: DataFrame, limit: int = LIMIT, seconds: int = WIN
                     anchor, n = r.ts, 0
                 n += 1
                 out.append((r.identity, r.ts, r.request_id, n, max(0, limit - n), (anchor + span - r.ts).total_seconds(), n > limit))
-            yield pd.DataFrame(out, columns=["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"])
+            yield plain(out, LIMIT_COLUMNS, ("identity",))
 
     return ordered.mapInPandas(run, LIMIT_OUT)
 
@@ -67,7 +69,7 @@ class RateLimiter(StatefulProcessor):
             n += 1
             out.append((key[0], r.ts, r.request_id, n, max(0, self.limit - n), (anchor + span - r.ts).total_seconds(), n > self.limit))
         self.window.update((anchor.to_pydatetime(), n))
-        yield pd.DataFrame(out, columns=["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"])
+        yield plain(out, LIMIT_COLUMNS, ("identity",))
 
     def close(self) -> None:
         pass
@@ -102,7 +104,7 @@ class ContextCarrier(StatefulProcessor):
             state, got = next_step(state, {"codes": None if r.codes is None else list(r.codes), "operation": r.operation, "type": r.type, "subject": r.subject})
             out.append((key[0], r.turn, got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
         self.state.update((list(state[0]), [list(c) for c in state[1]], state[2]))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "resolution", "type", "codes", "subject", "reason"])
+        yield plain(out, CARRY_COLUMNS, CARRY_STRINGS)
 
     def close(self) -> None:
         pass
