@@ -21,7 +21,7 @@ from lectern.llm.state import bounded, cut
 #: Slots in a period, rows in a block, rows in a bucket (about), and sources that are allowed.
 PERIOD = 4096
 BLOCK_ROWS = 8
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 512
 SOURCES = 100_000
 
 
@@ -60,12 +60,12 @@ def _key(source: str = "source"):
     return F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source)))
 
 
-def size_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
-    """Target weights by source key: the number of rows to ``power`` (1 keeps proportions, 0 makes them equal)."""
+def source_sizes(docs: DataFrame) -> dict[str, int]:
+    """Rows by source key."""
     rows = docs.groupBy(_key().alias("key")).count().limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
-    return {r.key: float(r["count"]) ** power for r in rows}
+    return {r.key: r["count"] for r in rows}
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
@@ -78,19 +78,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     """
     new = ["block", "slot", "place", "release", "deadline"]
     docs = docs.drop(*new)
-    sizes = size_weights(docs, 0.5)
-    if weights is not None:
-        named = {"null" if s is None else f"={s}": w for s, w in weights.items()}
-        sizes = {s: named.get(s, 0.0) for s in sizes}
+    sizes = source_sizes(docs)
+    named = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
+    targets = {s: n**0.5 if weights is None else named.get(s, 0.0) for s, n in sizes.items()}
     spark = docs.sparkSession
-    plan = pfair_period(shares := integer_weights(sizes, period)) if sizes else []
+    plan = pfair_period(shares := integer_weights(targets, period)) if sizes else []
     span = sum(shares.values()) if sizes else 1
     slots = spark.createDataFrame([(s, j, t, shares[s]) for s, j, t in plan], "key string, j long, at long, share long")
 
-    total = docs.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    # one row for each source
+    share = spark.createDataFrame([(s, a, -(-sizes[s] // BUCKET_ROWS)) for s, a in shares.items()] if sizes else [], "_key string, _s long, _buckets long")
     order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
-    rows = docs.withColumns({"_key": _key(), "_h": order, "_bucket": F.pmod(order, F.lit(buckets))})
+    rows = docs.withColumns({"_key": _key(), "_h": order}).join(F.broadcast(share), "_key").withColumn("_bucket", F.pmod("_h", "_buckets"))
     counts = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("c"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(counts.select("_key", "_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_before")), "buckets")
@@ -100,8 +99,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     rows = rows.withColumns({"block": F.floor(rank / block_rows), "place": rank % block_rows})
     # the template has as many rows as the period has slots
     slots = slots.select(F.col("key").alias("_key"), F.col("j").alias("_j"), F.col("at").alias("_at"), F.col("share").alias("_share"))
-    share = spark.createDataFrame(list(shares.items()) if sizes else [], "_key string, _s long")
-    rows = rows.join(F.broadcast(share), "_key").withColumn("_j", F.col("block") % F.col("_s")).join(F.broadcast(slots), ["_key", "_j"])
+    rows = rows.withColumn("_j", F.col("block") % F.col("_s")).join(F.broadcast(slots), ["_key", "_j"])
     done = rows.withColumns(
         {
             "slot": F.floor(F.col("block") / F.col("_share")) * span + F.col("_at"),
