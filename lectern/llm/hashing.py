@@ -92,7 +92,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
         out[target] = rolled[source]
     for i in np.flatnonzero((count > 0) & (count < k)):
         own = words[first[i] : first[i + 1]]
-        out[begin[i]] = mix(np.atleast_1d((own * _PLACE[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * _LENGTH))[0]
+        out[begin[i]] = mix((own * _PLACE[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)) * _LENGTH)[0]
     return out, begin
 
 
