@@ -113,18 +113,20 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> OrdinalM
     if not 0 < n_pos < n:
         return OrdinalModel()
 
-    def document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
-        for frame in frames:
-            for text, toxic in zip(frame.text, frame.toxic, strict=True):
-                (pos if toxic else neg).update(features_of(text).keys())
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+                (pos if toxic.as_py() else neg).update(features_of(text.as_py()).keys())
         names = list(pos.keys() | neg.keys())
-        yield pd.DataFrame({"feature": names, "pos": [pos[f] for f in names], "neg": [neg[f] for f in names]})
+        for a in range(0, len(names), 1 << 16):
+            part = names[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([pos[f] for f in part], pa.int64()), pa.array([neg[f] for f in part], pa.int64())], ["feature", "pos", "neg"])
 
     share = n_pos / n
     df = F.col("pos") + F.col("neg")
     z = F.abs(F.col("pos") - df * share) / F.sqrt(df * share * (1 - share))
-    counts = sample.select("text", "toxic").mapInPandas(document_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.select("text", "toxic").mapInArrow(document_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     chosen = counts.where(df >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
     vocabulary = {r.feature: i for i, r in enumerate(chosen.collect())}
     if not vocabulary:
