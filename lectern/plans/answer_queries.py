@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators import answers as A
 from lectern.operators import search, select
 from lectern.plans import inputs as I
+from lectern.plans import search_queries as S
 
 NAMES = [(f"SRC{i}", f"SRC{i}") for i in range(6)]
 
@@ -122,7 +123,7 @@ def context_texts(spark: SparkSession, d: str) -> DataFrame:
     index = search.build_postings(c, ["content"], search.query_terms(q).select("term"))
     hits = search.top_k(search.bm25_search(q.withColumn("filtered", F.lit(True)), index, {"content": 5.0}), 4).join(c, "chunk_id")
     cut = select.context_budget(hits, 4000, 1000)
-    return A.context_text(cut).select("query_id", F.length("context").alias("chars"))
+    return A.context_text(cut).select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("chars"))
 
 
 def cited_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +183,7 @@ ORACLE_SQL = {
   SELECT answer_id, hard, soft, CASE WHEN hard <> '' OR contains(soft, 'structure') THEN 'repair' WHEN soft <> '' THEN 'accept_soft' ELSE 'ok' END AS verdict FROM p""",
     "chosen_attempts": "SELECT doc_id AS answer_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'second' WHEN doc_id % 2 = 0 THEN 'first' ELSE 'failed' END AS chosen FROM documents",
     "renumber_citations": W + I.ANSWERS_SQL + " SELECT answer_id, CASE answer_id % 3 WHEN 0 THEN CASE WHEN answer_id % 4 = 0 THEN 'a [1] b [3, 2]. [1]' ELSE 'a [3] b [1, 2]. [3]' END WHEN 1 THEN 'a [9]' ELSE 'no citation' END AS answer, answer_id % 4 > 0 AND answer_id % 3 <> 1 AS renumbered FROM answers",
+    "context_texts": S.bm25(S._ONE, "1") + ", " + S._TOP20 + S._budgets(4, 4000, 1000) + ", t AS (SELECT query_id, string_agg('[' || CAST(position AS VARCHAR) || ']' || chr(10) || concat_ws(' | ', country_code, cut.legal_topic, subsection) || chr(10) || excerpt, chr(10) || chr(10) ORDER BY position) AS t FROM cut JOIN (SELECT chunk_id, subsection FROM chunks) USING (chunk_id) GROUP BY query_id) SELECT query_id, sha256(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM t",
     "cited_sources": W + I.ANSWERS_SQL + ", " + I.SOURCES_SQL + ", c AS (SELECT answer_id, " + _CITED.format(t="answer") + " AS c FROM answers), u AS (SELECT answer_id, unnest(c) AS citation, unnest(range(0, len(c))) AS i FROM c), f AS (SELECT answer_id, citation, min(i) AS i FROM u GROUP BY answer_id, citation), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY i) - 1 AS INTEGER) AS pos FROM f) SELECT answer_id, citation, pos, country_code FROM g JOIN sources USING (answer_id, citation)",
     "contact_sections": """WITH a AS (SELECT item_id AS query_id, item_id % 3 AS off, unnest(range(0, 3)) AS i, unnest(['C1', 'C' || CAST(item_id % 4 AS VARCHAR), 'C9']) AS country_code FROM benchmark), b AS (SELECT *, country_code IN ('C0', 'C1', 'C2') AS found FROM a)
   SELECT query_id, CAST(i AS INTEGER) AS i, country_code, CASE WHEN found THEN off + CAST(sum(CASE WHEN found THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS citation, CASE WHEN found THEN 'text ' || country_code[2] END AS content, found FROM b""",

@@ -118,6 +118,10 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
     return segment.extract_contacts(blocks)
 
 
+def contact_texts(spark: SparkSession, d: str) -> DataFrame:
+    return segment.contact_text(contacts(spark, d)).select("doc_id", F.sha2(segment.clean_contact_text(F.col("content")), 256).alias("digest"), F.length("content").alias("chars"))
+
+
 def metadata_violations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     meta = I.table(spark, d, "documents").select("doc_id", F.when(k % 6 == 0, " ").otherwise(F.col("source")).alias("country"), F.when(k % 5 == 0, "ABC").otherwise("AB").alias("country_code"), F.col("lang").alias("language"), F.lit("f").alias("source_filename"), (1890 + k % 220).cast("int").alias("reference_year"))
@@ -248,7 +252,7 @@ def dimension_check(spark: SparkSession, d: str) -> DataFrame:
     return dims.check_dimension(n, "alias", "code", "region", regions)
 
 
-QUERIES = {f.__name__: f for f in (text_blocks, html_headings, table_text, front_matter_cap, title_candidates, document_entities, sections_from_headings, repeated_blocks, split_chunks, chunk_ids, enriched_chunks, document_id_check, contact_fields, contacts, metadata_violations, batch_violations, upsert_stale, upserted_corpus, deleted_corpus, reindexed_corpus, replace_plan, duplicate_texts, source_audit, coverage_report, corpus_validation, structure_profile, suspicious_headings, long_sections, reference_labels, label_candidates, best_heading, indexing_summary, ordered_unions, dimension_check)}
+QUERIES = {f.__name__: f for f in (text_blocks, html_headings, table_text, front_matter_cap, title_candidates, document_entities, sections_from_headings, repeated_blocks, split_chunks, chunk_ids, enriched_chunks, document_id_check, contact_fields, contacts, contact_texts, metadata_violations, batch_violations, upsert_stale, upserted_corpus, deleted_corpus, reindexed_corpus, replace_plan, duplicate_texts, source_audit, coverage_report, corpus_validation, structure_profile, suspicious_headings, long_sections, reference_labels, label_candidates, best_heading, indexing_summary, ordered_unions, dimension_check)}
 
 W = "WITH "
 _TAGS = "h1|h2|h3|h4|h5|h6|p|li|td|th|title"
@@ -264,6 +268,11 @@ _LABELLED = _BODY + """, w AS (SELECT *, list_filter(regexp_split_to_array(lower
 _OLD_NEW = I.CHUNKS_SQL + ", old AS (SELECT chunk_id, document_id, country_code, length(content) AS v FROM chunks WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0), new AS (SELECT chunk_id, document_id, country_code, length(content) AS v FROM chunks WHERE document_id % 2 = 0 AND chunk_id % 4 <> 2)"
 _DOC = "'doc_' || sha256('document-v2' || chr(31) || 'labour' || chr(31) || upper({c}) || chr(31) || lower({l}))"
 
+_CONTACTS = """WITH c AS (SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS doc_id, c_custkey % 10 AS i, 'Firm ' || CAST(c_custkey AS VARCHAR) AS c_name, CAST(c_custkey AS VARCHAR) AS k FROM customer),
+  f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pair, c_name, 'Street ' || k AS address, '+32 2 643 ' || lpad(k, 4, '0') AS phone, 'office' || k || '@example.com' AS fe FROM c WHERE i % 2 = 0),
+  p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pair, 'Person ' || k AS person, 'p' || k || '@example.com' AS pe FROM c WHERE i % 2 = 1)
+  SELECT coalesce(f.doc_id, p.doc_id) AS doc_id, CAST(coalesce(f.pair, p.pair) AS INTEGER) AS pair, c_name AS member_firm, person AS contact_person, coalesce(pe, fe) AS email, phone, address, CAST(NULL AS VARCHAR) AS website FROM f FULL JOIN p ON f.doc_id = p.doc_id AND f.pair = p.pair"""
+
 ORACLE_SQL = {
     "text_blocks": W + I.BLOCKS_SQL + " SELECT doc_id, count(*) AS blocks, max(pos) AS last, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY doc_id",
     "html_headings": W + _HTML + " SELECT doc_id AS page_id, heading_level, count(*) AS n, min(text) AS first FROM html_blocks WHERE heading_level IS NOT NULL GROUP BY doc_id, heading_level",
@@ -280,10 +289,8 @@ ORACLE_SQL = {
     "enriched_chunks": W + I.CHUNKS_SQL + ", k AS (SELECT *, CASE WHEN chunk_id % 17 = 0 THEN 'rejected' WHEN legal_topic IS NULL THEN 'overview' ELSE 'comparator' END AS t FROM chunks WHERE trim(content) <> '') SELECT t AS document_type, count(*) AS n, CASE WHEN t = 'rejected' THEN 0 ELSE count(*) END AS ids FROM k GROUP BY t",
     "document_id_check": "WITH d AS (SELECT doc_id, " + _DOC.format(c="source", l="lang") + " AS g FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN upper(g) WHEN 1 THEN substr(g, 1, 60) ELSE g END AS document_id, doc_id % 5 > 1 AS valid FROM d",
     "contact_fields": "WITH c AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS INTEGER) AS emails, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS email, regexp_extract(text, '\\+?[0-9][0-9 ()./-]{6,}[0-9]') AS phone FROM documents) SELECT * FROM c WHERE emails > 0 OR phone <> ''",
-    "contacts": """WITH c AS (SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS doc_id, c_custkey % 10 AS i, 'Firm ' || CAST(c_custkey AS VARCHAR) AS c_name, CAST(c_custkey AS VARCHAR) AS k FROM customer),
-  f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pair, c_name, 'Street ' || k AS address, '+32 2 643 ' || lpad(k, 4, '0') AS phone, 'office' || k || '@example.com' AS fe FROM c WHERE i % 2 = 0),
-  p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pair, 'Person ' || k AS person, 'p' || k || '@example.com' AS pe FROM c WHERE i % 2 = 1)
-  SELECT coalesce(f.doc_id, p.doc_id) AS doc_id, CAST(coalesce(f.pair, p.pair) AS INTEGER) AS pair, c_name AS member_firm, person AS contact_person, coalesce(pe, fe) AS email, phone, address, CAST(NULL AS VARCHAR) AS website FROM f FULL JOIN p ON f.doc_id = p.doc_id AND f.pair = p.pair""",
+    "contacts": _CONTACTS,
+    "contact_texts": "WITH c AS (" + _CONTACTS + "), e AS (SELECT doc_id, string_agg(array_to_string(list_filter(['Member firm: ' || member_firm, 'Contact person: ' || contact_person, 'Email: ' || email, 'Phone: ' || phone, 'Address: ' || address], lambda x: x IS NOT NULL), chr(10)), chr(10) || chr(10) ORDER BY pair) AS t FROM c GROUP BY doc_id) SELECT doc_id, sha256(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM e",
     "metadata_violations": "WITH v AS (SELECT doc_id, 'country_blank' AS violation FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT doc_id, 'country_code_form' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'year_range' FROM documents WHERE 1890 + doc_id % 220 NOT BETWEEN 1900 AND 2100) SELECT violation, count(*) AS n, min(doc_id) AS first FROM v GROUP BY violation",
     "batch_violations": W + I.CHUNKS_SQL + """, r AS (SELECT chunk_id % 50 AS batch, CASE WHEN chunk_id % 50 < 25 THEN 0 ELSE document_id END AS document_id, CASE WHEN chunk_id % 50 < 10 THEN 'en' ELSE language END AS language, CASE WHEN chunk_id % 50 = 3 THEN 1 ELSE chunk_id END AS chunk_id FROM chunks),
   s AS (SELECT batch, count(DISTINCT document_id) AS d, count(DISTINCT language) AS l, count(*) AS n, count(DISTINCT chunk_id) AS ids FROM r GROUP BY batch)

@@ -198,9 +198,23 @@ def retrieve_countries(spark: SparkSession, d: str) -> DataFrame:
 
 _TOPK = " SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM {t}) WHERE rank > {a} AND rank <= {b}"
 _TOP20 = "top AS (SELECT t.*, c.legal_topic, c.country_code, c.content FROM (" + _TOPK.format(t="hits", a=0, b=20) + ") t JOIN chunks c USING (chunk_id))"
-_EN = "'[^A-Za-z0-9''-]+'"
 _STOP = "('compare','comparison','explain','rules','rule','requirements','requirement','law','laws','the','a','an','in','on','at','for','to','of','and','or','is','are','what','which','how')"
 
+def _budgets(ranks: int, total: int, per: int) -> str:
+    """The first ``ranks`` hits cut to their budgets, as table ``cut``: the n-th budget follows from those before it."""
+    steps = ""
+    for i in range(2, ranks + 1):
+        left = " - ".join(["share", *[f"b{x}" for x in range(1, i)]])
+        steps += f", s{i} AS (SELECT *, CASE WHEN n >= {i} AND {left} > 0 THEN least({per}, greatest(1, ({left}) // greatest(n - {i - 1}, 1))) ELSE 0 END AS b{i} FROM s{i - 1})"
+    pick = " ".join(f"WHEN {i} THEN b{i}" for i in range(1, ranks + 1))
+    return f""", six AS (SELECT * FROM top WHERE rank <= {ranks}), c AS (SELECT query_id, country_code, count(*) AS n, min(rank) AS first FROM six GROUP BY query_id, country_code),
+  d AS (SELECT *, greatest(1, {total} // count(*) OVER (PARTITION BY query_id)) AS share, row_number() OVER (PARTITION BY query_id ORDER BY first) AS no FROM c),
+  e AS (SELECT s.*, d.n, d.share, d.no, row_number() OVER (PARTITION BY s.query_id, s.country_code ORDER BY rank) AS i FROM six s JOIN d USING (query_id, country_code)),
+  s1 AS (SELECT *, least({per}, share) AS b1 FROM e){steps}, o AS (SELECT *, CASE i {pick} END AS budget FROM s{ranks}),
+  cut AS (SELECT query_id, chunk_id, country_code, legal_topic, rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS INTEGER) AS position, CAST(budget AS INTEGER) AS budget,
+   CASE WHEN length(trim(content)) <= budget THEN trim(content) ELSE regexp_replace(substr(trim(content), 1, budget), '\\s+$', '') END AS excerpt FROM o WHERE budget > 0)"""
+
+
 QUERIES = {f.__name__: f for f in (bm25_topk, bm25_multifield, bm25_msm70, bm25_filtered, search_totals, filter_counts, postings_stats, contact_lookup, query_validation, source_limits, retrieval_queries, facet_country, facet_values, facet_lang_source, document_inventory, existing_documents, interleave_topk, topic_balanced, context_budget, truncate_paragraph, reranked, retrieve_topics, retrieve_countries)}
 
 ORACLE_SQL = {
@@ -228,18 +242,7 @@ ORACLE_SQL = {
     "topic_balanced": bm25(_ONE, "1") + ", " + _TOP20 + """ SELECT query_id, chunk_id, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN t IS NULL THEN 1 ELSE 0 END, k, t, rank) AS position FROM (
   SELECT *, CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, legal_topic ORDER BY rank) END AS k FROM (
    SELECT *, CASE WHEN query_id % 3 <> 0 THEN CASE legal_topic WHEN 'gamma' THEN 1 WHEN 'alpha' THEN 2 WHEN 'delta' THEN 3 END END AS t FROM top))) WHERE position <= 9""",
-    "context_budget": bm25(_ONE, "1") + ", " + _TOP20 + """, six AS (SELECT * FROM top WHERE rank <= 6), c AS (SELECT query_id, country_code, count(*) AS n, min(rank) AS first FROM six GROUP BY query_id, country_code),
-  d AS (SELECT *, greatest(1, 9000 // count(*) OVER (PARTITION BY query_id)) AS share, row_number() OVER (PARTITION BY query_id ORDER BY first) AS no FROM c),
-  e AS (SELECT s.*, d.n, d.share, d.no, row_number() OVER (PARTITION BY s.query_id, s.country_code ORDER BY rank) AS i FROM six s JOIN d USING (query_id, country_code)),
-  f AS (SELECT *, least(3000, share) AS b1 FROM e),
-  g AS (SELECT *, CASE WHEN n >= 2 AND share - b1 > 0 THEN least(3000, greatest(1, (share - b1) // greatest(n - 1, 1))) ELSE 0 END AS b2 FROM f),
-  h AS (SELECT *, CASE WHEN n >= 3 AND share - b1 - b2 > 0 THEN least(3000, greatest(1, (share - b1 - b2) // greatest(n - 2, 1))) ELSE 0 END AS b3 FROM g),
-  k AS (SELECT *, CASE WHEN n >= 4 AND share - b1 - b2 - b3 > 0 THEN least(3000, greatest(1, (share - b1 - b2 - b3) // greatest(n - 3, 1))) ELSE 0 END AS b4 FROM h),
-  l AS (SELECT *, CASE WHEN n >= 5 AND share - b1 - b2 - b3 - b4 > 0 THEN least(3000, greatest(1, (share - b1 - b2 - b3 - b4) // greatest(n - 4, 1))) ELSE 0 END AS b5 FROM k),
-  m AS (SELECT *, CASE WHEN n >= 6 AND share - b1 - b2 - b3 - b4 - b5 > 0 THEN least(3000, greatest(1, (share - b1 - b2 - b3 - b4 - b5) // greatest(n - 5, 1))) ELSE 0 END AS b6 FROM l),
-  o AS (SELECT *, CASE i WHEN 1 THEN b1 WHEN 2 THEN b2 WHEN 3 THEN b3 WHEN 4 THEN b4 WHEN 5 THEN b5 ELSE b6 END AS budget FROM m)
-  SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS INTEGER) AS position, CAST(budget AS INTEGER) AS budget,
-   CAST(length(CASE WHEN length(trim(content)) <= budget THEN trim(content) ELSE regexp_replace(substr(trim(content), 1, budget), '\\s+$', '') END) AS INTEGER) AS chars FROM o WHERE budget > 0""",
+    "context_budget": bm25(_ONE, "1") + ", " + _TOP20 + _budgets(6, 9000, 3000) + " SELECT query_id, chunk_id, position, budget, CAST(length(excerpt) AS INTEGER) AS chars FROM cut",
     "truncate_paragraph": """WITH t AS (SELECT doc_id, trim(replace(text, chr(10), chr(10) || chr(10))) AS t FROM documents), c AS (SELECT *, substr(t, 1, 1500) AS c FROM t),
   l AS (SELECT *, length(c) - strpos(reverse(c), chr(10) || chr(10)) - 1 AS last, strpos(c, chr(10) || chr(10)) > 0 AS has FROM c)
   SELECT doc_id, sha256(CASE WHEN length(t) <= 1500 THEN t ELSE regexp_replace(CASE WHEN has AND last >= 750 THEN substr(c, 1, last) ELSE c END, '\\s+$', '') END) AS digest FROM l""",

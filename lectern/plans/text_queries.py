@@ -237,7 +237,55 @@ def next_states(spark: SparkSession, d: str) -> DataFrame:
     return s.select("query_id", F.size("actions").alias("actions"), F.coalesce("focus", F.lit(-1)).alias("focus"), F.array_join("ordered_codes", ",").alias("codes"), "pending")
 
 
-QUERIES = {f.__name__: f for f in (entity_mentions, entity_availability, topic_labels, scope_support, entity_only, intent_labels, signal_flags, turn_routes, turn_hints, fuzzy_names, fuzzy_names_levenshtein, strip_scope, subject_modes, concept_positions, relation_proximity, subject_overlap, evidence_grade, evidence_gate, history_violations, action_violations, bounded_history, recent_questions, carry_context, last_context, next_states)}
+def normalised_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return I.table(spark, d, "documents").select("doc_id", F.sha2(X.squash_ws(t), 256).alias("squashed"), F.sha2(X.ascii_words(t), 256).alias("words"), F.size(X.evidence_tokens(t)).alias("tokens"))
+
+
+def heading_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Headings made from one or two nation names, against three requested codes each."""
+    n = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    c = I.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 25).alias("k"), ((F.col("c_custkey") * 7 + 1) % 25).alias("k2"))
+    two = c.join(F.broadcast(n), "k").join(F.broadcast(n.select(F.col("k").alias("k2"), F.col("n_name").alias("other"))), "k2")
+    code = lambda key: F.concat(F.lit("N"), F.col(key).cast("string"))
+    heads = two.select("c_custkey", F.concat(F.lit("Rules in "), "n_name", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" and "), "other")).otherwise("")).alias("heading"), F.array(code("k"), code("k2"), F.lit("N24")).alias("codes"))
+    dim = n.select(F.concat(F.lit("N"), F.col("k").cast("string")).alias("code"), X.ascii_words(F.col("n_name")).alias("alias_words"))
+    return dims.heading_entity(heads, F.col("heading"), "codes", dim, "c_custkey").select("c_custkey", "entity_code")
+
+
+def filter_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    from lectern.operators.search import filter_conflict
+
+    k = F.col("text_id")
+    explicit = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"), F.lit("B")))
+    action = F.when(k % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B"), F.lit("C")))
+    return _keyed(spark, d).select("text_id", filter_conflict(explicit, action).alias("conflict"))
+
+
+def answer_mentions(spark: SparkSession, d: str) -> DataFrame:
+    docs = I.table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("body"))
+    pairs = F.array(*[F.struct(F.lit(g).alias("group_idx"), F.lit(t).alias("term")) for g, terms in enumerate(CONCEPTS) for t in terms])
+    terms = docs.select("answer_id", F.explode(pairs).alias("t")).select("answer_id", "t.group_idx", "t.term")
+    k = F.col("answer_id")
+    modes = docs.select("answer_id", F.when(k % 3 == 0, "broad_topic").when(k % 3 == 1, "relation_required").otherwise("direct_topic").alias("mode"), F.lit(2).alias("n_groups"))
+    return evidence.answer_mentions(docs, terms, modes)
+
+
+def same_subjects(spark: SparkSession, d: str) -> DataFrame:
+    wording = F.get(F.array(*[F.lit(t) for t in ("same for Peru", "Give me the same information for Peru", "and do the same in Peru?", "overtime in Peru", "Peru", "the same")]), (F.col("text_id") % 6).cast("int"))
+    codes = F.when(F.col("text_id") % 5 == 0, F.array(F.lit("PE"), F.lit("ES"))).otherwise(F.array(F.lit("PE")))
+    return _keyed(spark, d).select("text_id", turns.same_subject(wording, codes, F.array(F.lit("Peru"))).alias("same"))
+
+
+def local_followups(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("turn") + F.col("conv_id")
+    t = I.turns(spark, d)
+    now = t.select("conv_id", "turn", F.when(k % 2 == 0, F.when(k % 4 == 0, F.array(F.lit("PE"))).otherwise(F.array(F.lit("PE"), F.lit("ES")))).alias("only_codes"))
+    before = t.select("conv_id", "turn", F.when(k % 3 == 0, F.array(F.lit("comparison"))).when(k % 3 == 1, F.array(F.lit("information"))).otherwise(F.array(F.lit("contact"), F.lit("information"))).alias("types"), F.lit("s").alias("subject"))
+    return turns.local_followup(now, before).select("conv_id", "turn", "operation", "type", F.array_join("codes", ",").alias("codes"), "subject")
+
+
+QUERIES = {f.__name__: f for f in (normalised_texts, heading_entities, filter_conflicts, answer_mentions, same_subjects, local_followups, entity_mentions, entity_availability, topic_labels, scope_support, entity_only, intent_labels, signal_flags, turn_routes, turn_hints, fuzzy_names, fuzzy_names_levenshtein, strip_scope, subject_modes, concept_positions, relation_proximity, subject_overlap, evidence_grade, evidence_gate, history_violations, action_violations, bounded_history, recent_questions, carry_context, last_context, next_states)}
 
 W = "WITH "
 _ACC = "'" + "".join(c for c in X._LATIN if ord(c) < 0x100) + "', '" + "".join(X._LATIN[c] for c in X._LATIN if ord(c) < 0x100) + "'"
@@ -315,4 +363,21 @@ ORACLE_SQL = {
     "last_context": W + _OPS + ", l AS (SELECT conv_id, turn, last_value(CASE WHEN len(codes) > 0 THEN codes END IGNORE NULLS) OVER w AS c, last_value(subject IGNORE NULLS) OVER w AS s FROM ops WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT conv_id, turn, array_to_string(c, ',') AS codes, s AS subject FROM l",
     "next_states": """WITH x AS (SELECT conv_id, turn, turn + conv_id AS k FROM conversations WHERE turn < 3), a AS (SELECT conv_id, turn, CASE WHEN k % 2 = 0 THEN 'comparison' ELSE 'information' END AS type, 'C' || CAST(k % 4 AS VARCHAR) AS c, conv_id % 9 <> 0 AND k % 3 <> 0 AND k % 4 < 3 AS ok FROM x)
   SELECT conv_id AS query_id, CAST(count(*) FILTER (ok) AS INTEGER) AS actions, CASE WHEN count(*) FILTER (ok) = 1 THEN 0 ELSE -1 END AS focus, coalesce(array_to_string(list_filter(list(c ORDER BY turn) FILTER (ok AND type = 'comparison'), lambda x, i: list_position(list(c ORDER BY turn) FILTER (ok AND type = 'comparison'), x) = i), ','), '') AS codes, CASE WHEN conv_id % 9 = 0 THEN 'which' END AS pending FROM a GROUP BY conv_id""",
+    "normalised_texts": "SELECT doc_id, sha256(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS squashed, sha256(" + _ASCII.format(t="text") + ") AS words, CAST(len(" + _EVW.format(t="text") + ") AS INTEGER) AS tokens FROM documents",
+    "heading_entities": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 25 <> (c_custkey * 7 + 1) % 25 THEN NULL ELSE 'N' || CAST(c_custkey % 25 AS VARCHAR) END AS entity_code FROM customer",
+    "filter_conflicts": "SELECT k AS text_id, k % 3 > 0 AND k % 2 = 1 AS conflict FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
+    "answer_mentions": "WITH w AS (SELECT doc_id, ' ' || array_to_string(" + _EVW.format(t="text") + ", ' ') || ' ' AS w FROM documents), g AS (SELECT doc_id, contains(w, ' of the ') OR contains(w, ' the and ') AS a, contains(w, ' in ') OR contains(w, ' la ') OR contains(w, ' die ') AS b FROM w) SELECT doc_id AS answer_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN a AND b ELSE a OR b END AS mentions FROM g",
+    "same_subjects": "SELECT k AS text_id, k % 5 > 0 AND k % 6 < 3 AS same FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
+    "local_followups": "SELECT conv_id, turn, 'replace_country' AS operation, CASE WHEN k % 3 = 0 THEN 'comparison' ELSE 'information' END AS type, CASE WHEN k % 4 = 0 THEN 'PE' ELSE 'PE,ES' END AS codes, 's' AS subject FROM (SELECT *, turn + conv_id AS k FROM conversations) WHERE k % 2 = 0 AND k % 3 < 2 AND (k % 3 = 1 OR k % 4 > 0)",
+    "carry_context": "WITH RECURSIVE " + _OPS + """, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM ops),
+  r AS (SELECT conv_id, turn, i, 'pass' AS resolution, 'information' AS type, codes AS out_codes, subject AS out_subject, CAST(NULL AS VARCHAR) AS reason, len(codes) > 0 AND coalesce(op, '') <> 'ambiguous' AS live FROM o WHERE i = 1
+   UNION ALL
+   SELECT conv_id, turn, i, CASE WHEN op = 'ambiguous' OR (NOT passes AND text IS NULL) THEN 'clarify' WHEN passes THEN 'pass' ELSE 'carried' END, CASE WHEN op = 'ambiguous' OR passes OR text IS NULL THEN 'information' ELSE kind END,
+    CASE WHEN op = 'ambiguous' OR passes OR text IS NULL THEN codes ELSE now END, CASE WHEN op = 'ambiguous' OR passes OR text IS NULL THEN subject ELSE text END, CASE WHEN op = 'ambiguous' THEN 'ambiguous' WHEN NOT passes AND text IS NULL THEN 'missing_topic' END,
+    CASE WHEN op = 'ambiguous' OR (NOT passes AND text IS NULL) THEN false WHEN passes THEN len(codes) > 0 ELSE len(now) > 0 END
+   FROM (SELECT *, NOT live OR op IS NULL OR (was = 'comparison' AND len(now) < 2) AS passes, CASE WHEN was = 'information' AND op = 'add_country' AND len(now) >= 2 THEN 'comparison' ELSE was END AS kind FROM (
+     SELECT o.conv_id, o.turn, o.i, o.op, o.codes, o.subject, r.live, r.type AS was, coalesce(o.subject, r.out_subject) AS text,
+      CASE o.op WHEN 'replace_country' THEN CASE WHEN len(o.codes) > 0 THEN o.codes ELSE r.out_codes END WHEN 'add_country' THEN list_concat(r.out_codes, list_filter(o.codes, lambda c: NOT list_contains(r.out_codes, c))) ELSE r.out_codes END AS now
+     FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)))
+  SELECT conv_id, turn, resolution, type, array_to_string(out_codes, ',') AS codes, out_subject AS subject, reason FROM r""",
 }
