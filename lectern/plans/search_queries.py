@@ -250,7 +250,8 @@ ORACLE_SQL = {
     "retrieve_topics": bm25(_ONE, "1") + """, g AS (SELECT h.query_id, h.chunk_id, h.score, c.legal_topic, CASE c.legal_topic WHEN 'beta' THEN 0 ELSE 1 END AS grp FROM hits h JOIN chunks c USING (chunk_id) WHERE c.legal_topic = 'beta' OR (c.legal_topic = 'alpha' AND h.query_id % 2 = 0)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY score DESC, chunk_id) AS rank FROM g),
   i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, grp) AS p FROM r WHERE rank <= 20),
-  broad AS (SELECT h.query_id, h.chunk_id, c.legal_topic, 0 AS grp, row_number() OVER (PARTITION BY h.query_id ORDER BY score DESC, h.chunk_id) AS p FROM hits h JOIN chunks c USING (chunk_id) ANTI JOIN r USING (query_id)),
+  hits70 AS (SELECT query_id, chunk_id, round(max(s) + 0.2 * (sum(s) - max(s)), 4) AS score FROM perfield WHERE matched >= greatest(1, floor(0.7 * n_terms)) GROUP BY query_id, chunk_id),
+  broad AS (SELECT h.query_id, h.chunk_id, c.legal_topic, 0 AS grp, row_number() OVER (PARTITION BY h.query_id ORDER BY score DESC, h.chunk_id) AS p FROM hits70 h JOIN chunks c USING (chunk_id) ANTI JOIN r USING (query_id)),
   a AS (SELECT query_id, chunk_id, legal_topic, p FROM i WHERE p <= 20 UNION ALL SELECT query_id, chunk_id, legal_topic, p FROM broad WHERE p <= 20),
   b AS (SELECT *, CASE WHEN legal_topic = 'beta' THEN 1 WHEN legal_topic = 'alpha' AND query_id % 2 = 0 THEN 2 END AS t FROM a),
   k AS (SELECT *, CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, t ORDER BY p) END AS k FROM b)
