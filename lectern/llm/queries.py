@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
@@ -157,7 +157,33 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+# Base32 of a SHA-1: four groups of ten hex digits, eight symbols of five bits each.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS r, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform([0, 1, 2, 3], lambda g: array_to_string(list_transform([7, 6, 5, 4, 3, 2, 1, 0], lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(1 + 10 * g AS BIGINT), 10) AS BIGINT) >> (5 * i)) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to FROM p
+"""
+
+# An escape adds one character to each control string, however many backslashes it holds.
+_CONTROL = "(?:" + "|".join("\\" + c[0] + r"\\*" + "".join(x if x.isalnum() else "\\" + x for x in c[1:]) for c in chat.CONTROL) + ")"
+OP4_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, 0 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 0, 1, 'assistant', '</s>[INST] ok [/INST]'
+), w AS (
+  SELECT *, {len(chat.TURN)} + length(role) + 1 + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + {len(chat.END)} AS n FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, i, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, i, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op4_chat": OP4_SQL,
     "op2_near_duplicates": OP2_SQL,
     "op8_top_k": OP8_SQL,
 }
