@@ -86,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity:
     able = able.select(F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("item_id").alias("i"))
     windows = hits.join(able, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("_row") == F.col("r")) & (F.col("item_id") == F.col("i")), "left_semi")
     windows = windows.select("doc_id", "_row", "start", "size", "window").distinct().withColumn("own", F.split("window", " "))
-    windows = cut(windows.select("doc_id", "_row", "start", "size", simhash(F.col("own")).alias("print"), ngram_hashes(F.col("own"), k).alias("grams")).where(F.size("grams") > 0), "windows")
+    windows = cut(windows.select("doc_id", "_row", "start", "size", simhash(F.col("own")).alias("print"), ngram_hashes(F.col("own"), k).alias("grams")), "windows").where(F.size("grams") > 0)
 
     marked = items.select("item_id", "size", F.explode(blocks(simhash(F.col("words")), radius)).alias("b"), simhash(F.col("words")).alias("item_print")).select("item_id", "size", "b.*", "item_print")
     near = windows.select("doc_id", "_row", "start", "size", "print", "grams", F.explode(blocks(F.col("print"), radius)).alias("b")).select("*", "b.i", "b.v").drop("b")
