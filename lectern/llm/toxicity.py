@@ -64,7 +64,7 @@ class OrdinalModel:
         return [1 / (1 + math.exp(min(50.0, max(-50.0, t - margin)))) for t in self.thresholds]
 
 
-def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 0.2, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Maximum penalised likelihood by Adam, on a sparse matrix given as triples; grades are 0 .. K. -> weights, thresholds."""
     n, k = len(grades), int(grades.max())
     share = np.array([(grades >= j).mean() for j in range(1, k + 1)])
