@@ -66,7 +66,9 @@ def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], allo
     stats = index.terms.join(F.broadcast(index.fields), "field")
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = terms.join(_bounded(need), "query_id").join(stats.withColumn("idf", weight).select("field", "term", "idf", "avgdl"), "term")
-    hits = index.postings.join(_bounded(asked), ["field", "term"])
+    # for each field at most a row for each term of a query, so the query table tells its size without a scan of the corpus
+    small = terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS
+    hits = index.postings.join(F.broadcast(asked) if small else asked, ["field", "term"])
     if allowed is not None:
         hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
     boost = F.lit(0.0)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources.corpus import read_text_blocks, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 # Inline dictionaries of words that occur in the tables, for use in place of the domain's own.
@@ -59,8 +61,6 @@ QUERIES_SQL = """queries AS (
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as blocks: one line each."""
-    from lectern.sources.corpus import read_text_blocks
-
     return read_text_blocks(table(spark, sf_dir, "documents"))
 
 
