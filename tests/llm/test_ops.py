@@ -328,6 +328,21 @@ def test_redaction(spark):
     assert got == {1: ("a [SECRET] b", 12), 2: (None, 7), 3: ("clean", 5), 4: ("x [SECRET] y", 12)}
 
 
+def test_secrets_after_names_and_in_paths(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(5)]
+    padded = key[4][:18] + "=="
+    cases = [("AWS_SECRET_ACCESS_KEY=", key[0], ""), ("?a=1&sig=", key[1], "&b=2"), ("AUTH=", "ghp_" + key[2][:36], " x"), ("é https://x.io/hook-v2_a/", key[3], "/t-1"), ("blob=", padded, ";"), ("k=", padded, "")]
+    rows = frame(spark, [(i, "".join(c)) for i, c in enumerate(cases)])
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "random"] for r in secrets.find_secrets(rows).collect()}
+    for i, (before, secret, _) in enumerate(cases):
+        assert (len(before), len(before) + len(secret)) in got[i], cases[i]
+    clean = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    assert clean[0] == "AWS_SECRET_ACCESS_KEY=[SECRET]"
+    assert not any(secret in clean[i] for i, (_, secret, _) in enumerate(cases))
+
+
 def test_random_tokens_pass_the_battery_and_words_do_not(spark):
     rng = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
