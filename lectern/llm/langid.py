@@ -1,7 +1,7 @@
 """Language of whole texts by bit-sliced Bloom filters over byte n-grams.
 
-One table of cells holds the filters of all languages: bit L of a cell belongs to language L. The cells of an n-gram,
-ANDed, are a bit mask of the languages that (may) contain it. Counting each bit over a text gives the n-grams that
+One table of cells holds the filters of all languages: bit L of a cell belongs to language L; a cell has one word for
+each 64 languages, in blocks that are looked up one after the other. The cells of an n-gram, ANDed, are a bit mask of the languages that (may) contain it. Counting each bit over a text gives the n-grams that
 each language claims; n_L claims out of n are corrected for the filter's false positive rate f_L (the share of cells
 with bit L, to the power of the number of hashes): (n_L - n f_L) / (1 - f_L). The largest decides.
 """
@@ -12,10 +12,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import hashing as H
@@ -23,11 +22,11 @@ from lectern.llm.state import cut
 
 N = 4
 CELL_BITS = 20
-#: Training bounds: documents sampled for each language (in expectation), languages, n-gram counts sent to the driver, n-grams for each filter.
+#: Training bounds: documents sampled for each language (in expectation), n-grams for each filter.
 DOCS_PER_LANGUAGE = 1500
-LANGUAGES = 64
-GRAM_ROWS = 200_000
 GRAMS = 6000
+#: Languages in one word of a cell.
+WORD = 64
 #: An n-gram enters the filter of a language if it is at least so frequent there, as a share of where it is most frequent.
 SHARE = 0.35
 UNDETERMINED = "und"
@@ -61,59 +60,62 @@ def _cells(grams: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilters:
+    """``tables`` has the cells of each ``WORD`` languages in order."""
+
     languages: list[str]
-    table: np.ndarray
+    tables: list[np.ndarray]
     false_rate: np.ndarray
 
     def claims(self, texts: pa.Array) -> np.ndarray:
         """Corrected counts, a row for each text and a column for each language, and the number of n-grams as last column."""
         grams, begin = grams_of(texts)
         first, second = _cells(grams)
-        mask = self.table[first] & self.table[second]
         real = grams != 0
-        mask[~real] = 0
         n = np.add.reduceat(real, begin[:-1], dtype=np.int64).astype(float)
         out = np.zeros((len(begin) - 1, len(self.languages) + 1))
         out[:, -1] = n
-        one = mask.dtype.type(1)
-        for i in range(len(self.languages)):
-            claimed = np.add.reduceat(((mask >> mask.dtype.type(i)) & one).astype(bool), begin[:-1], dtype=np.int64)
-            out[:, i] = np.maximum(0, (claimed - n * self.false_rate[i]) / (1 - self.false_rate[i]))
+        for block, table in enumerate(self.tables):
+            mask = table[first] & table[second]
+            mask[~real] = 0
+            one = mask.dtype.type(1)
+            for i in range(block * WORD, min((block + 1) * WORD, len(self.languages))):
+                claimed = np.add.reduceat(((mask >> mask.dtype.type(i % WORD)) & one).astype(bool), begin[:-1], dtype=np.int64)
+                out[:, i] = np.maximum(0, (claimed - n * self.false_rate[i]) / (1 - self.false_rate[i]))
         return out
 
 
-def build(counts: pd.DataFrame) -> LanguageFilters:
-    """Filters from ``lang, gram, n``: the n-grams that are typical of each language."""
-    languages = sorted(counts.lang.unique())
+def build(grams: dict[str, np.ndarray]) -> LanguageFilters:
+    """Filters from the typical n-grams of each language."""
+    languages = sorted(grams)
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << CELL_BITS, kind)
-    if len(languages):
-        rate = counts.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)[languages]
-        rate = rate / rate.sum()
-        top = rate.max(axis=1)
-        for i, lang in enumerate(languages):
-            own = rate[lang]
-            own = own[(own > 0) & (own >= SHARE * top)].sort_values(ascending=False, kind="stable")[:GRAMS]
-            for cells in _cells(own.index.to_numpy().astype(np.uint32)):
-                table[cells] |= kind(1 << i)
-    fill = np.array([((table >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
-    return LanguageFilters(languages, table, fill ** len(_HASHES))
+    tables = [np.zeros(1 << CELL_BITS, kind) for _ in range(0, len(languages), WORD)]
+    fill = np.zeros(len(languages))
+    for i, lang in enumerate(languages):
+        table, bit = tables[i // WORD], kind(1 << i % WORD)
+        for cells in _cells(grams[lang].astype(np.uint32)):
+            table[cells] |= bit
+        fill[i] = ((table & bit) != 0).mean()
+    return LanguageFilters(languages, tables, fill ** len(_HASHES))
+
+
+def typical(counts: DataFrame) -> DataFrame:
+    """``lang, grams`` from ``lang, gram, n``: of the n-grams that are typical of a language its ``GRAMS`` most frequent, ties by n-gram."""
+    shares = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    top = shares.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("top"))
+    best = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("r") <= GRAMS)
+    return best.groupBy("lang").agg(F.collect_list("gram").alias("grams"))
 
 
 def fit(docs: DataFrame) -> LanguageFilters:
     """Filters learned from ``docs(doc_id, text, lang)``; rows with a null text or language are left out.
 
-    Of each language about ``DOCS_PER_LANGUAGE`` documents are used, chosen by a hash of their id.
+    Of each language about ``DOCS_PER_LANGUAGE`` documents are used, chosen by a hash of their id. Every language whose
+    sample has an n-gram gets a filter.
     """
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return build(pd.DataFrame({"lang": pd.Series(dtype=str), "gram": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")}))
-    wanted = F.lit(0.0)
-    for r in sizes:
-        wanted = F.when(F.col("lang") == r.lang, min(1.0, DOCS_PER_LANGUAGE / r["count"])).otherwise(wanted)
+    wanted = known.groupBy("lang").agg(F.least(F.lit(1.0), DOCS_PER_LANGUAGE / F.count("*")).alias("wanted"))
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < wanted)
+    sample = known.join(F.broadcast(wanted), "lang").where(draw < F.col("wanted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -125,7 +127,8 @@ def fit(docs: DataFrame) -> LanguageFilters:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return build(cut(counts, "grams").orderBy(F.desc("n"), "lang", "gram").limit(GRAM_ROWS).toPandas())
+    found = typical(cut(counts, "grams")).toArrow()
+    return build({lang: grams.values.to_numpy() for lang, grams in zip(found.column("lang").to_pylist(), found.column("grams").combine_chunks() if found.num_rows else [], strict=True)})
 
 
 def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:

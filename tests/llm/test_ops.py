@@ -432,6 +432,20 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_rare_languages_keep_their_grams(spark):
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rng.choices(letters, k=7)) for _ in range(6)] for i in range(70)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=5)), lang) for i, lang in enumerate(list(words) * 4)]
+    big = [(1000 + i, "".join(rng.choices(letters, k=100_000)), "noise") for i in range(20)]
+    model = langid.fit(frame(spark, rows + big, "doc_id long, text string, lang string"))
+    assert model.languages == [*sorted(words), "noise"]
+    test = [(i, " ".join(w)) for i, w in enumerate(words.values())] + [(100, big[0][1][:3000])]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(frame(spark, test), model).collect()}
+    assert [got[i] for i in range(70)] == list(words)
+    assert got[100] == "noise"
+
+
 def test_language_without_training_rows(spark):
     model = langid.fit(frame(spark, [(1, None, "aa")], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "abc"), (2, None)]), model).collect()] == ["und", "und"]
