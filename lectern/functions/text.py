@@ -127,6 +127,15 @@ def ngrams(words: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def runs(words: Column, sizes: Column) -> Column:
+    """``array<struct<gram, pos>>``: the runs of as many ``words`` as the array ``sizes`` says, joined by blanks."""
+
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("gram"), i.alias("pos")))
+
+    return F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.size(words)), of))
+
+
 def contains_words(text: Column, phrase: Column) -> Column:
     """Whether ``phrase`` occurs in ``text`` as whole words; both in blank-separated form."""
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))

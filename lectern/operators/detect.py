@@ -15,15 +15,15 @@ from lectern.sources.dims import small
 STRINGS = "array<string>"
 
 
-def detect_entities(texts: DataFrame, aliases: DataFrame, key: str = "text_id", text: str = "text", longest: int = 4) -> DataFrame:
+def detect_entities(texts: DataFrame, aliases: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
     """ENT1: ``key, codes``: entities whose alias occurs as whole words, by position then longest alias, each code once.
 
-    ``aliases(code, alias_words)``. All n-grams of up to ``longest`` words meet the aliases in one hash join; a short
-    name inside a longer one counts too.
+    ``aliases(code, alias_words)``. All n-grams of the lengths that aliases have meet the aliases in one hash join; a
+    short name inside a longer one counts too.
     """
-    words = texts.select(key, F.split(X.ascii_words(F.col(text)), " ").alias("w"))
-    grams = F.concat(*[F.transform(X.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("gram"), i.alias("pos"))) for n in range(1, longest + 1)])
-    hits = words.select(key, F.explode(grams).alias("g")).select(key, F.col("g.gram").alias("alias_words"), "g.pos").join(small(aliases.select("code", "alias_words").distinct()), "alias_words")
+    sizes = aliases.agg(F.collect_set(F.size(F.split("alias_words", " "))).alias("sizes"))
+    words = texts.select(key, F.split(X.ascii_words(F.col(text)), " ").alias("w")).crossJoin(F.broadcast(sizes))
+    hits = words.select(key, F.explode(X.runs(F.col("w"), F.col("sizes"))).alias("g")).select(key, F.col("g.gram").alias("alias_words"), "g.pos").join(small(aliases.select("code", "alias_words").distinct()), "alias_words")
     first = hits.groupBy(key, "code").agg(F.min(F.struct("pos", (-F.length("alias_words")).alias("len"))).alias("at"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
 

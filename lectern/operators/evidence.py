@@ -13,17 +13,17 @@ WINDOW = 40
 SPEC = ["query_id", "spec_idx"]
 
 
-def concept_positions(hits: DataFrame, terms: DataFrame, keys: list[str], longest: int = 5) -> DataFrame:
+def concept_positions(hits: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """EVD1: where terms occur as runs of tokens in ``body``: keys, ``group_idx, pos``.
 
-    ``hits(keys, body)``; ``terms(keys without chunk_id, group_idx, term)``. Hits are cut to n-grams once and meet the
-    terms of their own query by hash join.
+    ``hits(keys, body)``; ``terms(keys without chunk_id, group_idx, term)``. Hits are cut once to n-grams of the
+    lengths that the terms of their own query have, and meet those terms by hash join.
     """
     own = [k for k in keys if k in terms.columns]
     t = terms.select(*own, "group_idx", X.evidence_tokens(F.col("term")).alias("w")).where("size(w) > 0").select(*own, "group_idx", F.array_join("w", " ").alias("gram")).distinct()
-    words = hits.select(*keys, X.evidence_tokens(F.col("body")).alias("w"))
-    grams = F.concat(*[F.transform(X.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("gram"), i.alias("pos"))) for n in range(1, longest + 1)])
-    flat = words.select(*keys, F.explode(grams).alias("g")).select(*keys, F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))
+    sizes = t.groupBy(*own).agg(F.collect_set(F.size(F.split("gram", " "))).alias("sizes"))
+    words = hits.select(*keys, X.evidence_tokens(F.col("body")).alias("w")).join(sizes, own)
+    flat = words.select(*keys, F.explode(X.runs(F.col("w"), F.col("sizes"))).alias("g")).select(*keys, F.col("g.gram").alias("gram"), F.col("g.pos").alias("pos"))
     return flat.join(t, [*own, "gram"]).select(*keys, "group_idx", "pos").distinct()
 
 
