@@ -56,14 +56,15 @@ def match_files(documents: DataFrame, files: DataFrame) -> DataFrame:
     return per.select("document_id", "country_code", "source_filename", F.when(bad, "invalid_metadata").when(F.col("n") == 0, "missing").when(F.col("n") == 1, "resolved").otherwise("conflict").alias("status"))
 
 
-def document_inventory(chunks: DataFrame, files: DataFrame | None = None, limit: int = DOCUMENTS) -> DataFrame:
-    """AGG5: metadata of each document's smallest chunk, chunk count and file status, in order of id."""
+def document_inventory(chunks: DataFrame, files: DataFrame | None = None, limit: int | None = DOCUMENTS) -> DataFrame:
+    """AGG5: metadata of each document's smallest chunk, chunk count and file status, in order of id; all documents if ``limit`` is None."""
     meta = [c for c in ("country", "country_code", "language", "source_filename", "reference_year") if c in chunks.columns]
     rows = chunks.groupBy("document_id").agg(F.min_by(F.struct(*meta), "chunk_id").alias("m"), F.count("*").alias("chunk_count")).select("document_id", "m.*", "chunk_count")
     if files is not None:
         status = match_files(rows.select("document_id", "country_code", "source_filename"), files).select("document_id", F.when(F.col("status") == "resolved", "indexed").when(F.col("status") == "conflict", "indexed_source_conflict").otherwise("indexed_source_missing").alias("status"))
         rows = rows.join(status, "document_id", "left")
-    return rows.orderBy("document_id").limit(limit)
+    rows = rows.orderBy("document_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def existing_documents(chunks: DataFrame, code: str) -> DataFrame:

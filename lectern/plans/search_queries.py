@@ -131,7 +131,7 @@ def facet_lang_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return facets.document_inventory(I.chunks(spark, d), limit=1_000_000)
+    return facets.document_inventory(I.chunks(spark, d), limit=None)
 
 
 def existing_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_limits(spark):
     share, pool = search.candidate_limits(F.lit(10), F.lit(2), 5, True)
     r = spark.range(1).select(share.alias("s"), pool.alias("p"), search.check_source_budget(F.lit(1), F.lit(2)).alias("b")).first()
     assert (r.s, r.p, r.b) == (5, 20, True)
+
+
+def test_document_inventory_lists_all_documents(spark, monkeypatch):
+    from lectern.plans import search_queries
+
+    ids = spark.range(1_000_001).selectExpr("id AS chunk_id", "id AS document_id", "'A' AS country")
+    monkeypatch.setattr(search_queries.I, "chunks", lambda spark, d: ids)
+    assert search_queries.document_inventory(spark, "").count() == 1_000_001
