@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -45,3 +49,15 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """A copy without ``lectern/llm`` and ``tests/llm``: registry, SQL, bench and flagship import; no name of theirs is left."""
+    here = Path(entry.__file__).parent
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    for pipeline in (True, False):
+        if not pipeline:
+            (tmp_path / "r/corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e, bench; from lectern.plans import registry; assert set(e.queries()) == set(registry.QUERIES), set(e.queries()) ^ set(registry.QUERIES); assert set(e.oracle_sql()) == set(registry.ORACLE_SQL)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")}, check=False)
+        assert done.returncode == 0, done.stderr
