@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
 from lectern.llm.state import cut, fresh_path
+from lectern.sources.corpus import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; small scans of texts are dealt to all cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

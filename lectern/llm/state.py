@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,12 +17,19 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder of this process (tests only)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder of this process, for a local master only.
+
+    The temporary folder goes when the process ends. On a cluster without the setting this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
+        own = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_folder.append("file://" + own)
     return _own_folder[0]
 
 
@@ -44,3 +53,14 @@ def within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its size allows it, else ``df`` itself (Spark then shuffles both sides)."""
     return F.broadcast(df) if within(df, limit) else df
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores in front until no column of ``df`` has them in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

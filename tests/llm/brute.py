@@ -111,13 +111,13 @@ def leaks(docs, items, k, similarity):
     """All windows of all texts against all items: (doc_id, item_id) -> best weighted Jaccard similarity."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
-    bags = {i: (len(words(t)), Counter(grams(words(t)))) for i, t in items if len(words(t)) >= k}
-    df = Counter(g for _, b in bags.values() for g in b)
+    bags = [(i, len(w), Counter(grams(w))) for i, w in dict.fromkeys((i, tuple(words(t))) for i, t in items) if len(w) >= k]
+    df = Counter(g for _, _, b in bags for g in b)
     rare = math.log1p(len(bags))
     out = {}
     for d, t in docs:
         w = words(t)
-        for i, (size, bag) in bags.items():
+        for i, size, bag in bags:
             for s in range(max(1, len(w))):
                 own = Counter(grams(w[s : s + size]))
                 weight = lambda g: math.log1p(len(bags) / df[g]) if g in bag else rare  # noqa: B023, E731

@@ -146,38 +146,75 @@ def test_warc_of_no_pages(spark, tmp_path):
 # ---- decontamination -----------------------------------------------------------------------------------------------
 
 
-def test_leaks_equal_brute_force(spark):
-    rng = random.Random(11)
-    items = [(i, prose(rng, rng.randrange(12, 30))) for i in range(12)] + [(20, "one two"), (21, None), (22, "")]
+def leak_rows(rng, items):
     rows = [(i, prose(rng, 50)) for i in range(20)]
-    for i in range(20, 60):
+    for i in range(20, 110):
         w = items[i % 12][1].split()
         for _ in range(i % 4):
             w[rng.randrange(len(w))] = "changed"
-        rows.append((i, prose(rng, 20) + ", " + " ".join(w).upper() + "! " + prose(rng, 20)))
-    rows += [(60, items[0][1]), (61, items[1][1] + " " + items[2][1]), (62, None), (63, ""), (64, "the " * 500), (60, items[0][1])]
-    found = decontaminate.contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()
+        if i % 5 == 1:  # halves, or the first third, moved
+            cut = len(w) // (2 + i % 2)
+            w = w[cut:] + w[:cut]
+        if i % 5 == 2:
+            w.insert(rng.randrange(len(w)), "inserted")
+        if i % 5 == 3:
+            w = w[: -(1 + i % 4)]
+        rows.append((i, prose(rng, 20 * (i % 3)) + ", " + " ".join(w).upper() + "! " + prose(rng, 20 * (i % 7 > 2))))
+    rows += [(200, items[0][1]), (201, items[1][1] + " " + items[2][1]), (202, None), (203, ""), (204, "the " * 500), (200, items[0][1]), (None, items[3][1] + " tail")]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_brute_force(spark, seed):
+    rng = random.Random(11 + seed)
+    items = [(i, prose(rng, rng.randrange(12, 60))) for i in range(12)] + [(20, "one two"), (21, None), (22, ""), (23, "the the the the the the"), (24, "of the people by the people for the people")]
+    items += [(25, prose(rng, 9)), (25, prose(rng, 30))]
+    rows = leak_rows(rng, items)
+    benchmark = frame(spark, items, "item_id long, text string")
+    odd = frame(spark, rows).withColumns({c: F.lit("x") for c in ("d", "r", "_d", "pos", "h", "_row", "item", "size")})
+    found = decontaminate.contaminated(odd, benchmark).collect()
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found}
     want = {k: round(v, 6) for k, v in B.leaks(rows, items, decontaminate.K, decontaminate.SIMILARITY).items()}
-    near = {k for k, v in want.items() if v >= 0.8}
-    assert set(got) <= set(want)
-    assert near <= set(got)
-    assert all(got[k] == want[k] for k in near)
-    clean = decontaminate.drop_contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string"))
+    assert got == want
+    assert len({d for d, _ in want}) > 40
+    clean = decontaminate.drop_contaminated(odd, benchmark)
+    assert clean.columns == odd.columns
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in got}
 
 
-def test_hamming_blocks_miss_nothing_within_the_radius(spark):
+def test_passages_whose_parts_moved_are_found(spark):
+    rng = random.Random(17)
+    items = [(i, prose(rng, 30)) for i in range(40)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        rows += [(10 * i, prose(rng, 40) + " " + text), (10 * i + 1, " ".join(w[15:] + w[:15]) + " " + prose(rng, 9)), (10 * i + 2, prose(rng, 9) + " " + " ".join(w[10:] + w[:10]))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    assert {(d, d // 10) for d, _ in rows} <= got
+
+
+def test_the_multi_index_misses_nothing_within_the_radius_and_prunes(spark):
     rng = random.Random(2)
-    pairs = []
-    for _ in range(200):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    windows, items, want = [], [], set()
+    for n in range(300):
         a = rng.getrandbits(64)
         b = a
-        for bit in rng.sample(range(64), decontaminate.RADIUS):
+        for bit in rng.sample(range(64), rng.choice((0, 5, decontaminate.RADIUS))):
             b ^= 1 << bit
-        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = frame(spark, pairs, "a long, b long").select(F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b"))).alias("met"))
-    assert all(r.met for r in df.collect())
+        windows.append((n, 0, n, 10, signed(a), a))
+        items.append((n, 10, signed(b), b))
+    want = {(w[0], i[0]) for w in windows for i in items if (w[5] ^ i[3]).bit_count() <= decontaminate.RADIUS}
+    left = frame(spark, [w[:5] for w in windows], "doc_id long, _row long, start int, size int, print long")
+    right = frame(spark, [i[:3] for i in items], "item long, size int, print long")
+    got = decontaminate.candidates(left, right).collect()
+    assert {(r.doc_id, r.item) for r in got} == want
+    assert {(n, n) for n in range(300)} <= want
+    near = decontaminate.RADIUS // decontaminate.BLOCKS
+    a = left.select("doc_id", F.explode(decontaminate.index_keys("print", 1)).alias("b"))
+    b = right.select("item", F.explode(decontaminate.index_keys("print", near - 1)).alias("b"))
+    met = a.join(b, "b").select("doc_id", "item").distinct().count()
+    assert met < 0.3 * 300 * 300  # 21 % of unrelated pairs are expected
 
 
 def test_leaks_of_empty_tables(spark):
