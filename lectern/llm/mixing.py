@@ -1,12 +1,17 @@
 """Interleaving sources to target weights by Pfair scheduling.
 
-A source of weight a/D (integers, all a sum to D) has the j-th of its blocks released at floor(j D / a) with deadline
-ceil((j + 1) D / a). Taking, slot by slot, the released block with the earliest deadline meets every deadline, so
-after t slots each source has less than one block more or less than t a / D. All windows repeat after D slots; one
-period is worked out on the driver (D numbers) and every document finds its slot from its rank in its source.
-
-Ranks come from salted buckets (a hash of the id), so that a source with a third of all rows is dealt evenly: rows
-are numbered inside a bucket and the buckets' sizes, a small table, are added up.
+A source of weight w (the weights add up to 1) has its j-th block released at slot floor(j / w) with deadline
+ceil((j + 1) / w). Taking, slot by slot, the released block with the earliest deadline meets every deadline, so after
+t slots each source has less than one block more or less than t w. The weights are the targets themselves, not rounded.
+
+Sources run out. From then on the others go on in proportion to their weights: time is counted in shares of the
+weights that are left, so no slot stays empty. Sources without a positive weight come last, by their sizes.
+
+The schedule is one row for each block. Blocks grow with the table, so that there are at most ``BLOCKS`` of them and
+one for each source; that many steps are worked out on the driver, and every document finds its slot from its rank in
+its source. Ranks come from salted buckets (a hash of the id): rows are numbered inside a bucket, and the buckets'
+sizes, a small table, are added up. Rows that share an id too often for a bucket are dealt by position instead, after
+the table has been written once.
 """
 
 from __future__ import annotations
@@ -16,43 +21,41 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.state import bounded, cut
+from lectern.llm.state import bounded, cut, free_names
 
-#: Slots in a period, rows in a block, rows in a bucket (about), and sources that are allowed.
-PERIOD = 4096
+#: Blocks in a schedule (sources beyond their full blocks add one each), rows in a block at least, rows in a bucket (about).
+BLOCKS = 1 << 17
 BLOCK_ROWS = 8
 BUCKET_ROWS = 512
-SOURCES = 100_000
-
-
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Shares of ``period`` that add up to it, by largest remainder, each at least one slot. Weights that are not positive count as the smallest share."""
-    period = max(period, 4 * len(weights))
-    total = sum(max(w, 0.0) for w in weights.values()) or 1.0
-    exact = {s: max(w, 0.0) / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in rest[: period - sum(out.values())]:
-        out[s] += 1
-    return out
 
+_NEW = ("block", "slot", "place", "release", "deadline")
+
+
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[str, int]]:
+    """``(source, block)`` slot by slot until all blocks are placed.
 
-def pfair_period(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """``(source, j, slot)`` of one period: the released block with the earliest deadline takes each slot."""
-    period = sum(shares.values())
-    waiting = [(0, s, 0) for s in shares]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    plan = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        plan.append((s, j, slot))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
-    return plan
+    Time is the share of its weight that a source should have had: it moves by 1 / (weights not yet run out) a slot.
+    A block may be taken in the slot in which its time begins or later; the block whose time ends first is taken.
+    """
+    out: list[tuple[str, int]] = []
+    for tier in (True, False):
+        active = {s: weights[s] if tier else float(blocks[s]) for s in sorted(blocks) if blocks[s] > 0 and (weights.get(s, 0) > 0) == tier}
+        total = sum(active.values())
+        waiting: list[tuple[float, str, int]] = [(0.0, s, 0) for s in active]
+        ready: list[tuple[float, str, int]] = []
+        now, left = 0.0, total
+        while waiting or ready:
+            now += total / left
+            while waiting and (waiting[0][0] * total < now - 1e-9 or not ready):
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, ((j + 1) / active[s], s, j))
+            _, s, j = heapq.heappop(ready)
+            out.append((s, j))
+            if j + 1 < blocks[s]:
+                heapq.heappush(waiting, ((j + 1) / active[s], s, j + 1))
+            else:
+                left = max(left - active[s], total * 1e-12)
+    return out
 
 
 def _key(source: str = "source"):
@@ -61,50 +64,49 @@ def _key(source: str = "source"):
 
 
 def source_sizes(docs: DataFrame) -> dict[str, int]:
-    """Rows by source key."""
-    rows = docs.groupBy(_key().alias("key")).count().limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    return {r.key: r["count"] for r in rows}
+    """Rows by source key: one number for each source."""
+    return {r.key: r["count"] for r in docs.groupBy(_key().alias("key")).count().collect()}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None) -> DataFrame:
     """``docs(doc_id, source, ...)`` with ``block``, ``slot``, ``place``, ``release`` and ``deadline``; sorted by (slot, place) they are mixed.
 
     ``weights`` maps source names (None for null) to target weights; without it, the square roots of the sizes.
-    Sources that it leaves out get the smallest share. All rows are kept: when a source has run out, its slots stay
-    empty. Rows that repeat a ``doc_id`` are rows of their own, null ids too; rows of one id may trade places.
-    Columns with the names of the five new ones are replaced.
+    Sources that it leaves out or that have no positive weight come after all others. ``release`` and ``deadline`` are
+    the window of the block while no source has run out, null without a positive weight. All rows are kept. Rows that
+    repeat a ``doc_id`` are rows of their own, null ids too; rows of one id may trade places. An empty table stays
+    empty; texts are not looked at. Columns with the names of the five new ones are replaced, others pass unchanged
+    whatever their names. ``block_rows`` is ``BLOCK_ROWS``, or more where that would give over ``BLOCKS`` blocks.
     """
-    new = ["block", "slot", "place", "release", "deadline"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*_NEW)
     sizes = source_sizes(docs)
     named = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
-    targets = {s: n**0.5 if weights is None else named.get(s, 0.0) for s, n in sizes.items()}
-    spark = docs.sparkSession
-    plan = pfair_period(shares := integer_weights(targets, period)) if sizes else []
-    span = sum(shares.values()) if sizes else 1
-    slots = spark.createDataFrame([(s, j, t, shares[s]) for s, j, t in plan], "key string, j long, at long, share long")
+    targets = {s: n**0.5 if weights is None else max(0.0, named.get(s, 0.0)) for s, n in sizes.items()}
+    total = sum(targets.values())
+    per = block_rows or max(BLOCK_ROWS, -(-sum(sizes.values()) // BLOCKS))
+    plan = schedule(targets, {s: -(-n // per) for s, n in sizes.items()})
 
+    key, h, bucket, buckets, before, rank, w, k, x = free_names(docs, "key", "h", "bucket", "buckets", "before", "rank", "w", "k", "x")
+    spark = docs.sparkSession
     # one row for each source
-    share = spark.createDataFrame([(s, a, -(-sizes[s] // BUCKET_ROWS)) for s, a in shares.items()] if sizes else [], "_key string, _s long, _buckets long")
-    order = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))
-    rows = docs.withColumns({"_key": _key(), "_h": order}).join(F.broadcast(share), "_key").withColumn("_bucket", F.pmod("_h", "_buckets"))
-    counts = rows.groupBy("_key", "_bucket").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut(counts.select("_key", "_bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_before")), "buckets")
-    inside = Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id")
-    rows = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(bounded(counts), ["_key", "_bucket"])
-    rank = F.col("_before") + F.col("_rank")
-    rows = rows.withColumns({"block": F.floor(rank / block_rows), "place": rank % block_rows})
-    # the template has as many rows as the period has slots
-    slots = slots.select(F.col("key").alias("_key"), F.col("j").alias("_j"), F.col("at").alias("_at"), F.col("share").alias("_share"))
-    rows = rows.withColumn("_j", F.col("block") % F.col("_s")).join(F.broadcast(slots), ["_key", "_j"])
-    done = rows.withColumns(
-        {
-            "slot": F.floor(F.col("block") / F.col("_share")) * span + F.col("_at"),
-            "release": F.floor(F.col("block") * span / F.col("_share")),
-            "deadline": F.ceil((F.col("block") + 1) * span / F.col("_share")),
-        }
-    )
-    return done.select(*docs.columns, *[F.col(c).cast("long").alias(c) for c in new])
+    share = spark.createDataFrame([(s, targets[s] / total if total else 0.0, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], f"{key} string, {w} double, {buckets} long")
+    slots = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(plan)], f"{key} string, block long, slot long")
+    rows = docs.withColumns({key: _key(), h: F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))})
+    crowded = cut(rows.groupBy(key, h).count().where(F.col("count") > BUCKET_ROWS).select(key, h), "crowded")
+    if not crowded.isEmpty():
+        many = crowded.select(F.col(key).alias(k), F.col(h).alias(x))
+        marked = rows.join(bounded(many), (F.col(key) == F.col(k)) & (F.col(h) == F.col(x)), "left")
+        spot = F.when(F.col(k).isNotNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(11))).otherwise(F.col(h))
+        rows = cut(marked.withColumn(h, spot).select(*docs.columns, key, h), "dealt")
+    rows = rows.join(F.broadcast(share.select(key, buckets)), key).withColumn(bucket, F.pmod(F.col(h), F.col(buckets)))
+    counts = rows.groupBy(key, bucket).agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(counts.select(key, bucket, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias(before)), "buckets")
+    inside = Window.partitionBy(key, bucket).orderBy(h, "doc_id")
+    rows = rows.withColumn(rank, F.row_number().over(inside) - 1).join(bounded(counts), [key, bucket])
+    at = F.col(before) + F.col(rank)
+    rows = rows.withColumns({"block": F.floor(at / per), "place": at % per}).join(F.broadcast(slots), [key, "block"]).join(F.broadcast(share.select(key, w)), key)
+    j = F.col("block")
+    window = {"release": F.floor(j / F.col(w) + 1e-9), "deadline": F.ceil((j + 1) / F.col(w) - 1e-9)}
+    rows = rows.withColumns({c: F.when(F.col(w) > 0, at) for c, at in window.items()})
+    return rows.select(*docs.columns, *[F.col(c).cast("long").alias(c) for c in _NEW])

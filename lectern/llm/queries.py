@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
-from lectern.llm.state import cut, fresh_path
+from lectern.llm.state import bounded, cut, fresh_path
 from lectern.sources.corpus import spread
 
 
@@ -52,22 +54,67 @@ def chat_records(conversations: DataFrame) -> DataFrame:
     return rows.unionByName(extra)
 
 
+#: Conversations of more bytes than this don't become one row; their digests are taken over a stream of rows.
+CONVERSATION_BYTES = 64 << 20
+
+
+def streamed_digests(rows: DataFrame) -> DataFrame:
+    """``conv_id, turns_sha256, loss_sha256`` of conversations of any size: rows in order, digests carried along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, started, lines, loss = None, False, hashlib.sha256(), hashlib.sha256()
+
+        def result() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([lines.hexdigest()]), pa.array([loss.hexdigest()])], ["conv_id", "turns_sha256", "loss_sha256"])
+
+        for batch in batches:
+            for own, role, text, under in zip(*[batch.column(c) for c in ("conv_id", "role", "text", "loss")], strict=True):
+                if not started or own.as_py() != conv:
+                    if started:
+                        yield result()
+                    conv, started, lines, loss = own.as_py(), True, hashlib.sha256(), hashlib.sha256()
+                lines.update(f"{role.as_py()}\n{text.as_py()}\n".encode())
+                loss.update(under.as_py().encode())
+        if started:
+            yield result()
+
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "i", "role", "text")
+    return ordered.select("conv_id", "role", "text", "loss").mapInArrow(run, "conv_id long, turns_sha256 string, loss_sha256 string")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as chats, read back from the formatted text. Rows of a conversation by turn (null first), then role and text."""
-    turns = chat.canonical_turns(chat_records(table(spark, sf_dir, "conversations")))
-    rows = turns.select("conv_id", "turn", F.posexplode("turns").alias("i", "t"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "i", "t.role", "t.text"))).alias("r"))
-    chats = chats.select("conv_id", F.transform("r", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
-    done = chat.format_chat(chats).select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("back"), chat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss"))
-    done = done.withColumns({"lines": F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "under": F.array_join("loss", "")})
-    return done.select(
-        "conv_id",
-        F.size("back").cast("long").alias("n_turns"),
-        F.sha2(F.col("lines").cast("binary"), 256).alias("turns_sha256"),
-        F.length("under").cast("long").alias("loss_chars"),
-        F.sha2(F.col("under").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    """All conversations as chats, read back from the formatted turns. Rows of a conversation by turn (null first), then role and text.
+
+    A turn is formatted, and read back, in a row of its own. Only the digests need a conversation's text in order.
+    """
+    return chat_digests(table(spark, sf_dir, "conversations"))
+
+
+def chat_digests(conversations: DataFrame, limit: int = CONVERSATION_BYTES) -> DataFrame:
+    known = chat.canonical_turns(chat_records(conversations))
+    # a record without turns would be a turn lost
+    turns = F.when(F.col("turns").isNull(), F.raise_error(F.concat(F.lit("no layout for a record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast(chat.TURNS)).otherwise(F.col("turns"))
+    rows = known.select("conv_id", "turn", F.posexplode(turns).alias("i", "t"))
+    done = chat.format_turns(rows.select("conv_id", "turn", "i", "t.role", "t.text")).select("conv_id", "turn", "i", "piece", "loss_start", "loss_end")
+    back = done.select("conv_id", "turn", "i", F.length("piece").alias("n"), chat.read_turn(F.col("piece")).alias("t"), chat.loss_text(F.col("piece"), F.col("loss_start"), F.col("loss_end")).alias("loss"))
+    back = back.select("conv_id", "turn", "i", "n", "t.role", "t.text", "loss")
+    sums = [F.count("*").alias("n_turns"), F.coalesce(F.sum(F.length("loss")), F.lit(0)).cast("long").alias("loss_chars"), F.sum("n").cast("long").alias("formatted_chars")]
+
+    def in_rows(rows: DataFrame) -> DataFrame:
+        chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "i", "role", "text", "loss"))).alias("r"), *sums)
+        lines = F.array_join(F.transform("r", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+        under = F.array_join(F.transform("r", lambda t: t["loss"]), "")
+        return chats.select("conv_id", "n_turns", F.sha2(lines.cast("binary"), 256).alias("turns_sha256"), "loss_chars", F.sha2(under.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0)) + 64
+    long = cut(conversations.groupBy(F.col("conv_id").cast("long").alias("long")).agg(F.sum(size.cast("long")).alias("bytes")).where(F.col("bytes") > limit).select("long"), "long-conversations")
+    if long.isEmpty():
+        return in_rows(back)
+    same = F.col("conv_id").eqNullSafe(F.col("long"))
+    few, rest = back.join(bounded(long), same, "left_semi"), back.join(bounded(long), same, "left_anti")
+    totals = few.groupBy("conv_id").agg(*sums).withColumnRenamed("conv_id", "long")
+    streamed = streamed_digests(few).join(totals, same).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return in_rows(rest).unionByName(streamed)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,10 +20,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.state import cut
+from lectern.llm.state import cut, free_names
 
 #: Bounds of the training sample (labelled rows with the smallest hash of their id) and of the fitted vocabulary.
 TRAIN_ROWS = 8000
@@ -35,17 +35,32 @@ GRADES = 3
 BEGINNINGS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters of a text that are taken apart at a time, so that a very long one needs little memory beside itself.
+PIECE = 1 << 16
+
+
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """The lower-cased words of a text, in lists of bounded size."""
+    at, end = 0, len(text or "")
+    while at < end:
+        stop = min(end, at + PIECE)
+        # no word is cut in two
+        while stop < end and _WORD.match(text, stop - 1, stop) and _WORD.match(text, stop, stop + 1):
+            stop += 1
+        yield _WORD.findall(text[at:stop].lower())
+        at = stop
 
 
 def features_of(text: str | None) -> Counter:
     """Counts of words, and of word beginnings (written with a trailing ``*``)."""
-    out: Counter = Counter()
-    if text:
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            out[word] += n
-            for k in BEGINNINGS:
-                if len(word) > k:
-                    out[word[:k] + "*"] += n
+    words: Counter = Counter()
+    for part in words_of(text):
+        words.update(part)
+    out: Counter = Counter(words)
+    for word, n in words.items():
+        for k in BEGINNINGS:
+            if len(word) > k:
+                out[word[:k] + "*"] += n
     return out
 
 
@@ -100,10 +115,14 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
-    """``text, toxic`` of at most ``bound`` labelled ids (several labels of one id: the largest; null labels: none)."""
+    """``doc_id, text, toxic`` of at most ``bound`` rows, one for each labelled id.
+
+    Several labels of one id: the largest; several texts: the first in order; null labels and texts: none.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    return some.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> OrdinalModel:
@@ -150,13 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> OrdinalM
     return OrdinalModel({f: float(w[i]) for f, i in vocabulary.items()}, [float(x) for x in t])
 
 
-def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``expected_severity`` (sum of P(grade >= j)), ``grade`` (the most probable) and ``toxic`` (P(grade >= 1) >= 0.5).
-
-    Null and empty texts and texts without a known feature get severity 0, grade 0, not toxic; so do all rows under
-    an empty model. Columns of these names are replaced, others pass unchanged; rows are independent.
-    """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def grader(spark: SparkSession, model: OrdinalModel):
+    """The model as an Arrow function of a text column: ``expected_severity``, ``grade``, ``toxic``."""
+    known = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<expected_severity:double,grade:int,toxic:boolean>")
     def grade(texts: pa.Array) -> pa.Array:
@@ -166,23 +181,40 @@ def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFr
         out = []
         for t in texts:
             counts: Counter = Counter()
-            for word in _WORD.findall((t.as_py() or "").lower()) if own.thresholds else ():
-                hit = memo.get(word)
-                if hit is None:
-                    hit = tuple(f for f in (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)) if f in own.weights)
-                    if len(memo) < 500_000:
-                        memo[word] = hit
-                for f in hit:
-                    counts[f] += 1
+            for part in words_of(t.as_py()) if own.thresholds else ():
+                for word in part:
+                    hit = memo.get(word)
+                    if hit is None:
+                        hit = tuple(f for f in (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)) if f in own.weights)
+                        if len(memo) < 500_000:
+                            memo[word] = hit
+                    for f in hit:
+                        counts[f] += 1
             above = own.above(own.margin(counts)) if counts else []
             probs = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
             out.append({"expected_severity": float(sum(above)), "grade": probs.index(max(probs)), "toxic": bool(above and above[0] >= 0.5)})
         return pa.array(out, pa.struct([("expected_severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())]))
 
-    graded = docs.withColumn("_severity", grade(F.col(text)))
-    return graded.withColumns({c: F.col("_severity")[c] for c in ("expected_severity", "grade", "toxic")}).drop("_severity")
+    return grade
+
+
+def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """``docs`` with ``expected_severity`` (sum of P(grade >= j)), ``grade`` (the most probable) and ``toxic`` (P(grade >= 1) >= 0.5).
+
+    Null and empty texts and texts without a known feature get severity 0, grade 0, not toxic; so do all rows under
+    an empty model. Columns of these names are replaced, others pass unchanged whatever their names; rows are
+    independent, repeated ones get equal values, an empty table stays empty. Very long texts are taken apart in pieces.
+    """
+    grade = grader(docs.sparkSession, model)
+    (graded,) = free_names(docs, "graded")
+    new = ("expected_severity", "grade", "toxic")
+    rows = docs.withColumn(graded, grade(F.col(text)))
+    return rows.select(*[c for c in docs.columns if c.lower() not in new], *[F.col(graded)[c].alias(c) for c in new])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the fitted model calls toxic; columns unchanged."""
-    return severity(docs, fit(docs, labels)).where(~F.col("toxic")).select(docs.columns)
+    (verdict,) = free_names(docs, "verdict")
+    model = fit(docs, labels)
+    judged = docs.withColumn(verdict, grader(docs.sparkSession, model)(F.col("text")))
+    return judged.where(~F.col(verdict)["toxic"]).select(docs.columns)

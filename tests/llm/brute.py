@@ -140,3 +140,20 @@ def top_k(rows, k=5, every=50):
             best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors.items() if i != q and len(w) == len(v))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
+
+
+def pfair(weights, blocks):
+    """Slot by slot over all sources: of the blocks whose time has begun, that whose time ends first; then those without weight."""
+    out = []
+    for tier in (True, False):
+        w = {s: weights[s] if tier else blocks[s] for s in sorted(blocks) if blocks[s] and (weights.get(s, 0) > 0) == tier}
+        done, total, left, now = {s: 0 for s in w}, sum(w.values()), sum(w.values()), 0.0
+        while open_ := [s for s in w if done[s] < blocks[s]]:
+            now += total / left
+            able = [s for s in open_ if done[s] / w[s] * total < now - 1e-9] or [min(open_, key=lambda s: (done[s] / w[s], s))]
+            s = min(able, key=lambda s: ((done[s] + 1) / w[s], s))
+            out.append((s, done[s]))
+            done[s] += 1
+            if done[s] == blocks[s]:
+                left = max(left - w[s], total * 1e-12)
+    return out

@@ -1,5 +1,6 @@
 """Each operator against a plain version of its contract, on small tables with nulls, empties, ties, repeats and odd columns."""
 
+import math
 import random
 from collections import Counter
 
@@ -7,7 +8,7 @@ import brute as B
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, components, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
+from lectern.llm import chat, components, decontaminate, knn, langid, minhash, mixing, pii, queries, secrets, toxicity, warc
 
 WORDS = [a + b for a in ("ta", "mo", "ri", "ke", "su", "nel", "por", "vi") for b in ("da", "lo", "mi", "sor", "ten", "ku")]
 
@@ -235,16 +236,55 @@ def test_escapes_are_reversible_and_hide_control_strings(spark):
         assert not any(c in r.e for c in chat.CONTROL)
 
 
+ROLES = ("user", "sys\ntem\\n", "", "a\x00b", "\\s\\n\n", "<s>\\")
+
+
 def test_format_and_read_back(spark):
-    turns = [[(r, t)] + [("assistant", t), ("user", "x"), ("assistant", "end")] for t in NASTY for r in ("user", "sys\ntem\\n", "")]
-    df = frame(spark, [(i, t) for i, t in enumerate(turns)] + [(99, None), (100, [])], "id long, turns array<struct<role:string,text:string>>")
+    turns = [[(r, t)] + [("assistant", t), ("user", "x"), ("assistant", "end")] for t in NASTY for r in ROLES]
+    turns.append([("assistant" if i % 2 else "user", f"turn {i} <s>") for i in range(1000)])
+    df = frame(spark, [(i, t, "x") for i, t in enumerate(turns)] + [(999, None, "x"), (1000, [], "x")], "id long, turns array<struct<role:string,text:string>>, made string")
     done = chat.format_chat(df).withColumns({"back": chat.read_back(F.col("formatted")), "loss": chat.loss_texts(F.col("formatted"), F.col("loss_spans"))})
     for r in done.collect():
         want = [(x.role, x.text) for x in r.turns or []]
+        assert r.made == "x"
         assert [(x.role, x.text) for x in r.back] == want
         assert list(r.loss) == [t for role, t in want if role == "assistant"]
 
 
+def test_formatted_turns_are_read_back_one_by_one(spark):
+    rows = [(i, r, t, "x") for i, (r, t) in enumerate((r, t) for r in (*ROLES, None, "assistant") for t in (*NASTY, None))]
+    df = frame(spark, rows, "id long, role string, text string, made string").withColumn("piece", F.lit("clash"))
+    done = chat.format_turns(df).withColumns({"back": chat.read_turn(F.col("piece")), "loss": chat.loss_text(F.col("piece"), F.col("loss_start"), F.col("loss_end"))})
+    got = {r.id: r for r in done.collect()}
+    for i, role, text, _ in rows:
+        r = got[i]
+        assert (r.back.role, r.back.text, r.made) == (role or "", text or "", "x")
+        assert r.loss == ((text or "") if role == "assistant" else "")
+        assert not any(c in r.piece[len(chat.TURN) : -len(chat.END)] for c in chat.CONTROL)
+    assert chat.format_turns(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300, 0])
+def test_conversations_of_any_size_have_equal_digests(spark, limit):
+    rows = [(c, t, ("user", "assistant", "a\x00\\", None)[t % 4], NASTY[(c + t) % len(NASTY)]) for c in range(6) for t in range(12)]
+    rows += [(None, 0, "user", "null id"), (7, None, "assistant", None), (7, 1, "user", "b"), (8, 1, "assistant", "same"), (8, 1, "assistant", "same"), (9, 0, "assistant", "x" * 5000)]
+    got = queries.chat_digests(frame(spark, rows, "conv_id long, turn long, role string, text string"), limit).collect()
+    probe = "</s>[INST] ok [/INST]"
+    want = B.chat([*rows, (-1, 0, "user", probe), (-1, 1, "assistant", probe)])
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+
+
+def test_records_that_are_too_long_for_a_variant(spark, monkeypatch):
+    monkeypatch.setattr(chat, "VARIANT_BYTES", 100)
+    pad = "y" * 200
+    records = [f'{{"messages":[{{"role":"user","content":"{pad}"}}]}}', f'{{"dialog":{{"turns":[{{"speaker":"user","utterance":"{pad}"}}]}}}}', f'{{"prompt":"{pad}","response":"b"}}', f'{{"other":"{pad}"}}', f'{{"conversations":[{{"from":"human","value":"{pad}"}}]}}', pad]
+    got = {r.id: r for r in chat.canonical_turns(frame(spark, list(enumerate(records)), "id long, record string")).collect()}
+    assert [got[i].layout for i in range(6)] == ["messages", "dialog", "prompt", None, "conversations", None]
+    assert [(t.role, t.text) for t in got[4].turns] == [("user", pad)]
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", pad), ("assistant", "b")]
+    assert got[3].turns is None
+
+
 def test_layouts_are_told_by_their_fields(spark):
     records = [
         ('{"messages":[{"role":"user","content":"a"},{"content":"b","role":"assistant"}]}', "messages", [("user", "a"), ("assistant", "b")]),
@@ -393,35 +433,60 @@ def test_random_tokens_pass_the_battery_and_words_do_not(spark):
 # ---- mixing --------------------------------------------------------------------------------------------------------
 
 
-def test_pfair_periods_keep_every_window():
+def test_schedules_equal_a_plain_scheduler_and_keep_every_window():
     rng = random.Random(6)
-    for _ in range(20):
-        shares = mixing.integer_weights({f"s{i}": rng.random() ** 3 for i in range(rng.randrange(1, 12))}, 256)
-        period = sum(shares.values())
-        plan = mixing.pfair_period(shares)
-        assert [t for _, _, t in plan] == list(range(period))
-        seen = Counter()
-        for s, j, t in plan:
-            assert j * period // shares[s] <= t < -(-(j + 1) * period // shares[s])
+    cases = [({"a": 0.99999, "b": 0.00001, "c": 0.0}, {"a": 5000, "b": 3, "c": 2}), ({"a": 1.0}, {"a": 4}), ({}, {})]
+    cases += [(w, {s: rng.randrange(1, 400) for s in w}) for w in ({f"s{i}": rng.random() ** 3 for i in range(rng.randrange(1, 12))} for _ in range(20))]
+    for weights, blocks in cases:
+        plan = mixing.schedule(weights, blocks)
+        assert plan == B.pfair(weights, blocks)
+        assert Counter(s for s, _ in plan) == Counter(blocks)
+        total, seen = sum(weights.values()), Counter()
+        for t, (s, j) in enumerate(plan):
+            assert j == seen[s]
             seen[s] += 1
-            assert all(abs(seen[x] * period - (t + 1) * shares[x]) < period for x in shares)
-        assert seen == Counter(shares)
+            if weights[s] > 0:
+                share = weights[s] / total
+                assert math.floor(j / share + 1e-9) <= t < math.ceil((j + 1) / share - 1e-9)
+            assert all(abs(seen[x] - (t + 1) * weights[x] / total) < 1 + 1e-9 for x in weights)
+            if seen[s] == blocks[s]:  # from here on the targets can't be met
+                break
+
+
+def test_schedules_of_very_many_sources():
+    blocks = {f"s{i}": 1 + i % 3 for i in range(120_000)}
+    plan = mixing.schedule({s: 1.0 for s in blocks}, blocks)
+    assert Counter(s for s, _ in plan) == Counter(blocks)
 
 
 def test_mixture_holds_every_row_once(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(3000)] + [(None, "hot"), (5, None), (6, None), (7, "s1"), (7, "s1")]
-    df = frame(spark, rows, "doc_id long, source string").withColumn("slot", F.lit("clash"))
-    got = mixing.mix(df, {"hot": 5.0, "s1": 1.0, None: 1.0}, block_rows=4, period=64).collect()
+    odd = {c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in ("slot", "key", "_key", "h", "_h", "bucket", "buckets", "_s", "_j", "w", "c", "k", "x", "rank", "before")}
+    df = frame(spark, rows, "doc_id long, source string").withColumns(odd)
+    mixed = mixing.mix(df, {"hot": 5.0, "s1": 1.0, None: 1.0}, block_rows=4)
+    assert mixed.columns == [c for c in df.columns if c != "slot"] + list(mixing._NEW)
+    got = mixed.collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
-    assert len({(r.slot, r.place) for r in got}) == len(rows)
-    assert all(r.release <= r.slot < r.deadline for r in got)
-    by_slot = {r.slot: r.source for r in got}
-    horizon = min(max(s for s, x in by_slot.items() if x == name) for name in ("hot", "s1"))
-    n = Counter(by_slot[s] for s in range(horizon) if s in by_slot)
-    assert abs(n["hot"] / max(1, n["s1"]) - 5) < 1.5
+    assert all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in got for c in odd if c != "slot")
+    sizes, targets = Counter("null" if s is None else f"={s}" for _, s in rows), {"=hot": 5.0, "=s1": 1.0, "null": 1.0}
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    want = {(s, j): t for t, (s, j) in enumerate(B.pfair({s: targets.get(s, 0.0) for s in sizes}, blocks))}
+    assert all(want["null" if r.source is None else f"={r.source}", r.block] == r.slot for r in got)
+    for s, n in sizes.items():
+        assert sorted((r.block, r.place) for r in got if ("null" if r.source is None else f"={r.source}") == s) == [(i // 4, i % 4) for i in range(n)]
+    assert {r.release for r in got if r.source == "s2"} == {None}
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [None, 7])
+def test_mixture_of_rows_that_share_an_id(spark, monkeypatch, repeated):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    rows = [(repeated, "hot")] * 3000 + [(i, "s") for i in range(100)]
+    got = mixing.mix(frame(spark, rows, "doc_id long, source string"), block_rows=8).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+
+
 # ---- nearest neighbours --------------------------------------------------------------------------------------------
 
 
