@@ -157,3 +157,26 @@ def pfair(weights, blocks):
             if done[s] == blocks[s]:
                 left = max(left - w[s], total * 1e-12)
     return out
+
+
+def byte_grams(text):
+    out = []
+    data = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in f" {text.lower()}  ".encode())
+    for i in range(len(data) - 3):
+        if data[i : i + 4].strip():
+            out.append(data[i : i + 4])
+    return out
+
+
+def languages(rows, texts):
+    """doc, text, lang rows and doc, text rows -> doc: (languages, share): those that hold the most of its n-grams."""
+    sets = defaultdict(set)
+    for _, t, lang in rows:
+        sets[lang].update(byte_grams(t))
+    out = {}
+    for d, t in texts:
+        grams = byte_grams(t)
+        claims = {lang: sum(g in s for g in grams) for lang, s in sets.items()}
+        top = max(claims.values())
+        out[d] = {lang for lang, n in claims.items() if n == top}, top / max(1, sum(claims.values()))
+    return out

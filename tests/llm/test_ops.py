@@ -548,6 +548,34 @@ def test_rare_languages_keep_their_grams(spark):
     assert got[100] == "noise"
 
 
+@pytest.mark.parametrize("n_languages", [3, 70])
+def test_languages_equal_plain_sets(spark, n_languages):
+    """Without false positives the filters are sets: the predictions are those of counting members."""
+    rng = random.Random(14)
+    letters = "abcdefgh é"
+    rows = [(i, "".join(rng.choices(letters, k=rng.choice((3, 40, 900)))), f"l{i % n_languages:02}") for i in range(4 * n_languages)]
+    test = [(i, "".join(rng.choices(letters, k=rng.choice((5, 30, 300)))) + " x") for i in range(60)] + [(60, rows[5][1]), (61, rows[6][1])]
+    model = langid.fit(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert model.false_rate.max() < 1e-4
+    got = {r.doc_id: (r.lang_pred, round(r.score, 2)) for r in langid.predict(frame(spark, test), model).collect()}
+    for i, (best, score) in B.languages(rows, test).items():
+        assert got[i][0] in best
+        assert abs(got[i][1] - score) < 0.02
+
+
+def test_very_long_texts_are_taken_apart_at_blanks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "PIECE", 10)
+    parts, owner = langid.pieces(pa.array(["short", None, "abcdefghijk lmnop qrstuvwxyzab cd", "x" * 30]))
+    assert parts.to_pylist() == ["short", "", "abcdefghijk", " lmnop qrstuvwxyzab", " cd", "x" * 30, ""]
+    assert owner.tolist() == [0, 1, 2, 2, 2, 3, 3]
+
+
+def test_null_ids_are_learned_from_and_not_held_out(spark):
+    assert [r.h for r in frame(spark, [(None, "a"), (4, "b")]).select(langid.held_out().alias("h")).collect()][0] is False
+
+
 def test_language_without_training_rows(spark):
     model = langid.fit(frame(spark, [(1, None, "aa")], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "abc"), (2, None)]), model).collect()] == ["und", "und"]
