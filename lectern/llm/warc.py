@@ -1,20 +1,23 @@
 """WARC archives as chunked record tables.
 
-Writing turns each payload into rows of record identifier and chunk number. A row is a WARC record by itself: the
-first chunk is a ``response``, further ones are ``continuation`` records with segment numbers, each with the digest
-of the payload so far. Spark's text writer commits them; its line separator is the blank line that ends a record, and
-no row holds more than ``CHUNK`` characters. Payloads that were written before are ``revisit`` records without a body.
-
-Reading takes an archive apart as a stream and gives chunk rows back. Digests of records of
-several chunks are taken in chunk order over a stream of rows; no record is ever put together in memory.
+Writing turns each payload into rows of record identifier and chunk number, cut by Spark from the payload's bytes. A
+row is a WARC record by itself: the first chunk is a ``response``, further ones are ``continuation`` records with
+segment numbers, each with the digest of the payload so far, which is carried along while the chunks of a record
+stream past. Spark's text writer commits the records; its line separator is the blank line that ends a record.
+Payloads that were written before are ``revisit`` records without a body.
+
+Reading is Spark's text reader with the same separator: what stands between blank lines comes as rows, in order, and
+a parser puts records together from them, one chunk at a time. Digests of records of several chunks are taken in
+chunk order over a stream of rows; no task holds a whole payload or archive. (In the table of pages a payload is one
+value, so Spark's row has it once.)
+
+Files are gzip, one stream for each file: Spark doesn't split them, so rows come from the first record on.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import uuid
 from collections.abc import Iterator
 
@@ -27,10 +30,13 @@ from lectern.llm.state import cut
 CHUNK = 1 << 16
 RECORDS_PER_FILE = 4096
 DATE = "1970-01-01T00:00:00Z"
-_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_END = "\r\n\r\n"
+_HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_END = b"\r\n\r\n"
+#: Elements of an array that numbers the copies of a page; more copies take several arrays.
+_RUN = 1 << 16
 
 CHUNKS = "record_id string, chunk_no int, record_type string, page_id long, refers_to long, payload_digest string, payload_bytes long, running_digest string, last boolean, chunk binary"
+_CHUNKS = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("running_digest", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary())])
 
 
 def base32_of_hex(hex_digest: Column) -> Column:
@@ -43,70 +49,73 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _record_id(page_id: int | None, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{copy}')}>"
+def _record_id(page_id: int | None, sha: str, copy: int) -> str:
+    """Rows that share a page id, or have none, differ in payload or copy number."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha}:{copy}')}>"
 
 
-def _record(headers: list[tuple[str, object]], body: str) -> str:
+def _record(headers: list[tuple[str, object]], body: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None)
-    return f"WARC/1.1\r\n{lines}Content-Length: {len(body.encode())}\r\n\r\n{body}"
+    return f"WARC/1.1\r\n{lines}Content-Length: {len(body)}\r\n\r\n".encode() + body
 
 
 def _clean(url: str | None) -> str | None:
     return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def chunk_records(page_id: int | None, copy: int, url: str | None, payload: str, size: int = CHUNK) -> Iterator[str]:
-    """The WARC records of one response, chunk by chunk, each with the SHA-1 of the payload up to its end."""
-    rid, so_far, total = _record_id(page_id, copy), hashlib.sha1(), 0
-    n = max(1, -(-len(payload) // size))
-    for i in range(n):
-        piece = payload[i * size : (i + 1) * size]
-        raw = piece.encode()
-        so_far.update(raw)
-        total += len(raw)
-        last = i == n - 1
-        headers = [
-            ("WARC-Type", "response" if i == 0 else "continuation"),
-            ("WARC-Record-ID", rid if i == 0 else _record_id(page_id, copy).replace(">", f":{i + 1}>")),
-            ("WARC-Date", DATE),
-            ("WARC-Target-URI", _clean(url)),
-            ("Content-Type", "application/http;msgtype=response" if i == 0 else None),
-            ("WARC-Segment-Number", i + 1 if n > 1 else None),
-            ("WARC-Segment-Origin-ID", rid if i else None),
-            ("WARC-Segment-Total-Length", total + len(_HTTP) if last and n > 1 else None),
-            ("WARC-Payload-Digest", f"sha1:{_base32(so_far.digest())}" if last else None),
-            ("X-Running-Digest", f"sha1:{_base32(so_far.digest())}"),
-            ("X-Page-ID", page_id),
-        ]
-        yield _record(headers, (_HTTP if i == 0 else "") + piece)
-
-
-def revisit_record(page_id: int | None, copy: int, url: str | None, digest: str, length: int, refers_to: int | None) -> str:
+def chunk_record(page_id: int | None, sha: str, copy: int, url: str | None, number: int, chunks: int, total: int, so_far: str, piece: bytes) -> bytes:
+    """The WARC record of one chunk (of ``chunks``, numbered from 1); ``so_far`` is the digest of the payload up to its end, ``total`` its length."""
+    rid, last = _record_id(page_id, sha, copy), number == chunks
+    headers = [
+        ("WARC-Type", "response" if number == 1 else "continuation"),
+        ("WARC-Record-ID", rid if number == 1 else rid.replace(">", f":{number}>")),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", _clean(url)),
+        ("Content-Type", "application/http;msgtype=response" if number == 1 else None),
+        ("WARC-Segment-Number", number if chunks > 1 else None),
+        ("WARC-Segment-Origin-ID", rid if number > 1 else None),
+        ("WARC-Segment-Total-Length", total + len(_HTTP) if last and chunks > 1 else None),
+        ("WARC-Payload-Digest", f"sha1:{so_far}" if last else None),
+        ("X-Running-Digest", f"sha1:{so_far}"),
+        ("X-Page-ID", page_id),
+    ]
+    return _record(headers, (_HTTP if number == 1 else b"") + piece)
+
+
+def revisit_record(page_id: int | None, sha: str, copy: int, url: str | None, digest: str, length: int, refers_to: int | None) -> bytes:
     headers = [
         ("WARC-Type", "revisit"),
-        ("WARC-Record-ID", _record_id(page_id, copy)),
+        ("WARC-Record-ID", _record_id(page_id, sha, copy)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _clean(url)),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("WARC-Refers-To", _record_id(refers_to, 0)),
+        ("WARC-Refers-To", _record_id(refers_to, sha, 0)),
         ("X-Payload-Length", length),
         ("X-Refers-To-Page", refers_to),
         ("X-Page-ID", page_id),
     ]
-    return _record(headers, "")
+    return _record(headers, b"")
+
+
+def _numbered(rows: DataFrame, count: Column, name: str) -> DataFrame:
+    """Each row ``count`` times, numbered from 0, without an array of that length."""
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / _RUN))))
+    inside = F.sequence(F.col("_run") * _RUN, F.least(count, (F.col("_run") + 1) * _RUN) - 1)
+    return runs.withColumn(name, F.explode(inside)).drop("_run")
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int = CHUNK, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int = CHUNK) -> None:
     """Write a WARC record for each row of ``pages(page_id, url, html)`` under ``path``.
 
     Of rows with equal payloads of at least ``min_revisit`` bytes, that with the smallest ``page_id`` (null after all
     others) is a response and the others revisit it; smaller payloads are all responses. A null payload is empty.
-    Rows that repeat page and payload are records of their own; the first of them is the response.
+    Rows that repeat page and payload are records of their own; the first of them is the response. Rows that share a
+    page id have records of their own. An empty table gives an empty folder; other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "bytes": F.octet_length("html").cast("long")})
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    keyed = rows.withColumns({"sha": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
     # narrow: one row for each page and payload
     each = cut(keyed.groupBy("sha", "bytes", "page_id").agg(F.count("*").alias("copies"), F.min("url").alias("url")), "digests")
     first = each.groupBy("sha", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).getField("page_id").alias("original"))
@@ -114,87 +123,116 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int
     small = F.col("bytes") < min_revisit
     is_first = F.col("page_id").eqNullSafe(F.col("original"))
     # copy 0 of a page that is first is a response, and so are all copies of a small payload
-    revisits = each.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).where(~small & ~(is_first & (F.col("copy") == 0)))
+    revisits = _numbered(each.where(~small), F.col("copies"), "copy").where(~(is_first & (F.col("copy") == 0)))
     responses = each.where(small | is_first).select("sha", "page_id", F.when(small, F.col("copies")).otherwise(1).alias("wanted"))
-    full = keyed.select("sha", "page_id", "url", "html").withColumn("p", F.coalesce("page_id", F.lit(-1))).join(responses.withColumn("p", F.coalesce("page_id", F.lit(-1))).withColumnRenamed("page_id", "p2"), ["sha", "p"])
-    full = full.where(F.col("page_id").eqNullSafe(F.col("p2"))).select("sha", "page_id", "url", "html", "wanted")
+    full = keyed.withColumn("p", F.coalesce("page_id", F.lit(-1))).join(responses.withColumn("p", F.coalesce("page_id", F.lit(-1))).withColumnRenamed("page_id", "p2"), ["sha", "p"])
+    full = full.where(F.col("page_id").eqNullSafe(F.col("p2"))).select("sha", "page_id", "url", "bytes", "payload", "wanted")
     if not each.where("copies > 1").isEmpty():
-        full = full.groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.min("html").alias("html"), F.first("wanted").alias("wanted"))
+        full = full.groupBy("sha", "page_id").agg(F.min("url").alias("url"), F.first("bytes").alias("bytes"), F.min("payload").alias("payload"), F.first("wanted").alias("wanted"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk)).cast("int")
+    # the chunks of a record stay together and in order, as nothing moves rows between here and the writer
+    parts = _numbered(full, F.col("wanted"), "copy").withColumn("chunks", chunks).withColumn("number", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
+    parts = parts.select("page_id", "sha", "copy", "url", "number", "chunks", F.substring("payload", (F.col("number") - 1) * chunk + 1, F.lit(chunk)).alias("piece"))
 
     def respond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far, total = hashlib.sha1(), 0
         for batch in batches:
-            out: list[str] = []
-            for page_id, url, html, wanted in zip(*[batch.column(c) for c in ("page_id", "url", "html", "wanted")], strict=True):
-                for copy in range(wanted.as_py()):
-                    for record in chunk_records(page_id.as_py(), copy, url.as_py(), html.as_py(), chunk):
-                        out.append(record)
-                        if len(out) == 256:
-                            yield pa.RecordBatch.from_arrays([pa.array(out)], ["value"])
-                            out = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out: list[bytes] = []
+            for page_id, sha, copy, url, number, n, piece in zip(*[batch.column(c) for c in ("page_id", "sha", "copy", "url", "number", "chunks", "piece")], strict=True):
+                if number.as_py() == 1:
+                    so_far, total = hashlib.sha1(), 0
+                raw = piece.as_py()
+                so_far.update(raw)
+                total += len(raw)
+                out.append(chunk_record(page_id.as_py(), sha.as_py(), copy.as_py(), url.as_py(), number.as_py(), n.as_py(), total, _base32(so_far.digest()), raw))
+                if len(out) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    out = []
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     def revisit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("page_id", "copy", "url", "digest", "bytes", "original")]
-            yield pa.RecordBatch.from_arrays([pa.array([revisit_record(*r) for r in zip(*cols, strict=True)], pa.string())], ["value"])
-
-    records = full.select("page_id", "url", "html", "wanted").mapInArrow(respond, "value string")
-    again = revisits.select("page_id", "copy", "url", base32_of_hex(F.col("sha")).alias("digest"), "bytes", "original").mapInArrow(revisit, "value string")
-    records.unionByName(again).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
-
-
-def _open(content: bytes) -> io.BufferedReader:
-    """An archive's bytes as a stream; gzip is taken apart piece by piece."""
-    raw = io.BytesIO(content)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, 1 << 16)
-
-
-def _parse(data: io.BufferedReader) -> Iterator[tuple]:
-    """Chunk rows of an archive; one body at a time is in memory."""
-    while first := data.readline():
-        if not first.startswith(b"WARC/1."):
-            raise ValueError(f"no WARC record begins with {first[:40]!r}")
-        h = dict(line.rstrip(b"\r\n").decode().split(": ", 1) for line in iter(data.readline, b"\r\n"))
-        length = int(h["Content-Length"])
-        body = data.read(length)
-        if len(body) < length or data.read(4) != b"\r\n\r\n":
-            raise ValueError(f"record {h['WARC-Record-ID']} is cut off")
-        kind = h["WARC-Type"]
+            cols = [batch.column(c).to_pylist() for c in ("page_id", "sha", "copy", "url", "digest", "bytes", "original")]
+            yield pa.RecordBatch.from_arrays([pa.array([revisit_record(*r) for r in zip(*cols, strict=True)], pa.binary())], ["value"])
+
+    records = parts.mapInArrow(respond, "value binary")
+    again = revisits.select("page_id", "sha", "copy", "url", base32_of_hex(F.col("sha")).alias("digest"), "bytes", "original").mapInArrow(revisit, "value binary")
+    # the text writer writes a string's bytes as they are
+    lines = records.unionByName(again).select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", _END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+
+
+class RecordParser:
+    """Takes the bytes of archives piece by piece, each up to a blank line, and gives a chunk row for each record that is complete."""
+
+    def __init__(self) -> None:
+        self.headers: dict[str, str] | None = None
+        self.body = bytearray()
+
+    def feed(self, data: bytes) -> Iterator[tuple]:
+        while data:
+            if self.headers is None:
+                data = data.lstrip(b"\r\n")
+                if not data:
+                    return
+                if not data.startswith(b"WARC/1."):
+                    raise ValueError(f"no WARC record begins with {data[:40]!r}")
+                head, _, data = data.partition(_END)
+                self.headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+            else:
+                self.body += data
+                data = b""
+            length = int(self.headers["Content-Length"])
+            if length and len(self.body) < length + len(_END):
+                continue
+            body, rest = bytes(self.body[:length]), bytes(self.body[length:])
+            if length and not rest.startswith(_END):
+                raise ValueError(f"record {self.headers['WARC-Record-ID']} is longer than it says")
+            yield self._row(self.headers, body)
+            self.headers, self.body = None, bytearray()
+            data = rest[len(_END) :] + data
+
+    def close(self) -> None:
+        if self.headers is not None:
+            raise ValueError(f"record {self.headers['WARC-Record-ID']} is cut off")
+
+    @staticmethod
+    def _row(h: dict[str, str], body: bytes) -> tuple:
         digest = h.get("WARC-Payload-Digest", "sha1:")[5:] or None
         page, refers = (int(h[k]) if k in h else None for k in ("X-Page-ID", "X-Refers-To-Page"))
-        if kind == "revisit":
-            yield h["WARC-Record-ID"], 1, kind, page, refers, digest, int(h["X-Payload-Length"]), digest, True, None
-            continue
-        if kind == "response":
-            body = memoryview(body)[body.index(b"\r\n\r\n") + 4 :]
-        number = int(h.get("WARC-Segment-Number", 1))
+        if h["WARC-Type"] == "revisit":
+            return h["WARC-Record-ID"], 1, "revisit", page, refers, digest, int(h["X-Payload-Length"]), digest, True, None
+        if h["WARC-Type"] == "response":
+            body = body[body.index(_END) + len(_END) :]
         origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
-        yield origin, number, "response", page, None, digest, len(body), h["X-Running-Digest"][5:], digest is not None, body
+        return origin, int(h.get("WARC-Segment-Number", 1)), "response", page, None, digest, len(body), h["X-Running-Digest"][5:], digest is not None, body
 
 
 def read_chunks(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The chunk rows of all archives under ``path``. Without ``payloads``, a record of one chunk comes with its digest checked and without its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("running_digest", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary())])
+        parser = RecordParser()
         for batch in batches:
-            for content in batch.column("content"):
-                out: list[tuple] = []
-                for row in _parse(_open(content.as_py())):
+            out: list[tuple] = []
+            for line in batch.column("value"):
+                for row in parser.feed(line.as_py() + _END):
                     body = row[-1]
                     if body is not None:
                         single = row[1] == 1 and row[8]
                         if single and _base32(hashlib.sha1(body).digest()) != row[5]:
                             raise ValueError(f"record {row[0]} doesn't have its digest")
-                        row = (*row[:-1], bytes(body) if payloads or not single else None)
+                        row = (*row[:-1], body if payloads or not single else None)
                     out.append(row)
                     if len(out) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
                         out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
+        parser.close()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CHUNKS)
+    lines = spark.read.option("lineSep", _END.decode()).text(path)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, CHUNKS)
 
 
 def digest_records(chunks: DataFrame) -> DataFrame:

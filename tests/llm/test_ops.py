@@ -128,11 +128,24 @@ def test_warc_chunks_put_together_are_the_payload(spark, tmp_path):
     assert {b"".join(v) for v in bodies.values()} == {(h or "").encode() for _, _, h in PAGES}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_warc_of_payloads_full_of_line_ends_and_repeated_ids(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    pages = [(rng.choice((None, 1, 2, i)), "u", "".join(rng.choices(["\r\n", "\r", "\n", "é", "a", "\r\n\r\n", "WARC/1.1\r\n"], k=rng.randrange(40)))) for i in range(150)]
+    pages += [(5, "u", "ü" * 40_000), (5, "u", "v" * 70_000), (None, "u", "w\r\n" * 40_000), (None, "u", "é\n" * 70_000)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(frame(spark, pages, "page_id long, url string, html string"), path, chunk=(3, 64, 1 << 16)[seed])
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(spark, path).collect())
+    assert got == Counter(B.warc([(p, h) for p, _, h in pages]))
+
+
 def test_warc_damage_is_noticed(spark, tmp_path):
+    import gzip
+
     path = tmp_path / "w"
-    warc.write_archives(frame(spark, PAGES, "page_id long, url string, html string"), f"file://{path}", chunk=50, compression="none")
-    part = next(p for p in path.glob("part-*") if b"zzzz" in p.read_bytes())
-    part.write_bytes(part.read_bytes().replace(b"zzzz", b"zzyz", 1))
+    warc.write_archives(frame(spark, PAGES, "page_id long, url string, html string"), f"file://{path}", chunk=50)
+    part = next(p for p in path.glob("part-*") if b"zzzz" in gzip.decompress(p.read_bytes()))
+    part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes()).replace(b"zzzz", b"zzyz", 1)))
     for crc in path.glob(".*.crc"):
         crc.unlink()
     with pytest.raises(Exception, match="digest|follow"):
