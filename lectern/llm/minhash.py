@@ -11,8 +11,11 @@ holds at most ``leaf`` sets; at the last step it stops in any case. Sets that me
    highest mean similarity to the pivots it has met. Variants of one text are often similar enough to that text only,
    and this finds it;
 3. in nodes that are still not of one component exhaustively: every member outside the node's largest component with
-   every other member, on full sets. Large nodes are cut into blocks of bounded size. In small ones, pairs whose
-   minwise values agree in so few places that a link is out of the question (five standard deviations) are left out.
+   every other member. Large nodes are cut into blocks that are bounded in rows and in shingles.
+
+Before full sets are moved, a pair has to pass a bound that no link fails: each set has a bitmap of at least four bits
+a shingle, each shingle setting one; a set has as many shingles outside the other as there are bits in its bitmap
+alone, at least. Pairs that share a passage only are told apart by that, at a sixteenth of the bytes.
 
 A pair is missed only if no tree brings it together: at most (1 - s**levels)**trees, 2.4e-7 for s = 0.85 and the
 defaults (1e-5 for s = 0.8).
@@ -35,29 +38,55 @@ from lectern.llm.state import bounded, cut
 TREES = 16
 LEVELS = 3
 LEAF = 8
+#: Members and shingles of a block, on the average.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 22
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of the shingle hashes: a power of two of them, at least four a shingle."""
+    size = max(64, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    bits = np.zeros(size, bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _words(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as rows of 64-bit words, folded to ``size`` bytes."""
+    rows = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    while rows.shape[1] * 8 > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
+def _linkable(n_a: np.ndarray, n_b: np.ndarray, only_a: np.ndarray, only_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the largest intersection that the counts of bits allow would be a link."""
+    both = np.minimum(n_a - only_a, n_b - only_b)
+    return 100 * both >= percent * (n_a + n_b - both)
 
 
 def signatures(docs: DataFrame, k: int, trees: int = TREES, levels: int = LEVELS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, d1, d2, sig``: set size, 128-bit digest and minwise values of whole texts."""
+    """``docs(doc_id, text)`` -> ``doc_id, n_shingles, d1, d2, sig, bits``: set size, 128-bit digest, minwise values and bitmap of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in H.row_groups(whole, "text"):
                 data, offsets = H.text_bytes(batch.column("text"))
                 hashes, begin = H.shingle_hashes(*H.word_hashes(data, offsets), k)
-                sizes, d1, d2 = [], [], []
+                sizes, d1, d2, bits = [], [], [], []
                 for own in H.distinct_sets(hashes, begin):
                     sizes.append(len(own))
+                    bits.append(bitmap(own))
                     d1.append(own.sum(dtype=np.uint64))
                     d2.append(H.mix(own + np.uint64(1)).sum(dtype=np.uint64))
                 sig = H.minwise(hashes, begin, trees * levels)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int32).ravel()), sig.shape[1]).cast(pa.list_(pa.int32()))],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(sig.view(np.int32).ravel()), sig.shape[1]).cast(pa.list_(pa.int32())), pa.array(bits, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "sig", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>, bits binary")
 
 
 def paths(classes: DataFrame, trees: int, levels: int) -> DataFrame:
@@ -111,6 +140,27 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return some.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that their sizes and ``bitmaps(id, n, bits)`` allow to be links: all links, and little else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            left, right = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
+            for la, lb in np.unique(sizes, axis=0):
+                rows = np.flatnonzero((sizes == (la, lb)).all(axis=1))
+                x, y = _words([left[i] for i in rows], min(la, lb)), _words([right[i] for i in rows], min(la, lb))
+                keep[rows] = _linkable(n_a[rows], n_b[rows], np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    sides = [bitmaps.select(*[F.col(c).alias(n) for c, n in (("id", x), ("n", f"n_{x}"), ("bits", f"bits_{x}"))]) for x in "ab"]
+    met = pairs.select("a", "b").distinct().join(sides[0].select("a", "n_a"), "a").join(sides[1].select("b", "n_b"), "b")
+    near = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    return near.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long").distinct()
+
+
 def measured(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """``pairs(a, b, ...)`` with ``both`` and ``either``, the sizes of intersection and union of the full shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -126,11 +176,11 @@ def _linked(percent: int):
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the tree nodes that hold several components: ``node, id, n, component, main`` (the largest) and ``size``."""
+    """Members of the tree nodes that hold several components: ``node, id, n, component, main`` (the largest), ``size`` and ``weight`` (all shingles)."""
     rows = members.select("node", F.col("rep").alias("id"), "n").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = cut(rows, "labelled")
-    parts = rows.groupBy("node", "component").agg(F.count("*").alias("c"))
-    info = parts.groupBy("node").agg(F.max(F.struct("c", "component")).getField("component").alias("main"), F.sum("c").alias("size"), F.count("*").alias("parts"))
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    info = parts.groupBy("node").agg(F.max(F.struct("c", "component")).getField("component").alias("main"), F.sum("c").alias("size"), F.sum("w").alias("weight"), F.count("*").alias("parts"))
     return rows.join(cut(info.where("parts > 1").drop("parts"), "open"), "node")
 
 
@@ -143,18 +193,34 @@ def _central_stars(rows: DataFrame, met: DataFrame) -> DataFrame:
     return stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def _open_pairs(rows: DataFrame, classes: DataFrame, percent: int, coordinates: int) -> DataFrame:
-    """Pairs of different components in small open nodes, where enough minwise values agree for a link."""
-    share = percent / 100
-    least = int(coordinates * share - 5 * (coordinates * share * (1 - share)) ** 0.5)
-    rows = rows.join(classes.select(F.col("rep").alias("id"), "sig").dropDuplicates(["id"]), "id")
-    p, q = (rows.select(F.col("node").alias(f"node_{x}"), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("sig").alias(f"s_{x}")) for x in "pq")
-    agree = F.size(F.filter(F.zip_with("s_p", "s_q", lambda x, y: x == y), lambda e: e))
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in small open nodes whose sizes allow a link."""
+    p, q = (rows.select(F.col("node").alias(f"node_{x}"), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "pq")
     able = (F.col("node_p") == F.col("node_q")) & (F.col("id_p") < F.col("id_q")) & (F.col("c_p") != F.col("c_q"))
-    able = able & (100 * F.least("n_p", "n_q") >= percent * F.greatest("n_p", "n_q")) & (agree >= least)
+    able = able & (100 * F.least("n_p", "n_q") >= percent * F.greatest("n_p", "n_q"))
     return p.join(q, able).select(F.col("id_p").alias("a"), F.col("id_q").alias("b")).distinct()
 
 
+def _block_chances(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Rows of a block that may have a link with a row on its other side and of another component, by their bitmaps."""
+    group = group.reset_index(drop=True)
+    size, n = group.bits.map(len).to_numpy(), group.n.to_numpy()
+    probe, component = group.probe.to_numpy(), group.component.to_numpy()
+    keep = np.zeros(len(group), bool)
+    for la in np.unique(size[probe]):
+        for lb in np.unique(size[~probe]):
+            if max(la, lb) > 4 * min(la, lb):  # sizes that no link has
+                continue
+            left, right = np.flatnonzero(probe & (size == la)), np.flatnonzero(~probe & (size == lb))
+            x, y = _words(list(group.bits[left]), min(la, lb)), _words(list(group.bits[right]), min(la, lb))
+            for i, own in zip(left, x, strict=True):
+                only_a, only_b = np.bitwise_count(own & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~own).sum(axis=1, dtype=np.int64)
+                met = right[_linkable(n[i], n[right], only_a, only_b, percent) & (component[right] != component[i])]
+                keep[met] = True
+                keep[i] |= len(met) > 0
+    return group.loc[keep, ["node", "id"]]
+
+
 def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between probes and members of one block, one for each two components: all intersections at once, as products of 0/1 matrices."""
     p, q = group[group.probe], group[~group.probe]
@@ -184,17 +250,28 @@ def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return out.drop_duplicates(["ci", "cj"])[["a", "b"]]
 
 
-def _dense_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links in large open nodes: each member outside the node's largest component against all others, in blocks, on full sets."""
-    rows = cut(rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "dense")
-    sets = shingle_sets(docs, cut(rows.select(F.col("id").alias("doc_id")).distinct(), "dense-ids"), k).withColumnRenamed("doc_id", "id")
+def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``node, x, y, probe, id, n, component``: each member outside the node's largest component (a probe) and all members, dealt so that every probe meets every member in one block."""
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    rows = cut(rows.withColumn("blocks", blocks), "dense")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    p = rows.where("component <> main").select("node", own.alias("x"), every.alias("y"), "id", "component", F.lit(True).alias("probe"))
+    p = rows.where("component <> main").select("node", own.alias("x"), every.alias("y"), "id", "n", "component", F.lit(True).alias("probe"))
     # only blocks that hold a probe need their members
     used = cut(p.select("node", "x").distinct(), "used")
-    q = rows.select("node", every.alias("x"), own.alias("y"), "id", "component", F.lit(False).alias("probe")).join(used, ["node", "x"], "left_semi")
-    full = p.unionByName(q.select("node", "x", "y", "id", "component", "probe")).join(sets, "id")
+    q = rows.select("node", every.alias("x"), own.alias("y"), "id", "n", "component", F.lit(False).alias("probe")).join(used, ["node", "x"], "left_semi")
+    return p.unionByName(q.select(p.columns))
+
+
+def _dense_links(rows: DataFrame, bitmaps: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links in large open nodes, in blocks: by bitmaps first, then those that may have a link on full sets."""
+    met = _blocks(rows, block).join(bitmaps.select("id", "bits"), "id")
+    able = cut(met.groupBy("node", "x", "y").applyInPandas(lambda group: _block_chances(group, percent), "node long, id long").distinct(), "able")
+    left = rows.join(able, ["node", "id"], "left_semi")
+    info = cut(left.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "able-sizes")
+    left = left.drop("size", "weight").join(info, "node")
+    sets = shingle_sets(docs, cut(left.select(F.col("id").alias("doc_id")).distinct(), "dense-ids"), k).withColumnRenamed("doc_id", "id")
+    full = _blocks(left, block).drop("n").join(sets, "id")
     return full.groupBy("node", "x", "y").applyInPandas(lambda group: _block_links(group, percent), "a long, b long").distinct()
 
 
@@ -209,8 +286,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     """
     sigs = cut(signatures(docs, k, trees, levels), "signatures")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    classes = cut(classes.select("d1", "d2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig")), "classes")
+    classes = full.groupBy("d1", "d2", F.col("n_shingles").alias("n")).agg(F.min(F.struct("doc_id", "sig", "bits")).alias("m"))
+    classes = cut(classes.select("d1", "d2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.bits").alias("bits")), "classes")
+    bitmaps = classes.select(F.col("rep").alias("id"), "n", "bits")
     members = tree_members(classes, trees, levels, leaf)
 
     # ids that stand for several sets, because a doc_id was given to several texts
@@ -223,19 +301,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
         return cut(connected_components(known.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
 
-    stars = cut(members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep").distinct(), "stars")
-    met = cut(measured(docs, stars, k), "met")
+    def tried(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that may be links, with the sizes of their intersections and unions."""
+        return cut(measured(docs, cut(possible(pairs, bitmaps, percent), f"{name}-possible"), k), name)
+
+    met = tried(members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), "stars")
     edges = met.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if shared is not None:
         edges = edges.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = cut(connected_components(edges), "labels")
-    hubs = cut(_central_stars(_open_members(members, labels), met), "hub-stars")
-    hubs = hubs.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    labels = joined(labels, cut(measured(docs, hubs, k).where(_linked(percent)), "hub-links"))
+    seen = met.select(F.col("a").alias("rep"), "both", "either").unionByName(met.select(F.col("b").alias("rep"), "both", "either"))
+    hubs = cut(_central_stars(_open_members(members, labels), seen), "hub-stars")
+    hubs = hubs.join(met.select("a", "b"), ["a", "b"], "left_anti")
+    labels = joined(labels, tried(hubs, "hub-links").where(_linked(percent)))
     rows = cut(_open_members(members, labels), "open-members")
-    rest = cut(_open_pairs(rows.where(F.col("size") <= leaf), classes, percent, trees * levels), "rest")
-    rest = measured(docs, rest, k).where(_linked(percent)).select("a", "b")
-    labels = joined(labels, cut(rest.unionByName(_dense_links(rows.where(F.col("size") > leaf), docs, k, percent)), "rest-links"))
+    rest = tried(_open_pairs(rows.where(F.col("size") <= leaf), percent), "rest").where(_linked(percent)).select("a", "b")
+    labels = joined(labels, cut(rest.unionByName(_dense_links(rows.where(F.col("size") > leaf), bitmaps, docs, k, percent)), "rest-links"))
     by_set = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     by_set = cut(by_set, "components")
     some = full.join(by_set, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
