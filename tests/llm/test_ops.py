@@ -443,6 +443,50 @@ def test_random_tokens_pass_the_battery_and_words_do_not(spark):
     assert sum(r.p < 1e-4 for r in rows if r.doc_id == 1) >= 190
 
 
+def test_false_discoveries_among_the_secrets(spark):
+    """Identifiers made of words are as many as the secrets; hardly any is reported, and nearly all long secrets are."""
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, secret = [], {}
+    for i in range(300):
+        name = "get" + "".join(w.capitalize() for w in prose(rng, 12).split())[: rng.choice((22, 40, 70))] + "7"
+        token = "".join(rng.choice(alphabet) for _ in range(40))
+        secret[i] = token
+        rows.append((i, f"{prose(rng, 400)} {name} {token} {prose(rng, 400)}"))
+    docs = frame(spark, rows)
+    right = wrong = 0
+    for r in secrets.find_secrets(docs).collect():
+        found = [rows[r.doc_id][1][s.start : s.end] for s in r.secrets if s.kind == "random"]
+        right += secret[r.doc_id] in found
+        wrong += sum(t != secret[r.doc_id] for t in found)
+    assert right >= 280
+    assert wrong <= 0.05 * right
+    # the limits are those of the rule worked out on all tokens and decoys
+    real = [tuple(r) for r in docs.select(F.explode(secrets.candidates(F.col("text"))).alias("c")).select("c.class", "c.bin").collect()]
+    false = [tuple(r) for r in docs.select(F.explode(secrets.decoys(F.col("text"))).alias("c")).select("c.class", "c.bin").collect()]
+    assert len(false) > 50
+    assert secrets.random_limits(docs) == B.secret_limits(real, false, secrets.FDR, secrets.FLOOR)
+
+
+def test_very_many_spans_take_linear_time(spark):
+    import time
+
+    text = "token=abcdefgh " * 20_000
+    df = frame(spark, [(1, text)])
+    began = time.time()
+    r = secrets.find_secrets(df).first()
+    assert [(s.start, s.end) for s in r.secrets] == [(15 * i, 15 * i + 14) for i in range(20_000)]
+    assert secrets.redact(df).first().text == "[SECRET] " * 20_000
+    assert time.time() - began < 120
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = frame(spark, [(1, "a password=hunter22 b")]).withColumns({c: F.lit("x") for c in ("secrets", "_secrets", "at", "out")})
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    assert tuple(got.first()) == (1, "a [SECRET] b", "x", "x", "x", "x")
+
+
 # ---- mixing --------------------------------------------------------------------------------------------------------
 
 
