@@ -16,8 +16,9 @@ def source_audit(documents: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def duplicate_files(files: DataFrame, digest: str = "sha256", name: str = "name") -> DataFrame:
-    """AGG8: digests that several files share, with their sorted names."""
-    return files.groupBy(digest).agg(F.sort_array(F.collect_list(name)).alias("names"), F.count("*").alias("n")).where("n > 1")
+    """AGG8: ``digest, name, n``: the files whose digest several files share, a row for each; ``n`` is their number. Null digests are left out."""
+    shared = files.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("n")).where("n > 1")
+    return files.select(digest, name).join(shared, digest)
 
 
 def corpus_coverage(chunks: DataFrame, topics: list[str]) -> DataFrame:

@@ -112,10 +112,10 @@ def chosen_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def renumber_citations(spark: SparkSession, d: str) -> DataFrame:
-    s = I.sources(spark, d).where("citation <= 3").select("answer_id", (4 - F.col("citation")).alias("source_order"), F.when(F.col("answer_id") % 4 == 0, F.lit(2)).otherwise(F.col("citation")).alias("citation"))
-    k = F.col("answer_id")
-    a = I.answers(spark, d).select("answer_id", F.when(k % 3 == 0, "a [1] b [3, 2]. [1]").when(k % 3 == 1, "a [9]").otherwise("no citation").alias("answer"))
-    return A.dense_renumber(a, s)
+    """The answers against their sources in reverse order; every fourth answer has an id twice."""
+    s = I.sources(spark, d).select("answer_id", (7 - F.col("citation")).alias("source_order"), F.when((F.col("answer_id") % 4 == 0) & (F.col("citation") == 6), F.lit(2)).otherwise(F.col("citation")).alias("citation"))
+    done = A.dense_renumber(I.answers(spark, d), s)
+    return done.select("answer_id", F.sha2("answer", 256).alias("answer"), "renumbered")
 
 
 def context_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +153,10 @@ _LINES = I.ANSWERS_SQL + ", ls AS (SELECT answer_id, string_split(answer, chr(10
 _PARSED = _LINES + """, ps AS (SELECT answer_id, n, line, bullet, CASE WHEN bullet THEN 'bullet' ELSE 'heading' END AS kind, CAST(sum(CASE WHEN bullet THEN 0 ELSE 1 END) OVER w AS BIGINT) AS section_no, CAST(sum(CASE WHEN bullet THEN 1 ELSE 0 END) OVER w AS BIGINT) AS bullet_no FROM ln WINDOW w AS (PARTITION BY answer_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
  pc AS (SELECT *, CASE WHEN section_no = 1 THEN 'SRC' || CAST(answer_id % 5 AS VARCHAR) END AS code, section_no > 1 AS comparison FROM ps)"""
 _CITED = "list_transform(flatten(list_transform(regexp_extract_all({t}, '\\[\\d+(?:\\s*,\\s*\\d+)*\\]'), lambda g: regexp_extract_all(g, '\\d+'))), lambda x: CAST(x AS INTEGER))"
+# Each citation of these answers stands in brackets of its own; n becomes 7 - n.
+_SWAPPED = "answer"
+for _n in range(1, 7):
+    _SWAPPED = f"replace({_SWAPPED}, '[{_n}]', '[#{7 - _n}]')"
 _CLAIMS = _PARSED + ", cl AS (SELECT answer_id, section_no, bullet_no, code, comparison, regexp_replace(line, '^\\s*[-*•]\\s+', '') AS claim FROM pc WHERE bullet), cc AS (SELECT *, " + _CITED.format(t="claim") + " AS cited FROM cl)"
 _ODD = I.ANSWERS_SQL + ", odd AS (SELECT answer_id, CASE WHEN answer_id % 5 = 2 THEN '' ELSE answer END || CASE answer_id % 5 WHEN 0 THEN ' [1, 3; 2]' WHEN 1 THEN ' x [2], [2] [2] y' WHEN 2 THEN ' none' ELSE ' [1, 2]. [1, 2] end' END AS answer FROM answers)"
 _BROKEN = ", bad AS (SELECT answer_id, min(p) AS p FROM (SELECT answer_id, 3 AS p FROM pc WHERE section_no = 1 GROUP BY answer_id HAVING count(*) FILTER (bullet) = 0 UNION ALL SELECT answer_id, 4 FROM answers WHERE answer_id % 3 = 0) GROUP BY answer_id)"
@@ -182,7 +186,7 @@ ORACLE_SQL = {
   p AS (SELECT answer_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('citation_range', 'uncited_claims', 'citation_entity_mismatch', 'missing_entities')), '') AS hard, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('structure', 'bullet_limits', 'repeated_bullets')), '') AS soft FROM answers LEFT JOIN e USING (answer_id) GROUP BY answer_id)
   SELECT answer_id, hard, soft, CASE WHEN hard <> '' OR contains(soft, 'structure') THEN 'repair' WHEN soft <> '' THEN 'accept_soft' ELSE 'ok' END AS verdict FROM p""",
     "chosen_attempts": "SELECT doc_id AS answer_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'second' WHEN doc_id % 2 = 0 THEN 'first' ELSE 'failed' END AS chosen FROM documents",
-    "renumber_citations": W + I.ANSWERS_SQL + " SELECT answer_id, CASE answer_id % 3 WHEN 0 THEN CASE WHEN answer_id % 4 = 0 THEN 'a [1] b [3, 2]. [1]' ELSE 'a [3] b [1, 2]. [3]' END WHEN 1 THEN 'a [9]' ELSE 'no citation' END AS answer, answer_id % 4 > 0 AND answer_id % 3 <> 1 AS renumbered FROM answers",
+    "renumber_citations": W + I.ANSWERS_SQL + ", c AS (SELECT *, answer_id % 4 > 0 AND len(list_filter(" + _CITED.format(t="answer") + ", lambda x: x < 1 OR x > 6)) = 0 AS ok FROM answers) SELECT answer_id, sha256(CASE WHEN ok THEN replace(" + _SWAPPED + ", '[#', '[') ELSE answer END) AS answer, ok AS renumbered FROM c",
     "context_texts": S.bm25(S._ONE, "1") + ", " + S._TOP20 + S._budgets(4, 4000, 1000) + ", t AS (SELECT query_id, string_agg('[' || CAST(position AS VARCHAR) || ']' || chr(10) || concat_ws(' | ', country_code, cut.legal_topic, subsection) || chr(10) || excerpt, chr(10) || chr(10) ORDER BY position) AS t FROM cut JOIN (SELECT chunk_id, subsection FROM chunks) USING (chunk_id) GROUP BY query_id) SELECT query_id, sha256(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM t",
     "cited_sources": W + I.ANSWERS_SQL + ", " + I.SOURCES_SQL + ", c AS (SELECT answer_id, " + _CITED.format(t="answer") + " AS c FROM answers), u AS (SELECT answer_id, unnest(c) AS citation, unnest(range(0, len(c))) AS i FROM c), f AS (SELECT answer_id, citation, min(i) AS i FROM u GROUP BY answer_id, citation), g AS (SELECT *, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY i) - 1 AS INTEGER) AS pos FROM f) SELECT answer_id, citation, pos, country_code FROM g JOIN sources USING (answer_id, citation)",
     "contact_sections": """WITH a AS (SELECT item_id AS query_id, item_id % 3 AS off, unnest(range(0, 3)) AS i, unnest(['C1', 'C' || CAST(item_id % 4 AS VARCHAR), 'C9']) AS country_code FROM benchmark), b AS (SELECT *, country_code IN ('C0', 'C1', 'C2') AS found FROM a)

@@ -69,8 +69,7 @@ def sections_from_headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_blocks(spark: SparkSession, d: str) -> DataFrame:
-    b = I.blocks(spark, d).withColumn("text", F.substring("text", 1, 3))
-    return segment.drop_repeated_blocks(b).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return segment.drop_repeated_blocks(I.blocks(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def split_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +166,7 @@ def replace_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
     files = I.table(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"))
-    return audit.duplicate_files(files).select("sha256", "n", F.array_join("names", ",").alias("names"))
+    return audit.duplicate_files(files)
 
 
 def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +241,7 @@ def indexing_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_unions(spark: SparkSession, d: str) -> DataFrame:
-    t = I.turns(spark, d).select("conv_id", "turn", F.slice(X.search_tokens(F.col("text")), 1, 3).alias("codes"))
+    t = I.turns(spark, d).select("conv_id", "turn", X.search_tokens(F.col("text")).alias("codes"))
     return audit.ordered_union(t, "conv_id", "turn", "codes").select("conv_id", F.array_join("merged", " ").alias("merged"))
 
 
@@ -284,7 +283,7 @@ ORACLE_SQL = {
     "sections_from_headings": W + _BODY + """, c AS (SELECT *, sum(CASE WHEN heading_level IS NOT NULL THEN 1 ELSE 0 END) OVER w AS island, sum(CASE WHEN heading_level = 1 THEN 1 ELSE 0 END) OVER w AS n, last_value(CASE WHEN heading_level = 1 THEN text END IGNORE NULLS) OVER w AS section FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
   s AS (SELECT *, last_value(CASE WHEN heading_level > 1 THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id, n ORDER BY pos ROWS UNBOUNDED PRECEDING) AS subsection FROM c)
   SELECT doc_id, CAST(island AS BIGINT) AS island, coalesce(section, '') AS section, coalesce(subsection, '') AS subsection, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY pos)) AS INTEGER) AS chars FROM s WHERE heading_level IS NULL GROUP BY doc_id, island, section, subsection HAVING regexp_matches(string_agg(text, chr(10) ORDER BY pos), '[\\p{L}\\p{N}]')""",
-    "repeated_blocks": W + I.BLOCKS_SQL + ", r AS (SELECT *, lag(substr(text, 1, 3)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM blocks) SELECT doc_id, count(*) AS n FROM r WHERE substr(text, 1, 3) IS DISTINCT FROM before GROUP BY doc_id",
+    "repeated_blocks": W + I.BLOCKS_SQL + ", r AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM blocks) SELECT doc_id, count(*) AS n FROM r WHERE text IS DISTINCT FROM before GROUP BY doc_id",
     "chunk_ids": W + I.CHUNKS_SQL + ", d AS (SELECT *, " + _DOC.format(c="country_code", l="language") + " AS document FROM chunks), o AS (SELECT *, row_number() OVER (PARTITION BY document, document_type, legal_topic, subsection ORDER BY chunk_id) AS n FROM d) SELECT chunk_id, document AS document_id, 'chunk_' || sha256('chunk-v1' || chr(31) || document || chr(31) || document_type || chr(31) || coalesce(legal_topic, '') || chr(31) || 'section' || chr(31) || lower(coalesce(subsection, '')) || chr(31) || CAST(n AS VARCHAR)) AS id, CAST(n AS INTEGER) AS occurrence, sha256(content) AS content_hash FROM o",
     "enriched_chunks": W + I.CHUNKS_SQL + ", k AS (SELECT *, CASE WHEN chunk_id % 17 = 0 THEN 'rejected' WHEN legal_topic IS NULL THEN 'overview' ELSE 'comparator' END AS t FROM chunks WHERE trim(content) <> '') SELECT t AS document_type, count(*) AS n, CASE WHEN t = 'rejected' THEN 0 ELSE count(*) END AS ids FROM k GROUP BY t",
     "document_id_check": "WITH d AS (SELECT doc_id, " + _DOC.format(c="source", l="lang") + " AS g FROM documents) SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN upper(g) WHEN 1 THEN substr(g, 1, 60) ELSE g END AS document_id, doc_id % 5 > 1 AS valid FROM d",
@@ -301,7 +300,7 @@ ORACLE_SQL = {
     "reindexed_corpus": W + _OLD_NEW + ", b AS (SELECT * FROM new WHERE document_id % 5 <> 0) SELECT country_code, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM old WHERE document_id NOT IN (SELECT document_id FROM b) AND (document_id % 5 <> 0 OR document_id = 0) UNION ALL SELECT * FROM b) GROUP BY country_code",
     "replace_plan": """WITH e AS (SELECT source, count(DISTINCT CASE WHEN doc_id % 20 < 10 THEN 1 ELSE doc_id END) AS d, min(CASE WHEN (doc_id % 20) % 3 = 0 THEN 'h' ELSE 'g' END) AS lo, max(CASE WHEN (doc_id % 20) % 3 = 0 THEN 'h' ELSE 'g' END) AS hi FROM documents WHERE source <> 'src5' GROUP BY source)
   SELECT s.source AS country_code, 'h' AS sha256, CASE WHEN d IS NULL THEN 'fresh' WHEN d = 1 AND lo = 'h' AND hi = 'h' THEN 'already_current' WHEN s.source = 'src7' THEN 'replace' ELSE 'replacement_required' END AS status FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN e USING (source)""",
-    "duplicate_texts": "SELECT sha256(text) AS sha256, count(*) AS n, string_agg(lpad(CAST(doc_id AS VARCHAR), 9, '0'), ',' ORDER BY doc_id) AS names FROM documents GROUP BY text HAVING count(*) > 1",
+    "duplicate_texts": "SELECT sha256(text) AS sha256, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, n FROM documents JOIN (SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1) USING (text)",
     "source_audit": """WITH d AS (SELECT min(doc_id) AS k, count(*) AS c FROM documents GROUP BY source, lang), s AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'invalid_metadata' WHEN k % 2 = 0 AND k % 3 = 1 THEN 'conflict' WHEN k % 2 = 0 OR k % 3 = 1 THEN 'resolved' ELSE 'missing' END AS status FROM d)
   SELECT status, count(*) AS documents, CAST(sum(c) AS BIGINT) AS chunks FROM s GROUP BY ROLLUP (status)""",
     "coverage_report": W + I.CHUNKS_SQL + """, p AS (SELECT country_code, count(*) AS chunks, count(*) FILTER (document_type = 'overview') AS o, count(*) FILTER (document_type = 'comparator') AS c, max(length(content)) AS m, list(DISTINCT legal_topic) AS f, count(*) - count(DISTINCT chunk_id) AS dup FROM chunks GROUP BY country_code)
@@ -319,7 +318,7 @@ ORACLE_SQL = {
     "label_candidates": W + _LABELLED + ", c AS (SELECT *, last_value(topic IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS t FROM l WHERE doc_id % 2 = 1) SELECT doc_id, CAST(pos AS INTEGER) AS pos, key, coalesce(t, '') AS current_topic, key IN (SELECT key FROM l WHERE doc_id % 2 = 0) AS matched FROM c WHERE bold OR heading_level = 2",
     "best_heading": W + _LABELLED + ", s AS (SELECT doc_id, pos, substr(text, 1, 1) AS initial, CASE WHEN heading_level = 1 THEN 100 ELSE greatest(10, 60 - 10 * heading_level) END + CASE WHEN pos % 3 = 0 THEN 30 ELSE 0 END + CASE WHEN pos % 5 = 0 THEN 20 ELSE 0 END + least(5 * (pos % 7), 20) + CASE WHEN pos % 2 = 0 THEN -15 ELSE 0 END + CASE WHEN pos % 11 = 0 THEN -25 ELSE 0 END AS score FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, initial ORDER BY score DESC, pos) AS r, count(*) OVER (PARTITION BY doc_id, initial) - 1 AS duplicates FROM s) SELECT doc_id, initial, CAST(pos AS INTEGER) AS pos, CAST(score AS INTEGER) AS score, duplicates FROM r WHERE r = 1",
     "indexing_summary": "SELECT count(*) AS discovered, count(*) FILTER (quality = 1) AS success, count(*) FILTER (quality <> 1) AS failed, 3 * count(*) AS prepared, 2 * count(*) AS indexed, CAST(sum(toxic) AS BIGINT) AS stale FROM labels",
-    "ordered_unions": "WITH w AS (SELECT conv_id, turn, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), 1, 3) AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT conv_id, w, min(turn * 10 + i) AS o FROM e GROUP BY conv_id, w) SELECT c.conv_id, coalesce(string_agg(w, ' ' ORDER BY o), '') AS merged FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id",
+    "ordered_unions": "WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM conversations), e AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT conv_id, w, min(turn * 10000000 + i) AS o FROM e GROUP BY conv_id, w) SELECT c.conv_id, coalesce(string_agg(w, ' ' ORDER BY o), '') AS merged FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f USING (conv_id) GROUP BY c.conv_id",
     "dimension_check": """WITH n AS (SELECT lower(trim(CASE WHEN n_nationkey % 6 = 0 THEN 'same' WHEN n_nationkey % 7 = 0 THEN ' ' ELSE n_name END)) AS alias, CASE WHEN n_nationkey % 5 = 0 THEN substr(n_name, 1, 3) ELSE substr(n_name, 1, 2) END AS code, 'R' || CAST(n_regionkey AS VARCHAR) AS parent FROM nation)
   SELECT 'blank_alias' AS problem, '' AS alias, count(*) AS n FROM n WHERE alias = '' HAVING count(*) > 0
   UNION ALL SELECT 'alias_collision', alias, count(DISTINCT code) FROM n GROUP BY alias, parent HAVING count(DISTINCT code) > 1

@@ -20,7 +20,7 @@ FIVE = ["alpha", "beta", "gamma", "delta", "epsilon"]
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as chunks: source as country, language, topic and subsection from the id, the first four words as section."""
+    """documents as chunks: source as country, language, topic and subsection from the id, the first line as section."""
     d = table(spark, sf_dir, "documents")
     topic = F.get(F.array(*[F.lit(t) for t in FIVE]), (F.col("doc_id") % 6).cast("int"))
     return d.select(
@@ -31,7 +31,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         topic.alias("legal_topic"),
         F.when(F.col("doc_id") % 6 == 5, "overview").otherwise("comparator").alias("document_type"),
         F.col("lang").alias("language"),
-        F.array_join(F.slice(X.search_tokens(F.substring("text", 1, 60)), 1, 4), " ").alias("section"),
+        F.regexp_extract("text", r"^[^\r\n]*", 0).alias("section"),
         F.when(F.col("doc_id") % 7 == 0, "Contact").when(F.col("doc_id") % 7 == 6, None).otherwise(F.concat(F.lit("sub "), (F.col("doc_id") % 7).cast("string"))).alias("subsection"),
         F.col("text").alias("content"),
         (2020 + F.col("doc_id") % 5).cast("int").alias("reference_year"),
@@ -43,20 +43,20 @@ CHUNKS_SQL = """chunks AS (
   SELECT doc_id AS chunk_id, CAST(floor(doc_id / 4) AS BIGINT) AS document_id, 'Country ' || source AS country, upper(source) AS country_code,
     CASE doc_id % 6 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' WHEN 3 THEN 'delta' WHEN 4 THEN 'epsilon' END AS legal_topic,
     CASE WHEN doc_id % 6 = 5 THEN 'overview' ELSE 'comparator' END AS document_type, lang AS language,
-    array_to_string(list_slice(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), 1, 4), ' ') AS section,
+    regexp_extract(text, '^[^\\r\\n]*') AS section,
     CASE WHEN doc_id % 7 = 0 THEN 'Contact' WHEN doc_id % 7 = 6 THEN NULL ELSE 'sub ' || CAST(doc_id % 7 AS VARCHAR) END AS subsection,
     text AS content, CAST(2020 + doc_id % 5 AS INTEGER) AS reference_year
   FROM documents)"""
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark items as queries: their first eight words."""
+    """benchmark items as queries, in full."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.search_tokens(F.col("text")), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(X.search_tokens(F.col("text")), " ").alias("query"))
 
 
 QUERIES_SQL = """queries AS (
-  SELECT item_id AS query_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), 1, 8) AS words FROM benchmark)"""
+  SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM benchmark)"""
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +96,9 @@ REQUESTS_SQL = """requests AS (
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as generated answers: lines as bullets with a citation, now and then a heading, a wrong number or a repeated bullet."""
-    b = blocks(spark, sf_dir).where("pos < 8")
-    line = F.regexp_replace(F.substring("text", 1, 80), r"[\[\]]", "")
+    """documents as generated answers: all lines in full as bullets with a citation, one as a heading; some citations have no source."""
+    b = blocks(spark, sf_dir)
+    line = F.regexp_replace("text", r"[\[\]]", "")
     cite = F.when(F.col("pos") % 3 == 2, "").otherwise(F.concat(F.lit(" ["), (F.col("doc_id") % 7 + F.col("pos")).cast("string"), F.lit("]")))
     text = F.when(F.col("pos") == 3, "Comparison").otherwise(F.concat(F.lit("- "), line, cite))
     per = b.select("doc_id", "pos", text.alias("l")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "l"))).alias("l"))
@@ -109,8 +109,8 @@ ANSWERS_SQL = (
     BLOCKS_SQL
     + """, answers AS (
   SELECT doc_id AS answer_id, 'SRC' || CAST(doc_id % 5 AS VARCHAR) || chr(10) || string_agg(CASE WHEN pos = 3 THEN 'Comparison' ELSE
-    '- ' || regexp_replace(substr(text, 1, 80), '[\\[\\]]', '', 'g') || CASE WHEN pos % 3 = 2 THEN '' ELSE ' [' || CAST(doc_id % 7 + pos AS VARCHAR) || ']' END END, chr(10) ORDER BY pos) AS answer
-  FROM blocks WHERE pos < 8 GROUP BY doc_id)"""
+    '- ' || regexp_replace(text, '[\\[\\]]', '', 'g') || CASE WHEN pos % 3 = 2 THEN '' ELSE ' [' || CAST(doc_id % 7 + pos AS VARCHAR) || ']' END END, chr(10) ORDER BY pos) AS answer
+  FROM blocks GROUP BY doc_id)"""
 )
 
 

@@ -9,6 +9,7 @@ from lectern.functions import text as X
 from lectern.operators import detect, evidence, turns
 from lectern.plans import inputs as I
 from lectern.sources import dims
+from lectern.sources.dims import small
 
 # An inline dictionary of words that occur in the tables: code and alias in the form of `ascii_words`.
 ALIASES = (("EN", "the"), ("EN", "of the"), ("FR", "la"), ("FR", "de la"), ("DE", "und"), ("ES", "el"), ("ES", "de"), ("IT", "in"))
@@ -132,10 +133,11 @@ def subject_modes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """Each query with the documents of one residue class."""
+    """Every document as a hit: dealt to the queries by its id."""
     q = I.queries(spark, d).select("query_id")
-    docs = I.chunks(spark, d).where("chunk_id % 5 = 0").withColumn("query_id", F.col("chunk_id") % 40)
-    return docs.join(q, "query_id", "left_semi")
+    n = F.lit(max(q.count(), 1))
+    dealt = q.withColumn("_r", F.pmod("query_id", n))
+    return I.chunks(spark, d).withColumn("_r", F.pmod("chunk_id", n)).join(small(dealt), "_r").drop("_r")
 
 
 def concept_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +234,7 @@ def last_context(spark: SparkSession, d: str) -> DataFrame:
 
 def next_states(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("turn") + F.col("conv_id")
-    ex = I.turns(spark, d).where("turn < 3").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("action_idx"), F.when(k % 2 == 0, "comparison").otherwise("information").alias("type"), F.array(F.concat(F.lit("C"), (k % 4).cast("string")), F.lit("Z")).alias("codes"), F.when(k % 3 == 0, F.array(F.lit("C9"))).otherwise(F.array(F.lit("C0"), F.lit("C1"), F.lit("C2"))).alias("available"), F.when(F.col("conv_id") % 9 == 0, "which").alias("clarification"))
+    ex = I.turns(spark, d).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("action_idx"), F.when(k % 2 == 0, "comparison").otherwise("information").alias("type"), F.array(F.concat(F.lit("C"), (k % 4).cast("string")), F.lit("Z")).alias("codes"), F.when(k % 3 == 0, F.array(F.lit("C9"))).otherwise(F.array(F.lit("C0"), F.lit("C1"), F.lit("C2"))).alias("available"), F.when(F.col("conv_id") % 9 == 0, "which").alias("clarification"))
     s = turns.next_state(ex)
     return s.select("query_id", F.size("actions").alias("actions"), F.coalesce("focus", F.lit(-1)).alias("focus"), F.array_join("ordered_codes", ",").alias("codes"), "pending")
 
@@ -309,12 +311,12 @@ _INTENTS = dict(zip(_TEXTS, ("greeting", "gratitude", "countries", "comparison_h
 _FLAGS = {"give me the email of a law firm": (True, False, False, False), "Should I sue?": (False, False, False, True), "How can I contact you": (False, True, False, False), "compare Spain and Peru": (False, False, True, False), "can you do comparisons too": (False, False, True, False)}
 _SQLB = {True: "true", False: "false"}
 _EVW = "regexp_extract_all(lower(translate(regexp_replace(replace({t}, 'ß', 'ss'), '([À-ɏ])', '\\1 ', 'g'), " + _ACC + ")), '[a-z0-9]+')"
-_HITS = I.CHUNKS_SQL + ", " + I.QUERIES_SQL + ", hits AS (SELECT *, chunk_id % 40 AS query_id FROM chunks WHERE chunk_id % 5 = 0 AND chunk_id % 40 IN (SELECT query_id FROM queries))"
+_HITS = I.CHUNKS_SQL + ", " + I.QUERIES_SQL + ", hits AS (SELECT c.*, q.query_id FROM chunks c JOIN queries q ON c.chunk_id % (SELECT count(*) FROM queries) = q.query_id % (SELECT count(*) FROM queries))"
 _POS = _HITS + ", hw AS (SELECT query_id, chunk_id, " + _EVW.format(t="content") + " AS w FROM hits), hp AS (SELECT query_id, chunk_id, unnest(range(1, len(w) + 1)) AS i, w FROM hw), hg AS (SELECT query_id, chunk_id, i - 1 AS pos, w[i] AS g1, w[i] || ' ' || w[i + 1] AS g2 FROM hp), found AS (SELECT query_id, chunk_id, pos, 0 AS grp FROM hg WHERE g2 IN ('of the', 'the and') UNION SELECT query_id, chunk_id, pos, 1 FROM hg WHERE g1 IN ('in', 'la', 'die'))"
 _FRAME = "(" + ", ".join(f"'{w}'" for w in sorted(set(__import__("lectern.functions.values", fromlist=["FRAMING_WORDS"]).FRAMING_WORDS))) + ")"
 _SIG = "list_filter({w}, lambda w: length(w) > 2 AND w NOT IN " + _FRAME + ")"
 # The grade of each spec and country; q8 holds the query's words.
-_GRADE = I.CHUNKS_SQL + ", " + I.QUERIES_SQL + ", hits AS (SELECT *, chunk_id % 40 AS query_id FROM chunks WHERE chunk_id % 5 = 0 AND chunk_id % 40 IN (SELECT query_id FROM queries))" + """,
+_GRADE = _HITS + """,
  hw AS (SELECT query_id, chunk_id, country_code, legal_topic, """ + _EVW.format(t="coalesce(subsection || ' ', '') || content") + """ AS w FROM hits WHERE country_code IN ('SRC0', 'SRC5', 'SRC9')),
  q AS (SELECT query_id, """ + _EVW.format(t="array_to_string(words, ' ')") + """ AS s FROM queries),
  hp AS (SELECT query_id, chunk_id, unnest(range(1, len(w) + 1)) AS i, w FROM hw), hg AS (SELECT query_id, chunk_id, i AS pos, w[i] AS g1, w[i] || ' ' || w[i + 1] AS g2 FROM hp),
@@ -361,7 +363,7 @@ ORACLE_SQL = {
   c AS (SELECT *, row_number() OVER w AS n, sum(q + a) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS t FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, CAST(q AS INTEGER) AS q, CAST(a AS INTEGER) AS a FROM c WHERE n <= 3 AND t <= 900""",
     "recent_questions": "SELECT conv_id, turn, sha256(coalesce(array_to_string(list_reverse(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), '|'), '')) AS digest FROM conversations WHERE role = 'user' AND trim(text) <> ''",
     "last_context": W + _OPS + ", l AS (SELECT conv_id, turn, last_value(CASE WHEN len(codes) > 0 THEN codes END IGNORE NULLS) OVER w AS c, last_value(subject IGNORE NULLS) OVER w AS s FROM ops WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT conv_id, turn, array_to_string(c, ',') AS codes, s AS subject FROM l",
-    "next_states": """WITH x AS (SELECT conv_id, turn, turn + conv_id AS k FROM conversations WHERE turn < 3), a AS (SELECT conv_id, turn, CASE WHEN k % 2 = 0 THEN 'comparison' ELSE 'information' END AS type, 'C' || CAST(k % 4 AS VARCHAR) AS c, conv_id % 9 <> 0 AND k % 3 <> 0 AND k % 4 < 3 AS ok FROM x)
+    "next_states": """WITH x AS (SELECT conv_id, turn, turn + conv_id AS k FROM conversations), a AS (SELECT conv_id, turn, CASE WHEN k % 2 = 0 THEN 'comparison' ELSE 'information' END AS type, 'C' || CAST(k % 4 AS VARCHAR) AS c, conv_id % 9 <> 0 AND k % 3 <> 0 AND k % 4 < 3 AS ok FROM x)
   SELECT conv_id AS query_id, CAST(count(*) FILTER (ok) AS INTEGER) AS actions, CASE WHEN count(*) FILTER (ok) = 1 THEN 0 ELSE -1 END AS focus, coalesce(array_to_string(list_filter(list(c ORDER BY turn) FILTER (ok AND type = 'comparison'), lambda x, i: list_position(list(c ORDER BY turn) FILTER (ok AND type = 'comparison'), x) = i), ','), '') AS codes, CASE WHEN conv_id % 9 = 0 THEN 'which' END AS pending FROM a GROUP BY conv_id""",
     "normalised_texts": "SELECT doc_id, sha256(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) AS squashed, sha256(" + _ASCII.format(t="text") + ") AS words, CAST(len(" + _EVW.format(t="text") + ") AS INTEGER) AS tokens FROM documents",
     "heading_entities": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 25 <> (c_custkey * 7 + 1) % 25 THEN NULL ELSE 'N' || CAST(c_custkey % 25 AS VARCHAR) END AS entity_code FROM customer",
