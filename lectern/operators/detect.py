@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions import tokens as T
 from lectern.functions import values as V
 from lectern.sources.dims import small
 
@@ -28,11 +29,17 @@ def detect_entities(texts: DataFrame, aliases: DataFrame, key: str = "text_id",
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
 
 
-def split_availability(texts: DataFrame, catalog: DataFrame, explicit: str = "explicit_codes", detected: str = "codes") -> DataFrame:
-    """ENT2 with JN5: ``available`` and ``unavailable`` codes; explicit ones win over detected ones. The catalogue is a dimension."""
-    known = catalog.agg(F.collect_set("code").alias("_known"))
-    used = F.when(F.size(F.coalesce(explicit, F.array().cast(STRINGS))) > 0, F.col(explicit)).otherwise(F.coalesce(detected, F.array().cast(STRINGS)))
-    return texts.crossJoin(F.broadcast(known)).withColumns({"available": F.array_intersect(used, "_known"), "unavailable": F.array_except(used, "_known")}).drop("_known")
+def split_availability(texts: DataFrame, catalog: DataFrame, explicit: str = "explicit_codes", detected: str = "codes", key: str = "text_id") -> DataFrame:
+    """ENT2 with JN5: ``available`` and ``unavailable`` codes in order; explicit ones win over detected ones.
+
+    The codes of a text are few: each is looked up in the catalogue by a join, and what was found is put together again.
+    """
+    none = F.array().cast(STRINGS)
+    used = F.array_distinct(F.when(F.size(F.coalesce(explicit, none)) > 0, F.col(explicit)).otherwise(F.coalesce(detected, none)))
+    rows = texts.withColumn("_used", used)
+    known = rows.select(key, F.explode("_used").alias("_code")).distinct().join(small(catalog.select(F.col("code").alias("_code")).distinct()), "_code", "left_semi")
+    out = rows.join(known.groupBy(key).agg(F.collect_set("_code").alias("_known")), key, "left").withColumn("_known", F.coalesce("_known", none))
+    return out.withColumns({"available": F.array_intersect("_used", "_known"), "unavailable": F.array_except("_used", "_known")}).drop("_known", "_used")
 
 
 def _longest_first(names: Column) -> Column:
@@ -106,11 +113,53 @@ def intent_label(text: Column, n_codes: Column | None = None, n_topics: Column |
     return X.let(X.chat_text(text), lambda t: X.let(X.help_text(text), lambda h: first_rule(t, h)))
 
 
+def contact_request(text: Column) -> Column:
+    """ENT7: the text asks for a professional or a firm, or for contact data of one.
+
+    Rules over tokens: a search followed by a target that ends the sentence or goes on with a place; contact data
+    ``of`` or ``for`` a target, asked for or as the one question "what is the ..."; an office's data as the last words,
+    unless it is someone's own; a target's contact. A target with a possessive is none.
+    """
+
+    def rules(low: Column) -> Column:
+        n = F.size(low)
+        article = lambda i: T.optional(low, i, "a", "an", "the")
+        # the place after the last word, sentence marks aside
+        last = F.aggregate(low, F.struct(F.lit(0).alias("i"), F.lit(0).alias("end")), lambda acc, t: F.struct((acc["i"] + 1).alias("i"), F.when(t.isin(".", "?", "!"), acc["end"]).otherwise(acc["i"] + 1).alias("end")), lambda acc: acc["end"])
+
+        def target(i: Column) -> Column:
+            return X.let(T.phrase_end(low, article(i), V.CONTACT_TARGETS), lambda e: F.when(~((T.at(low, e) == "'") & F.coalesce(T.at(low, e + 1) == "s", F.lit(False))) | (e >= n), e))
+
+        def closes(e: Column) -> Column:
+            return (e == n) | T.at(low, e).isin(".", "?", "!", *V.PLACE_WORDS)
+
+        def data_of_target(i: Column) -> Column:
+            return X.let(T.phrase_end(low, article(i), V.CONTACT_DATA), lambda e: F.when(T.at(low, e).isin("of", "for"), target(e + 1)))
+
+        def office(end: Column) -> Column:
+            def here(i: Column) -> Column:
+                own = F.coalesce(T.at(low, i - 1).isin(*V.POSSESSIVES, "'"), F.lit(False)) | F.coalesce((T.at(low, i - 1) == "s") & (T.at(low, i - 2) == "'"), F.lit(False))
+                return (i >= end) & T.at(low, i).isin("office", "offices") & ~own & X.let(last, lambda z: (T.phrase_end(low, i + 1, V.OFFICE_DATA) == z) & (z > i + 1))
+
+            return T.anywhere(low, here)
+
+        searched = T.anywhere(low, lambda i: X.let(target(T.phrase_end(low, i, V.CONTACT_SEARCHES)), closes))
+        asked = T.anywhere(low, lambda i: data_of_target(T.phrase_end(low, i, V.CONTACT_ASKS)).isNotNull())
+        question = X.let(data_of_target(F.when(F.array_join(F.slice(low, 1, 3), " ") == "what is the", F.lit(3))), lambda e: (e == last) | (T.at(low, e).isin("in", "for") & F.forall(F.slice(low, e + 1, F.greatest(last - e, F.lit(0))), lambda t: t.rlike("^[a-z0-9_]"))))
+        offices = T.anywhere(low, lambda i: X.let(T.phrase_end(low, i, V.CONTACT_ASKS), office))
+        noun = T.anywhere(low, lambda i: X.let(target(T.optional(low, T.phrase_end(low, i, V.CONTACT_NOUN_ASKS), "me", "us")), lambda e: F.when(T.at(low, e).isin("contact", "contacts"), closes(e + 1))))
+        return searched | asked | F.coalesce(question, F.lit(False)) | offices | noun
+
+    # the words that every such request has, as a cheap first look
+    able = F.coalesce(F.lower(text).rlike(r"\b(?:me|us|you|i|is)\b"), F.lit(False)) & F.coalesce(F.lower(text).rlike("lawyer|counsel|firm|attorney|office"), F.lit(False))
+    return F.when(able, X.let(T.words(T.tokens(text)), rules)).otherwise(F.lit(False))
+
+
 def signal_flags(text: Column) -> dict[str, Column]:
     """ENT7: contact request, who to reach, comparison wording, personal advice."""
     low = F.regexp_replace(F.lower(F.translate(text, "’", "'")), r"\s+", " ")
     return {
-        "contact_request": X.any_pattern(low, V.CONTACT_PATTERNS),
+        "contact_request": contact_request(text),
         "who_to_reach": F.coalesce(low.rlike(V.REACH_PATTERN), F.lit(False)),
         "comparison_wording": F.coalesce(low.rlike(V.COMPARISON_PATTERN), F.lit(False)),
         "personal_advice": X.any_pattern(X.chat_text(text), V.ADVICE_PATTERNS),
@@ -159,35 +208,67 @@ def suggest_entity(texts: DataFrame, names: DataFrame, key: str = "text_id", fra
 
 
 def strip_scope(text: Column, names: Column, demonyms: Column) -> Column:
-    """ENT10: ``text`` without the geographic frames of the given names and demonyms, in their fixed order; tidied only if something went."""
-    n, d = alternation(names), alternation(demonyms)
-    the = r"(?:the\s+)?"
-    frames: list[tuple[Column, Column]] = []
-
-    def frame(head: str, alt: Column, tail: str) -> Column:
-        return F.concat(F.lit("(?iU)" + head), alt, F.lit(tail))
-
-    some_n, some_d = F.size(names) > 0, F.size(demonyms) > 0
-    frames.append((some_n, frame(rf"^{the}(?:", n, r")['’]s\s+")))
-    frames.append((some_n, frame(rf"^{the}(?:", n, r")\s*:\s*")))
-    frames.append((some_n, frame(rf"^(?:in|for|within)\s+{the}(?:", n, r")\s*,\s*")))
-    frames.append((some_n, F.concat(F.lit(rf"(?iU)\s+between\s+{the}(?:"), n, F.lit(rf")\s+and\s+{the}(?:"), n, F.lit(r")(?!\w)"))))
-    frames.append((some_n, F.concat(F.lit(rf"(?iU)\s+(?:in|for|within)\s+{the}(?:"), n, F.lit(rf")(?:\s+and\s+{the}(?:"), n, F.lit(r"))*(?!\w)"))))
-    frames.append((some_n, F.concat(F.lit(rf"(?iU)^{the}(?:"), n, F.lit(rf")(?:\s+and\s+{the}(?:"), n, F.lit(r"))*$"))))
-    frames.append((some_d, frame(r"^(?:under|according\s+to|pursuant\s+to)\s+(?:", d, r")\s+(?:employment\s+)?law\s*,\s*")))
-    frames.append((some_d, frame(r"\s+(?:under|according\s+to|pursuant\s+to)\s+(?:", d, r")\s+(?:employment\s+)?law\b")))
-    out = text
-    for given, pattern in frames:
-        out = F.when(given, F.regexp_replace(out, pattern, F.lit(""))).otherwise(out)
-    tidy = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(out, r"\s+", " ")), r"^[,:;\-\s]+", ""), r"[,:;\-\s]+$", "")
-    return F.when(out.eqNullSafe(text), text).otherwise(tidy)
+    """ENT10: ``text`` without geographic frames of the given names and demonyms; a text without any stays as it is.
+
+    Over tokens: in front, a name with a possessive or a colon, or a place or law frame closed by a comma; further on,
+    place frames (``in`` one or several names, ``between`` two) and law frames (``under Spanish law``). A text that is
+    nothing but names becomes empty. What is left loses separators at both ends.
+    """
+
+    def frames(keys: Column, law_keys: Column) -> Column:
+        def place(low: Column, i: Column) -> Column:
+            return F.coalesce(T.name_end(low, i, keys), F.when(T.at(low, i) == "the", T.name_end(low, i + 1, keys)))
+
+        def places(low: Column, i: Column) -> Column:
+            more = lambda e, _: F.coalesce(F.when(T.at(low, e) == "and", place(low, e + 1)), e)
+            return F.aggregate(low, place(low, i), more)
+
+        def law(low: Column, i: Column) -> Column:
+            named = X.let(T.phrase_end(low, i, V.FRAME_LAWS), lambda e: T.name_end(low, e, law_keys))
+            return X.let(named, lambda e: X.let(T.optional(low, e, "employment"), lambda x: F.when(T.at(low, x) == "law", x + 1)))
+
+        def in_front(low: Column) -> Column:
+            def closed(e: Column, *marks: str) -> Column:
+                return F.when(T.at(low, e).isin(*marks), e + 1)
+
+            own = X.let(place(low, F.lit(0)), lambda e: F.coalesce(F.when((T.at(low, e) == "'") & (T.at(low, e + 1) == "s") & (F.size(low) > e + 2), e + 2), closed(e, ":")))
+            framed = X.let(F.when(T.at(low, F.lit(0)).isin(*V.FRAME_PLACES), place(low, F.lit(1))), lambda e: closed(e, ","))
+            return F.coalesce(own, framed, X.let(law(low, F.lit(0)), lambda e: closed(e, ",")))
+
+        def further(low: Column, i: Column) -> Column:
+            two = X.let(F.when(T.at(low, i) == "between", place(low, i + 1)), lambda e: F.when(T.at(low, e) == "and", place(low, e + 1)))
+            return F.coalesce(two, F.when(T.at(low, i).isin(*V.FRAME_PLACES), places(low, i + 1)), law(low, i))
+
+        def bare(left: Column) -> Column:
+            """Nothing if only names are left."""
+            return X.let(T.words(left), lambda low: F.when((F.size(low) > 0) & (places(low, F.lit(0)) == F.size(low)), F.slice(left, 1, 0)).otherwise(left))
+
+        def cleaned(toks: Column) -> Column:
+            left = T.without(toks, lambda low, i: F.when(i == 0, in_front(low)).otherwise(F.when(F.get(toks, i)["gap"], further(low, i))))
+            rest = X.let(left, bare)
+            tidy = F.regexp_replace(F.regexp_replace(X.let(rest, T.written), r"^[,:;\-\s]+", ""), r"[,:;\-\s]+$", "")
+            return X.let(rest, lambda r: F.when(F.size(r) == F.size(toks), text).otherwise(tidy))
+
+        return X.let(T.tokens(text), cleaned)
+
+    return F.when(text.isNotNull(), X.let(T.name_keys(names), lambda k: X.let(T.name_keys(demonyms), lambda d: frames(k, d))))
+
+
+def codes_in(text: Column, scope: Column) -> Column:
+    """The codes of ``scope``, an array of (code, names), that ``text`` names as whole words, in order."""
+
+    def present(low: Column) -> Column:
+        named = F.filter(scope, lambda s: T.anywhere(low, lambda i: T.name_end(low, i, T.name_keys(s["names"])).isNotNull()))
+        return F.array_distinct(F.transform(named, lambda s: F.upper(s["code"])))
+
+    return F.when(text.isNotNull() & scope.isNotNull(), X.let(T.words(T.tokens(text)), present)).otherwise(F.array().cast(STRINGS))
 
 
 def canonicalize_subjects(subjects: DataFrame, key: str = "subject_id") -> DataFrame:
     """ENT10, ENT13: ``subject_text, concepts (array of arrays of terms), names, demonyms`` without frames.
 
     Adds ``subject_out, concepts_out, changed, became_empty``; terms that repeat (case aside) or become empty go, and so
-    do groups without terms.
+    do groups without terms. With ``scope``, an array of (code, names), also ``removed``: the codes that the subject named.
     """
     s = strip_scope(F.col("subject_text"), F.col("names"), F.col("demonyms"))
     rows = subjects.withColumn("_s", s)
@@ -198,11 +279,13 @@ def canonicalize_subjects(subjects: DataFrame, key: str = "subject_id") -> DataF
 
     concepts = F.filter(F.transform(F.coalesce("concepts", F.array().cast("array<array<string>>")), group), lambda g: F.size(g) > 0)
     rows = rows.withColumn("concepts_out", concepts)
+    more = {"removed": codes_in(F.col("subject_text"), F.col("scope"))} if "scope" in subjects.columns else {}
     return rows.withColumns(
         {
             "subject_out": F.when(F.col("_s") != "", F.col("_s")),
             "changed": ~F.col("_s").eqNullSafe(F.col("subject_text")) | ~F.col("concepts_out").eqNullSafe(F.coalesce("concepts", F.array().cast("array<array<string>>"))),
             "became_empty": F.coalesce((F.trim("subject_text") != "") & (F.col("_s") == ""), F.lit(False)),
+            **more,
         }
     ).drop("_s")
 
