@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import values as V
 from lectern.operators import answers as A
 from lectern.operators import search, select
 from lectern.plans import inputs as I
 from lectern.plans import search_queries as S
+from lectern.plans.text_queries import _any, _strings
 
 NAMES = [(f"SRC{i}", f"SRC{i}") for i in range(6)]
 
@@ -91,8 +93,11 @@ _WORDINGS = ("The provided extracts say so.", "These sources agree.", "Unpaid le
 
 
 def wording_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's own text as an answer, and for each one of some fixed wordings under the id's negative; the text itself is the context."""
     k = F.col("doc_id")
-    rows = I.table(spark, d, "documents").select(k, F.get(F.array(*[F.lit(w) for w in _WORDINGS]), (k % 6).cast("int")).alias("a"), F.when(k % 2 == 0, "Paid time off?").otherwise("Notice?").alias("q"), F.when(k % 4 == 0, "within 3 months").otherwise("soon").alias("c"))
+    own = I.table(spark, d, "documents").select("doc_id", F.col("text").alias("a"), F.col("text").alias("c"))
+    fixed = own.select((-1 - k).alias("doc_id"), F.get(F.array(*[F.lit(w) for w in _WORDINGS]), (k % 6).cast("int")).alias("a"), F.concat("c", F.when(k % 4 == 0, " within 3 months").otherwise("")).alias("c"))
+    rows = own.unionByName(fixed).withColumn("q", F.when(k % 2 == 0, "Paid time off?").otherwise("Notice?"))
     return rows.select("doc_id", F.array_join(A.forbidden_phrases(F.col("a")), ",").alias("phrases"), A.paired_phrase_error(F.col("q"), F.col("a")).alias("paired"), A.false_absence(F.col("a"), F.col("c")).alias("absence"))
 
 
@@ -174,7 +179,9 @@ ORACLE_SQL = {
     "bullet_limits": W + _PARSED + ", s AS (SELECT answer_id, section_no, comparison, count(*) FILTER (bullet) AS b FROM pc GROUP BY answer_id, section_no, comparison) SELECT answer_id FROM s GROUP BY answer_id HAVING max(CASE WHEN NOT comparison THEN b END) > 4 OR count(*) FILTER (comparison) > 1 OR max(CASE WHEN comparison THEN b END) > 2",
     "missing_entities": W + I.ANSWERS_SQL + " SELECT answer_id, 'SRC5' AS code FROM answers WHERE answer_id % 3 = 0 AND NOT contains(lower(answer), 'src5')",
     "repeated_bullets": W + _CLAIMS + ", b AS (SELECT answer_id, trim(regexp_replace(lower(regexp_replace(CASE WHEN answer_id % 4 = 0 THEN 'Same, ' || CAST(bullet_no % 2 AS VARCHAR) ELSE claim END, '\\[[0-9][0-9,\\s;]*\\]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS b FROM cc) SELECT answer_id, sha256(b) AS bullet, count(*) AS n FROM b WHERE b <> '' GROUP BY answer_id, b HAVING count(*) > 1",
-    "wording_checks": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'provided extracts' WHEN 1 THEN 'internal-mechanism phrasing' WHEN 4 THEN 'internal-mechanism phrasing' ELSE '' END AS phrases, doc_id % 2 = 0 AND doc_id % 6 = 2 AS paired, doc_id % 6 IN (3, 4) AND doc_id % 4 = 0 AS absence FROM documents",
+    "wording_checks": f"""WITH own AS (SELECT doc_id, text AS a, text AS c FROM documents), x AS (SELECT doc_id, a, c FROM own UNION ALL SELECT -1 - doc_id, ({_strings(_WORDINGS)})[doc_id % 6 + 1], c || CASE WHEN doc_id % 4 = 0 THEN ' within 3 months' ELSE '' END FROM own),
+  f AS (SELECT *, list_filter({_strings(V.FORBIDDEN_PHRASES)}, lambda p: contains(lower(a), p)) AS p FROM x)
+  SELECT doc_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ',') WHEN {_any("lower(a)", V.FORBIDDEN_PATTERNS)} THEN 'internal-mechanism phrasing' ELSE '' END AS phrases, doc_id % 2 = 0 AND contains(lower(a), 'unpaid leave') AS paired, {_any("lower(a)", V.ABSENCE_PATTERNS)} AND {_any("lower(c)", (V.DURATION,))} AS absence FROM f""",
     "quality_report": W + _CLAIMS + ", " + I.SOURCES_SQL + _BROKEN + _MISMATCH + """, ok AS (SELECT * FROM cc WHERE answer_id NOT IN (SELECT answer_id FROM bad)),
   ct AS (SELECT answer_id, """ + _CITED.format(t="answer") + """ AS c, answer FROM answers),
   e AS (SELECT answer_id, 'citation_range' AS e FROM ct WHERE len(c) = 0 OR len(list_filter(c, lambda x: x < 1 OR x > 6)) > 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions import values as V
 from lectern.operators import detect, evidence, turns
 from lectern.plans import inputs as I
 from lectern.sources import dims
@@ -53,27 +54,33 @@ def scope_support(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("text_id", F.array_join(topics, ",").alias("topics"), supported.alias("supported"))
 
 
-def entity_only(spark: SparkSession, d: str) -> DataFrame:
-    """Short messages made from the turns: a name with connector words, or with something else."""
-    rows = _keyed(spark, d).select("text_id", F.concat(F.when(F.col("text_id") % 3 == 0, "What about ").when(F.col("text_id") % 3 == 1, "For the ").otherwise("Overtime in "), F.when(F.col("turn") % 2 == 0, "Peru").otherwise("Ireland"), F.lit("?")).alias("text"), F.when(F.col("turn") % 2 == 0, "PE").otherwise("IE").alias("c"))
-    return rows.select("text_id", F.array_join(detect.entity_only(F.col("text"), F.array("c"), F.array(F.lit("Peru"), F.lit("Ireland"), F.lit("Irish"))), ",").alias("only"))
+#: Fixed wordings that stand beside the tables' own texts, so that every rule has something to find.
+_ONLY = ("What about Peru?", "For the Ireland", "Overtime in Peru?", "Peru", "Irish and Peru", "Peruvian")
+_TEXTS = (
+    "Hello!", "Thanks for your help", "What countries do you cover?", "can you do comparisons too", "Which topics can you explain", "who are you?", "A ok", "Bye", "give me the email of a law firm", "Should I sue?", "How can I contact you",
+    "compare Spain and Peru", "What's this bot", "something else entirely", "Find us a lawyer.", "What is the website of the law firm?", "show me the Madrid office phone number", "show me his office phone number", "I need a lawyer's opinion", "could you find me a law firm contact in Peru",
+)
+_SAME = ("same for Peru", "Give me the same information for Peru", "and do the same in Peru?", "overtime in Peru", "Peru", "the same")
 
 
-_TEXTS = ("Hello!", "Thanks for your help", "What countries do you cover?", "can you do comparisons too", "Which topics can you explain", "who are you?", "A ok", "Bye", "give me the email of a law firm", "Should I sue?", "How can I contact you", "compare Spain and Peru", "What's this bot", "something else entirely")
+def _beside(spark: SparkSession, d: str, wordings: tuple[str, ...]) -> DataFrame:
+    """``text_id, text``: every turn's own text, and for each turn one of some fixed wordings under the id's negative."""
+    own = _keyed(spark, d).select("text_id", "text")
+    pick = F.get(F.array(*[F.lit(t) for t in wordings]), (F.col("text_id") % len(wordings)).cast("int"))
+    return own.unionByName(own.select((-1 - F.col("text_id")).alias("text_id"), pick.alias("text")))
 
 
-def _wordings(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn with one of some fixed wordings, by its id."""
-    pick = F.get(F.array(*[F.lit(t) for t in _TEXTS]), (F.col("text_id") % len(_TEXTS)).cast("int"))
-    return _keyed(spark, d).select("text_id", pick.alias("text"))
+def entity_only(spark: SparkSession, d: str) -> DataFrame:
+    rows = _beside(spark, d, _ONLY)
+    return rows.select("text_id", F.array_join(detect.entity_only(F.col("text"), F.array(F.lit("PE"), F.lit("IE")), F.array(F.lit("Peru"), F.lit("Ireland"), F.lit("Irish"))), ",").alias("only"))
 
 
 def intent_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _wordings(spark, d).select("text_id", detect.intent_label(F.col("text")).alias("intent"))
+    return _beside(spark, d, _TEXTS).select("text_id", detect.intent_label(F.col("text")).alias("intent"))
 
 
 def signal_flags(spark: SparkSession, d: str) -> DataFrame:
-    return _wordings(spark, d).select("text_id", *[c.alias(n) for n, c in detect.signal_flags(F.col("text")).items()])
+    return _beside(spark, d, _TEXTS).select("text_id", *[c.alias(n) for n, c in detect.signal_flags(F.col("text")).items()])
 
 
 def turn_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -88,24 +95,20 @@ def turn_hints(spark: SparkSession, d: str) -> DataFrame:
     return h.select("conv_id", "turn", *[F.array_join(c, ",").alias(c) for c in ("codes", "topics", "recent_codes", "recent_topics")])
 
 
-def _nations(spark: SparkSession, d: str) -> DataFrame:
-    return I.table(spark, d, "nation").select(F.col("n_name").alias("code"), F.col("n_name").alias("alias"), X.ascii_words(F.col("n_name")).alias("alias_words"))
-
-
 def _misspelt(spark: SparkSession, d: str) -> DataFrame:
-    n = I.table(spark, d, "nation")
-    c = I.table(spark, d, "customer").select(F.col("c_custkey").alias("text_id"), (F.col("c_custkey") % 25).cast("int").alias("k"))
-    drop = F.col("text_id") % F.length("n_name") + 1
-    word = F.concat(F.expr("substring(n_name, 1, cast(text_id % length(n_name) as int))"), F.expr("substring(n_name, cast(text_id % length(n_name) as int) + 2)"))
-    return c.join(F.broadcast(n), F.col("k") == F.col("n_nationkey")).withColumn("drop", drop).select("text_id", word.alias("fragment"))
+    """A supported name for each customer, one of its letters left out."""
+    names = spark.createDataFrame([(i, name) for i, (_, name, _) in enumerate(V.ENTITIES)], "k int, name string")
+    c = I.table(spark, d, "customer").select(F.col("c_custkey").alias("text_id"), (F.col("c_custkey") % len(V.ENTITIES)).cast("int").alias("k"))
+    word = F.expr("concat(substring(name, 1, cast(text_id % length(name) as int)), substring(name, cast(text_id % length(name) as int) + 2))")
+    return c.join(F.broadcast(names), "k").select("text_id", word.alias("fragment"))
 
 
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    return detect.suggest_entity(_misspelt(spark, d), _nations(spark, d)).select("text_id", "code", F.round("ratio", 6).alias("ratio"))
+    return detect.suggest_entity(_misspelt(spark, d), dims.entity_names(spark)).select("text_id", "code", F.round("ratio", 6).alias("ratio"))
 
 
 def fuzzy_names_levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    return detect.suggest_entity(_misspelt(spark, d), _nations(spark, d), exact=False).select("text_id", "code", F.round("ratio", 6).alias("ratio"))
+    return detect.suggest_entity(_misspelt(spark, d), dims.entity_names(spark), exact=False).select("text_id", "code", F.round("ratio", 6).alias("ratio"))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -274,9 +277,8 @@ def answer_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_subjects(spark: SparkSession, d: str) -> DataFrame:
-    wording = F.get(F.array(*[F.lit(t) for t in ("same for Peru", "Give me the same information for Peru", "and do the same in Peru?", "overtime in Peru", "Peru", "the same")]), (F.col("text_id") % 6).cast("int"))
     codes = F.when(F.col("text_id") % 5 == 0, F.array(F.lit("PE"), F.lit("ES"))).otherwise(F.array(F.lit("PE")))
-    return _keyed(spark, d).select("text_id", turns.same_subject(wording, codes, F.array(F.lit("Peru"))).alias("same"))
+    return _beside(spark, d, _SAME).select("text_id", turns.same_subject(F.col("text"), codes, F.array(F.lit("Peru"))).alias("same"))
 
 
 def local_followups(spark: SparkSession, d: str) -> DataFrame:
@@ -307,9 +309,59 @@ def _topics(src: str, key: str, words: str = "w") -> str:
     return f"SELECT {key}, list(topic ORDER BY rank, topic) AS topics FROM (SELECT {key}, topic, min(rank) AS rank FROM {src}, ru WHERE contains({words}, phrase) GROUP BY {key}, topic) GROUP BY {key}"
 
 
-_INTENTS = dict(zip(_TEXTS, ("greeting", "gratitude", "countries", "comparison_help", "topics", "identity", "acknowledgement", "farewell", None, None, None, None, "identity", None), strict=True))
-_FLAGS = {"give me the email of a law firm": (True, False, False, False), "Should I sue?": (False, False, False, True), "How can I contact you": (False, True, False, False), "compare Spain and Peru": (False, False, True, False), "can you do comparisons too": (False, False, True, False)}
-_SQLB = {True: "true", False: "false"}
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _strings(values) -> str:
+    return "[" + ", ".join(_quote(v) for v in values) + "]"
+
+
+def _replaced(column: str, steps: tuple[tuple[str, str], ...]) -> str:
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, {_quote(pattern)}, {_quote(to)}, 'g')"
+    return column
+
+
+def _any(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, {_quote(p)})" for p in patterns) + ")"
+
+
+def _beside_sql(wordings: tuple[str, ...]) -> str:
+    """The rows of ``_beside`` as table x."""
+    own = "SELECT conv_id * 1000 + turn AS text_id, text FROM conversations"
+    return f"own AS ({own}), x AS (SELECT text_id, text FROM own UNION ALL SELECT -1 - text_id, ({_strings(wordings)})[text_id % {len(wordings)} + 1] FROM own)"
+
+
+_CHAT = "trim(" + _replaced("translate(translate(lower(text), " + _ACC + "), '’', '''')", ((r"\bwhitch\b", "which"), (r"\bu\b", "you"), (r"\bwhats\b", "what is"), (r"[^a-z0-9' ]+", " "), ("'", " "), (r"\bthat\s+s\b", "thats"), (r"\bi\s+m\b", "im"), (r"\s+", " "))) + ")"
+_HELP = _replaced("trim(" + _replaced("t", ((r"\b(?:whats|what's)\b", "what is"), (r"\b(?:cant|can't)\b", "cannot"), (r"[^\w\s']", " "), ("'", " "), (r"\s+", " "))) + ")", ((r"\bu\b", "you"),))
+_INTENT = " ".join(
+    [
+        *[f"WHEN t IN ({', '.join(map(_quote, phrases))}) THEN '{name}'" for name, phrases in V.INTENT_PHRASES],
+        *[f"WHEN {_any('t', patterns)} THEN '{name}'" for name, patterns in V.INTENT_FULL_PATTERNS],
+        *[f"WHEN {_any('h', patterns)} THEN '{name}'" for name, patterns in V.INTENT_SEARCH_PATTERNS],
+        *["WHEN " + " AND ".join(f"list_has_any(string_split(h, ' '), {_strings(words)})" for words in sets) + f" THEN '{name}'" for name, sets in V.INTENT_WORD_SETS],
+    ]
+)
+
+
+def _words_of(phrases) -> str:
+    return "(?:" + "|".join(p.replace(" ", r"\s+") for p in sorted(phrases, key=len, reverse=True)) + ")"
+
+
+# Contact requests as patterns without look-around: the characters around a match are taken into it.
+_B, _E, _ART, _TGT, _DAT = r"(?:^|[^a-z0-9_])", r"\s*(?:[.?!]|$|\s(?:" + "|".join(V.PLACE_WORDS) + r")(?:$|[^a-z0-9_]))", r"\s+(?:an?\s+|the\s+)?", _words_of(V.CONTACT_TARGETS), _words_of(V.CONTACT_DATA)
+_OFFICE = r"offices?\s+" + _words_of(V.OFFICE_DATA) + r"\s*[?.!]*$"
+_CONTACT = (
+    _B + _words_of(V.CONTACT_SEARCHES) + _ART + _TGT + _E,
+    _B + _words_of(V.CONTACT_ASKS) + _ART + _DAT + r"\s+(?:of|for)" + _ART + _TGT + r"(?:$|[^a-z0-9_'])",
+    r"^\s*what\s+is\s+the\s+" + _DAT + r"\s+(?:of|for)" + _ART + _TGT + r"(?:\s+(?:in|for)(?:\s+[a-z0-9_]+)+)?\s*[?.!]*$",
+    _B + _words_of(V.CONTACT_NOUN_ASKS) + r"(?:\s+me|\s+us)?" + _ART + _TGT + r"\s+contacts?" + _E,
+)
+_ASKED_OFFICE = _B + _words_of(V.CONTACT_ASKS) + r"[^a-z0-9_](?:.*[^a-z0-9_])?" + _OFFICE
+_OWN_OFFICE = r"(?:'s|s'|" + "|".join(V.POSSESSIVES) + r")\s+" + _OFFICE
 _EVW = "regexp_extract_all(lower(translate(regexp_replace(replace({t}, 'ß', 'ss'), '([À-ɏ])', '\\1 ', 'g'), " + _ACC + ")), '[a-z0-9]+')"
 _HITS = I.CHUNKS_SQL + ", " + I.QUERIES_SQL + ", hits AS (SELECT c.*, q.query_id FROM chunks c JOIN queries q ON c.chunk_id % (SELECT count(*) FROM queries) = q.query_id % (SELECT count(*) FROM queries))"
 _POS = _HITS + ", hw AS (SELECT query_id, chunk_id, " + _EVW.format(t="content") + " AS w FROM hits), hp AS (SELECT query_id, chunk_id, unnest(range(1, len(w) + 1)) AS i, w FROM hw), hg AS (SELECT query_id, chunk_id, i - 1 AS pos, w[i] AS g1, w[i] || ' ' || w[i + 1] AS g2 FROM hp), found AS (SELECT query_id, chunk_id, pos, 0 AS grp FROM hg WHERE g2 IN ('of the', 'the and') UNION SELECT query_id, chunk_id, pos, 1 FROM hg WHERE g1 IN ('in', 'la', 'die'))"
@@ -329,6 +381,7 @@ _GRADE = _HITS + """,
  p AS (SELECT query_id, code, count(*) AS n, bool_or(any_concept) AS c, bool_or(relation) AS r, bool_or(overlap) AS o FROM f GROUP BY query_id, code),
  g AS (SELECT query_id, spec_idx, code, CASE WHEN n IS NULL THEN 'insufficient' WHEN query_id % 5 = 0 AND spec_idx = 1 THEN 'direct' WHEN query_id % 3 = 0 THEN CASE WHEN r THEN 'direct' WHEN c OR o THEN 'partial' ELSE 'insufficient' END WHEN c THEN 'direct' WHEN o THEN 'partial' ELSE 'insufficient' END AS status
   FROM (SELECT query_id, unnest([0, 1]) AS spec_idx FROM queries) s CROSS JOIN (SELECT unnest(['SRC0', 'SRC5', 'SRC9']) AS code) LEFT JOIN p USING (query_id, code))"""
+_NAMES = "al AS (SELECT *, " + _ASCII.format(t="alias") + " AS n FROM (VALUES " + ", ".join(f"({i}, '{c}', {_quote(n)}, {_quote(a)})" for i, (c, n, more) in enumerate(V.ENTITIES) for a in (n, *more)) + ") v(k, code, name, alias))"
 _OPS = """ops AS (SELECT conv_id, turn, turn + conv_id AS k, CASE WHEN turn = 0 THEN NULL WHEN (turn + conv_id) % 6 = 0 THEN 'ambiguous' WHEN (turn + conv_id) % 4 = 1 THEN 'add_country' WHEN (turn + conv_id) % 4 = 2 THEN 'replace_country' ELSE 'continue' END AS op,
   CASE (turn + conv_id) % 3 WHEN 0 THEN ['A'] WHEN 1 THEN ['B', 'A'] ELSE [] END AS codes, CASE WHEN (turn + conv_id) % 5 < 2 THEN 's' || CAST(turn AS VARCHAR) END AS subject FROM conversations)"""
 
@@ -337,13 +390,13 @@ ORACLE_SQL = {
     "entity_availability": W + _KEYED + ", " + _AL + ", e AS (" + _entities("k", "text_id") + "), u AS (SELECT text_id, CASE WHEN text_id % 4 = 0 THEN ['XX', 'FR'] ELSE codes END AS c FROM e), cat AS (SELECT list(DISTINCT upper(lang)) AS l FROM documents) SELECT text_id, array_to_string(list_filter(c, lambda x: list_contains(l, x)), ',') AS available, array_to_string(list_filter(c, lambda x: NOT list_contains(l, x)), ',') AS unavailable FROM u, cat",
     "topic_labels": W + _KEYED + ", " + _RU + ", t AS (" + _topics("k", "text_id") + ") SELECT text_id, array_to_string(topics, ',') AS topics FROM t",
     "scope_support": W + _KEYED + ", " + _RU + ", t AS (" + _topics("k", "text_id") + ") SELECT k.text_id, CASE WHEN k.text_id % 5 = 0 THEN 'Given' ELSE coalesce(array_to_string(topics, ','), '') END AS topics, k.text_id % 5 = 0 OR topics IS NOT NULL AS supported FROM k LEFT JOIN t USING (text_id)",
-    "entity_only": "SELECT conv_id * 1000 + turn AS text_id, CASE WHEN (conv_id * 1000 + turn) % 3 < 2 THEN CASE WHEN turn % 2 = 0 THEN 'PE' ELSE 'IE' END END AS only FROM conversations",
-    "intent_labels": "SELECT conv_id * 1000 + turn AS text_id, CASE (conv_id * 1000 + turn) % 14 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_INTENTS.values()) if v) + " END AS intent FROM conversations",
-    "signal_flags": "SELECT conv_id * 1000 + turn AS text_id, " + ", ".join(f"(conv_id * 1000 + turn) % 14 IN ({', '.join(str(i) for i, t in enumerate(_TEXTS) if _FLAGS.get(t, (False,) * 4)[j])}) AS {n}" for j, n in enumerate(("contact_request", "who_to_reach", "comparison_wording", "personal_advice"))) + " FROM conversations",
+    "entity_only": W + _beside_sql(_ONLY) + f" SELECT text_id, CASE WHEN len(list_filter(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda w: NOT list_contains({_strings((*V.CONNECTOR_WORDS, 'peru', 'ireland', 'irish'))}, lower(w)))) = 0 THEN 'PE,IE' END AS only FROM x",
+    "intent_labels": W + _beside_sql(_TEXTS) + ", c AS (SELECT text_id, " + _CHAT + " AS t FROM x), h AS (SELECT *, " + _HELP + " AS h FROM c) SELECT text_id, CASE " + _INTENT + " END AS intent FROM h",
+    "signal_flags": W + _beside_sql(_TEXTS) + ", c AS (SELECT text_id, regexp_replace(lower(translate(text, '’', '''')), '\\s+', ' ', 'g') AS low, " + _CHAT + " AS t FROM x) SELECT text_id, " + _any("low", _CONTACT) + f" OR (regexp_matches(low, {_quote(_ASKED_OFFICE)}) AND NOT regexp_matches(low, {_quote(_OWN_OFFICE)})) AS contact_request, " + _any("low", (V.REACH_PATTERN,)) + " AS who_to_reach, " + _any("low", (V.COMPARISON_PATTERN,)) + " AS comparison_wording, " + _any("t", V.ADVICE_PATTERNS) + " AS personal_advice FROM c",
     "turn_routes": "SELECT k AS text_id, CASE WHEN k % 5 = 0 AND k % 4 > 0 AND k % 3 > 0 AND k % 7 > 0 THEN 'contact' WHEN k % 4 > 0 AND k % 2 = 0 AND NOT (k % 5 = 0 AND k % 3 = 0) THEN CASE WHEN k % 4 > 1 THEN 'comparison' ELSE 'information' END ELSE 'clarify' END AS route FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
     "turn_hints": W + _KEYED + ", " + _AL + ", " + _RU + ", u AS (SELECT *, array_to_string(list_reverse(list(CASE WHEN trim(text) <> '' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), chr(10)) AS recent FROM k WHERE role = 'user'), r AS (SELECT text_id, " + _ASCII.format(t="recent") + " AS w FROM u), a AS (" + _entities("u", "text_id") + "), b AS (" + _topics("u", "text_id") + "), c AS (" + _entities("r", "text_id") + "), e AS (" + _topics("r", "text_id") + ") SELECT conv_id, turn, coalesce(array_to_string(a.codes, ','), '') AS codes, coalesce(array_to_string(b.topics, ','), '') AS topics, coalesce(array_to_string(c.codes, ','), '') AS recent_codes, coalesce(array_to_string(e.topics, ','), '') AS recent_topics FROM u LEFT JOIN a USING (text_id) LEFT JOIN b USING (text_id) LEFT JOIN c USING (text_id) LEFT JOIN e USING (text_id)",
-    "fuzzy_names_levenshtein": """WITH f AS (SELECT c_custkey AS text_id, trim(lower(regexp_replace(substr(n_name, 1, c_custkey % length(n_name)) || substr(n_name, c_custkey % length(n_name) + 2), '[^0-9A-Za-z]+', ' ', 'g'))) AS f FROM customer JOIN nation ON c_custkey % 25 = n_nationkey),
-  p AS (SELECT text_id, f, n_name AS code, max(1 - levenshtein(f, replace(lower(n_name), '_', ' ')) / greatest(length(f), length(n_name))) AS ratio FROM f JOIN nation ON abs(length(n_name) - length(f)) <= 3 WHERE f <> '' GROUP BY text_id, f, n_name),
+    "fuzzy_names_levenshtein": W + _NAMES + """, f AS (SELECT c_custkey AS text_id, """ + _ASCII.format(t="substr(name, 1, c_custkey % length(name)) || substr(name, c_custkey % length(name) + 2)") + f""" AS f FROM customer JOIN (SELECT DISTINCT k, name FROM al) ON c_custkey % {len(V.ENTITIES)} = k),
+  p AS (SELECT text_id, f, code, max(1 - levenshtein(f, n) / greatest(length(f), length(n))) AS ratio FROM f JOIN al ON abs(length(n) - length(f)) <= 3 WHERE f <> '' GROUP BY text_id, f, code),
   r AS (SELECT *, row_number() OVER w AS r, lead(ratio) OVER w AS second FROM p WINDOW w AS (PARTITION BY text_id ORDER BY ratio DESC, code))
   SELECT text_id, code, round(ratio, 6) AS ratio FROM r WHERE r = 1 AND ratio >= CASE WHEN length(f) <= 4 THEN 0.86 ELSE 0.75 END AND ratio - coalesce(second, 0) >= 0.07""",
     "strip_scope": """SELECT c_custkey AS subject_id, CASE c_custkey % 8 WHEN 0 THEN 'notice rules' WHEN 1 THEN 'notice rules' WHEN 2 THEN 'overtime' WHEN 3 THEN 'paid leave' WHEN 4 THEN 'differences' WHEN 6 THEN 'severance' WHEN 7 THEN 'inland notice' END AS subject_out, true AS changed, c_custkey % 8 = 5 AS became_empty, 'pay' AS terms FROM customer""",
@@ -369,7 +422,7 @@ ORACLE_SQL = {
     "heading_entities": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 25 <> (c_custkey * 7 + 1) % 25 THEN NULL ELSE 'N' || CAST(c_custkey % 25 AS VARCHAR) END AS entity_code FROM customer",
     "filter_conflicts": "SELECT k AS text_id, k % 3 > 0 AND k % 2 = 1 AS conflict FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
     "answer_mentions": "WITH w AS (SELECT doc_id, ' ' || array_to_string(" + _EVW.format(t="text") + ", ' ') || ' ' AS w FROM documents), g AS (SELECT doc_id, contains(w, ' of the ') OR contains(w, ' the and ') AS a, contains(w, ' in ') OR contains(w, ' la ') OR contains(w, ' die ') AS b FROM w) SELECT doc_id AS answer_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN a AND b ELSE a OR b END AS mentions FROM g",
-    "same_subjects": "SELECT k AS text_id, k % 5 > 0 AND k % 6 < 3 AS same FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
+    "same_subjects": W + _beside_sql(_SAME) + ", r AS (SELECT text_id, " + _ASCII.format(t="array_to_string(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+'), lambda w: lower(w) <> 'peru'), ' ')") + " AS rest FROM x) SELECT text_id, text_id % 5 <> 0 AND " + _any("rest", V.SAME_SUBJECT_PATTERNS) + " AS same FROM r",
     "local_followups": "SELECT conv_id, turn, 'replace_country' AS operation, CASE WHEN k % 3 = 0 THEN 'comparison' ELSE 'information' END AS type, CASE WHEN k % 4 = 0 THEN 'PE' ELSE 'PE,ES' END AS codes, 's' AS subject FROM (SELECT *, turn + conv_id AS k FROM conversations) WHERE k % 2 = 0 AND k % 3 < 2 AND (k % 3 = 1 OR k % 4 > 0)",
     "carry_context": "WITH RECURSIVE " + _OPS + """, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM ops),
   r AS (SELECT conv_id, turn, i, 'pass' AS resolution, 'information' AS type, codes AS out_codes, subject AS out_subject, CAST(NULL AS VARCHAR) AS reason, len(codes) > 0 AND coalesce(op, '') <> 'ambiguous' AS live FROM o WHERE i = 1
