@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions import values as V
+from lectern.operators.evidence import answer_mentions
 from lectern.sources.dims import small
+from lectern.sources.store import cut
 
 STRICT, LOOSE = r"\[\d+(?:\s*,\s*\d+)*\]", r"\[[0-9][0-9,\s;]*\]"
 BULLET = r"^\s*[-*•]\s+"
@@ -150,12 +152,30 @@ def false_absence(answer: Column, context: Column) -> Column:
     return X.any_pattern(F.lower(answer), V.ABSENCE_PATTERNS) & F.coalesce(F.lower(context).rlike(V.DURATION), F.lit(False))
 
 
+def subject_drift(answers: DataFrame, specs: DataFrame, insufficient: DataFrame) -> DataFrame:
+    """ANS16: ``answer_id, spec_idx`` of answers that don't engage the subject of a spec.
+
+    ``specs(answer_id, spec_idx, codes, concepts (array of arrays), evidence_mode)``; specs without mode or concepts
+    are not checked, nor are those all of whose codes are in ``insufficient(answer_id, spec_idx, code)``.
+    """
+    keys = ["answer_id", "spec_idx"]
+    own = specs.where(F.col("evidence_mode").isNotNull() & (F.size("concepts") > 0))
+    alive = own.select(*keys, F.explode("codes").alias("code")).join(insufficient, [*keys, "code"], "left_anti").select(*keys).distinct()
+    own = own.join(alive, keys, "left_semi")
+    terms = own.select(*keys, F.posexplode("concepts").alias("group_idx", "g")).select(*keys, "group_idx", F.explode("g").alias("term"))
+    bodies = answers.select("answer_id", F.col("answer").alias("body")).join(own.select(*keys), "answer_id")
+    said = answer_mentions(bodies, terms, own.select(*keys, F.col("evidence_mode").alias("mode"), F.size("concepts").alias("n_groups")), tuple(keys))
+    return said.where("not mentions").select(*keys)
+
+
 def quality_report(answers: DataFrame, sources: DataFrame, names: DataFrame, drift: DataFrame | None = None) -> DataFrame:
     """ANS17: ``answer_id, hard, soft, verdict``: sorted error types and ``ok``, ``repair`` or ``accept_soft``.
 
     ``answers(answer_id, question, answer, codes)``, ``sources(answer_id, citation, country_code, content)``;
-    ``drift(answer_id)`` lists subject drift (ANS16). Claims are checked only where the structure is clean.
+    ``drift(answer_id)`` lists subject drift (ANS16). Claims are checked only where the structure is clean. Answers
+    are read, and taken apart into lines, once: both are written between the steps.
     """
+    answers = cut(answers.select("answer_id", "question", "answer", "codes"), "answers")
     per = sources.groupBy("answer_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "content"))), lambda x: x["content"]), "\n").alias("context"))
     rows = answers.join(per, "answer_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
     flags = {
@@ -166,8 +186,8 @@ def quality_report(answers: DataFrame, sources: DataFrame, names: DataFrame, dri
         "false_absence_claim": false_absence(F.col("answer"), F.coalesce("context", F.lit(""))),
     }
     errors = rows.select("answer_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))).alias("error"))
-    parsed = parse_canonical(answers, names)
-    broken = structure_errors(answers, parsed).select("answer_id")
+    parsed = cut(parse_canonical(answers, names), "lines")
+    broken = cut(structure_errors(answers, parsed).select("answer_id"), "broken")
     claims = extract_claims(parsed).join(broken, "answer_id", "left_anti")
     for name, df in (("structure", broken), ("uncited_claims", uncited_claims(claims)), ("citation_entity_mismatch", citation_mismatch(claims, sources)), ("bullet_limits", bullet_limits(answers, parsed)), ("missing_entities", missing_entities(answers, names)), ("repeated_bullets", repeated_bullets(claims)), *([("subject_drift", drift)] if drift is not None else [])):
         errors = errors.unionByName(df.select("answer_id", F.lit(name).alias("error")).distinct())

@@ -96,12 +96,12 @@ def gate_hits(specs: DataFrame, hits: DataFrame, grades: DataFrame) -> tuple[Dat
     return kept, keys, shared.where("out").select("query_id", "code")
 
 
-def answer_mentions(answers: DataFrame, terms: DataFrame, modes: DataFrame) -> DataFrame:
-    """EVD6: ``answer_id, mentions``: every group for relations, any for direct topics; broad or no concepts: true.
+def answer_mentions(answers: DataFrame, terms: DataFrame, modes: DataFrame, keys: tuple[str, ...] = ("answer_id",)) -> DataFrame:
+    """EVD6: ``keys, mentions``: every group for relations, any for direct topics; broad or no concepts: true.
 
-    ``answers(answer_id, body)``, ``terms(answer_id, group_idx, term)``, ``modes(answer_id, mode, n_groups)``.
+    ``answers(keys, body)``, ``terms(keys, group_idx, term)``, ``modes(keys, mode, n_groups)``.
     """
-    at = concept_positions(answers, terms, ["answer_id"]).groupBy("answer_id").agg(F.countDistinct("group_idx").alias("found"))
-    rows = modes.join(at, "answer_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    at = concept_positions(answers, terms, list(keys)).groupBy(*keys).agg(F.countDistinct("group_idx").alias("found"))
+    rows = modes.join(at, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(0)))
     ok = F.when((F.col("mode") == "broad_topic") | (F.col("n_groups") == 0), True).when(F.col("mode") == "relation_required", F.col("found") == F.col("n_groups")).otherwise(F.col("found") > 0)
-    return rows.select("answer_id", ok.alias("mentions"))
+    return rows.select(*keys, ok.alias("mentions"))

@@ -16,31 +16,35 @@ def facet_country(chunks: DataFrame, limit: int = COUNTRIES) -> DataFrame:
     return per.select("country_code", F.coalesce("country", "country_code").alias("country"), "chunk_count").orderBy("country_code").limit(limit)
 
 
-def facet_value(chunks: DataFrame, column: str, limit: int, longest: int | None = None) -> DataFrame:
-    """AGG2, AGG3: ``value, chunk_count`` of a column, nulls and overlong values left out, in order of value."""
+def facet_value(chunks: DataFrame, column: str, limit: int | None, longest: int | None = None) -> DataFrame:
+    """AGG2, AGG3: ``value, chunk_count`` of a column, nulls and overlong values left out, in order of value; all values if ``limit`` is None."""
     rows = chunks.where(F.col(column).isNotNull())
     if longest is not None:
         rows = rows.where(F.length(column) <= longest)
-    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("chunk_count")).orderBy("value").limit(limit)
+    per = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("chunk_count"))
+    return per if limit is None else per.orderBy("value").limit(limit)
 
 
-def facet_topic(chunks: DataFrame) -> DataFrame:
-    return facet_value(chunks, "legal_topic", TOPICS)
+def facet_topic(chunks: DataFrame, limit: int | None = TOPICS) -> DataFrame:
+    return facet_value(chunks, "legal_topic", limit)
 
 
-def facet_subsection(chunks: DataFrame) -> DataFrame:
-    return facet_value(chunks, "subsection", SUBSECTIONS, LONGEST)
+def facet_subsection(chunks: DataFrame, limit: int | None = SUBSECTIONS) -> DataFrame:
+    return facet_value(chunks, "subsection", limit, LONGEST)
 
 
-def catalog(chunks: DataFrame) -> DataFrame:
-    """AGG4: all three facets in one scan, by grouping sets: ``facet, value, chunk_count``."""
+def catalog(chunks: DataFrame, countries: int | None = COUNTRIES, topics: int | None = TOPICS, subsections: int | None = SUBSECTIONS) -> DataFrame:
+    """AGG4: all three facets in one scan, by grouping sets: ``facet, value, chunk_count``; a bound of None lists all values."""
     code, topic, sub = F.upper(F.trim("country_code")).alias("c"), F.col("legal_topic").alias("t"), F.col("subsection").alias("s")
     sets = chunks.select(code, topic, sub).groupingSets([["c"], ["t"], ["s"]], "c", "t", "s").agg(F.grouping_id().alias("g"), F.count("*").alias("chunk_count"))
     facet = F.when(F.col("g") == 3, "country").when(F.col("g") == 5, "topic").otherwise("subsection")
     value = F.when(F.col("g") == 3, F.col("c")).when(F.col("g") == 5, F.col("t")).otherwise(F.col("s"))
     rows = sets.select(facet.alias("facet"), value.alias("value"), "chunk_count").where(F.col("value").isNotNull())
     rows = rows.where((F.col("facet") != "subsection") | (F.length("value") <= LONGEST))
-    bound = F.when(F.col("facet") == "country", COUNTRIES).when(F.col("facet") == "topic", TOPICS).otherwise(SUBSECTIONS)
+    if countries is topics is subsections is None:
+        return rows
+    most = [F.lit(n).cast("long") if n is not None else F.lit((1 << 63) - 1) for n in (countries, topics, subsections)]
+    bound = F.when(F.col("facet") == "country", most[0]).when(F.col("facet") == "topic", most[1]).otherwise(most[2])
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("facet").orderBy("value"))).where(F.col("n") <= bound).drop("n")
 
 
@@ -63,8 +67,7 @@ def document_inventory(chunks: DataFrame, files: DataFrame | None = None, limit:
     if files is not None:
         status = match_files(rows.select("document_id", "country_code", "source_filename"), files).select("document_id", F.when(F.col("status") == "resolved", "indexed").when(F.col("status") == "conflict", "indexed_source_conflict").otherwise("indexed_source_missing").alias("status"))
         rows = rows.join(status, "document_id", "left")
-    rows = rows.orderBy("document_id")
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("document_id").limit(limit)
 
 
 def existing_documents(chunks: DataFrame, code: str) -> DataFrame:

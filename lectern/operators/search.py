@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions import values as V
+from lectern.sources.store import cut
 
 K1, B = 1.2, 0.75
 BOOSTS = {"content": 5.0, "subsection": 3.0, "section": 2.0}
@@ -38,7 +39,9 @@ def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame |
     flat = per.select("field", "chunk_id", "dl", F.explode("words").alias("term"))
     if only_terms is not None:
         flat = flat.join(_bounded(only_terms.select("term").distinct()), "term", "left_semi")
-    postings = flat.groupBy("field", "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    # written once: document frequencies, and every query over this index, read it back
+    postings = cut(flat.groupBy("field", "term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    stats = cut(stats, "field-stats")
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(postings, stats, terms)
 
@@ -54,11 +57,11 @@ def required_terms(n_terms: Column, filtered: Column) -> Column:
     return F.when(filtered, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(0.7 * n_terms).cast("int")))
 
 
-def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], allowed: DataFrame | None = None, digits: int = 4) -> DataFrame:
+def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], digits: int = 4) -> DataFrame:
     """RNK2: ``queries(query_id, query, filtered)`` -> ``query_id, chunk_id, score``: the best field plus ``TIE`` times the others.
 
-    A field counts only if it holds the required number of query terms. Statistics are those of the whole corpus;
-    ``allowed(query_id, chunk_id)`` restricts the chunks before they are scored.
+    A field counts only if it holds the required number of query terms. Statistics are those of the whole corpus, so
+    filters may be applied to the hits.
     """
     terms = query_terms(queries)
     need = queries.select("query_id", F.coalesce("filtered", F.lit(False)).alias("_filtered")) if "filtered" in queries.columns else queries.select("query_id", F.lit(False).alias("_filtered"))
@@ -69,8 +72,6 @@ def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], allo
     # for each field at most a row for each term of a query, so the query table tells its size without a scan of the corpus
     small = terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS
     hits = index.postings.join(F.broadcast(asked) if small else asked, ["field", "term"])
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
     boost = F.lit(0.0)
     for field, b in boosts.items():
         boost = F.when(F.col("field") == field, b).otherwise(boost)
@@ -110,33 +111,68 @@ def filters_given(queries: DataFrame) -> Column:
     return F.greatest(*[F.coalesce(F.size(c), F.lit(0)) for c in ("country_codes", "legal_topics", "subsections")]) > 0
 
 
-def filter_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """FLT1 and FLT2: ``(query_id, chunk_id)`` pairs that pass all filters of a query.
+_KEYS = ("_code", "_topic", "_sub", "_lang", "_year")
 
-    List filters restrict by membership, an empty or null list doesn't; language and year by equality. ``Contact``
-    chunks pass only if the query asks for that subsection. The list filter on countries is an equi-join when given.
-    """
-    clean = queries.select(
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """The filters of each query as keys: a row for each combination of its list values, null where it doesn't filter; ``_mask`` tells which keys are set."""
+    none = F.array().cast("array<string>")
+    rows = queries.select(
         "query_id",
-        X.dedupe_list(F.coalesce("country_codes", F.array().cast("array<string>")), lambda v: F.upper(X.squash_ws(v))).alias("_codes"),
-        X.dedupe_list(F.coalesce("legal_topics", F.array().cast("array<string>"))).alias("_topics"),
-        X.dedupe_list(F.coalesce("subsections", F.array().cast("array<string>"))).alias("_subs"),
+        X.dedupe_list(F.coalesce("country_codes", none), lambda v: F.upper(X.squash_ws(v))).alias("_codes"),
+        X.dedupe_list(F.coalesce("legal_topics", none)).alias("_topics"),
+        X.dedupe_list(F.coalesce("subsections", none)).alias("_subs"),
         F.lower(F.trim("language")).alias("_lang"),
         F.col("reference_year").alias("_year"),
     )
-    cols = chunks.select("chunk_id", "country_code", "legal_topic", "subsection", F.col("language").alias("_language"), F.col("reference_year").alias("_y"))
-    member = lambda arr, c: (F.size(arr) == 0) | F.coalesce(F.array_contains(arr, F.col(c)), F.lit(False))
-    rest = member("_topics", "legal_topic") & member("_subs", "subsection") & (F.col("_lang").isNull() | (F.col("_lang") == F.col("_language"))) & (F.col("_year").isNull() | (F.col("_year") == F.col("_y"))) & (~F.col("subsection").eqNullSafe(F.lit("Contact")) | F.array_contains("_subs", "Contact"))
-    by_code = clean.where(F.size("_codes") > 0).withColumn("country_code", F.explode("_codes"))
-    some = cols.join(_bounded(by_code), "country_code").where(rest)
-    # a query without countries ranges over all chunks; queries are the bounded side
-    every = cols.join(_bounded(clean.where(F.size("_codes") == 0)), rest)
-    return some.select("query_id", "chunk_id").unionByName(every.select("query_id", "chunk_id"))
-
-
-def exclude_contact(chunks: DataFrame) -> DataFrame:
-    """FLT2 without a query: chunks that are not contacts; null subsections stay."""
-    return chunks.where(~F.col("subsection").eqNullSafe(F.lit("Contact")))
+    for many, one in (("_codes", "_code"), ("_topics", "_topic"), ("_subs", "_sub")):
+        rows = rows.withColumn(one, F.explode_outer(many)).drop(many)
+    mask = F.lit(0)
+    for i, k in enumerate(_KEYS):
+        mask = mask + F.when(F.col(k).isNotNull(), 1 << i).otherwise(0)
+    return rows.withColumn("_mask", mask)
+
+
+def _allowed(rows: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with a chunk's attributes, for each query whose filters they pass: an equi-join on the keys that the query sets. ``on`` are further keys."""
+    # five filters make 32 kinds of query at most
+    kinds = sorted(r[0] for r in asked.select("_mask").distinct().collect())
+    masks = F.explode(F.array(*[F.lit(m) for m in kinds])) if kinds else F.lit(-1)
+    own = (F.col("country_code"), F.col("legal_topic"), F.col("subsection"), F.col("language"), F.col("reference_year"))
+    each = rows.withColumn("_m", masks)
+    # contacts come only to those who ask for that subsection
+    each = each.where(~F.col("subsection").eqNullSafe(F.lit("Contact")) | (F.col("_m").bitwiseAND(4) != 0))
+    each = each.withColumns({f"{k}_c": F.when(F.col("_m").bitwiseAND(1 << i) != 0, c) for i, (k, c) in enumerate(zip(_KEYS, own, strict=True))})
+    same = F.col("_m") == F.col("_mask")
+    for k in _KEYS:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_c"))
+    for c in on:
+        same = same & (each[c] == asked[c])
+    return each.join(_bounded(asked), same)
+
+
+def filter_chunks(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """FLT1 and FLT2: ``(query_id, chunk_id)`` pairs that pass all filters of a query.
+
+    List filters restrict by membership, an empty or null list doesn't; language and year by equality. ``Contact``
+    chunks pass only if the query asks for that subsection.
+    """
+    cols = chunks.select("chunk_id", "country_code", "legal_topic", "subsection", "language", "reference_year")
+    return _allowed(cols, _asked(queries), []).select("query_id", "chunk_id")
+
+
+def filter_counts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, n, first``: how many chunks pass and the smallest of them; chunks are counted by their attributes first."""
+    attributes = ["country_code", "legal_topic", "subsection", "language", "reference_year"]
+    kinds = chunks.groupBy(*attributes).agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
+    return _allowed(kinds, _asked(queries), []).groupBy("query_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def filter_hits(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """FLT1 and FLT2 on ``hits(query_id, chunk_id, ...)``: those that pass the filters of their query."""
+    cols = chunks.select("chunk_id", "country_code", "legal_topic", "subsection", "language", "reference_year")
+    asked = _asked(queries)
+    return _allowed(hits.join(cols, "chunk_id"), asked, ["query_id"]).select(*[hits[c] for c in hits.columns])
 
 
 def filter_conflict(explicit: Column, action: Column) -> Column:

@@ -36,12 +36,16 @@ def topic_balanced(hits: DataFrame, limit: Column | int, topics: str = "topics",
 
 
 def retrieve_per_topic(queries: DataFrame, chunks: DataFrame, index: Index, boosts: dict[str, float], pool: int = POOL) -> DataFrame:
-    """RNK11: ``queries(query_id, query, topics, limit)``: a ranking for each topic, interleaved, then balanced; one broad ranking if no topic finds anything."""
-    topical = queries.select("query_id", "query", F.lit(True).alias("filtered"), "topics", "limit", F.posexplode("topics").alias("group_idx", "topic"))
-    each = topical.select(F.concat_ws("|", F.col("query_id").cast("string"), F.col("group_idx").cast("string")).alias("query_id"), "query", "filtered", "topic", F.col("query_id").alias("_q"), "group_idx")
+    """RNK11: ``queries(query_id, query, topics, limit)``: a ranking for each topic, interleaved, then balanced; one broad ranking if no topic finds anything.
+
+    Every query is scored once, its topics meet the hits.
+    """
+    topical = queries.select("query_id", F.posexplode("topics").alias("group_idx", "topic"))
     meta = chunks.select("chunk_id", "legal_topic")
-    hits = bm25_search(each.select("query_id", "query", "filtered"), index, boosts).join(each.select("query_id", "topic", "_q", "group_idx"), "query_id").join(meta, "chunk_id").where("legal_topic = topic")
-    ranked = top_k(hits, pool).select(F.col("_q").alias("query_id"), "group_idx", "chunk_id", "legal_topic", "score", "rank")
+    scored = bm25_search(queries.select("query_id", "query", F.lit(True).alias("filtered")), index, boosts).join(meta, "chunk_id")
+    hits = scored.join(topical, "query_id").where("legal_topic = topic")
+    w = Window.partitionBy("query_id", "group_idx").orderBy(F.desc("score"), "chunk_id")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool).select("query_id", "group_idx", "chunk_id", "legal_topic", "score", "rank")
     joined = interleave(ranked, pool).withColumn("rank", F.col("position")).drop("position")
     broad = bm25_search(queries.select("query_id", "query").join(joined.select("query_id").distinct(), "query_id", "left_anti"), index, boosts).join(meta, "chunk_id")
     broad = top_k(broad, pool).select("query_id", F.lit(0).alias("group_idx"), "chunk_id", "legal_topic", "score", "rank")
@@ -97,11 +101,7 @@ def context_budget(hits: DataFrame, total: int = TOTAL_CHARS, per_source: int =
     return cut.withColumn("excerpt", X.truncate_at_paragraph(F.col("content"), F.col("budget"))).drop("_i", "content", "country_no")
 
 
-def merge_codes(a: Column, b: Column, cap: int) -> Column:
-    """SET5: an ordered union with a cap."""
-    return F.slice(F.array_distinct(F.concat(a, b)), 1, cap)
-
-
-def split_by_catalog(codes: Column, catalog: Column) -> tuple[Column, Column]:
-    """SET2: available and unavailable codes."""
-    return F.array_intersect(codes, catalog), F.array_except(codes, catalog)
+def merge_codes(a: Column, b: Column, cap: int | None = None) -> Column:
+    """SET5: an ordered union, cut to ``cap`` codes if that is given."""
+    both = F.array_distinct(F.concat(a, b))
+    return both if cap is None else F.slice(both, 1, cap)

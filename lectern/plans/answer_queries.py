@@ -10,7 +10,7 @@ from lectern.operators import answers as A
 from lectern.operators import search, select
 from lectern.plans import inputs as I
 from lectern.plans import search_queries as S
-from lectern.plans.text_queries import _any, _strings
+from lectern.plans.text_queries import _EVW, CONCEPTS, _any, _strings
 
 NAMES = [(f"SRC{i}", f"SRC{i}") for i in range(6)]
 
@@ -105,8 +105,24 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     return I.sources(spark, d).withColumn("content", F.lit("text"))
 
 
+def _drift(spark: SparkSession, d: str) -> DataFrame:
+    """Each answer with a spec of two concept groups, and one without any; the own code of every fourth is insufficient."""
+    k = F.col("answer_id")
+    mode = F.when(k % 3 == 0, "broad_topic").when(k % 3 == 1, "relation_required").otherwise("direct_topic")
+    concepts = F.array(*[F.array(*[F.lit(t) for t in g]) for g in CONCEPTS])
+    rows = _answers(spark, d).select("answer_id", "answer", F.slice("codes", 1, 1).alias("codes"))
+    two = F.array(F.struct(F.lit(0).alias("spec_idx"), concepts.alias("concepts"), mode.alias("evidence_mode")), F.struct(F.lit(1).alias("spec_idx"), F.array().cast("array<array<string>>").alias("concepts"), F.lit("direct_topic").alias("evidence_mode")))
+    specs = rows.select("answer_id", "codes", F.explode(two).alias("s")).select("answer_id", "codes", "s.*")
+    poor = specs.where("answer_id % 4 = 0").select("answer_id", "spec_idx", F.explode("codes").alias("code"))
+    return A.subject_drift(rows, specs, poor)
+
+
+def subject_drift(spark: SparkSession, d: str) -> DataFrame:
+    return _drift(spark, d)
+
+
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    q = A.quality_report(_answers(spark, d), _sources(spark, d), _names(spark))
+    q = A.quality_report(_answers(spark, d), _sources(spark, d), _names(spark), _drift(spark, d))
     return q.select("answer_id", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"), "verdict")
 
 
@@ -150,7 +166,7 @@ def merged_scopes(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", F.array_join("codes", ",").alias("codes"), F.array_join("topics", ",").alias("topics"))
 
 
-QUERIES = {f.__name__: f for f in (citations, citation_checks, loose_sections, canonical_lines, claims, structure_errors, uncited_claims, citation_mismatch, bullet_limits, missing_entities, repeated_bullets, wording_checks, quality_report, chosen_attempts, renumber_citations, context_texts, cited_sources, contact_sections, merged_scopes)}
+QUERIES = {f.__name__: f for f in (citations, citation_checks, loose_sections, canonical_lines, claims, structure_errors, uncited_claims, citation_mismatch, bullet_limits, missing_entities, repeated_bullets, wording_checks, subject_drift, quality_report, chosen_attempts, renumber_citations, context_texts, cited_sources, contact_sections, merged_scopes)}
 
 W = "WITH "
 _LINES = I.ANSWERS_SQL + ", ls AS (SELECT answer_id, string_split(answer, chr(10)) AS l FROM answers), li AS (SELECT answer_id, unnest(l) AS raw, unnest(range(0, len(l))) AS n FROM ls), ln AS (SELECT *, trim(raw) AS line, starts_with(raw, '- ') AS bullet FROM li WHERE trim(raw) <> '')"
@@ -166,8 +182,10 @@ _CLAIMS = _PARSED + ", cl AS (SELECT answer_id, section_no, bullet_no, code, com
 _ODD = I.ANSWERS_SQL + ", odd AS (SELECT answer_id, CASE WHEN answer_id % 5 = 2 THEN '' ELSE answer END || CASE answer_id % 5 WHEN 0 THEN ' [1, 3; 2]' WHEN 1 THEN ' x [2], [2] [2] y' WHEN 2 THEN ' none' ELSE ' [1, 2]. [1, 2] end' END AS answer FROM answers)"
 _BROKEN = ", bad AS (SELECT answer_id, min(p) AS p FROM (SELECT answer_id, 3 AS p FROM pc WHERE section_no = 1 GROUP BY answer_id HAVING count(*) FILTER (bullet) = 0 UNION ALL SELECT answer_id, 4 FROM answers WHERE answer_id % 3 = 0) GROUP BY answer_id)"
 _MISMATCH = ", mm AS (SELECT DISTINCT c.answer_id, c.bullet_no, s.citation, c.code, s.country_code FROM (SELECT answer_id, bullet_no, code, unnest(cited) AS x FROM cc WHERE code IS NOT NULL AND NOT comparison) c JOIN sources s ON s.answer_id = c.answer_id AND s.citation = c.x WHERE s.country_code <> c.code)"
+_DRIFT = ", dw AS (SELECT answer_id, ' ' || array_to_string(" + _EVW.format(t="answer") + ", ' ') || ' ' AS w FROM answers), dg AS (SELECT answer_id, contains(w, ' of the ') OR contains(w, ' the and ') AS a, contains(w, ' in ') OR contains(w, ' la ') OR contains(w, ' die ') AS b FROM dw), drift AS (SELECT answer_id FROM dg WHERE answer_id % 4 > 0 AND NOT CASE answer_id % 3 WHEN 0 THEN true WHEN 1 THEN a AND b ELSE a OR b END)"
 
 ORACLE_SQL = {
+    "subject_drift": W + I.ANSWERS_SQL + _DRIFT + " SELECT answer_id, 0 AS spec_idx FROM drift",
     "citations": W + I.ANSWERS_SQL + ", c AS (SELECT answer_id, " + _CITED.format(t="answer") + " AS c FROM answers), u AS (SELECT answer_id, unnest(c) AS citation, unnest(range(0, len(c))) AS i FROM c), f AS (SELECT answer_id, citation, min(i) AS i FROM u GROUP BY answer_id, citation) SELECT answer_id, CAST(row_number() OVER (PARTITION BY answer_id ORDER BY i) - 1 AS INTEGER) AS pos, citation FROM f",
     "citation_checks": W + _ODD + ", c AS (SELECT *, " + _CITED.format(t="answer") + " AS c FROM odd) SELECT answer_id, len(list_filter(regexp_extract_all(answer, '\\[[0-9][0-9,\\s;]*\\]'), lambda g: NOT regexp_matches(g, '^\\[\\d+(?:\\s*,\\s*\\d+)*\\]$'))) > 0 AS format_error, len(c) = 0 OR len(list_filter(c, lambda x: x < 1 OR x > 6)) > 0 AS range_error, sha256(replace(replace(answer, '[2], [2] [2]', '[2],'), '[1, 2]. [1, 2]', '[1, 2].')) AS collapsed FROM c",
     "loose_sections": W + _PARSED + " SELECT answer_id, section_no, max(CASE WHEN NOT bullet THEN line END) AS heading, max(CASE WHEN NOT bullet THEN line END) = 'Comparison' AS is_comparison, count(*) FILTER (bullet) AS bullets FROM pc GROUP BY answer_id, section_no",
@@ -182,16 +200,16 @@ ORACLE_SQL = {
     "wording_checks": f"""WITH own AS (SELECT doc_id, text AS a, text AS c FROM documents), x AS (SELECT doc_id, a, c FROM own UNION ALL SELECT -1 - doc_id, ({_strings(_WORDINGS)})[doc_id % 6 + 1], c || CASE WHEN doc_id % 4 = 0 THEN ' within 3 months' ELSE '' END FROM own),
   f AS (SELECT *, list_filter({_strings(V.FORBIDDEN_PHRASES)}, lambda p: contains(lower(a), p)) AS p FROM x)
   SELECT doc_id, CASE WHEN len(p) > 0 THEN array_to_string(p, ',') WHEN {_any("lower(a)", V.FORBIDDEN_PATTERNS)} THEN 'internal-mechanism phrasing' ELSE '' END AS phrases, doc_id % 2 = 0 AND contains(lower(a), 'unpaid leave') AS paired, {_any("lower(a)", V.ABSENCE_PATTERNS)} AND {_any("lower(c)", (V.DURATION,))} AS absence FROM f""",
-    "quality_report": W + _CLAIMS + ", " + I.SOURCES_SQL + _BROKEN + _MISMATCH + """, ok AS (SELECT * FROM cc WHERE answer_id NOT IN (SELECT answer_id FROM bad)),
+    "quality_report": W + _CLAIMS + ", " + I.SOURCES_SQL + _BROKEN + _MISMATCH + _DRIFT + """, ok AS (SELECT * FROM cc WHERE answer_id NOT IN (SELECT answer_id FROM bad)),
   ct AS (SELECT answer_id, """ + _CITED.format(t="answer") + """ AS c, answer FROM answers),
   e AS (SELECT answer_id, 'citation_range' AS e FROM ct WHERE len(c) = 0 OR len(list_filter(c, lambda x: x < 1 OR x > 6)) > 0
-   UNION SELECT answer_id, 'structure' FROM bad UNION SELECT answer_id, 'uncited_claims' FROM ok WHERE trim(claim) <> '' AND len(cited) = 0
+   UNION SELECT answer_id, 'subject_drift' FROM drift UNION SELECT answer_id, 'structure' FROM bad UNION SELECT answer_id, 'uncited_claims' FROM ok WHERE trim(claim) <> '' AND len(cited) = 0
    UNION SELECT answer_id, 'citation_entity_mismatch' FROM mm WHERE answer_id NOT IN (SELECT answer_id FROM bad)
    UNION SELECT answer_id, 'missing_entities' FROM answers WHERE answer_id % 3 = 0 AND NOT contains(lower(answer), 'src5')
    UNION SELECT answer_id, 'bullet_limits' FROM (SELECT answer_id, comparison, section_no, count(*) FILTER (bullet) AS b FROM pc GROUP BY ALL) GROUP BY answer_id HAVING CASE WHEN answer_id % 3 = 0 THEN max(CASE WHEN NOT comparison THEN b END) > 4 OR count(*) FILTER (comparison) > 1 OR max(CASE WHEN comparison THEN b END) > 2 ELSE max(CASE WHEN NOT comparison THEN b END) > 6 END
    UNION SELECT answer_id, 'repeated_bullets' FROM (SELECT answer_id, trim(regexp_replace(lower(regexp_replace(claim, '\\[[0-9][0-9,\\s;]*\\]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS b FROM ok) WHERE b <> '' GROUP BY answer_id, b HAVING count(*) > 1),
-  p AS (SELECT answer_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('citation_range', 'uncited_claims', 'citation_entity_mismatch', 'missing_entities')), '') AS hard, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('structure', 'bullet_limits', 'repeated_bullets')), '') AS soft FROM answers LEFT JOIN e USING (answer_id) GROUP BY answer_id)
-  SELECT answer_id, hard, soft, CASE WHEN hard <> '' OR contains(soft, 'structure') THEN 'repair' WHEN soft <> '' THEN 'accept_soft' ELSE 'ok' END AS verdict FROM p""",
+  p AS (SELECT answer_id, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('citation_range', 'uncited_claims', 'citation_entity_mismatch', 'missing_entities')), '') AS hard, coalesce(string_agg(e, ',' ORDER BY e) FILTER (e IN ('structure', 'bullet_limits', 'repeated_bullets', 'subject_drift')), '') AS soft FROM answers LEFT JOIN e USING (answer_id) GROUP BY answer_id)
+  SELECT answer_id, hard, soft, CASE WHEN hard <> '' OR contains(soft, 'structure') OR contains(soft, 'subject_drift') THEN 'repair' WHEN soft <> '' THEN 'accept_soft' ELSE 'ok' END AS verdict FROM p""",
     "chosen_attempts": "SELECT doc_id AS answer_id, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'second' WHEN doc_id % 2 = 0 THEN 'first' ELSE 'failed' END AS chosen FROM documents",
     "renumber_citations": W + I.ANSWERS_SQL + ", c AS (SELECT *, answer_id % 4 > 0 AND len(list_filter(" + _CITED.format(t="answer") + ", lambda x: x < 1 OR x > 6)) = 0 AS ok FROM answers) SELECT answer_id, sha256(CASE WHEN ok THEN replace(" + _SWAPPED + ", '[#', '[') ELSE answer END) AS answer, ok AS renumbered FROM c",
     "context_texts": S.bm25(S._ONE, "1") + ", " + S._TOP20 + S._budgets(4, 4000, 1000) + ", t AS (SELECT query_id, string_agg('[' || CAST(position AS VARCHAR) || ']' || chr(10) || concat_ws(' | ', country_code, cut.legal_topic, subsection) || chr(10) || excerpt, chr(10) || chr(10) ORDER BY position) AS t FROM cut JOIN (SELECT chunk_id, subsection FROM chunks) USING (chunk_id) GROUP BY query_id) SELECT query_id, sha256(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM t",

@@ -79,12 +79,12 @@ _ALLOWED = """allowed AS (SELECT q.query_id, c.chunk_id FROM queries q JOIN chun
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     chunks, queries = I.chunks(spark, d), _filters(I.queries(spark, d))
     queries = queries.withColumn("filtered", search.filters_given(queries))
-    allowed = search.filter_chunks(queries, chunks)
-    return search.top_k(search.bm25_search(queries, _index(chunks, queries, ["content"]), CONTENT, allowed), 10)
+    hits = search.bm25_search(queries, _index(chunks, queries, ["content"]), CONTENT)
+    return search.top_k(search.filter_hits(hits, queries, chunks), 10)
 
 
 def filter_counts(spark: SparkSession, d: str) -> DataFrame:
-    return search.filter_chunks(_filters(I.queries(spark, d)), I.chunks(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
+    return search.filter_counts(_filters(I.queries(spark, d)), I.chunks(spark, d))
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -123,11 +123,11 @@ def facet_country(spark: SparkSession, d: str) -> DataFrame:
 
 def facet_values(spark: SparkSession, d: str) -> DataFrame:
     c = I.chunks(spark, d)
-    return facets.facet_topic(c).withColumn("facet", F.lit("topic")).unionByName(facets.facet_subsection(c).withColumn("facet", F.lit("subsection")))
+    return facets.facet_topic(c, None).withColumn("facet", F.lit("topic")).unionByName(facets.facet_subsection(c, None).withColumn("facet", F.lit("subsection")))
 
 
 def facet_lang_source(spark: SparkSession, d: str) -> DataFrame:
-    return facets.catalog(I.chunks(spark, d))
+    return facets.catalog(I.chunks(spark, d), None, None, None)
 
 
 def document_inventory(spark: SparkSession, d: str) -> DataFrame:
