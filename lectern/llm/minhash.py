@@ -305,12 +305,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         """The pairs that may be links, with the sizes of their intersections and unions."""
         return cut(measured(docs, cut(possible(pairs, bitmaps, percent), f"{name}-possible"), k), name)
 
-    met = tried(members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")), "stars")
+    stars = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep").distinct()
+    met = tried(stars, "stars")
     edges = met.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if shared is not None:
         edges = edges.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = cut(connected_components(edges), "labels")
-    seen = met.select(F.col("a").alias("rep"), "both", "either").unionByName(met.select(F.col("b").alias("rep"), "both", "either"))
+    # pairs that the bound told apart count as similarity 0, or a set with one near pivot would seem central
+    seen = stars.join(met, ["a", "b"], "left").select("rep", F.coalesce("both", F.lit(0)).alias("both"), F.coalesce("either", F.lit(1)).alias("either"))
     hubs = cut(_central_stars(_open_members(members, labels), seen), "hub-stars")
     hubs = hubs.join(met.select("a", "b"), ["a", "b"], "left_anti")
     labels = joined(labels, tried(hubs, "hub-links").where(_linked(percent)))
