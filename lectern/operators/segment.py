@@ -214,7 +214,9 @@ def extract_contacts(blocks: DataFrame) -> DataFrame:
     phone; a website alone is not enough. Firms and persons are paired by their order in the document, unmatched
     sides stay, repeated (firm, person, email) go.
     """
-    lines = F.filter(F.transform("lines", X.squash_ws), lambda x: x != "")
+    # words that ran together at a line's joints are parted, but not inside addresses of the net
+    parted = F.transform("lines", lambda x: X.squash_ws(F.when(x.rlike(EMAIL) | x.rlike(WEBSITE), x).otherwise(X.repair_joins(x))))
+    lines = F.filter(parted, lambda x: x != "")
     rows = blocks.withColumn("l", F.filter(lines, lambda x: ~F.coalesce(F.lower(x) == F.lower("country"), F.lit(False))))
     text = F.array_join("l", "\n")
     rows = rows.withColumns({"emails": F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))), "phone": F.regexp_extract(text, PHONE, 0), "website": F.regexp_extract(text, WEBSITE, 0), "person": F.exists("l", lambda x: x.rlike(PERSON_MARK + r"\s*:?\s*$"))})

@@ -9,6 +9,8 @@ from lectern.functions import text as X
 from lectern.operators import audit, segment
 from lectern.plans import inputs as I
 from lectern.sources import corpus, dims
+from lectern.sources.store import fresh_path
+from lectern.streaming import streams
 
 US = "\u001f"
 
@@ -251,7 +253,70 @@ def dimension_check(spark: SparkSession, d: str) -> DataFrame:
     return dims.check_dimension(n, "alias", "code", "region", regions)
 
 
-QUERIES = {f.__name__: f for f in (text_blocks, html_headings, table_text, front_matter_cap, title_candidates, document_entities, sections_from_headings, repeated_blocks, split_chunks, chunk_ids, enriched_chunks, document_id_check, contact_fields, contacts, contact_texts, metadata_violations, batch_violations, upsert_stale, upserted_corpus, deleted_corpus, reindexed_corpus, replace_plan, duplicate_texts, source_audit, coverage_report, corpus_validation, structure_profile, suspicious_headings, long_sections, reference_labels, label_candidates, best_heading, indexing_summary, ordered_unions, dimension_check)}
+def corpus_files(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as text files, one folder for each source, listed and hashed; a lock file among them is left out."""
+    path = fresh_path(spark, "files")
+    docs = I.table(spark, d, "documents").select("source", F.col("text").alias("value"))
+    docs.repartition("source").write.partitionBy("source").text(path)
+    spark.range(1).select(F.lit("lock").alias("value")).coalesce(1).write.text(f"{path}/source=~$lock")
+    files = corpus.read_corpus_files(spark, path, "*.txt")
+    named = files.withColumn("source", F.regexp_extract("path", "source=([^/]*)", 1)).where("source not like '~$%' and source not like '%7E%'")
+    return named.groupBy("source").agg(F.sum("length").alias("bytes"), F.count_if(F.length("sha256") == 64).alias("hashed") - F.count("*").alias("n")).toDF("source", "bytes", "unhashed")
+
+
+def replaced_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk table by country, on disk; the countries of every third document are replaced by its shorter version, then it is read back."""
+    path = fresh_path(spark, "chunks")
+    rows = I.chunks(spark, d).select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), "country", "country_code", "legal_topic", "document_type", "language", "section", "subsection", "content", F.lit("f").alias("source_filename"), F.lit("docx").alias("source_format"), F.lit("h").alias("content_hash"), "reference_year")
+    corpus.replace_partition(rows, path)
+    corpus.replace_partition(rows.where("country_code in ('SRC1', 'SRC3') and cast(chunk_id as long) % 3 = 0"), path)
+    back = corpus.scan_chunks(spark, path)
+    one = corpus.scan_by_key(back, "country_code", "SRC1").agg(F.lit("SRC1 alone").alias("country_code"), F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
+    return back.groupBy("country_code").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")).unionByName(one)
+
+
+def incremental_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' chunks arrive as a stream in two loads, the second replacing every document of an even number; the table's current version."""
+    root = fresh_path(spark, "stream")
+    rows = I.chunks(spark, d).select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), "country", "country_code", "legal_topic", "document_type", "language", "section", "subsection", "content", F.lit("f").alias("source_filename"), F.lit("docx").alias("source_format"), F.lit("h").alias("content_hash"), "reference_year")
+    second = rows.where("cast(document_id as long) % 2 = 0 and cast(chunk_id as long) % 4 < 2")
+    for part in (rows, second):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(corpus.CHUNK_SCHEMA).parquet(f"{root}/in")
+        streams.incremental_corpus(stream, f"{root}/table", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    now = streams.current_corpus(spark, f"{root}/table")
+    return now.groupBy("country_code").agg(F.count("*").alias("n"), F.countDistinct("document_id").alias("documents"), F.sum(F.length("content")).alias("chars"))
+
+
+def _dimensions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Topics, subsections and an override taken from the headings of every third page."""
+    heads = segment.carry_headings(_html_blocks(spark, d).where("heading_level is not null and doc_id % 3 = 0"))
+    label = X.topic_label(F.col("text"))
+    topics = heads.where("heading_level = 1").select(label.alias("label"), F.upper(label).alias("topic")).distinct()
+    subs = heads.where("heading_level > 1 and section is not null").select(F.upper(X.topic_label(F.col("section"))).alias("parent"), X.subsection_label(F.col("text")).alias("label"), F.upper(F.col("text")).alias("subsection"))
+    # a label that is written in two ways goes by the smaller one
+    subs = subs.groupBy("parent", "label").agg(F.min("subsection").alias("subsection"))
+    over = heads.where("heading_level = 3").agg(F.min(X.subsection_label(F.col("text"))).alias("label")).select("label", F.lit("OVERRIDE").alias("topic"))
+    return topics, subs, over
+
+
+def classified_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Roles and headings of all blocks of the pages, against dimensions that know some of their headings."""
+    topics, subs, over = _dimensions(spark, d)
+    false = F.lit(False)
+    blocks = _html_blocks(spark, d).withColumns({"numbered": false, "bold": false, "unbolded": F.col("pos") % 7 == 0, "names": F.array().cast("array<string>")})
+    rows = segment.classify_blocks(blocks, topics, subs, over)
+    return rows.select("doc_id", "pos", "role", "section", "topic", "subsection", "island")
+
+
+def named_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as entity names, in another writing, to their codes."""
+    dim = I.table(spark, d, "documents").select(F.concat(F.upper("source"), F.lit(" Land")).alias("alias"), F.concat(F.lit("C"), F.substring("source", 4, 9)).alias("code")).where("code <> 'C2'").distinct()
+    rows = I.table(spark, d, "documents").select("doc_id", F.concat(F.lit(" "), "source", F.lit("_land ")).alias("name"))
+    return dims.join_entity(rows, F.col("name"), dim).select("doc_id", "entity_code")
+
+
+QUERIES = {f.__name__: f for f in (corpus_files, replaced_partitions, incremental_versions, classified_blocks, named_documents, text_blocks, html_headings, table_text, front_matter_cap, title_candidates, document_entities, sections_from_headings, repeated_blocks, split_chunks, chunk_ids, enriched_chunks, document_id_check, contact_fields, contacts, contact_texts, metadata_violations, batch_violations, upsert_stale, upserted_corpus, deleted_corpus, reindexed_corpus, replace_plan, duplicate_texts, source_audit, coverage_report, corpus_validation, structure_profile, suspicious_headings, long_sections, reference_labels, label_candidates, best_heading, indexing_summary, ordered_unions, dimension_check)}
 
 W = "WITH "
 _TAGS = "h1|h2|h3|h4|h5|h6|p|li|td|th|title"
@@ -272,7 +337,27 @@ _CONTACTS = """WITH c AS (SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS doc_id
   p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pair, 'Person ' || k AS person, 'p' || k || '@example.com' AS pe FROM c WHERE i % 2 = 1)
   SELECT coalesce(f.doc_id, p.doc_id) AS doc_id, CAST(coalesce(f.pair, p.pair) AS INTEGER) AS pair, c_name AS member_firm, person AS contact_person, coalesce(pe, fe) AS email, phone, address, CAST(NULL AS VARCHAR) AS website FROM f FULL JOIN p ON f.doc_id = p.doc_id AND f.pair = p.pair"""
 
+# Labels of the pages' headings: numbering and decoration go (their texts hold no dashes or curly apostrophes).
+_LABEL = "trim(regexp_replace(regexp_replace(text, '(?i)^\\s*(?:[|¦=]+\\s*)?(?:(?:\\d{1,2}|[IVX]{1,6})\\s*[.)]\\s*)?', ''), '\\s*[|¦=]+\\s*$', ''))"
+_SUB = "lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)^\\s*[a-z]\\s*[.)]\\s*', ''), '\\s*[:|¦=]+\\s*$', ''), '\\s*/\\s*', '/', 'g'), '\\s*-\\s*', ' - ', 'g')))"
+_CLASSIFIED = _BODY + ", l AS (SELECT *, " + _LABEL + " AS label, " + _SUB + """ AS sub FROM b),
+ hd AS (SELECT *, last_value(CASE WHEN heading_level = 1 THEN label END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS under FROM l WHERE heading_level IS NOT NULL AND doc_id % 3 = 0),
+ tp AS (SELECT DISTINCT lower(label) AS alias, upper(label) AS topic FROM hd WHERE heading_level = 1),
+ sb AS (SELECT upper(under) AS parent, sub, min(upper(text)) AS name FROM hd WHERE heading_level > 1 AND under IS NOT NULL GROUP BY ALL),
+ ov AS (SELECT min(sub) AS sub FROM hd WHERE heading_level = 3),
+ m AS (SELECT l.*, tp.topic AS own, l.sub = ov.sub AND heading_level IS NOT NULL AS over, CASE WHEN l.sub = ov.sub AND heading_level IS NOT NULL THEN 'override' WHEN tp.topic IS NOT NULL AND (heading_level = 1 OR regexp_matches(text, '^\\s*(?:[|¦=]+\\s*)?(?:\\d{1,2}|[IVX]{1,6})\\s*[.)]')) THEN 'topic'
+   WHEN heading_level = 1 AND lower(label) IN ('general', 'employment law overview', 'labour and employment law overview') THEN 'overview' WHEN heading_level = 1 THEN 'generic_main' END AS main FROM l LEFT JOIN tp ON lower(label) = tp.alias CROSS JOIN ov),
+ s AS (SELECT *, last_value(CASE WHEN main IN ('topic', 'overview', 'generic_main') THEN struct_pack(label := label, topic := CASE WHEN main = 'topic' THEN own END, strict := main <> 'generic_main') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sec FROM m),
+ k AS (SELECT s.*, sb.name AS known FROM s LEFT JOIN sb ON s.sec.topic IS NOT DISTINCT FROM sb.parent AND s.sub = sb.sub),
+ r AS (SELECT *, CASE WHEN main IS NOT NULL THEN main WHEN known IS NOT NULL AND coalesce(heading_level IN (2, 4), false) AND pos % 7 <> 0 THEN 'subsection' WHEN NOT coalesce(sec.strict, true) AND coalesce(heading_level = 2, false) THEN 'subsection' ELSE 'content' END AS role FROM k),
+ z AS (SELECT *, last_value(CASE WHEN role <> 'content' THEN struct_pack(role := role, sub := CASE WHEN role = 'subsection' THEN coalesce(known, text) END, t := text) END IGNORE NULLS) OVER w AS last, sum(CASE WHEN role <> 'content' THEN 1 ELSE 0 END) OVER w AS island FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+
 ORACLE_SQL = {
+    "corpus_files": "SELECT source, CAST(sum(octet_length(CAST(encode(text) AS BLOB)) + 1) AS BIGINT) AS bytes, 0 AS unhashed FROM documents GROUP BY source",
+    "replaced_partitions": W + I.CHUNKS_SQL + ", k AS (SELECT country_code, content FROM chunks WHERE country_code NOT IN ('SRC1', 'SRC3') OR chunk_id % 3 = 0) SELECT country_code, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM k GROUP BY country_code UNION ALL SELECT 'SRC1 alone', count(*), CAST(sum(length(content)) AS BIGINT) FROM k WHERE country_code = 'SRC1'",
+    "incremental_versions": W + I.CHUNKS_SQL + ", k AS (SELECT * FROM chunks WHERE document_id % 2 = 1 OR chunk_id % 4 < 2 OR document_id NOT IN (SELECT document_id FROM chunks WHERE document_id % 2 = 0 AND chunk_id % 4 < 2)) SELECT country_code, count(*) AS n, count(DISTINCT document_id) AS documents, CAST(sum(length(content)) AS BIGINT) AS chars FROM k GROUP BY country_code",
+    "classified_blocks": W + _CLASSIFIED + " SELECT doc_id, pos, role, CASE WHEN last.role = 'override' THEN 'OVERRIDE' ELSE sec.label END AS section, CASE WHEN last.role = 'override' THEN 'OVERRIDE' ELSE sec.topic END AS topic, CASE WHEN last.role = 'override' THEN last.t ELSE last.sub END AS subsection, CAST(island AS BIGINT) AS island FROM z",
+    "named_documents": "SELECT doc_id, CASE WHEN source <> 'src2' THEN 'C' || substr(source, 4, 9) END AS entity_code FROM documents",
     "text_blocks": W + I.BLOCKS_SQL + " SELECT doc_id, count(*) AS blocks, max(pos) AS last, CAST(sum(length(text)) AS BIGINT) AS chars FROM blocks GROUP BY doc_id",
     "html_headings": W + _HTML + " SELECT doc_id AS page_id, heading_level, count(*) AS n, min(text) AS first FROM html_blocks WHERE heading_level IS NOT NULL GROUP BY doc_id, heading_level",
     "table_text": "SELECT o_custkey AS doc_id, o_orderkey % 2 AS table_idx, string_agg(o_orderstatus || ' | - | ' || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey, o_orderkey % 2",

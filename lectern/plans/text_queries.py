@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions import values as V
 from lectern.operators import detect, evidence, turns
+from lectern.operators.select import merge_codes
 from lectern.plans import inputs as I
 from lectern.sources import dims
 from lectern.sources.dims import small
@@ -124,6 +125,27 @@ def strip_scope(spark: SparkSession, d: str) -> DataFrame:
     return s.select("subject_id", "subject_out", "changed", "became_empty", F.array_join(F.flatten("concepts_out"), "|").alias("terms"))
 
 
+def lost_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Requests one of whose actions is left without a subject once its frames are gone."""
+    s = detect.canonicalize_subjects(_subjects(spark, d))
+    acts = s.select(F.floor(F.col("subject_id") / 4).alias("query_id"), F.when(F.col("subject_id") % 3 == 0, "contact").otherwise("information").alias("type"), "became_empty")
+    return detect.missing_subject(acts)
+
+
+def removed_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """The codes that the subjects name: nations, and one that stands in none of them."""
+    n = F.col("n")
+    scope = F.array(F.struct(F.lit("n1").alias("code"), F.array(n, F.concat(n, F.lit("ian"))).alias("names")), F.struct(F.lit("ZZ").alias("code"), F.array(F.lit("Inland Empire")).alias("names")))
+    s = detect.canonicalize_subjects(_subjects(spark, d).withColumn("scope", scope))
+    return s.select("subject_id", F.array_join("removed", ",").alias("removed"))
+
+
+def merged_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of each user turn in front of those of its recent questions, cut to three."""
+    h = detect.hints(I.turns(spark, d), _aliases(spark), _rules(spark))
+    return h.select("conv_id", "turn", F.array_join(merge_codes(F.col("codes"), F.col("recent_codes"), 3), ",").alias("merged"))
+
+
 def subject_modes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     none = F.array().cast("array<array<string>>")
@@ -289,7 +311,7 @@ def local_followups(spark: SparkSession, d: str) -> DataFrame:
     return turns.local_followup(now, before).select("conv_id", "turn", "operation", "type", F.array_join("codes", ",").alias("codes"), "subject")
 
 
-QUERIES = {f.__name__: f for f in (normalised_texts, heading_entities, filter_conflicts, answer_mentions, same_subjects, local_followups, entity_mentions, entity_availability, topic_labels, scope_support, entity_only, intent_labels, signal_flags, turn_routes, turn_hints, fuzzy_names, fuzzy_names_levenshtein, strip_scope, subject_modes, concept_positions, relation_proximity, subject_overlap, evidence_grade, evidence_gate, history_violations, action_violations, bounded_history, recent_questions, carry_context, last_context, next_states)}
+QUERIES = {f.__name__: f for f in (normalised_texts, heading_entities, filter_conflicts, answer_mentions, same_subjects, local_followups, entity_mentions, entity_availability, topic_labels, scope_support, entity_only, intent_labels, signal_flags, turn_routes, turn_hints, fuzzy_names, fuzzy_names_levenshtein, strip_scope, lost_subjects, removed_scopes, merged_codes, subject_modes, concept_positions, relation_proximity, subject_overlap, evidence_grade, evidence_gate, history_violations, action_violations, bounded_history, recent_questions, carry_context, last_context, next_states)}
 
 W = "WITH "
 _ACC = "'" + "".join(c for c in X._LATIN if ord(c) < 0x100) + "', '" + "".join(X._LATIN[c] for c in X._LATIN if ord(c) < 0x100) + "'"
@@ -394,12 +416,15 @@ ORACLE_SQL = {
     "intent_labels": W + _beside_sql(_TEXTS) + ", c AS (SELECT text_id, " + _CHAT + " AS t FROM x), h AS (SELECT *, " + _HELP + " AS h FROM c) SELECT text_id, CASE " + _INTENT + " END AS intent FROM h",
     "signal_flags": W + _beside_sql(_TEXTS) + ", c AS (SELECT text_id, regexp_replace(lower(translate(text, '’', '''')), '\\s+', ' ', 'g') AS low, " + _CHAT + " AS t FROM x) SELECT text_id, " + _any("low", _CONTACT) + f" OR (regexp_matches(low, {_quote(_ASKED_OFFICE)}) AND NOT regexp_matches(low, {_quote(_OWN_OFFICE)})) AS contact_request, " + _any("low", (V.REACH_PATTERN,)) + " AS who_to_reach, " + _any("low", (V.COMPARISON_PATTERN,)) + " AS comparison_wording, " + _any("t", V.ADVICE_PATTERNS) + " AS personal_advice FROM c",
     "turn_routes": "SELECT k AS text_id, CASE WHEN k % 5 = 0 AND k % 4 > 0 AND k % 3 > 0 AND k % 7 > 0 THEN 'contact' WHEN k % 4 > 0 AND k % 2 = 0 AND NOT (k % 5 = 0 AND k % 3 = 0) THEN CASE WHEN k % 4 > 1 THEN 'comparison' ELSE 'information' END ELSE 'clarify' END AS route FROM (SELECT conv_id * 1000 + turn AS k FROM conversations)",
+    "merged_codes": W + _KEYED + ", " + _AL + ", " + _RU + ", u AS (SELECT *, array_to_string(list_reverse(list(CASE WHEN trim(text) <> '' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), chr(10)) AS recent FROM k WHERE role = 'user'), r AS (SELECT text_id, " + _ASCII.format(t="recent") + " AS w FROM u), a AS (" + _entities("u", "text_id") + "), b AS (" + _topics("u", "text_id") + "), c AS (" + _entities("r", "text_id") + "), e AS (" + _topics("r", "text_id") + ") SELECT conv_id, turn, array_to_string(list_slice(list_concat(coalesce(a.codes, []), list_filter(coalesce(c.codes, []), lambda x: NOT list_contains(coalesce(a.codes, []), x))), 1, 3), ',') AS merged FROM u LEFT JOIN a USING (text_id) LEFT JOIN c USING (text_id)",
     "turn_hints": W + _KEYED + ", " + _AL + ", " + _RU + ", u AS (SELECT *, array_to_string(list_reverse(list(CASE WHEN trim(text) <> '' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), chr(10)) AS recent FROM k WHERE role = 'user'), r AS (SELECT text_id, " + _ASCII.format(t="recent") + " AS w FROM u), a AS (" + _entities("u", "text_id") + "), b AS (" + _topics("u", "text_id") + "), c AS (" + _entities("r", "text_id") + "), e AS (" + _topics("r", "text_id") + ") SELECT conv_id, turn, coalesce(array_to_string(a.codes, ','), '') AS codes, coalesce(array_to_string(b.topics, ','), '') AS topics, coalesce(array_to_string(c.codes, ','), '') AS recent_codes, coalesce(array_to_string(e.topics, ','), '') AS recent_topics FROM u LEFT JOIN a USING (text_id) LEFT JOIN b USING (text_id) LEFT JOIN c USING (text_id) LEFT JOIN e USING (text_id)",
     "fuzzy_names_levenshtein": W + _NAMES + """, f AS (SELECT c_custkey AS text_id, """ + _ASCII.format(t="substr(name, 1, c_custkey % length(name)) || substr(name, c_custkey % length(name) + 2)") + f""" AS f FROM customer JOIN (SELECT DISTINCT k, name FROM al) ON c_custkey % {len(V.ENTITIES)} = k),
   p AS (SELECT text_id, f, code, max(1 - levenshtein(f, n) / greatest(length(f), length(n))) AS ratio FROM f JOIN al ON abs(length(n) - length(f)) <= 3 WHERE f <> '' GROUP BY text_id, f, code),
   r AS (SELECT *, row_number() OVER w AS r, lead(ratio) OVER w AS second FROM p WINDOW w AS (PARTITION BY text_id ORDER BY ratio DESC, code))
   SELECT text_id, code, round(ratio, 6) AS ratio FROM r WHERE r = 1 AND ratio >= CASE WHEN length(f) <= 4 THEN 0.86 ELSE 0.75 END AND ratio - coalesce(second, 0) >= 0.07""",
     "strip_scope": """SELECT c_custkey AS subject_id, CASE c_custkey % 8 WHEN 0 THEN 'notice rules' WHEN 1 THEN 'notice rules' WHEN 2 THEN 'overtime' WHEN 3 THEN 'paid leave' WHEN 4 THEN 'differences' WHEN 6 THEN 'severance' WHEN 7 THEN 'inland notice' END AS subject_out, true AS changed, c_custkey % 8 = 5 AS became_empty, 'pay' AS terms FROM customer""",
+    "lost_subjects": "SELECT CAST(floor(c_custkey / 4) AS BIGINT) AS query_id, 'missing_topic' AS reason FROM customer WHERE c_custkey % 8 = 5 AND c_custkey % 3 <> 0 GROUP BY floor(c_custkey / 4)",
+    "removed_scopes": "SELECT c_custkey AS subject_id, CASE WHEN c_custkey % 8 = 7 THEN '' ELSE 'N1' END AS removed FROM customer",
     "subject_modes": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'broad_topic' ELSE 'direct_topic' END WHEN c_custkey % 3 = 2 THEN 'relation_required' WHEN c_custkey % 3 = 1 OR c_custkey % 2 = 0 THEN 'direct_topic' ELSE 'broad_topic' END AS mode FROM customer",
     "concept_positions": W + _POS + " SELECT query_id, chunk_id, grp AS group_idx, count(*) AS n, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM found GROUP BY query_id, chunk_id, grp",
     "relation_proximity": W + _POS + " SELECT query_id, chunk_id, bool_or(near) AS related FROM (SELECT a.query_id, a.chunk_id, EXISTS (SELECT 1 FROM found b WHERE b.query_id = a.query_id AND b.chunk_id = a.chunk_id AND b.grp = 1 AND abs(a.pos - b.pos) <= 6) AS near FROM found a WHERE a.grp = 0) GROUP BY query_id, chunk_id",
