@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import audit, facets, turns
@@ -97,3 +98,16 @@ def test_bounded_history_stops_at_the_first_pair_that_exceeds(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert [r.turn for r in turns.bounded_history(df, total=100).orderBy("turn").collect()] == [4, 6]
     assert [r.turn for r in turns.bounded_history(df, messages=2).collect()] == [6]
+
+
+def test_a_cluster_has_to_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lectern.sources import store
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        store.shared_folder(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://x/y/"), sparkContext=cluster.sparkContext)
+    assert store.fresh_path(named, "t").startswith("hdfs://x/y/lectern-")
+    assert store.free_names(spark.range(1).toDF("KEY").withColumn("_key", F.lit(1)), "key", "h") == ["__key", "h"]
