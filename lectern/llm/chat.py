@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.state import free_names
+from lectern.sources.store import free_names
 from lectern.llm.textcols import let, running
 
 #: Records above this size (bytes) don't fit a variant; they are read by the schemas of the registry.

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.state import bounded, cut, free_names
+from lectern.sources.store import bounded, cut, free_names
 from lectern.llm.textcols import let, ngram_hashes
 
 K = 3

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import hashing as H
-from lectern.llm.state import bounded, cut
+from lectern.sources.store import bounded, cut
 
 N = 4
 #: Cells are 2**20 at least, and 16 for each n-gram of the richest language up to 2**22; fuller filters have a higher false positive rate, which is corrected for.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import hashing as H
 from lectern.llm.components import connected_components
-from lectern.llm.state import bounded, cut
+from lectern.sources.store import bounded, cut
 
 TREES = 16
 LEVELS = 3

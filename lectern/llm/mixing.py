@@ -21,7 +21,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.state import bounded, cut, free_names
+from lectern.sources.store import bounded, cut, free_names
 
 #: Blocks in a schedule (sources beyond their full blocks add one each), rows in a block at least, rows in a bucket (about).
 BLOCKS = 1 << 17

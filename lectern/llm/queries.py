@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
-from lectern.llm.state import bounded, cut, fresh_path
+from lectern.sources.store import bounded, cut, fresh_path
 from lectern.sources.corpus import spread
 
 

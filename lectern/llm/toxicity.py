@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.state import cut, free_names
+from lectern.sources.store import cut, free_names
 
 #: Bounds of the training sample (labelled rows with the smallest hash of their id) and of the fitted vocabulary.
 TRAIN_ROWS = 8000
