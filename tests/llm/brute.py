@@ -192,3 +192,17 @@ def secret_limits(real, false, fdr, floor):
             if got and len(mine) * sum(x <= b for x in decoys) / max(1, len(decoys)) <= fdr * got and 10 ** (-b / 100) >= floor:
                 out[c] = b + 1
     return out
+
+
+def severity(text, weights, thresholds, beginnings=(4, 5, 6, 7)):
+    """Expected severity, most probable grade, and whether grade 1 or more is likelier than not; without a known feature all are 0."""
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        counts.update([word, *(word[:k] + "*" for k in beginnings if len(word) > k)])
+    known = {f: n for f, n in counts.items() if f in weights}
+    if not known:
+        return 0.0, 0, False
+    margin = sum(weights[f] * math.log(1 + min(n, 8)) for f, n in known.items())
+    above = [1 / (1 + math.exp(t - margin)) for t in thresholds]
+    probs = [a - b for a, b in zip([1.0, *above], [*above, 0.0], strict=True)]
+    return sum(above), probs.index(max(probs)), above[0] >= 0.5
