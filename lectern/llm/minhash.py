@@ -141,24 +141,27 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that their sizes and ``bitmaps(id, n, bits)`` allow to be links: all links, and little else."""
+    """``a, b, bound, able`` of the ``pairs(a, b)`` whose sizes allow a link: the largest similarity that ``bitmaps(id, n, bits)`` allow, and whether that is a link; all links are able, and little else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            able, bound = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
             left, right = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
             for la, lb in np.unique(sizes, axis=0):
                 rows = np.flatnonzero((sizes == (la, lb)).all(axis=1))
                 x, y = _words([left[i] for i in rows], min(la, lb)), _words([right[i] for i in rows], min(la, lb))
-                keep[rows] = _linkable(n_a[rows], n_b[rows], np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+                only_a, only_b = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x & ~y, y & ~x))
+                both = np.minimum(n_a[rows] - only_a, n_b[rows] - only_b)
+                bound[rows] = both / (n_a[rows] + n_b[rows] - both)
+                able[rows] = _linkable(n_a[rows], n_b[rows], only_a, only_b, percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(bound), pa.array(able)], ["a", "b", "bound", "able"])
 
     sides = [bitmaps.select(*[F.col(c).alias(n) for c, n in (("id", x), ("n", f"n_{x}"), ("bits", f"bits_{x}"))]) for x in "ab"]
     met = pairs.select("a", "b").distinct().join(sides[0].select("a", "n_a"), "a").join(sides[1].select("b", "n_b"), "b")
     near = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
-    return near.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long").distinct()
+    return near.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "a long, b long, bound double, able boolean")
 
 
 def measured(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -186,7 +189,7 @@ def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _central_stars(rows: DataFrame, met: DataFrame) -> DataFrame:
     """Each member of an open node with the node's most central one, if it is in another component."""
-    rank = met.groupBy(F.col("rep").alias("id")).agg(F.avg(F.col("both") / F.col("either")).alias("near"))
+    rank = met.groupBy(F.col("rep").alias("id")).agg(F.avg("bound").alias("near"))
     rows = cut(rows.join(rank, "id", "left").withColumn("near", F.coalesce("near", F.lit(0.0))), "ranked")
     best = cut(rows.groupBy("node").agg(F.max(F.struct("near", F.col("id").alias("hub"), F.col("component").alias("hub_component"))).alias("m")).select("node", "m.hub", "m.hub_component"), "hubs")
     stars = rows.join(best, "node").where("component <> hub_component")
@@ -301,23 +304,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
         return cut(connected_components(known.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), "labels")
 
-    def tried(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that may be links, with the sizes of their intersections and unions."""
-        return cut(measured(docs, cut(possible(pairs, bitmaps, percent), f"{name}-possible"), k), name)
+    def tried(able: DataFrame, name: str) -> DataFrame:
+        """Pairs that may be links, with the sizes of their intersections and unions."""
+        return cut(measured(docs, able.where("able").select("a", "b").distinct(), k), name)
 
     stars = members.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"), "rep").distinct()
-    met = tried(stars, "stars")
+    bounds = cut(possible(stars, bitmaps, percent), "star-bounds")
+    met = tried(bounds, "stars")
     edges = met.where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if shared is not None:
         edges = edges.unionByName(shared.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     labels = cut(connected_components(edges), "labels")
-    # pairs that the bound told apart count as similarity 0, or a set with one near pivot would seem central
-    seen = stars.join(met, ["a", "b"], "left").select("rep", F.coalesce("both", F.lit(0)).alias("both"), F.coalesce("either", F.lit(1)).alias("either"))
+    # how central a set is shows in all its pivots, linked or not
+    seen = stars.join(bounds.groupBy("a", "b").agg(F.max("bound").alias("bound")), ["a", "b"], "left").select("rep", F.coalesce("bound", F.lit(0.0)).alias("bound"))
     hubs = cut(_central_stars(_open_members(members, labels), seen), "hub-stars")
     hubs = hubs.join(met.select("a", "b"), ["a", "b"], "left_anti")
-    labels = joined(labels, tried(hubs, "hub-links").where(_linked(percent)))
+    labels = joined(labels, tried(cut(possible(hubs, bitmaps, percent), "hub-bounds"), "hub-links").where(_linked(percent)))
     rows = cut(_open_members(members, labels), "open-members")
-    rest = tried(_open_pairs(rows.where(F.col("size") <= leaf), percent), "rest").where(_linked(percent)).select("a", "b")
+    rest = tried(cut(possible(_open_pairs(rows.where(F.col("size") <= leaf), percent), bitmaps, percent), "rest-bounds"), "rest").where(_linked(percent)).select("a", "b")
     labels = joined(labels, cut(rest.unionByName(_dense_links(rows.where(F.col("size") > leaf), bitmaps, docs, k, percent)), "rest-links"))
     by_set = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     by_set = cut(by_set, "components")
