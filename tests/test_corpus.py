@@ -14,7 +14,8 @@ def test_files_are_listed_without_lock_files(spark, tmp_path):
     rows = corpus.read_corpus_files(spark, str(tmp_path), "*.docx").collect()
     assert sorted(r.name for r in rows) == ["a.docx", "c.docx"]
     assert len({r.sha256 for r in rows}) == 1
-    assert audit.duplicate_files(corpus.read_corpus_files(spark, str(tmp_path), "*.docx")).first().names == ["a.docx", "c.docx"]
+    shared = audit.duplicate_files(corpus.read_corpus_files(spark, str(tmp_path), "*.docx")).collect()
+    assert sorted((r.name, r.n) for r in shared) == [("a.docx", 2), ("c.docx", 2)]
 
 
 def test_blocks_of_pages(spark):
