@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, knn, langid, minhash, mixing, pii, secrets, toxicity, warc
-from lectern.sources.store import bounded, cut, fresh_path
+from lectern.llm import chat, decontaminate, exact, knn, langid, merkle, minhash, mixing, periodic, pii, secrets, toxicity, warc
+from lectern.llm.textcols import let
 from lectern.sources.corpus import spread
+from lectern.sources.store import bounded, cut, fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +163,59 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth document, by a hash of its id, goes on with repetitions of some of its words; the others stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    changed = let(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.col("text")))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, and digests of the runs and of the texts without their repetitions."""
+    return run_digests(periodic.periodic_runs(periodic_texts(table(spark, sf_dir, "documents"))))
+
+
+def run_digests(found: DataFrame) -> DataFrame:
+    def better(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.withColumn("_best", F.aggregate("runs", none, better))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses of all documents up to one root, and whether documents, of which a third are tampered with, still lead to it."""
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claimed = F.when(tampered, merkle.document_leaf(F.translate("text", upper, upper.lower()))).otherwise(merkle.document_leaf(F.col("text")))
+    leaves = cut(docs.select(F.col("lang").alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), merkle.document_leaf(F.col("text")).alias("leaf"), claimed.alias("claimed")), "leaves")
+    rows = merkle.verify(merkle.manifest(leaves), "claimed")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("witness")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_duplicates": op2_near_duplicates,
@@ -173,6 +227,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_periodic": op11_periodic,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_manifest": op13_manifest,
 }
 
 OP2_SQL = r"""
@@ -231,9 +288,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM w GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS c FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS keep_id, count(*) OVER (PARTITION BY c) AS group_size, doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY c) AS kept, sha256(c) AS text_sha256
+FROM t
+"""
+
+
+def _manifest_sql(lang_levels: int = 8, top_levels: int = 4) -> str:
+    """The tree level by level, for up to 8**8 documents of a language and 8**4 languages; a level of one node stays as it is."""
+    # CRC-32 of the digits of the id, bit by bit
+    bits = "list_reduce(list_prepend(xor(acc, c), CAST(range(8) AS BIGINT[])), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda acc, c: {bits}), 4294967295)"
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    front = " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        f"leaves AS (SELECT doc_id, coalesce('v' || lang, '') AS tree, sha256({front} || {part.format('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({front} || {part.format(lower)}) END AS changed FROM documents)",
+        "w0 AS (SELECT doc_id, tree, leaf, coalesce(changed, leaf) AS folded, '' AS proof, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM leaves)",
+        "n0 AS (SELECT tree, pos, total, leaf AS d FROM w0)",
+    ]
+
+    def level(w: str, n: str, k: int) -> None:
+        before, after = "array_to_string(r.ds[:w.pos % 8], '')", "array_to_string(r.ds[w.pos % 8 + 2:], '')"
+        out.append(f"r{n}{k} AS (SELECT tree, pos // 8 AS run, list(d ORDER BY pos) AS ds, any_value(total) AS total FROM {n}{k} GROUP BY tree, pos // 8)")
+        out.append(f"{n}{k + 1} AS (SELECT tree, run AS pos, CAST(ceil(total / 8) AS BIGINT) AS total, CASE WHEN total > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM r{n}{k})")
+        out.append(f"{w}{k + 1} AS (SELECT w.* EXCLUDE (pos, total, folded, proof), w.pos // 8 AS pos, CAST(ceil(w.total / 8) AS BIGINT) AS total, CASE WHEN w.total > 1 THEN sha256({before} || w.folded || {after}) ELSE w.folded END AS folded, CASE WHEN w.total > 1 THEN w.proof || {before} || {after} ELSE w.proof END AS proof FROM {w}{k} w JOIN r{n}{k} r ON w.tree = r.tree AND w.pos // 8 = r.run)")
+
+    for k in range(lang_levels):
+        level("w", "n", k)
+    out.append(f"subs AS (SELECT tree AS name, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total FROM n{lang_levels})")
+    out.append(f"v0 AS (SELECT w.doc_id, w.leaf, w.folded, w.proof, s.subroot, 'all' AS tree, s.pos, s.total FROM w{lang_levels} w JOIN subs s ON w.tree = s.name)")
+    out.append("m0 AS (SELECT 'all' AS tree, pos, total, subroot AS d FROM subs)")
+    for k in range(top_levels):
+        level("v", "m", k)
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, m.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = m.d AS verified FROM v{top_levels}, m{top_levels} m"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op4_chat": OP4_SQL,
     "op2_near_duplicates": OP2_SQL,
     "op8_top_k": OP8_SQL,
+    "op12_exact_dedup": OP12_SQL,
+    "op13_manifest": _manifest_sql(),
 }
