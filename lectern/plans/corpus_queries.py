@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import audit, segment
 from lectern.plans import inputs as I
-from lectern.sources import corpus, dims
+from lectern.sources import corpus, dims, versioned
 from lectern.sources.store import fresh_path
 from lectern.streaming import streams
 
@@ -270,6 +270,7 @@ def replaced_partitions(spark: SparkSession, d: str) -> DataFrame:
     rows = I.chunks(spark, d).select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), "country", "country_code", "legal_topic", "document_type", "language", "section", "subsection", "content", F.lit("f").alias("source_filename"), F.lit("docx").alias("source_format"), F.lit("h").alias("content_hash"), "reference_year")
     corpus.replace_partition(rows, path)
     corpus.replace_partition(rows.where("country_code in ('SRC1', 'SRC3') and cast(chunk_id as long) % 3 = 0"), path)
+    versioned.compact(spark, path, fewest=2)
     back = corpus.scan_chunks(spark, path)
     one = corpus.scan_by_key(back, "country_code", "SRC1").agg(F.lit("SRC1 alone").alias("country_code"), F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
     return back.groupBy("country_code").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars")).unionByName(one)

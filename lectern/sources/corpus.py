@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources import versioned
+
 CHUNK_COLUMNS = ("chunk_id", "document_id", "country", "country_code", "legal_topic", "document_type", "language", "section", "subsection", "content", "source_filename", "source_format", "content_hash", "reference_year")
 CHUNK_SCHEMA = ", ".join(f"{c} {'int' if c == 'reference_year' else 'string'}" for c in CHUNK_COLUMNS)
 
@@ -68,8 +70,8 @@ def serialize_tables(cells: DataFrame) -> DataFrame:
 
 
 def scan_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: the chunk table without ``content_hash``."""
-    return spark.read.schema(CHUNK_SCHEMA).parquet(path).select(*[c for c in CHUNK_COLUMNS if c != "content_hash"])
+    """SRC4: the versioned chunk table at ``path``, without ``content_hash``."""
+    return versioned.read_table(spark, path).select(*[c for c in CHUNK_COLUMNS if c != "content_hash"])
 
 
 def scan_by_key(chunks: DataFrame, key: str, value: str) -> DataFrame:
@@ -77,6 +79,18 @@ def scan_by_key(chunks: DataFrame, key: str, value: str) -> DataFrame:
     return chunks.where(F.col(key) == value)
 
 
+#: A snapshot of a country holds at most so many chunks.
+SNAPSHOT_CHUNKS = 10_000
+
+
+def country_snapshot(chunks: DataFrame, code: str, limit: int = SNAPSHOT_CHUNKS) -> DataFrame:
+    """SRC5 for a replacement that has to be able to go back: the chunks of a country; the job fails if there are more than ``limit``, rather than give a part of them."""
+    rows = scan_by_key(chunks, "country_code", code)
+    if rows.limit(limit + 1).count() > limit:
+        raise ValueError(f"{code} has more than {limit} chunks")
+    return rows
+
+
 def document_id(code: Column, language: Column, family: str) -> Column:
     return F.concat(F.lit("doc_"), F.sha2(F.concat_ws(SEPARATOR, F.lit(DOCUMENT_VERSION), F.lit(family), F.upper(code), F.lower(language)), 256))
 
@@ -115,9 +129,9 @@ def upsert_stats(existing: DataFrame, new: DataFrame) -> DataFrame:
     return asked.join(stale, "document_id", "left").na.fill(0, ["stale"])
 
 
-def replace_partition(new: DataFrame, path: str, key: str = "country_code") -> None:
-    """SNK2: every version of the countries in ``new`` is replaced, all or nothing (dynamic partition overwrite)."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_partition(new: DataFrame, path: str, key: str = "country_code") -> int:
+    """SNK2: every row of the countries in ``new`` is replaced in the versioned table at ``path``, for all of them by one switch; a job that fails leaves the table as it is. Returns the version."""
+    return versioned.publish(path, new, key)
 
 
 def delete_documents(existing: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions.frames import plain
 from lectern.operators.turns import CARRY_COLUMNS, CARRY_STRINGS, TURN_OUT, next_step
-from lectern.sources.corpus import upsert_document
+from lectern.sources import versioned
 
 LIMIT, WINDOW_SECONDS = 60, 60
 LIMIT_COLUMNS = ["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"]
@@ -145,66 +144,22 @@ def latency_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return per.select("identity", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-#: Parts of a versioned table, by a hash of the document; a batch rewrites those that its documents fall into.
-BUCKETS = 64
-
-
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-
-
-def _pointers(spark: SparkSession, table: str) -> list[tuple[int, int]]:
-    """(bucket, epoch) pairs that were ever current; none for a new table. There are at most two for each bucket that are kept, and one for each later change."""
-    try:
-        rows = spark.read.schema("bucket int, epoch long").parquet(f"{table}/_pointer").groupBy("bucket").agg(F.sort_array(F.collect_set("epoch"), False).alias("e")).collect()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return []
-    return [(r.bucket, e) for r in rows for e in r.e]
-
-
-def _version(spark: SparkSession, table: str, pairs: list[tuple[int, int]], buckets: set[int] | None = None) -> DataFrame | None:
-    """The chunks of the newest version of each bucket (of ``buckets``, if given); only their folders are listed."""
-    newest = {b: max(e for x, e in pairs if x == b) for b, _ in pairs}
-    paths = [f"{table}/data/bucket={b}/epoch={e}" for b, e in sorted(newest.items()) if buckets is None or b in buckets]
-    return spark.read.parquet(*paths) if paths else None
-
-
-def incremental_corpus(new_chunks: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS):
+def incremental_corpus(new_chunks: DataFrame, table: str, checkpoint: str):
     """STR9: a streaming query that upserts arriving chunks into the versioned table at ``table``.
 
-    A batch writes a new version of the buckets that its documents fall into, and moves their pointers last, so a batch
-    that is run again gives the same table and others don't cost more as the table grows. The version before stays for
-    readers that have begun; older ones of these buckets are removed.
+    A batch is written once, as a part of its own with tombstones for its documents, so it costs the same however large
+    the table is; every now and then the newest parts are merged. Of rows that repeat a ``chunk_id`` in a batch the
+    largest counts. A batch that is run again after it was published changes nothing.
     """
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["chunk_id"]).withColumn("bucket", _bucket(buckets))
-        touched = {r.bucket for r in new.select("bucket").distinct().collect()}
-        pairs = _pointers(spark, table)
-        known = [(b, e) for b, e in pairs if e < epoch]
-        for b in touched:
-            for _, e in sorted((x for x in known if x[0] == b), reverse=True)[1:]:
-                _remove(spark, f"{table}/data/bucket={b}/epoch={e}")
-        old = _version(spark, table, known, touched)
-        rows = new.drop("bucket") if old is None else upsert_document(old, new.drop("bucket"))
-        out = rows.withColumns({"bucket": _bucket(buckets), "epoch": F.lit(epoch).cast("long")})
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{table}/data")
-        spark.createDataFrame([(b, epoch) for b in sorted(touched)], "bucket int, epoch long").coalesce(1).write.mode("append").parquet(f"{table}/_pointer")
+        others = [c for c in batch.columns if c != "chunk_id"]
+        rows = batch.groupBy("chunk_id").agg(F.max(F.struct(*others)).alias("r")).select("chunk_id", "r.*").select(batch.columns)
+        versioned.publish(table, rows, "document_id", source=checkpoint, epoch=epoch)
+        versioned.compact(batch.sparkSession, table)
 
     return new_chunks.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the table's own in whatever store it is."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def current_corpus(spark: SparkSession, table: str) -> DataFrame:
-    found = _version(spark, table, _pointers(spark, table))
-    if found is None:
-        raise ValueError(f"no version of a table at {table}")
-    return found
+    return versioned.read_table(spark, table)
