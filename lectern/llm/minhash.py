@@ -38,8 +38,9 @@ from lectern.sources.store import bounded, cut
 TREES = 16
 LEVELS = 3
 LEAF = 8
-#: Members and shingles of a block, on the average.
+#: Members of a block of full sets, and of a block of bitmaps, and shingles of either, on the average.
 BLOCK = 256
+BITMAP_BLOCK = 4096
 BLOCK_SHINGLES = 1 << 22
 
 
@@ -216,9 +217,16 @@ def _block_chances(group: pd.DataFrame, percent: int) -> pd.DataFrame:
                 continue
             left, right = np.flatnonzero(probe & (size == la)), np.flatnonzero(~probe & (size == lb))
             x, y = _words(list(group.bits[left]), min(la, lb)), _words(list(group.bits[right]), min(la, lb))
-            for i, own in zip(left, x, strict=True):
-                only_a, only_b = np.bitwise_count(own & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~own).sum(axis=1, dtype=np.int64)
-                met = right[_linkable(n[i], n[right], only_a, only_b, percent) & (component[right] != component[i])]
+            # rows by size, so that each probe meets only those whose size a link allows
+            order = np.argsort(n[right], kind="stable")
+            right, y = right[order], y[order]
+            bits_x, bits_y = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (x, y))
+            lo = np.searchsorted(n[right], -(-percent * n[left] // 100))
+            hi = np.searchsorted(n[right], 100 * n[left] // percent, side="right")
+            for i, own, bits, a, b in zip(left, x, bits_x, lo, hi, strict=True):
+                both = np.bitwise_count(y[a:b] & own).sum(axis=1, dtype=np.int64)
+                able = _linkable(n[i], n[right[a:b]], bits - both, bits_y[a:b] - both, percent)
+                met = right[a:b][able & (component[right[a:b]] != component[i])]
                 keep[met] = True
                 keep[i] |= len(met) > 0
     return group.loc[keep, ["node", "id"]]
@@ -267,8 +275,12 @@ def _blocks(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _dense_links(rows: DataFrame, bitmaps: DataFrame, docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links in large open nodes, in blocks: by bitmaps first, then those that may have a link on full sets."""
-    met = _blocks(rows, block).join(bitmaps.select("id", "bits"), "id")
+    """Links in large open nodes, in blocks: by bitmaps first, then those that may have a link on full sets.
+
+    A node of S members is copied S / block times, so blocks of bitmaps, which are small, are large: what is quadratic is
+    the number of comparisons, not what is moved.
+    """
+    met = _blocks(rows, BITMAP_BLOCK).join(bitmaps.select("id", "bits"), "id")
     able = cut(met.groupBy("node", "x", "y").applyInPandas(lambda group: _block_chances(group, percent), "node long, id long").distinct(), "able")
     left = rows.join(able, ["node", "id"], "left_semi")
     info = cut(left.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")), "able-sizes")
