@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.textcols import let
 from lectern.sources.store import cut
 
 SHARD_ROWS = 8192
@@ -24,19 +25,24 @@ BLOCK_ROWS = 512
 LEAF_ROWS = 64
 
 _TREE = "dim int, shard int, n int, ids binary, vectors binary, lo binary, hi binary, left binary, right binary, start binary, stop binary"
-_HITS = "query_id long, vec_id long, score long"
+_HITS = "query_id long, vec_id long, score long, worse string"
+#: Scores are given in 64 bits; those beyond as the nearest such number.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+_COMPLEMENT = str.maketrans("0123456789", "9876543210")
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, v``: components as floor(scale * x), x as double, one row for each id.
+    """``vec_id, v``: components as floor(scale * x), x as double, one row for each id; the integers are held as doubles, exactly, whatever their size.
 
-    Rows without id, vectors that are null or hold a null or non-finite component take no part. Of several vectors
+    Rows without id, vectors that are null or hold a null or non-finite component take no part (nor one that is beyond
+    doubles when scaled). Of several vectors
     under one id the smallest counts, so repeated rows count once.
     """
     x = F.transform("embedding", lambda c: c.cast("double"))
-    fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
+    fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c * scale) < float("inf")), F.lit(False)))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    # beyond 2**53 doubles are integers; floor gives longs
+    v = F.transform(x, lambda c: let(c * scale, lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)))
     return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
 
 
@@ -72,7 +78,6 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF_ROWS) -> d
 
 def search(tree: dict[str, np.ndarray], query: np.ndarray, query_id: int, k: int, least: int | None) -> list[tuple[int, int]]:
     """The best ``(score, -id)`` of the tree, k at most, not under ``least``; the query's own id is left out."""
-    # Python integers in an object array where 64 bits could overflow
     bounds = np.maximum(tree["lo"] * query, tree["hi"] * query).sum(axis=1)
     best: list[tuple[int, int]] = []
     nodes = [(-bounds[0], 0)]
@@ -98,12 +103,27 @@ def search(tree: dict[str, np.ndarray], query: np.ndarray, query_id: int, k: int
     return best
 
 
+def _whole(rows: np.ndarray, wide: bool) -> np.ndarray:
+    """Doubles that are integers as 64-bit integers, or where products could pass 64 bits, as Python's."""
+    if not wide:
+        return rows.astype(np.int64)
+    out = np.empty(rows.shape, object)
+    out[...] = [int(x) for x in rows.ravel()] if rows.ndim == 1 else [[int(x) for x in row] for row in rows]
+    return out
+
+
+def worse(score: int) -> str:
+    """A string that sorts integers of any size from the largest to the smallest."""
+    digits = str(abs(score))
+    return f"1{len(digits):04d}{digits}" if score < 0 else f"0{9999 - len(digits):04d}{digits.translate(_COMPLEMENT)}"
+
+
 def shard_trees(vectors: DataFrame, shards: int) -> DataFrame:
     """A row for each shard and dimension with its tree in arrays of bytes; about ``SHARD_ROWS`` vectors each."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        tree = build_tree(group.vec_id.to_numpy(np.int64), np.array(group.v.to_list(), np.int64).reshape(len(group), -1))
-        row = {c: tree[c].astype(np.int64).tobytes() for c in ("ids", "vectors", "lo", "hi", "left", "right", "start", "stop")}
+        tree = build_tree(group.vec_id.to_numpy(np.int64), np.array(group.v.to_list(), np.float64).reshape(len(group), -1))
+        row = {c: tree[c].astype(np.float64 if c in ("vectors", "lo", "hi") else np.int64).tobytes() for c in ("ids", "vectors", "lo", "hi", "left", "right", "start", "stop")}
         return pd.DataFrame([{"dim": group.dim.iloc[0], "shard": group.shard.iloc[0], "n": len(group), **row}])
 
     return vectors.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")}).groupBy("dim", "shard").applyInPandas(build, _TREE)
@@ -114,9 +134,12 @@ def _searched(trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 tree = {c: np.frombuffer(getattr(row, c), np.int64) for c in ("ids", "left", "right", "start", "stop")}
-                tree |= {c: np.frombuffer(getattr(row, c), np.int64).reshape(-1, row.dim) if row.dim else np.zeros((len(tree["ids"] if c == "vectors" else tree["left"]), 0), np.int64) for c in ("vectors", "lo", "hi")}
-                out = [(q["query_id"], -i, s) for q in row.queries for s, i in search(tree, np.asarray(q["v"], np.int64), q["query_id"], k, q["least"])]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                asked = np.array([q["v"] for q in row.queries], np.float64).reshape(len(row.queries), row.dim)
+                boxes = {c: np.frombuffer(getattr(row, c), np.float64).reshape(-1, row.dim) if row.dim else np.zeros((len(tree["ids"] if c == "vectors" else tree["left"]), 0)) for c in ("vectors", "lo", "hi")}
+                wide = bool(row.dim) and float(np.abs(boxes["vectors"]).max()) * float(np.abs(asked).max()) * row.dim >= 2.0**62
+                tree |= {c: _whole(rows, wide) for c, rows in boxes.items()}
+                out = [(q["query_id"], -i, min(HIGHEST, max(LOWEST, s)), worse(s)) for q, v in zip(row.queries, asked, strict=True) for s, i in search(tree, _whole(v, wide), q["query_id"], k, q["least"])]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "worse"])
 
     return blocks.join(trees, ["dim", "shard"]).mapInPandas(run, _HITS)
 
@@ -125,11 +148,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``vectors(vec_id, v)``, ``queries(query_id, v)`` -> ``query_id, rank, vec_id, score``.
 
     The k highest inner products with vectors of the same dimension and another id; ties go to the smaller id. Fewer
-    candidates give fewer rows, none give none. Integers only: 64 bits have to hold every score.
+    candidates give fewer rows, none give none. Components are integers, held as doubles. Scores are exact, whatever
+    their size, and rank so; one beyond 64 bits is given as the nearest 64-bit number. Repeated ``vec_id`` are rows of
+    their own; other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
-    vectors = cut(vectors, "vectors")
-    queries = cut(queries.withColumn("dim", F.size("v")), "queries")
+    vectors = cut(vectors.select("vec_id", "v"), "vectors")
+    queries = cut(queries.select("query_id", "v", F.size("v").alias("dim")), "queries")
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     n_blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     trees = cut(shard_trees(vectors, shards), "trees")
@@ -141,11 +166,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     start = in_blocks(queries.withColumn("least", F.lit(None).cast("long")))
     first = cut(_searched(trees, start.withColumn("shard", home), k), "first")
-    kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") == k).select("query_id", F.col("s").alias("least"))
+    kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where((F.col("c") == k) & (F.col("s") > LOWEST)).select("query_id", F.col("s").alias("least"))
     if shards > 1:
         rest = in_blocks(queries.join(kth, "query_id", "left"))
         rest = rest.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))
         first = first.unionByName(_searched(trees, rest, k))
-    ranked = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    ranked = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("worse", "vec_id", "score"))), 1, k).alias("best"))
     out = ranked.select("query_id", F.posexplode("best").alias("p", "b"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
