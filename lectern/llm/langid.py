@@ -152,13 +152,15 @@ def build(grams: DataFrame) -> LanguageFilters:
 def fit(docs: DataFrame) -> LanguageFilters:
     """Filters learned from ``docs(doc_id, text, lang)``; rows with a null text or language are left out.
 
-    Of each language about ``DOCS_PER_LANGUAGE`` documents are used, chosen by a hash of their id. Every language whose
-    sample has an n-gram gets a filter, with all n-grams of its sample.
+    Of each language's different rows about ``DOCS_PER_LANGUAGE`` are used, chosen by a hash of id and text, and at
+    least the row with the smallest hash; rows that repeat id and text count once. So every language gets a filter
+    that has a row with an n-gram among those, with all n-grams of its sample, however its ids are given.
     """
-    known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    wanted = known.groupBy("lang").agg(F.least(F.lit(1.0), DOCS_PER_LANGUAGE / F.count("*")).alias("wanted"))
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.join(bounded(wanted), "lang").where(draw < F.col("wanted"))
+    known = docs.where("text is not null and lang is not null").select("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("h"), "text")
+    draw = (F.col("h") / float(1 << 63) + 1) / 2
+    counts = cut(known.select("lang", "h").distinct().groupBy("lang").agg(F.least(F.lit(1.0), DOCS_PER_LANGUAGE / F.count("*")).alias("wanted"), F.min("h").alias("lowest")), "language-sizes")
+    sample = known.join(bounded(counts), "lang").where((draw < F.col("wanted")) | (F.col("h") == F.col("lowest")))
+    sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
