@@ -152,7 +152,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *_counts(F.col("secrets"), secrets.KINDS[:3]), *_digests(F.col("secrets"), secrets.KINDS[:3]))
 
 

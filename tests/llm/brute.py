@@ -183,13 +183,13 @@ def languages(rows, texts):
 
 
 def secret_limits(real, false, fdr, floor):
-    """(class, bin) of tokens and decoys -> for each class the bin after the last at which the foretold share of false discoveries is small enough."""
+    """(class, bin) of tokens and decoys -> for each class with decoys the bin after the last at which the foretold share of false discoveries is small enough."""
     out = {}
     for c in {c for c, _ in real + false}:
         mine, decoys = [b for k, b in real if k == c], [b for k, b in false if k == c]
         for b in sorted({*mine, *decoys}):
             got = sum(x <= b for x in mine)
-            if got and len(mine) * sum(x <= b for x in decoys) / max(1, len(decoys)) <= fdr * got and 10 ** (-b / 100) >= floor:
+            if decoys and got and len(mine) * (sum(x <= b for x in decoys) + 1) / (len(decoys) + 1) <= fdr * got and 10 ** (-b / 100) >= floor:
                 out[c] = b + 1
     return out
 

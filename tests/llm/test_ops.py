@@ -505,10 +505,18 @@ def test_false_discoveries_among_the_secrets(spark):
     assert right >= 280
     assert wrong <= 0.05 * right
     # the limits are those of the rule worked out on all tokens and decoys
-    real = [tuple(r) for r in docs.select(F.explode(secrets.candidates(F.col("text"))).alias("c")).select("c.class", "c.bin").collect()]
-    false = [tuple(r) for r in docs.select(F.explode(secrets.decoys(F.col("text"))).alias("c")).select("c.class", "c.bin").collect()]
-    assert len(false) > 50
-    assert secrets.random_limits(docs) == B.secret_limits(real, false, secrets.FDR, secrets.FLOOR)
+    tokens = docs.select(F.explode(secrets.candidates(F.col("text"))).alias("c")).select("c.class", "c.bin")
+    real = [tuple(r) for r in tokens.collect()]
+    false = [tuple(r) for r in secrets.decoys(docs, sorted({c for c, _ in real})).collect()]
+    assert min(Counter(c for c, _ in false).values()) > 0.9 * secrets.DECOYS
+    assert secrets.random_limits(tokens, docs) == B.secret_limits(real, false, secrets.FDR, secrets.FLOOR)
+
+
+def test_words_are_no_secrets_on_small_tables(spark):
+    """Three rows are too few to tell by their own words what passes; identifiers of any length are not reported."""
+    names = ["getUserAccountByEmailAddress2", "TheQuickBrownFoxJumpsOverTheLazyDog7", "parseTheWholeConfigurationFileFromTheDefaultDirectoryAndReportEveryLineThatCouldNotBeRead1" * 2]
+    rows = frame(spark, [(i, f"see {n} there") for i, n in enumerate(names)])
+    assert [r.secrets for r in secrets.find_secrets(rows).collect()] == [[], [], []]
 
 
 def test_very_many_spans_take_linear_time(spark):
@@ -606,6 +614,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(B.top_k(exact))
 
 
+def test_scores_beyond_64_bits_rank_by_their_value(spark):
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 1.0]), (2, [2e18, 1.0]), (3, [-3e18, 1.0]), (4, [0.5, 0.25]), (5, [1e300, -1e300]), (6, [float("inf"), 1.0])]
+    v = knn.integer_vectors(frame(spark, rows, "vec_id long, embedding array<double>"))
+    got = knn.top_k(v, v.select(F.col("vec_id").alias("query_id"), "v"), 3).collect()
+    exact = {i: [math.floor(256 * x) for x in e] for i, e in rows[:6]}
+    want = []
+    for q, a in exact.items():
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in exact.items() if i != q)[:3]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_of_nothing(spark):
     v = knn.integer_vectors(frame(spark, [], "vec_id long, embedding array<float>"))
     assert knn.top_k(v, v.select(F.col("vec_id").alias("query_id"), "v")).count() == 0
@@ -677,5 +697,10 @@ def test_null_ids_are_learned_from_and_not_held_out(spark):
 
 
 def test_language_without_training_rows(spark):
+    # a language under one id, in different texts and in copies of one, is learned whatever the hash of its id
+    for one in range(5, 9):
+        rows = [(one, f"bonjour le monde {i} encore une fois", "fr") for i in range(3000)] + [(one + 10, "hallo welt noch einmal bitte", "de")] * 3000
+        known = langid.fit(frame(spark, rows + [(i, f"hello world {i} once again", "en") for i in range(100, 200)], "doc_id long, text string, lang string"))
+        assert known.languages == ["de", "en", "fr"]
     model = langid.fit(frame(spark, [(1, None, "aa")], "doc_id long, text string, lang string"))
     assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "abc"), (2, None)]), model).collect()] == ["und", "und"]
