@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import ranges as R
 from lectern.functions import text as X
 from lectern.functions import values as V
-from lectern.functions.frames import plain
+from lectern.sources.store import bounded, cut
 
 MESSAGES, MESSAGE_CHARS, TOTAL_CHARS = 20, 4000, 33_333
 
@@ -138,25 +140,109 @@ def next_step(state: tuple[list[str], list[list[str]], str | None], turn: dict)
     return done("carried", type=kind, codes=now, subject=None if kind == "contact" else text)
 
 
-def carry_context(turns: DataFrame) -> DataFrame:
-    """STR4 and STR5 over a table: ``turns(conv_id, turn, operation, type, codes, subject)`` -> resolved turns.
+# Marks that stand for what a segment of turns does not know yet: the codes before it, one or several, their subject and kind.
+_ONE, _MANY, _SUBJECT, _KIND = "\0one", "\0many", "\0subject", "\0kind"
+_KINDS = ("information", "comparison", "contact", _KIND)
+
 
-    Turns of a conversation stream past in order, after one shuffle; only the present state is held.
+def segment_function(turns: list[dict]) -> dict:
+    """What a run of turns makes of any state before it: ``only``, the first code that is added alone, and a state for each case.
+
+    Turns look at a state's kind, at whether it has one code or several, or just the code that they add, and at whether
+    its subject is blank. So the steps are taken from a state of marks for each such case; the marks left in the end are
+    filled in from the real state. Cases that have come together, as all do at a turn that does not carry over, are
+    taken on as one.
     """
-    ordered = turns.select("conv_id", "turn", "operation", "type", "codes", "subject").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    only = next((list(dict.fromkeys(t["codes"]))[0] for t in turns if t["operation"] == "add_country" and len(set(t["codes"] or [])) == 1), None)
+    starts: dict[str, tuple] = {"": ([], [], None)}
+    for kind in _KINDS:
+        for name, codes in (("one", [_ONE]), ("many", [_MANY + "1", _MANY + "2"]), ("only", [only])):
+            for subject in (None, _SUBJECT):
+                if name != "only" or only is not None:
+                    starts[f"{kind}|{name}|{'blank' if subject is None else 'text'}"] = ([kind], [codes], subject)
+    names, states = list(starts), list(starts.values())
+    at = dict(zip(names, range(len(names)), strict=True))
+    for t in turns:
+        states = [next_step(s, t)[0] for s in states]
+        place: dict[str, int] = {}
+        moved = [place.setdefault(json.dumps(s), len(place)) for s in states]
+        at = {n: moved[i] for n, i in at.items()}
+        states = [json.loads(s) for s in place]
+    return {"only": only, "cases": at, "states": states}
+
+
+def applied(function: dict, state: tuple) -> tuple[list[str], list[list[str]], str | None]:
+    """The state after a segment of turns."""
+    types, codes, subject = state
+    if not types:
+        case = ""
+    else:
+        own = "many" if len(codes[0]) > 1 else "only" if function["only"] is not None and codes[0] == [function["only"]] else "one"
+        case = f"{types[0] if types[0] in _KINDS else _KIND}|{own}|{'text' if (subject or '').strip() else 'blank'}"
+    kinds, lists, text = function["states"][function["cases"][case]]
+    filled = []
+    for one in lists:
+        whole = [c for x in one for c in (codes[0] if x in (_ONE, _MANY + "1") else [] if x == _MANY + "2" else [x])]
+        filled.append(list(dict.fromkeys(whole)))
+    return [types[0] if k == _KIND else k for k in kinds], filled, subject if text == _SUBJECT else text
+
+
+def _turn(row: dict) -> dict:
+    return {"codes": row["codes"], "operation": row["operation"], "type": row["type"], "subject": row["subject"]}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, state = object(), ([], [], None)
-        for frame in frames:
+
+_TURN_ORDER = ["who", "turn", "operation", "type", "subject"]
+
+
+def carry_context(turns: DataFrame, range_rows: int = R.RANGE_ROWS) -> DataFrame:
+    """STR4 and STR5 over a table: ``turns(conv_id, turn, operation, type, codes, subject)`` -> resolved turns.
+
+    Turns are sorted into ranges over all tasks, so a conversation of any length is spread over them: each range gives a
+    conversation's turns in it as one function of the state before them, the functions of a conversation are applied
+    one after the other, a row for each range, and each range then takes its steps from the state it begins with.
+    Turns of one number go by operation, type and subject; a null ``conv_id`` is a conversation of its own.
+    """
+    rows = R.sorted_ranges(turns.select(R.key_of("conv_id").alias("who"), "conv_id", "turn", "operation", "type", "codes", "subject"), _TURN_ORDER, range_rows)
+    spread = R.spread_keys(rows, "who")
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in R.tables(batches):
+            begin, out = R.begins(table.column("who")), []
+            for a, b in zip(begin[:-1], begin[1:], strict=True):
+                piece = table.slice(a, b - a)
+                out.append((piece.column("who")[0].as_py(), piece.column("part")[0].as_py(), json.dumps(segment_function([_turn(r) for r in piece.to_pylist()]))))
+            who, part, function = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(part, pa.int32()), pa.array(function, pa.string())], ["who", "part", "function"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, state = None, ([], [], None)
+        for batch in batches:
+            states = []
+            for row in batch.to_pylist():
+                if row["who"] != who:
+                    who, state = row["who"], ([], [], None)
+                states.append(json.dumps(state))
+                state = applied(json.loads(row["function"]), state)
+            yield pa.RecordBatch.from_arrays([batch.column("who"), batch.column("part"), pa.array(states, pa.string())], ["who", "part", "state"])
+
+    functions = cut(R.in_order(rows.join(spread, "who", "left_semi"), _TURN_ORDER).mapInArrow(summed, "who string, part int, function string"), "functions")
+    # a row for each range that a long conversation lies in
+    before = cut(functions.repartition("who").sortWithinPartitions("who", "part").mapInArrow(prefixes, "who string, part int, state string"), "states")
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, ([], [], None)
+        for batch in batches:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.conv_id != conv:
-                    conv, state = r.conv_id, ([], [], None)
-                state, got = next_step(state, {"codes": None if r.codes is None else list(r.codes), "operation": r.operation, "type": r.type, "subject": r.subject})
-                out.append((r.conv_id, r.turn, got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
-            yield plain(out, CARRY_COLUMNS, CARRY_STRINGS)
-
-    return ordered.mapInPandas(run, TURN_OUT)
+            for row in batch.to_pylist():
+                if key != (row["part"], row["who"]):
+                    key = (row["part"], row["who"])
+                    state = json.loads(row["state"]) if row["state"] else ([], [], None)
+                state, got = next_step(state, _turn(row))
+                out.append({"conv_id": row["conv_id"], "turn": row["turn"], **{c: got[c] for c in CARRY_COLUMNS[2:]}})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("resolution", pa.string()), ("type", pa.string()), ("codes", pa.list_(pa.string())), ("subject", pa.string()), ("reason", pa.string())]))
+
+    told = R.in_order(rows.join(bounded(before), ["who", "part"], "left"), _TURN_ORDER)
+    return told.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")}).mapInArrow(steps, TURN_OUT)
 
 
 def last_context(turns: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions.frames import plain
+from lectern.functions.ranges import RANGE_ROWS
 from lectern.operators.turns import CARRY_COLUMNS, CARRY_STRINGS, TURN_OUT, next_step
 from lectern.sources import versioned
+from lectern.streaming.windows import rate_windows
 
 LIMIT, WINDOW_SECONDS = 60, 60
 LIMIT_COLUMNS = ["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"]
@@ -24,28 +26,12 @@ def identity_hash(forwarded: Column, real_ip: Column, peer: Column, key: Column)
     return F.sha2(F.concat_ws(":", ip, F.sha2(F.coalesce(key, F.lit("")), 256)), 256)
 
 
-def rate_limit_batch(requests: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
+def rate_limit_batch(requests: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """STR1 over a table ``requests(identity, ts, request_id)``: a window opens at a request when none is open and closes ``seconds`` later.
 
-    Requests of an identity stream past in order of time; only the open window is held. All requests count.
+    All requests count. An identity of any size is spread over the tasks, see ``rate_windows``.
     """
-    ordered = requests.select("identity", "ts", "request_id").repartition("identity").sortWithinPartitions("identity", "ts", "request_id")
-    span = pd.Timedelta(seconds=seconds)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, anchor, n = object(), None, 0
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.identity != who:
-                    who, anchor, n = r.identity, None, 0
-                if anchor is None or r.ts >= anchor + span:
-                    anchor, n = r.ts, 0
-                n += 1
-                out.append((r.identity, r.ts, r.request_id, n, max(0, limit - n), (anchor + span - r.ts).total_seconds(), n > limit))
-            yield plain(out, LIMIT_COLUMNS, ("identity",))
-
-    return ordered.mapInPandas(run, LIMIT_OUT)
+    return rate_windows(requests, limit, seconds, range_rows)
 
 
 class RateLimiter(StatefulProcessor):

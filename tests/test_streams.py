@@ -1,14 +1,18 @@
 """Streams against their batch twins, and carry-over turn by turn."""
 
+import json
+import random
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.operators.turns import carry_context, next_step
+from lectern.functions import ranges
+from lectern.operators.turns import applied, carry_context, next_step, segment_function
 from lectern.plans import inputs as I
 from lectern.plans import text_queries
 from lectern.sources import corpus
-from lectern.streaming import streams
+from lectern.streaming import streams, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +104,74 @@ def test_carry_over_steps():
     assert (got["resolution"], got["codes"]) == ("carried", ["PE"])
     _, got = next_step((["information", "information"], [["ES"], ["PE"]], "x"), turn("continue"))
     assert got["reason"] == "select_action"
+
+
+def sequential_windows(rows, limit, seconds):
+    out, state = [], {}
+    for who, us, rid in sorted(rows, key=lambda r: ((r[0] is not None, r[0] or ""), r[1], r[2])):
+        anchor, n = state.get(who, (None, 0))
+        if anchor is None or us >= anchor + seconds * 1_000_000:
+            anchor, n = us, 0
+        state[who] = anchor, n + 1
+        out.append((who, us, rid, n + 1, max(0, limit - n - 1), round((anchor - us) / 1e6 + seconds, 6), n + 1 > limit))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("range_rows", [7, 60, 100_000])
+def test_one_busy_identity_is_spread_over_tasks(spark, range_rows):
+    rng = random.Random(range_rows)
+    rows, t = [], 0
+    for i in range(900):
+        t += rng.choice((0, 1, 1, 2, 5, 30, 400)) * 1_000_000 // 3
+        rows.append(("hot", t, i))
+    rows += [(f"u{rng.randrange(40)}", rng.randrange(200_000_000), 1000 + i) for i in range(200)] + [(None, rng.randrange(50_000_000), 2000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "identity string, us long, request_id long").select("identity", F.timestamp_micros("us").alias("ts"), "request_id")
+    for seconds in (2, 25, 100_000):
+        got = windows.rate_windows(df, 3, seconds, range_rows).select("identity", F.unix_micros("ts"), "request_id", "current", "remaining", "retry_after", "exceeded").collect()
+        assert sorted(((*r[:5], round(r[5], 6), r[6]) for r in got), key=str) == sequential_windows(rows, 3, seconds)
+    held = ranges.sorted_ranges(df.select(ranges.key_of("identity").alias("who"), "ts"), ["who", "ts"], 60).groupBy("part").count().collect()
+    assert len(held) > 10
+    assert max(r["count"] for r in held) < 200
+    assert windows.rate_windows(df.where("false"), 3, 2).count() == 0
+
+
+def random_turns(rng, n):
+    out = []
+    for i in range(n):
+        op = rng.choice(["continue", "replace_country", "add_country", "add_country", "select_action", None, "ambiguous"] if rng.random() < 0.3 else ["continue", "add_country", "replace_country"])
+        out.append((i, op, rng.choice(["information", "comparison", "contact", "overview", None]), rng.choice([None, [], ["ES"], ["PE"], ["ES", "FR"], ["IT", "IT"], ["FR", "IT", "PE"]]), rng.choice([None, None, "", " ", "notice", "leave"])))
+    return out
+
+
+def test_functions_of_segments_compose():
+    rng = random.Random(3)
+    for _ in range(400):
+        turns = [dict(zip(("operation", "type", "codes", "subject"), t[1:], strict=True)) for t in random_turns(rng, rng.randrange(0, 7))]
+        f = json.loads(json.dumps(segment_function(turns)))
+        for kind in ("information", "comparison", "contact", "overview", None):
+            for codes in (["ES"], ["PE"], ["XX"], ["ES", "FR"], ["XX", "ES", "PE"]):
+                for subject in (None, "", "old"):
+                    state = ([kind], [codes], subject)
+                    want = state
+                    for t in turns:
+                        want, _ = next_step(want, t)
+                    if turns:
+                        assert [list(x) if isinstance(x, list) else x for x in applied(f, state)] == list(want), (turns, state)
+        want = ([], [], None)
+        for t in turns:
+            want, _ = next_step(want, t)
+        assert list(applied(f, ([], [], None))) == list(want)
+
+
+@pytest.mark.parametrize("range_rows", [5, 64, 100_000])
+def test_one_long_conversation_is_spread_over_tasks(spark, range_rows):
+    rng = random.Random(8)
+    rows = [(1, *t) for t in random_turns(rng, 500)] + [(c, *t) for c in range(2, 30) for t in random_turns(rng, 6)] + [(None, *t) for t in random_turns(rng, 20)]
+    want = []
+    for conv in {r[0] for r in rows}:
+        state = ([], [], None)
+        for r in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            state, got = next_step(state, dict(zip(("operation", "type", "codes", "subject"), r[2:], strict=True)))
+            want.append((conv, r[1], got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, operation string, type string, codes array<string>, subject string").repartition(6)
+    assert sorted((tuple(r) for r in carry_context(df, range_rows).collect()), key=str) == sorted(want, key=str)
