@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions import values as V
+from lectern.operators.ranking import Shard, ranked
 from lectern.sources.store import cut
 
 K1, B = 1.2, 0.75
@@ -20,7 +22,7 @@ TERM_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(field, term, chunk_id, tf, dl)``, ``fields(field, n, avgdl)``, ``terms(field, term, df)``."""
+    """``postings(field, term, chunk_id, dl, tf)``, ``fields(field, n, avgdl)``, ``terms(field, term, df)``."""
 
     postings: DataFrame
     fields: DataFrame
@@ -32,16 +34,20 @@ def _bounded(df: DataFrame, rows: int = TERM_ROWS) -> DataFrame:
 
 
 def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame | None = None) -> Index:
-    """RNK1. With ``only_terms(term)`` postings of other terms are dropped at the scan; field statistics cover the whole corpus either way."""
+    """RNK1. With ``only_terms(term)`` postings of other terms are dropped at the scan; field statistics cover the whole corpus either way.
+
+    Texts are cut to words once. Chunks are dealt by their id before, so their words are counted where they are.
+    """
     arrays = F.array(*[F.struct(F.lit(f).alias("field"), X.search_tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])
-    per = chunks.select("chunk_id", F.explode(arrays).alias("f")).select("chunk_id", "f.field", "f.words").withColumn("dl", F.size("words")).where("dl > 0")
-    stats = per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    own = chunks.select("chunk_id", *fields).repartition("chunk_id")
+    per = own.select("chunk_id", F.explode(arrays).alias("f")).select("chunk_id", "f.field", "f.words").withColumn("dl", F.size("words")).where("dl > 0")
+    per = cut(per, "words")
+    stats = cut(per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "field-stats")
     flat = per.select("field", "chunk_id", "dl", F.explode("words").alias("term"))
     if only_terms is not None:
         flat = flat.join(_bounded(only_terms.select("term").distinct()), "term", "left_semi")
     # written once: document frequencies, and every query over this index, read it back
     postings = cut(flat.groupBy("field", "term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    stats = cut(stats, "field-stats")
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(postings, stats, terms)
 
@@ -57,29 +63,63 @@ def required_terms(n_terms: Column, filtered: Column) -> Column:
     return F.when(filtered, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(0.7 * n_terms).cast("int")))
 
 
-def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], digits: int = 4) -> DataFrame:
-    """RNK2: ``queries(query_id, query, filtered)`` -> ``query_id, chunk_id, score``: the best field plus ``TIE`` times the others.
+#: Chunks in a shard of the postings, about, and queries that meet a shard at a time, where only the best hits are asked for; an eighth where all are.
+SHARD_CHUNKS = 16_384
+SHARD_QUERIES = 4096
 
-    A field counts only if it holds the required number of query terms. Statistics are those of the whole corpus, so
-    filters may be applied to the hits.
-    """
+
+def _weights(queries: DataFrame, index: Index, boosts: dict[str, float]) -> DataFrame:
+    """``query_id, field, term, qtf, weight, need``: what a query's terms count in each field."""
     terms = query_terms(queries)
-    need = queries.select("query_id", F.coalesce("filtered", F.lit(False)).alias("_filtered")) if "filtered" in queries.columns else queries.select("query_id", F.lit(False).alias("_filtered"))
+    filtered = F.coalesce("filtered", F.lit(False)) if "filtered" in queries.columns else F.lit(False)
     # fields are few; terms and queries are bounded by the query table
-    stats = index.terms.join(F.broadcast(index.fields), "field")
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = terms.join(_bounded(need), "query_id").join(stats.withColumn("idf", weight).select("field", "term", "idf", "avgdl"), "term")
-    # for each field at most a row for each term of a query, so the query table tells its size without a scan of the corpus
-    small = terms.limit(TERM_ROWS + 1).count() <= TERM_ROWS
-    hits = index.postings.join(F.broadcast(asked) if small else asked, ["field", "term"])
+    stats = index.terms.join(_bounded(terms.select("term").distinct()), "term", "left_semi").join(F.broadcast(index.fields), "field")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boost = F.lit(0.0)
     for field, b in boosts.items():
         boost = F.when(F.col("field") == field, b).otherwise(boost)
-    part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    per_field = hits.groupBy("query_id", "chunk_id", "field", "n_terms", "_filtered").agg((F.sum(part) * F.max(boost)).alias("s"), F.sum("qtf").alias("matched"))
-    per_field = per_field.where(F.col("matched") >= required_terms(F.col("n_terms"), F.col("_filtered")))
-    best = per_field.groupBy("query_id", "chunk_id").agg(F.max("s").alias("m"), F.sum("s").alias("t"))
-    return best.select("query_id", "chunk_id", F.round(F.col("m") + TIE * (F.col("t") - F.col("m")), digits).alias("score"))
+    asked = terms.join(_bounded(queries.select("query_id", filtered.alias("_filtered"))), "query_id").join(stats.select("field", "term", (idf * boost).alias("w")), "term")
+    return asked.select("query_id", "field", "term", F.col("qtf").cast("long").alias("qtf"), (F.col("qtf") * F.col("w")).alias("weight"), required_terms(F.col("n_terms"), F.col("_filtered")).cast("long").alias("need"))
+
+
+def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: int | None, digits: int) -> DataFrame:
+    """Shards of chunks meet blocks of queries, each pair in one task; see ``ranking.Shard``."""
+    spark = queries.sparkSession
+    asked = cut(_weights(queries, index, boosts), "asked")
+    chunks = index.fields.agg(F.max("n")).first()[0] or 0
+    # all hits of a block of queries in a shard are one table, so both are small then; the best ones need large shards to tell soon what is not among them
+    shards = max(1, -(-chunks // (SHARD_CHUNKS if k is not None else SHARD_CHUNKS // 8)))
+    blocks = max(1, -(-queries.count() // (SHARD_QUERIES if k is not None else SHARD_QUERIES // 8)))
+    impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    shard, every = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    postings = index.postings.join(_bounded(asked.select("field", "term").distinct()), ["field", "term"], "left_semi").join(F.broadcast(index.fields), "field")
+    left = postings.select(shard.alias("shard"), F.explode(every).alias("block"), "field", "term", "chunk_id", "dl", impact.alias("impact"))
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "field", "term", "qtf", "weight", "need")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.postings.schema['chunk_id'].dataType.simpleString()}, score double"
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        return ranked(Shard(postings), asked, k, TIE, 10.0**-digits)
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, kinds)
+    return found.select("query_id", "chunk_id", F.round("score", digits).alias("score"))
+
+
+def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], digits: int = 4) -> DataFrame:
+    """RNK2: ``queries(query_id, query, filtered)`` -> ``query_id, chunk_id, score``: the best field plus ``TIE`` times the others.
+
+    A field counts only if it holds the required number of query terms. Statistics are those of the whole corpus, so
+    filters may be applied to the hits.
+    """
+    return _in_shards(queries, index, boosts, None, digits)
+
+
+def bm25_top(queries: DataFrame, index: Index, boosts: dict[str, float], limit: int = 10, offset: int = 0, digits: int = 4) -> DataFrame:
+    """RNK2 and RNK3: a page of each query's hits, as ``top_k`` of ``bm25_search`` gives it, without scoring all of them.
+
+    A shard of chunks takes the terms with the largest contributions first, drops chunks that can't reach the last place
+    of the page any more, and gives its best hits only.
+    """
+    return top_k(_in_shards(queries, index, boosts, limit + offset, digits), limit, offset)
 
 
 def top_k(hits: DataFrame, limit: Column | int = 10, offset: Column | int = 0) -> DataFrame:

@@ -142,7 +142,7 @@ def renumber_citations(spark: SparkSession, d: str) -> DataFrame:
 def context_texts(spark: SparkSession, d: str) -> DataFrame:
     c, q = I.chunks(spark, d), I.queries(spark, d)
     index = search.build_postings(c, ["content"], search.query_terms(q).select("term"))
-    hits = search.top_k(search.bm25_search(q.withColumn("filtered", F.lit(True)), index, {"content": 5.0}), 4).join(c, "chunk_id")
+    hits = search.bm25_top(q.withColumn("filtered", F.lit(True)), index, {"content": 5.0}, 4).join(c, "chunk_id")
     cut = select.context_budget(hits, 4000, 1000)
     return A.context_text(cut).select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("chars"))
 

@@ -40,16 +40,21 @@ def _hits(spark: SparkSession, d: str, boosts: dict[str, float], filtered: bool)
     return search.bm25_search(queries, _index(chunks, queries, list(boosts)), boosts)
 
 
+def _top(spark: SparkSession, d: str, boosts: dict[str, float], filtered: bool, limit: int, offset: int = 0) -> DataFrame:
+    chunks, queries = I.chunks(spark, d), I.queries(spark, d).withColumn("filtered", F.lit(filtered))
+    return search.bm25_top(queries, _index(chunks, queries, list(boosts)), boosts, limit, offset)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_hits(spark, d, CONTENT, True), 10)
+    return _top(spark, d, CONTENT, True, 10)
 
 
 def bm25_multifield(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_hits(spark, d, search.BOOSTS, True), 10, 5)
+    return _top(spark, d, search.BOOSTS, True, 10, 5)
 
 
 def bm25_msm70(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(_hits(spark, d, search.BOOSTS, False), 10)
+    return _top(spark, d, search.BOOSTS, False, 10)
 
 
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +165,7 @@ def interleave_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_score(spark: SparkSession, d: str) -> DataFrame:
     c = I.chunks(spark, d).select("chunk_id", "legal_topic", "country_code", "content")
-    return search.top_k(_hits(spark, d, CONTENT, True), 20).join(c, "chunk_id")
+    return _top(spark, d, CONTENT, True, 20).join(c, "chunk_id")
 
 
 def topic_balanced(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +184,7 @@ def truncate_paragraph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reranked(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.top_k(_hits(spark, d, CONTENT, True), 4)
+    hits = _top(spark, d, CONTENT, True, 4)
     orders = I.queries(spark, d).select("query_id", F.when(F.col("query_id") % 3 == 0, "[4, 2, 1, 3]").when(F.col("query_id") % 3 == 1, "[1, 1, 2, 3]").otherwise("not json").alias("ranking"))
     return select.apply_ranking(hits, orders).select("query_id", "chunk_id", "position")
 

@@ -1,9 +1,13 @@
+import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import search, select
+from lectern.operators.ranking import Shard
 
 HIT = "query_id long, chunk_id long, rank int, legal_topic string, topics array<string>"
 
@@ -90,3 +94,86 @@ def test_document_inventory_lists_all_documents(spark, monkeypatch):
     ids = spark.range(1_000_001).selectExpr("id AS chunk_id", "id AS document_id", "'A' AS country")
     monkeypatch.setattr(search_queries.I, "chunks", lambda spark, d: ids)
     assert search_queries.document_inventory(spark, "").count() == 1_000_001
+
+
+def corpus_and_queries(spark, seed, n_chunks=600, n_queries=25):
+    """Words of very uneven frequency, chunks of very uneven length, ties by repeated chunks, empty texts."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = []
+    for i in range(n_chunks):
+        text = " ".join(rng.choices(vocabulary, weights, k=rng.choice((0, 3, 20, 60, 300))))
+        rows.append((i, text, " ".join(rng.choices(vocabulary, weights, k=rng.randrange(4)))))
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(40)]
+    queries = [(q, " ".join(rng.choices(vocabulary, [w**0.5 for w in weights], k=rng.choice((1, 2, 5, 20)))), rng.random() < 0.6) for q in range(n_queries)]
+    return spark.createDataFrame(rows, "chunk_id long, content string, subsection string"), spark.createDataFrame([*queries, (99, "unknown", True), (98, "", True)], "query_id long, query string, filtered boolean")
+
+
+@pytest.mark.parametrize(("shard", "block"), [(16_384, 4096), (100, 8)])
+def test_a_page_of_the_best_equals_the_whole_ranking(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(search, "SHARD_CHUNKS", shard)
+    monkeypatch.setattr(search, "SHARD_QUERIES", block)
+    chunks, queries = corpus_and_queries(spark, shard)
+    boosts = {"content": 5.0, "subsection": 3.0}
+    index = search.build_postings(chunks, list(boosts), search.query_terms(queries).select("term"))
+    hits = search.bm25_search(queries, index, boosts).collect()
+    for limit, offset in ((10, 0), (3, 5)):
+        want = []
+        for q in {r.query_id for r in hits}:
+            own = sorted((-r.score, r.chunk_id) for r in hits if r.query_id == q)[offset : offset + limit]
+            want += [(q, c, -s, offset + n) for n, (s, c) in enumerate(own, 1)]
+        got = search.bm25_top(queries, index, boosts, limit, offset).select("query_id", "chunk_id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_scores_follow_the_formula(spark):
+    chunks, queries = corpus_and_queries(spark, 5, 80, 6)
+    index = search.build_postings(chunks, ["content"])
+    rows = {r.chunk_id: r.content.split() for r in chunks.collect() if r.content}
+    n, average = len(rows), sum(map(len, rows.values())) / len(rows)
+    got = {(r.query_id, r.chunk_id): r.score for r in search.bm25_search(queries.withColumn("filtered", F.lit(True)), index, {"content": 2.0}).collect()}
+    want = {}
+    for q in queries.collect():
+        for c, words in rows.items():
+            total = 0.0
+            for t in q.query.split():
+                df = sum(t in w for w in rows.values())
+                tf = words.count(t)
+                if tf:
+                    total += 2.0 * math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * len(words) / average))
+            if total:
+                want[q.query_id, c] = total
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_most_postings_are_not_looked_at():
+    rng = random.Random(1)
+    terms, chunk, dl, impact = [], [], [], []
+    for c in range(8000):
+        n = rng.choice((20, 60, 200))
+        for t in {f"t{min(int(rng.expovariate(0.02)), 400)}" for _ in range(n)}:
+            terms.append(t)
+            chunk.append(c)
+            dl.append(n)
+            impact.append(1 / (1 + n / 60) * rng.uniform(0.6, 1.0))
+    shard = Shard(pa.table({"field": ["content"] * len(terms), "term": terms, "chunk_id": chunk, "dl": dl, "impact": impact}))
+    df = Counter(terms)
+    for _ in range(20):
+        asked = [("content", f"t{rng.randrange(60, 300)}", 1, 0.0) for _ in range(2)] + [("content", f"t{rng.randrange(40)}", 1, 0.0) for _ in range(4)]
+        asked = [(f, t, m, math.log(1 + 8000 / df[t])) for f, t, m, _ in {a[1]: a for a in asked}.values() if df[t]]
+        whole, scores = shard.best(asked, 1, None, 0.2, 1e-4)
+        all_read, shard.read = shard.read, 0
+        hits, some = shard.best(asked, 1, 10, 0.2, 1e-4)
+        total = dict(zip(hits.tolist(), some.tolist(), strict=True))
+        want = sorted(zip((-scores).tolist(), whole.tolist(), strict=True))[:10]
+        assert all(abs(total[c] + s) < 1e-9 for s, c in want)
+        read = shard.read / all_read
+        shard.read = 0
+        assert read < 1
+    big = [("content", "t250", 1, 8.0), ("content", "t1", 1, 0.5), ("content", "t2", 1, 0.4)]
+    shard.best(big, 1, None, 0.2, 1e-4)
+    all_read, shard.read = shard.read, 0
+    shard.best(big, 1, 10, 0.2, 1e-4)
+    assert shard.read < all_read / 3
