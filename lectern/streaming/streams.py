@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +12,9 @@ from lectern.functions.frames import plain
 from lectern.functions.ranges import RANGE_ROWS
 from lectern.operators.turns import CARRY_COLUMNS, CARRY_STRINGS, TURN_OUT, next_step
 from lectern.sources import versioned
-from lectern.streaming.windows import rate_windows
+from lectern.streaming.windows import numbered, rate_windows
 
 LIMIT, WINDOW_SECONDS = 60, 60
-LIMIT_COLUMNS = ["identity", "ts", "request_id", "current", "remaining", "retry_after", "exceeded"]
 LIMIT_OUT = "identity string, ts timestamp, request_id long, current long, remaining long, retry_after double, exceeded boolean"
 
 
@@ -35,10 +33,11 @@ def rate_limit_batch(requests: DataFrame, limit: int = LIMIT, seconds: int = WIN
 
 
 class RateLimiter(StatefulProcessor):
-    """STR1 as a stream: the anchor and count of each identity's open window.
+    """STR1 as a stream: the anchor and count of each identity's open window, until event time has passed its end.
 
-    The requests of an identity in one micro-batch are put in order of time in memory; the trigger (files or offsets a
-    batch) bounds them. State is small and kept.
+    The requests of an identity in one micro-batch are put in order of time; the trigger (files or offsets a batch)
+    bounds them. Whole batches are numbered by the pointers of ``windows``, not row by row. A timer at the end of the
+    window removes the state, so identities that stay away cost nothing.
     """
 
     def __init__(self, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> None:
@@ -46,28 +45,31 @@ class RateLimiter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.window = handle.getValueState("window", "anchor timestamp, n long")
+        self.window = handle.getValueState("window", "anchor long, n long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802
-        frame = pd.concat(list(rows)).sort_values(["ts", "request_id"], kind="stable")
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
+        us = frame.ts.to_numpy("datetime64[us]").astype(np.int64)
         anchor, n = self.window.get() if self.window.exists() else (None, 0)
-        anchor = None if anchor is None else pd.Timestamp(anchor)
-        span, out = pd.Timedelta(seconds=self.seconds), []
-        for r in frame.itertuples(index=False):
-            if anchor is None or r.ts >= anchor + span:
-                anchor, n = r.ts, 0
-            n += 1
-            out.append((key[0], r.ts, r.request_id, n, max(0, self.limit - n), (anchor + span - r.ts).total_seconds(), n > self.limit))
-        self.window.update((anchor.to_pydatetime(), n))
-        yield plain(out, LIMIT_COLUMNS, ("identity",))
+        current, left, anchor, n = numbered(us, self.seconds * 1_000_000, anchor, n)
+        self.window.update((anchor, n))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(anchor + self.seconds * 1_000_000) // 1000))
+        out = pd.DataFrame({"identity": key[0], "ts": frame.ts.to_numpy(), "request_id": frame.request_id.to_numpy(), "current": current, "remaining": np.maximum(0, self.limit - current), "retry_after": left / 1e6, "exceeded": current > self.limit})
+        yield out.astype({"identity": object})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802
+        self.window.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """STR1 over a stream; needs the RocksDB state store provider. Requests of one micro-batch are taken in order of time."""
-    return requests.groupBy("identity").transformWithStateInPandas(RateLimiter(limit, seconds), LIMIT_OUT, "append", "none")
+def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """STR1 over a stream; needs the RocksDB state store provider. Requests of one micro-batch are taken in order of time, those later than the watermark are left out, and a window's state goes when the watermark has passed its end."""
+    return requests.withWatermark("ts", late).groupBy("identity").transformWithStateInPandas(RateLimiter(limit, seconds), LIMIT_OUT, "append", "EventTime")
 
 
 def rate_limit_aligned(requests: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
@@ -78,9 +80,13 @@ def rate_limit_aligned(requests: DataFrame, limit: int = LIMIT, seconds: int = W
 
 
 class ContextCarrier(StatefulProcessor):
-    """STR4 as a stream: the last actions and subject of each conversation, replaced turn by turn."""
+    """STR4 as a stream: the last actions and subject of each conversation, replaced turn by turn; where turns have a time, removed once event time is ``seconds`` past the last turn."""
+
+    def __init__(self, at: str | None, seconds: int) -> None:
+        self.at, self.seconds = at, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("context", "types array<string>, codes array<array<string>>, subject string")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802
@@ -94,14 +100,29 @@ class ContextCarrier(StatefulProcessor):
             state, got = next_step(state, {"codes": None if r.codes is None else list(r.codes), "operation": r.operation, "type": r.type, "subject": r.subject})
             out.append((key[0], r.turn, got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
         self.state.update((list(state[0]), [list(c) for c in state[1]], state[2]))
+        if self.at is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            last = int(frame[self.at].max().timestamp() * 1000)
+            self.handle.registerTimer(max(last + 1000 * self.seconds, timerValues.getCurrentWatermarkInMs() + 1))
         yield plain(out, CARRY_COLUMNS, CARRY_STRINGS)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def carry_context_stream(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("conv_id").transformWithStateInPandas(ContextCarrier(), TURN_OUT, "append", "none")
+#: Seconds of event time after which a conversation without turns is forgotten.
+QUIET_SECONDS = 86_400
+
+
+def carry_context_stream(turns: DataFrame, at: str | None = None, seconds: int = QUIET_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """STR4 over a stream; needs the RocksDB state store provider. With a time column ``at``, turns later than the watermark are left out and quiet conversations are forgotten; without one, all are kept."""
+    rows = turns if at is None else turns.withWatermark(at, late)
+    return rows.groupBy("conv_id").transformWithStateInPandas(ContextCarrier(at, seconds), TURN_OUT, "append", "none" if at is None else "EventTime")
 
 
 def metrics_rollup(events: DataFrame) -> DataFrame:

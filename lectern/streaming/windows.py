@@ -57,6 +57,18 @@ def _orbit(pointers: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return marks
 
 
+def numbered(us: np.ndarray, span: int, anchor: int | None, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Numbers in their windows of ascending requests of one identity, and the time left, after a window that opened at ``anchor`` with ``n`` requests so far; and anchor and number of the last window."""
+    first = int(np.searchsorted(us, anchor + span)) if anchor is not None else 0
+    begin = np.array([0, len(us)])
+    marks = _orbit(_pointers(begin, us, span), np.array([first] if first < len(us) else [], np.int64))
+    opened = np.maximum.accumulate(np.where(marks, np.arange(len(us)), -1))
+    inside = opened >= 0
+    current = np.arange(len(us)) + 1 + np.where(inside, -opened, n)
+    left = np.where(inside, us[opened], 0 if anchor is None else anchor) + span - us
+    return current, left, int(us[opened[-1]]) if inside[-1] else anchor, int(current[-1])
+
+
 _ORDER = ["who", "us", "request_id"]
 
 

@@ -175,3 +175,35 @@ def test_one_long_conversation_is_spread_over_tasks(spark, range_rows):
             want.append((conv, r[1], got["resolution"], got["type"], got["codes"], got["subject"], got["reason"]))
     df = spark.createDataFrame(rows, "conv_id long, turn long, operation string, type string, codes array<string>, subject string").repartition(6)
     assert sorted((tuple(r) for r in carry_context(df, range_rows).collect()), key=str) == sorted(want, key=str)
+
+
+def sizes_of_state(spark, tmp_path, schema, parts, made, name):
+    """Keys with a state after each part has come in."""
+    folder, sizes = f"{tmp_path}/in", []
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(folder)
+        q = made(spark.readStream.schema(schema).parquet(folder)).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+        sizes.append(spark.read.format("statestore").option("stateVarName", name).load(f"{tmp_path}/cp").count())
+    return sizes
+
+
+def timed(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros(F.col("us") + 1_000_000_000_000)).drop("us")
+
+
+def test_state_of_closed_windows_goes(rocks, tmp_path):
+    parts = [[(f"u{i}", 1_000_000 * (i % 7), i) for i in range(30)], [("late", 3_600_000_000 + i, 100 + i) for i in range(3)], [("late", 7_200_000_000 + i, 200 + i) for i in range(3)]]
+    frames = [timed(rocks, p, "identity string, us long, request_id long") for p in parts]
+    sizes = sizes_of_state(rocks, tmp_path, frames[0].schema, frames, lambda s: streams.rate_limit_stream(s, 3, 60, "1 minute"), "window")
+    assert sizes[0] == 30
+    assert sizes[-1] == 1
+
+
+def test_quiet_conversations_are_forgotten(rocks, tmp_path):
+    parts = [[(i, 0, "pass", "information", ["ES"], "notice", 0) for i in range(30)], [(99, k, "continue", "information", [], None, 10_000_000_000 + k) for k in range(2)], [(99, 5, "continue", "information", [], None, 20_000_000_000)]]
+    frames = [timed(rocks, p, "conv_id long, turn long, operation string, type string, codes array<string>, subject string, us long") for p in parts]
+    sizes = sizes_of_state(rocks, tmp_path, frames[0].schema, frames, lambda s: streams.carry_context_stream(s, "ts", 3600, "1 minute"), "context")
+    assert sizes[0] == 30
+    assert sizes[-1] == 1
