@@ -9,7 +9,6 @@ from lectern.functions import text as X
 from lectern.functions import values as V
 from lectern.operators.evidence import answer_mentions
 from lectern.sources.dims import small
-from lectern.sources.store import cut
 
 STRICT, LOOSE = r"\[\d+(?:\s*,\s*\d+)*\]", r"\[[0-9][0-9,\s;]*\]"
 BULLET = r"^\s*[-*•]\s+"
@@ -168,33 +167,94 @@ def subject_drift(answers: DataFrame, specs: DataFrame, insufficient: DataFrame)
     return said.where("not mentions").select(*keys)
 
 
+def _dimension(names: DataFrame) -> DataFrame:
+    """One row: ``by_code``, the lower-case names of each code, and ``by_label``, the codes of each name. ``names`` is a checked dimension."""
+    pairs = small(names.select("code", F.lower("alias").alias("label")).distinct())
+    entries = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    by_code = pairs.groupBy("code").agg(F.collect_list("label").alias("labels")).agg(entries("code", "labels").alias("by_code"))
+    by_label = pairs.groupBy("label").agg(F.collect_list("code").alias("codes")).agg(entries("label", "codes").alias("by_label"))
+    return by_code.crossJoin(by_label)
+
+
+def sections_of(answers: DataFrame) -> DataFrame:
+    """``answer_id, loose, sections`` of ``answers(answer_id, answer, codes, by_label)``: whether text is unresolved or standalone, and an array of the sections with ``code, comparison, bullets`` and their ``claims``.
+
+    The rules are those of ``parse_canonical``; lines are dealt by answer once, and one ordered pass over them tells all.
+    """
+    bare = F.regexp_replace("line", r"^[#*\s]+|[*:\s]+$", "")
+    rows = answers.select("answer_id", "codes", "by_label", F.posexplode(F.split("answer", "\n")).alias("line_no", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+    rows = rows.withColumns({"bullet": F.col("raw").rlike(BULLET), "label": F.lower(bare)})
+    rows = rows.withColumn("own", F.array_max(F.array_intersect(F.try_element_at("by_label", F.col("label")), F.col("codes"))))
+    head = ~F.col("bullet") & (F.col("own").isNotNull() | (F.col("label") == "comparison"))
+    rows = rows.select("answer_id", "line_no", "line", F.col("raw").rlike(r"^\s+\S").alias("indented"), "bullet", head.alias("head"), F.struct("own", (F.col("label") == "comparison").alias("comparison")).alias("h"))
+    w = Window.partitionBy("answer_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda when, value: F.last(F.when(F.col(when), F.col(value)), ignorenulls=True).over(w)
+    rows = rows.select("*", F.sum(F.col("head").cast("int")).over(w).alias("section_no"), F.sum(F.col("bullet").cast("int")).over(w).alias("bullet_no"), last("head", "h").alias("under"), last("head", "line_no").alias("head_at"), last("bullet", "line_no").alias("bullet_at"))
+    kind = F.when(F.col("head"), "heading").when(F.col("section_no") == 0, "unresolved").when(F.col("bullet"), "bullet").when(F.col("indented") & (F.col("bullet_at") > F.col("head_at")), "continuation").otherwise("standalone")
+    rows = rows.withColumn("kind", kind)
+    said = F.col("kind").isin("bullet", "continuation")
+    bullets = rows.groupBy("answer_id", "section_no", "bullet_no").agg(
+        F.first("under").alias("under"),
+        F.bool_or(F.col("kind").isin("unresolved", "standalone")).alias("loose"),
+        F.count_if(F.col("kind") == "bullet").alias("bullets"),
+        F.array_sort(F.collect_list(F.when(said, F.struct("line_no", "line")))).alias("l"),
+    )
+    claim = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), " "), BULLET, "")
+    bullets = bullets.withColumn("claim", F.when(F.size("l") > 0, claim)).withColumn("claim", F.when(F.col("claim").isNotNull(), F.struct(F.col("claim").alias("text"), citations(F.col("claim")).alias("cited"))))
+    sections = bullets.groupBy("answer_id", "section_no").agg(F.first("under").alias("under"), F.bool_or("loose").alias("loose"), F.sum("bullets").alias("bullets"), F.collect_list("claim").alias("claims"))
+    one = F.struct(F.col("under.own").alias("code"), F.coalesce("under.comparison", F.lit(False)).alias("comparison"), "bullets", "claims")
+    return sections.groupBy("answer_id").agg(F.bool_or("loose").alias("loose"), F.collect_list(F.when(F.col("section_no") > 0, one)).alias("sections"))
+
+
 def quality_report(answers: DataFrame, sources: DataFrame, names: DataFrame, drift: DataFrame | None = None) -> DataFrame:
     """ANS17: ``answer_id, hard, soft, verdict``: sorted error types and ``ok``, ``repair`` or ``accept_soft``.
 
     ``answers(answer_id, question, answer, codes)``, ``sources(answer_id, citation, country_code, content)``;
-    ``drift(answer_id)`` lists subject drift (ANS16). Claims are checked only where the structure is clean. Answers
-    are read, and taken apart into lines, once: both are written between the steps.
+    ``drift(answer_id)`` lists subject drift (ANS16). Claims are checked only where the structure is clean. An answer's
+    sections and sources become arrays of its row, and every check is an expression over that row.
     """
-    answers = cut(answers.select("answer_id", "question", "answer", "codes"), "answers")
-    per = sources.groupBy("answer_id").agg(F.count("*").alias("n_sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation", "content"))), lambda x: x["content"]), "\n").alias("context"))
-    rows = answers.join(per, "answer_id", "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+    per = sources.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("citation", "country_code", "content"))).alias("s"))
+    told = answers.select("answer_id", "question", "answer", "codes").crossJoin(F.broadcast(_dimension(names)))
+    rows = told.join(per, "answer_id", "left").join(sections_of(told), "answer_id", "left")
+    rows = rows.withColumns({"s": F.coalesce("s", F.array().cast(per.schema["s"].dataType)), "loose": F.coalesce("loose", F.lit(False))})
+    if drift is not None:
+        rows = rows.join(drift.select("answer_id", F.lit(True).alias("drifts")).distinct(), "answer_id", "left")
+    secs, codes = F.coalesce("sections", F.array().cast(rows.schema["sections"].dataType)), F.coalesce("codes", F.array().cast("array<string>"))
+    rows = rows.withColumn("sections", secs).withColumn("codes", codes)
+
+    def most(of: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.filter("sections", lambda x: x["comparison"] == of), lambda x: x["bullets"])), F.lit(0))
+
+    def mismatch(section: Column) -> Column:
+        foreign = lambda n: F.exists("s", lambda s: (s["citation"] == n) & (s["country_code"] != section["code"]))
+        return section["code"].isNotNull() & ~section["comparison"] & F.exists(section["claims"], lambda c: F.exists(c["cited"], lambda n: F.coalesce(foreign(n), F.lit(False))))
+
+    low = F.lower("answer")
+    unnamed = F.exists("codes", lambda c: X.let(F.try_element_at("by_code", c), lambda n: n.isNotNull() & ~F.exists(n, lambda x: F.contains(low, x))))
+    claims = F.flatten(F.transform("sections", lambda x: x["claims"]))
+    plain = F.filter(F.transform(claims, lambda c: F.trim(F.regexp_replace(F.lower(F.regexp_replace(c["text"], LOOSE, "")), "[^a-z0-9]+", " "))), lambda k: k != "")
+    broken = F.col("loose") | F.exists("sections", lambda x: x["code"].isNotNull() & (x["bullets"] == 0)) | (F.size(F.array_except("codes", F.transform("sections", lambda x: x["code"]))) > 0)
+    context = F.array_join(F.transform("s", lambda x: x["content"]), "\n")
+    rows = rows.withColumn("broken", broken)
+    sound, n = ~F.col("broken"), F.size("codes")
+    over = F.when(n <= 1, most(F.lit(False)) > 6).otherwise((most(F.lit(False)) > 4) | (F.size(F.filter("sections", lambda x: x["comparison"])) > 1) | (most(F.lit(True)) > 2))
     flags = {
         "citation_format": citation_format_error(F.col("answer")),
-        "citation_range": citation_range_error(F.col("answer"), F.col("n_sources")),
+        "citation_range": citation_range_error(F.col("answer"), F.size("s")),
         "internal_reference": F.size(forbidden_phrases(F.col("answer"))) > 0,
         "paid_leave_scope": paired_phrase_error(F.col("question"), F.col("answer")),
-        "false_absence_claim": false_absence(F.col("answer"), F.coalesce("context", F.lit(""))),
+        "false_absence_claim": false_absence(F.col("answer"), context),
+        "structure": F.col("broken"),
+        "uncited_claims": sound & F.exists(claims, lambda c: (F.trim(c["text"]) != "") & (F.size(c["cited"]) == 0)),
+        "citation_entity_mismatch": sound & F.exists("sections", mismatch),
+        "bullet_limits": over,
+        "missing_entities": unnamed,
+        "repeated_bullets": sound & X.let(plain, lambda k: F.size(k) > F.size(F.array_distinct(k))),
+        **({"subject_drift": F.col("drifts")} if drift is not None else {}),
     }
-    errors = rows.select("answer_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))).alias("error"))
-    parsed = cut(parse_canonical(answers, names), "lines")
-    broken = cut(structure_errors(answers, parsed).select("answer_id"), "broken")
-    claims = extract_claims(parsed).join(broken, "answer_id", "left_anti")
-    for name, df in (("structure", broken), ("uncited_claims", uncited_claims(claims)), ("citation_entity_mismatch", citation_mismatch(claims, sources)), ("bullet_limits", bullet_limits(answers, parsed)), ("missing_entities", missing_entities(answers, names)), ("repeated_bullets", repeated_bullets(claims)), *([("subject_drift", drift)] if drift is not None else [])):
-        errors = errors.unionByName(df.select("answer_id", F.lit(name).alias("error")).distinct())
-    per = errors.groupBy("answer_id").agg(F.collect_set("error").alias("e"))
-    out = answers.select("answer_id").join(per, "answer_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<string>")))
+    found = rows.select("answer_id", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in flags.items()])).alias("e"))
     pick = lambda names: F.array_sort(F.array_intersect("e", F.array(*[F.lit(n) for n in names])))
-    out = out.select("answer_id", pick(HARD).alias("hard"), pick(SOFT).alias("soft"), pick(REPAIRED_SOFT).alias("r"))
+    out = found.select("answer_id", pick(HARD).alias("hard"), pick(SOFT).alias("soft"), pick(REPAIRED_SOFT).alias("r"))
     verdict = F.when((F.size("hard") > 0) | (F.size("r") > 0), "repair").when(F.size("soft") > 0, "accept_soft").otherwise("ok")
     return out.select("answer_id", "hard", "soft", verdict.alias("verdict"))
 
