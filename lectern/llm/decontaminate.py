@@ -114,13 +114,24 @@ def live_windows(docs: DataFrame, items: DataFrame, places: DataFrame, k: int, s
     hits = read.select("doc_id", "_row", "n", F.posexplode("hashes").alias("pos", "h")).join(bounded(known), "h")
     # rows that repeat a document count once
     hits = hits.groupBy("doc_id", "_row", "size", "pos").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
-    hits = hits.withColumn("vote", _vote(F.col("w"))).select("*", *_lanes("h", "vote"), F.expr(f"(cast(pos as bigint) * {_FRAME}) div (size - {k - 1})").alias("at"))
+    hits = cut(hits, "hits")
+    # windows that may reach an item's weight, by the weights alone; only their fingerprints and shingles are put together
+    length = F.col("size") - (k - 1)
+    at = F.expr(f"(cast(pos as bigint) * {_FRAME}) div (size - {k - 1})")
     frame = Window.partitionBy("doc_id", "_row", "size").orderBy("at").rangeBetween(0, _FRAME - 1)
-    sums = [F.sum(c).over(frame).alias(c) for c in LANES]
-    rows = hits.select("doc_id", "_row", "size", "pos", "n", F.sum("w").over(frame).alias("w"), F.sum("vote").over(frame).alias("votes"), *sums, F.collect_list("h").over(frame).alias("grams"))
-    live = rows.join(F.broadcast(bars), "size").where(F.col("w") >= similarity * F.col("bar") - 1e-9)
-    total = F.least(F.col("n") - F.col("pos"), F.col("size")) - (k - 1)
-    return live.select("doc_id", "_row", F.col("pos").alias("start"), "size", total.alias("total"), _fingerprint().alias("print"), "grams")
+    weighed = hits.select("doc_id", "_row", "size", "pos", "n", "w", at.alias("at")).select("doc_id", "_row", "size", "pos", "n", F.sum("w").over(frame).alias("w"))
+    live = weighed.join(F.broadcast(bars), "size").where(F.col("w") >= similarity * F.col("bar") - 1e-9)
+    live = cut(live.select("doc_id", "_row", "size", F.col("pos").alias("start"), "n"), "live")
+    # a window lies in two stretches of its own length
+    stretch = F.floor(F.col("start") / length)
+    held = live.select("*", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    parts = hits.select(F.col("doc_id").alias("h_doc"), F.col("_row").alias("h_row"), F.col("size").alias("h_size"), F.floor(F.col("pos") / length).alias("h_stretch"), "pos", "h", _vote(F.col("w")).alias("vote"))
+    same = F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("_row") == F.col("h_row")) & (F.col("size") == F.col("h_size")) & (F.col("stretch") == F.col("h_stretch"))
+    met = held.join(parts, same & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + length))
+    met = met.select("doc_id", "_row", "size", "start", "n", "pos", "h", "vote", *_lanes("h", "vote"))
+    rows = met.groupBy("doc_id", "_row", "size", "start", "n").agg(F.sum("vote").alias("votes"), *[F.sum(c).alias(c) for c in LANES], F.collect_list("h").alias("grams"))
+    total = F.least(F.col("n") - F.col("start"), F.col("size")) - (k - 1)
+    return rows.select("doc_id", "_row", "start", "size", total.alias("total"), _fingerprint().alias("print"), "grams")
 
 
 def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
