@@ -122,10 +122,13 @@ def contact_request(text: Column) -> Column:
     """
 
     def rules(low: Column) -> Column:
+        # the place after the last word, sentence marks aside
+        end = F.aggregate(low, F.struct(F.lit(0).alias("i"), F.lit(0).alias("end")), lambda acc, t: F.struct((acc["i"] + 1).alias("i"), F.when(t.isin(".", "?", "!"), acc["end"]).otherwise(acc["i"] + 1).alias("end")), lambda acc: acc["end"])
+        return X.let(end, lambda last: asks(low, last))
+
+    def asks(low: Column, last: Column) -> Column:
         n = F.size(low)
         article = lambda i: T.optional(low, i, "a", "an", "the")
-        # the place after the last word, sentence marks aside
-        last = F.aggregate(low, F.struct(F.lit(0).alias("i"), F.lit(0).alias("end")), lambda acc, t: F.struct((acc["i"] + 1).alias("i"), F.when(t.isin(".", "?", "!"), acc["end"]).otherwise(acc["i"] + 1).alias("end")), lambda acc: acc["end"])
 
         def target(i: Column) -> Column:
             return X.let(T.phrase_end(low, article(i), V.CONTACT_TARGETS), lambda e: F.when(~((T.at(low, e) == "'") & F.coalesce(T.at(low, e + 1) == "s", F.lit(False))) | (e >= n), e))
@@ -136,17 +139,16 @@ def contact_request(text: Column) -> Column:
         def data_of_target(i: Column) -> Column:
             return X.let(T.phrase_end(low, article(i), V.CONTACT_DATA), lambda e: F.when(T.at(low, e).isin("of", "for"), target(e + 1)))
 
-        def office(end: Column) -> Column:
-            def here(i: Column) -> Column:
-                own = F.coalesce(T.at(low, i - 1).isin(*V.POSSESSIVES, "'"), F.lit(False)) | F.coalesce((T.at(low, i - 1) == "s") & (T.at(low, i - 2) == "'"), F.lit(False))
-                return (i >= end) & T.at(low, i).isin("office", "offices") & ~own & X.let(last, lambda z: (T.phrase_end(low, i + 1, V.OFFICE_DATA) == z) & (z > i + 1))
-
-            return T.anywhere(low, here)
+        def office(i: Column, first: Column) -> Column:
+            own = F.coalesce(T.at(low, i - 1).isin(*V.POSSESSIVES, "'"), F.lit(False)) | F.coalesce((T.at(low, i - 1) == "s") & (T.at(low, i - 2) == "'"), F.lit(False))
+            return (i >= first) & T.at(low, i).isin("office", "offices") & ~own & (T.phrase_end(low, i + 1, V.OFFICE_DATA) == last) & (last > i + 1)
 
         searched = T.anywhere(low, lambda i: X.let(target(T.phrase_end(low, i, V.CONTACT_SEARCHES)), closes))
         asked = T.anywhere(low, lambda i: data_of_target(T.phrase_end(low, i, V.CONTACT_ASKS)).isNotNull())
         question = X.let(data_of_target(F.when(F.array_join(F.slice(low, 1, 3), " ") == "what is the", F.lit(3))), lambda e: (e == last) | (T.at(low, e).isin("in", "for") & F.forall(F.slice(low, e + 1, F.greatest(last - e, F.lit(0))), lambda t: t.rlike("^[a-z0-9_]"))))
-        offices = T.anywhere(low, lambda i: X.let(T.phrase_end(low, i, V.CONTACT_ASKS), office))
+        # an office may stand anywhere after the first request
+        asked_at = F.array_min(F.filter(F.transform(low, lambda _, i: T.phrase_end(low, i, V.CONTACT_ASKS)), lambda e: e.isNotNull()))
+        offices = X.let(asked_at, lambda first: T.anywhere(low, lambda i: office(i, first)))
         noun = T.anywhere(low, lambda i: X.let(target(T.optional(low, T.phrase_end(low, i, V.CONTACT_NOUN_ASKS), "me", "us")), lambda e: F.when(T.at(low, e).isin("contact", "contacts"), closes(e + 1))))
         return searched | asked | F.coalesce(question, F.lit(False)) | offices | noun
 

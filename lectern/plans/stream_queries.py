@@ -36,6 +36,21 @@ def metrics_sliding(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.unix_seconds("window_start").alias("window_start"), "outcome", "n")
 
 
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sketches merged over all days, and whether the latencies they give lie at their ranks, within the stated error, among all requests of a cell."""
+    rows = I.requests(spark, d)
+    cells = streams.merged_quantiles(streams.latency_sketches(rows, "1 day"), "outcome", "action")
+    at = cells.select(F.col("outcome").alias("o"), F.col("action").alias("a"), "n", "total_latency", "p50", "p95")
+    none = F.lit(None).cast("string")
+    of = [F.struct(o.alias("outcome"), a.alias("action")) for o in (F.col("outcome"), none) for a in (F.col("action"), none)]
+    each = rows.select("latency", F.explode(F.array(*of)).alias("c"))
+    met = each.join(at, F.col("o").eqNullSafe(F.col("c.outcome")) & F.col("a").eqNullSafe(F.col("c.action")))
+    ranks = [F.count_if(F.col("latency").cast("double") < F.col(c)).alias(f"{c}_below") for c in ("p50", "p95")] + [F.count_if(F.col("latency").cast("double") <= F.col(c)).alias(f"{c}_to") for c in ("p50", "p95")]
+    found = met.groupBy("o", "a", "n", "total_latency").agg(*ranks)
+    near = lambda c, q: (F.col(f"{c}_below") / F.col("n") <= q + streams.RANK_ERROR) & (F.col(f"{c}_to") / F.col("n") >= q - streams.RANK_ERROR)
+    return found.select(F.col("o").alias("outcome"), F.col("a").alias("action"), "n", F.col("total_latency").cast("decimal(28,2)").alias("total_latency"), near("p50", 0.5).alias("p50_near"), near("p95", 0.95).alias("p95_near"))
+
+
 def request_sessions(spark: SparkSession, d: str) -> DataFrame:
     s = streams.latency_sessions(I.requests(spark, d), "6 hours")
     return s.select("identity", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
@@ -47,7 +62,7 @@ def identity_hashes(spark: SparkSession, d: str) -> DataFrame:
     return I.table(spark, d, "events").select("event_id", h.alias("identity"))
 
 
-QUERIES = {f.__name__: f for f in (rate_limit_batch, rate_limit_aligned, metrics_cube, metrics_windows, metrics_sliding, request_sessions, identity_hashes)}
+QUERIES = {f.__name__: f for f in (rate_limit_batch, rate_limit_aligned, metrics_cube, metrics_windows, metrics_sliding, latency_quantiles, request_sessions, identity_hashes)}
 
 W = "WITH "
 
@@ -60,6 +75,7 @@ ORACLE_SQL = {
     "metrics_cube": W + I.REQUESTS_SQL + " SELECT outcome, action, count(*) AS n, CAST(sum(latency) AS DECIMAL(28, 2)) AS total_latency, round(quantile_cont(CAST(latency AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(latency AS DOUBLE), 0.95), 4) AS p95, count(*) FILTER (failed) AS failures, round(avg(CAST(repaired AS INTEGER)), 6) AS repair_rate FROM requests GROUP BY CUBE (outcome, action)",
     "metrics_windows": W + I.REQUESTS_SQL + " SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, outcome, count(*) AS n, CAST(sum(latency) AS DECIMAL(28, 2)) AS total_latency FROM requests GROUP BY floor(epoch(ts) / 86400), outcome",
     "metrics_sliding": W + I.REQUESTS_SQL + " SELECT CAST((floor(epoch(ts) / 86400) - k) * 86400 AS BIGINT) AS window_start, outcome, count(*) AS n FROM requests, (SELECT unnest([0, 1]) AS k) GROUP BY floor(epoch(ts) / 86400) - k, outcome",
+    "latency_quantiles": W + I.REQUESTS_SQL + " SELECT outcome, action, count(*) AS n, CAST(sum(latency) AS DECIMAL(28, 2)) AS total_latency, true AS p50_near, true AS p95_near FROM requests GROUP BY CUBE (outcome, action)",
     "request_sessions": W + I.REQUESTS_SQL + ", g AS (SELECT identity, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY identity ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM requests), s AS (SELECT identity, t, sum(new) OVER (PARTITION BY identity ORDER BY t RANGE UNBOUNDED PRECEDING) AS s FROM g) SELECT identity, min(t) AS session_start, max(t) + 21600000000 AS session_end, count(*) AS n FROM s GROUP BY identity, s",
     "identity_hashes": "SELECT event_id, sha256(CASE event_id % 3 WHEN 0 THEN '1.2.3.' || CAST(event_id % 250 AS VARCHAR) WHEN 1 THEN '5.6.7.8' ELSE '0.0.0.0' END || ':' || sha256(CASE WHEN event_id % 2 = 0 THEN 'key' ELSE '' END)) AS identity FROM events",
 }

@@ -145,6 +145,28 @@ def metrics_windows(events: DataFrame, width: str = "1 hour", step: str | None =
     return per.select(F.col("w.start").alias("window_start"), "outcome", "n", "total_latency", "requests")
 
 
+#: Size of a quantile sketch, and the error of a rank, as a share of all values, that it keeps with near certainty.
+SKETCH_K, RANK_ERROR = 400, 0.01
+
+
+def latency_sketches(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """AGG18 and STR8 with bounded state: ``window_start, outcome, action, n, total_latency, sketch`` for each window and cell, on tables and streams.
+
+    A sketch holds some hundred values however many it has seen (``metrics_rollup`` keeps every distinct latency of a
+    cell), and sketches of any windows and cells can be merged.
+    """
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    per = rows.groupBy(F.window("ts", width).alias("w"), "outcome", "action").agg(F.count("*").alias("n"), F.sum("latency").alias("total_latency"), F.kll_sketch_agg_double(F.col("latency").cast("double"), SKETCH_K).alias("sketch"))
+    return per.select(F.col("w.start").alias("window_start"), "outcome", "action", "n", "total_latency", "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, *by: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """The cube over ``by`` of windows' ``sketches``: ``n, total_latency`` exact, each of ``quantiles`` (by default ``p50`` and ``p95``) with a rank error of ``RANK_ERROR``."""
+    merged = sketches.cube(*by).agg(F.sum("n").alias("n"), F.sum("total_latency").alias("total_latency"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("_s"))
+    asked = quantiles or {"p50": 0.5, "p95": 0.95}
+    return merged.select(*by, "n", "total_latency", *[F.kll_sketch_get_quantile_double("_s", F.lit(q)).alias(c) for c, q in asked.items()])
+
+
 def latency_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Runs of requests of one identity with at most ``gap`` between them."""
     per = events.groupBy("identity", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))

@@ -207,3 +207,13 @@ def test_quiet_conversations_are_forgotten(rocks, tmp_path):
     sizes = sizes_of_state(rocks, tmp_path, frames[0].schema, frames, lambda s: streams.carry_context_stream(s, "ts", 3600, "1 minute"), "context")
     assert sizes[0] == 30
     assert sizes[-1] == 1
+
+
+def test_merged_sketches_give_quantiles_within_their_error(spark):
+    rows = spark.range(60_000).select(F.timestamp_seconds(F.col("id") % 86_400).alias("ts"), F.when(F.col("id") % 3 == 0, "ok").otherwise("failed").alias("outcome"), F.lit("a").alias("action"), ((F.col("id") * 7919) % 60_000).cast("double").alias("latency"))
+    sketches = streams.latency_sketches(rows, "1 hour")
+    assert sketches.select(F.max(F.octet_length("sketch"))).first()[0] < 20_000
+    for r in streams.merged_quantiles(sketches, "outcome", "action", quantiles={"low": 0.1, "mid": 0.5, "high": 0.95}).collect():
+        assert r.n == {"ok": 20_000, "failed": 40_000, None: 60_000}[r.outcome]
+        for q, v in ((0.1, r.low), (0.5, r.mid), (0.95, r.high)):
+            assert abs(v / 60_000 - q) <= streams.RANK_ERROR
