@@ -9,7 +9,9 @@ weights that are left, so no slot stays empty. Sources without a positive weight
 
 The schedule is one row for each block. Blocks grow with the table, so that there are at most ``BLOCKS`` of them and
 one for each source; that many steps are worked out on the driver, and every document finds its slot from its rank in
-its source. Ranks come from salted buckets (a hash of the id): rows are numbered inside a bucket, and the buckets'
+its source. Where there are more than ``SOURCES`` sources, those with the smallest weights are scheduled together: as one
+source with their weights added up, whose blocks are theirs by deadline, sorted over all tasks, so many in a slot that
+they too give at most ``BLOCKS`` slots. Ranks come from salted buckets (a hash of the id): rows are numbered inside a bucket, and the buckets'
 sizes, a small table, are added up. Rows that share an id too often for a bucket are dealt by position instead, after
 the table has been written once.
 """
@@ -21,12 +23,15 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.merkle import positions
 from lectern.sources.store import bounded, cut, free_names
 
 #: Blocks in a schedule (sources beyond their full blocks add one each), rows in a block at least, rows in a bucket (about).
 BLOCKS = 1 << 17
 BLOCK_ROWS = 8
 BUCKET_ROWS = 512
+#: Sources that are scheduled one by one.
+SOURCES = 10_000
 
 _NEW = ("block", "slot", "place", "release", "deadline")
 
@@ -63,9 +68,34 @@ def _key(source: str = "source"):
     return F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source)))
 
 
-def source_sizes(docs: DataFrame) -> dict[str, int]:
-    """Rows by source key: one number for each source."""
-    return {r.key: r["count"] for r in docs.groupBy(_key().alias("key")).count().collect()}
+def _targets(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """``key, n, target``: rows and target weight of each source."""
+    sizes = docs.groupBy(_key().alias("key")).agg(F.count("*").alias("n"))
+    if weights is None:
+        return cut(sizes.withColumn("target", F.sqrt("n")), "sizes")
+    named = docs.sparkSession.createDataFrame([("null" if s is None else f"={s}", float(w)) for s, w in weights.items()], "key string, target double")
+    return cut(sizes.join(F.broadcast(named), "key", "left").withColumn("target", F.greatest(F.lit(0.0), F.coalesce("target", F.lit(0.0)))), "sizes")
+
+
+def _plan(sizes: DataFrame, per: int) -> tuple[DataFrame, DataFrame | None]:
+    """``key, block, slot`` of the sources that are scheduled one by one, and ``key, block, slot, inner`` of the blocks of the others, if there are any."""
+    spark = sizes.sparkSession
+    blocks = F.ceil(F.col("n") / per)
+    heavy = sizes.select("key", "target", blocks.alias("b")).orderBy(F.desc("target"), F.desc("b"), "key").limit(SOURCES).collect()
+    targets, counts = {r.key: r.target for r in heavy}, {r.key: r.b for r in heavy}
+    rest = sizes.join(F.broadcast(spark.createDataFrame([(k,) for k in targets], "key string")), "key", "left_anti").withColumn("tree", F.when(F.col("target") > 0, "tail1").otherwise("tail0"))
+    together = {r.tree: r for r in rest.groupBy("tree").agg(F.sum("target").alias("target"), F.sum(blocks).alias("b")).collect()}
+    many = {t: max(1, -(-r.b // BLOCKS)) for t, r in together.items()}
+    plan = schedule(targets | {t: r.target / many[t] for t, r in together.items()}, counts | {t: -(-r.b // many[t]) for t, r in together.items()})
+    slots = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(plan)], "key string, block long, slot long")
+    if not together:
+        return slots, None
+    each = rest.select("tree", "key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.when(F.col("target") > 0, F.col("target")).otherwise(blocks.cast("double")).alias("share"))
+    each = positions(each.withColumn("due", (F.col("block") + 1) / F.col("share")), ["due", "key", "block"])
+    size = F.create_map(*[F.lit(x) for t, g in many.items() for x in (t, g)])[F.col("tree")]
+    unit = each.select("tree", "key", F.col("block"), F.floor(F.col("pos") / size).cast("long").alias("unit"), (F.col("pos") % size).alias("inner"))
+    placed = unit.join(F.broadcast(slots.select(F.col("key").alias("tree"), F.col("block").alias("unit"), "slot")), ["tree", "unit"])
+    return slots, cut(placed.select("key", "block", "slot", "inner"), "tail-slots")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None) -> DataFrame:
@@ -79,18 +109,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     whatever their names. ``block_rows`` is ``BLOCK_ROWS``, or more where that would give over ``BLOCKS`` blocks.
     """
     docs = docs.drop(*_NEW)
-    sizes = source_sizes(docs)
-    named = {"null" if s is None else f"={s}": w for s, w in (weights or {}).items()}
-    targets = {s: n**0.5 if weights is None else max(0.0, named.get(s, 0.0)) for s, n in sizes.items()}
-    total = sum(targets.values())
-    per = block_rows or max(BLOCK_ROWS, -(-sum(sizes.values()) // BLOCKS))
-    plan = schedule(targets, {s: -(-n // per) for s, n in sizes.items()})
+    sizes = _targets(docs, weights)
+    every = sizes.agg(F.sum("n").alias("n"), F.sum("target").alias("target")).first()
+    per = block_rows or max(BLOCK_ROWS, -(-(every.n or 0) // BLOCKS))
+    plan, tail = _plan(sizes, per)
 
     key, h, bucket, buckets, before, rank, w, k, x = free_names(docs, "key", "h", "bucket", "buckets", "before", "rank", "w", "k", "x")
-    spark = docs.sparkSession
     # one row for each source
-    share = spark.createDataFrame([(s, targets[s] / total if total else 0.0, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], f"{key} string, {w} double, {buckets} long")
-    slots = spark.createDataFrame([(s, j, t) for t, (s, j) in enumerate(plan)], f"{key} string, block long, slot long")
+    share = sizes.select(F.col("key").alias(key), (F.col("target") / F.lit(every.target or 1.0)).alias(w), F.ceil(F.col("n") / BUCKET_ROWS).alias(buckets))
+    slots = plan.withColumnsRenamed({"key": key})
     rows = docs.withColumns({key: _key(), h: F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7))})
     crowded = cut(rows.groupBy(key, h).count().where(F.col("count") > BUCKET_ROWS).select(key, h), "crowded")
     if not crowded.isEmpty():
@@ -98,14 +125,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
         marked = rows.join(bounded(many), (F.col(key) == F.col(k)) & (F.col(h) == F.col(x)), "left")
         spot = F.when(F.col(k).isNotNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(11))).otherwise(F.col(h))
         rows = cut(marked.withColumn(h, spot).select(*docs.columns, key, h), "dealt")
-    rows = rows.join(F.broadcast(share.select(key, buckets)), key).withColumn(bucket, F.pmod(F.col(h), F.col(buckets)))
+    rows = rows.join(bounded(share.select(key, buckets)), key).withColumn(bucket, F.pmod(F.col(h), F.col(buckets)))
     counts = rows.groupBy(key, bucket).agg(F.count("*").alias("c"))
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = cut(counts.select(key, bucket, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias(before)), "buckets")
     inside = Window.partitionBy(key, bucket).orderBy(h, "doc_id")
     rows = rows.withColumn(rank, F.row_number().over(inside) - 1).join(bounded(counts), [key, bucket])
     at = F.col(before) + F.col(rank)
-    rows = rows.withColumns({"block": F.floor(at / per), "place": at % per}).join(F.broadcast(slots), [key, "block"]).join(F.broadcast(share.select(key, w)), key)
+    rows = rows.withColumns({"block": F.floor(at / per), "place": at % per})
+    if tail is None:
+        rows = rows.join(F.broadcast(slots), [key, "block"])
+    else:
+        inner, later = free_names(docs, "inner", "later")
+        others = tail.withColumnsRenamed({"key": key, "slot": later, "inner": inner})
+        rows = rows.join(F.broadcast(slots), [key, "block"], "left").join(others, [key, "block"], "left").withColumns({"slot": F.coalesce("slot", later), "place": F.coalesce(F.col(inner) * per, F.lit(0)) + F.col("place")})
+    rows = rows.join(bounded(share.select(key, w)), key)
     j = F.col("block")
     window = {"release": F.floor(j / F.col(w) + 1e-9), "deadline": F.ceil((j + 1) / F.col(w) - 1e-9)}
     rows = rows.withColumns({c: F.when(F.col(w) > 0, at) for c, at in window.items()})

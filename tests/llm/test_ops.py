@@ -595,6 +595,33 @@ def test_mixture_of_rows_that_share_an_id(spark, monkeypatch, repeated):
     assert len({(r.slot, r.place) for r in got}) == len(rows)
 
 
+@pytest.mark.parametrize("blocks", [1 << 17, 20])
+def test_more_sources_than_are_scheduled_one_by_one(spark, monkeypatch, blocks):
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    sizes = {"a": 600, "b": 500, "c": 400, **{f"t{i}": 4 * (1 + i % 3) for i in range(40)}, "zero": 9, None: 5}
+    rows = [(1000 * n + i, s) for n, (s, size) in enumerate(sizes.items()) for i in range(size)]
+    weights = {"a": 3.0, "b": 2.0, "c": 2.0} | {s: 0.01 * sizes[s] for s in sizes if s and s[0] == "t"}
+    df = frame(spark, rows, "doc_id long, source string").withColumns({c: F.lit("x") for c in ("inner", "later", "due", "tree", "pos")})
+    got = mixing.mix(df, weights, block_rows=4)
+    assert got.columns == df.columns + list(mixing._NEW)
+    got = sorted(got.collect(), key=lambda r: (r.slot, r.place))
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+    for s in sizes:
+        assert [r.block for r in got if r.source == s] == sorted(i // 4 for i in range(sizes[s]))
+    # sources without a weight come last, and the others, small ones as a whole too, follow their targets until one runs out
+    assert {r.source for r in got[-14:]} == {"zero", None}
+    total, seen = sum(weights.values()), Counter()
+    unit = 4 * max(1, -(-sum(-(-sizes[s] // 4) for s in sizes if s and s[0] == "t") // blocks))
+    for n, r in enumerate(got, 1):
+        seen["tail" if r.source and r.source[0] == "t" else r.source] += 1
+        if any(seen[s] == sizes[s] for s in "abc") or seen["tail"] == sum(v for s, v in sizes.items() if s and s[0] == "t"):
+            break
+        if blocks > 20:
+            assert all(abs(seen[s] - n * w / total) < 3 * unit for s, w in (*((s, weights[s]) for s in "abc"), ("tail", sum(w for s, w in weights.items() if s[0] == "t"))))
+
+
 # ---- nearest neighbours --------------------------------------------------------------------------------------------
 
 
