@@ -172,7 +172,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, similarity:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; columns unchanged, whatever their names."""
+    """``docs`` without the rows that hold a benchmark passage; columns unchanged, whatever their names.
+
+    Null and empty texts stay, rows without ``doc_id`` go by their text, repeated rows go or stay together. Without
+    items every row stays; an empty table stays empty.
+    """
     d, r = free_names(docs, "d", "r")
     found = cut(contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(d), F.col("_row").alias(r)).distinct(), "contaminated")
     return docs.join(bounded(found), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(r)), "left_anti").select(docs.columns)

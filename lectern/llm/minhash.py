@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     Null and empty texts, and texts without words, have an empty set and link with nothing. Rows with equal sets are
     one node. Rows that repeat a ``doc_id`` count as one document; rows without one link with nothing and are kept,
     their component is null. ``kept`` marks the smallest ``doc_id`` of each component. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Texts of any length are hashed in slices; one set is held at a time.
     """
     sigs = cut(signatures(docs, k, trees, levels), "signatures")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
@@ -349,7 +349,8 @@ def _repeats(sigs: DataFrame) -> bool:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with the smallest ``doc_id``; columns unchanged.
 
-    Of rows that repeat a kept ``doc_id`` one stays. Rows without ``doc_id`` or without words all stay.
+    Of rows that repeat a kept ``doc_id`` one stays. Rows without ``doc_id`` or without words, null texts among them, all
+    stay. An empty table stays empty; columns may have any names.
     """
     found = cut(near_duplicates(docs, k, percent), "groups")
     out = docs.join(bounded(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)

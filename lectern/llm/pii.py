@@ -147,7 +147,8 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     """``docs`` with a column ``out`` of spans (kind, start, end, score).
 
     Null and empty texts have no spans. Rows are independent: repeated rows get equal spans, an empty table stays
-    empty, other columns pass unchanged; a column already named ``out`` is replaced.
+    empty, other columns pass unchanged; a column already named ``out`` is replaced. A text of any length is taken
+    whole; its patterns take linear time.
     """
     return docs.withColumn(out, F.arrow_udf(_span_array, SPAN_TYPE)(F.col(text)))
 
@@ -158,5 +159,9 @@ def span_digest(spans: Column) -> Column:
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in angle brackets; of overlapping spans the first counts."""
+    """``docs`` with each span of ``text`` replaced by its kind in angle brackets; of overlapping spans the first counts.
+
+    Null texts stay null and texts without spans as they are; all rows stay, repeated ones too, an empty table stays
+    empty, other columns pass unchanged whatever their names.
+    """
     return docs.withColumn(text, F.arrow_udf(_masked, "string")(F.col(text)))

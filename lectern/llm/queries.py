@@ -92,6 +92,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_digests(conversations: DataFrame, limit: int = CONVERSATION_BYTES) -> DataFrame:
+    """Counts and digests of every conversation, read back from its formatted turns; null roles and texts are empty, repeated rows are turns of their own, an empty table gives the probe alone."""
     known = chat.canonical_turns(chat_records(conversations))
     # a record without turns would be a turn lost
     turns = F.when(F.col("turns").isNull(), F.raise_error(F.concat(F.lit("no layout for a record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast(chat.TURNS)).otherwise(F.col("turns"))
@@ -119,6 +120,7 @@ def chat_digests(conversations: DataFrame, limit: int = CONVERSATION_BYTES) -> D
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document under a model fitted on the labelled ones; null and empty texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.severity(docs, model).select("doc_id", "expected_severity", "grade", "toxic")
@@ -137,6 +139,7 @@ def _digests(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text; null texts have none, repeated rows are rows of their own."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *_counts(F.col("pii"), pii.KINDS[:4]), *_digests(F.col("pii"), pii.KINDS[:4]))
 
@@ -147,16 +150,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth, by integer inner product."""
     vectors = cut(knn.integer_vectors(table(spark, sf_dir, "embeddings")), "integers")
     return knn.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "v"), 5)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text; null texts have none, repeated rows are rows of their own."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", *_counts(F.col("secrets"), secrets.KINDS[:3]), *_digests(F.col("secrets"), secrets.KINDS[:3]))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
     got = langid.predict(docs.select("doc_id", "text"), model)
@@ -185,6 +191,7 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_digests(found: DataFrame) -> DataFrame:
+    """The runs of ``found(doc_id, runs, collapsed)``: their number, the one with the greatest exponent, and digests; texts without runs have nulls and digests of what is empty."""
     def better(best: Column, r: Column) -> Column:
         return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
 
@@ -202,6 +209,7 @@ def run_digests(found: DataFrame) -> DataFrame:
 
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays; null texts count as empty."""
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -213,7 +213,11 @@ def severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the fitted model calls toxic; columns unchanged."""
+    """``docs`` without those that the fitted model calls toxic; columns unchanged, whatever their names.
+
+    The model is fitted on the rows that ``labels`` has. Null and empty texts stay, and so does every row where nothing
+    is labelled; repeated rows go or stay together, an empty table stays empty.
+    """
     (verdict,) = free_names(docs, "verdict")
     model = fit(docs, labels)
     judged = docs.withColumn(verdict, grader(docs.sparkSession, model)(F.col("text")))

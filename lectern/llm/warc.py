@@ -111,7 +111,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 0, chunk: int
     Of rows with equal payloads of at least ``min_revisit`` bytes, that with the smallest ``page_id`` (null after all
     others) is a response and the others revisit it; smaller payloads are all responses. A null payload is empty.
     Rows that repeat page and payload are records of their own; the first of them is the response. Rows that share a
-    page id have records of their own. An empty table gives an empty folder; other columns are ignored.
+    page id have records of their own. An empty table gives an empty folder; other columns are ignored. A payload of any
+    length is cut into chunks in Spark's row of it; Python and the archives hold one chunk at a time.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -264,7 +265,11 @@ def digest_records(chunks: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record under ``path``."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record under ``path``.
+
+    Null page ids come back as null, repeated records as many times as they were written; payloads of several chunks are
+    digested chunk by chunk. A folder of an empty table gives no rows.
+    """
     chunks = cut(read_chunks(spark, path, payloads=False), "chunks")
     whole = "record_type = 'revisit' or (chunk_no = 1 and last)"
     done = chunks.where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
