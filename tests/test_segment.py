@@ -1,6 +1,10 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import segment
+from lectern.plans import inputs as I
 from lectern.sources import dims
 
 BLOCK = "doc_id long, pos int, text string, heading_level int, numbered boolean, bold boolean, unbolded boolean, names array<string>"
@@ -93,3 +97,38 @@ def test_chunk_ids_do_not_depend_on_row_order(spark):
     assert ids == {r.content: r.chunk_id for r in b.collect()}
     assert len(set(ids.values())) == 3
     assert [r.topic for r in bad.collect()] == ["Nonsense"]
+
+
+def plain_split(content, limit):
+    """The splitter as nested loops over one text."""
+
+    def full(parts):
+        return [p.strip(" ") for p in parts if p.strip(" ")]
+
+    def level(parts, glue, finer):
+        done, run = [], None
+        for p in parts:
+            if len(p) <= limit and run is not None and len(run) + len(glue) + len(p) <= limit:
+                run += glue + p
+                continue
+            done += [] if run is None else [run]
+            run = p if len(p) <= limit else None
+            done += [] if run is not None else finer(p)
+        return done + ([] if run is None else [run])
+
+    if len(content) <= limit:
+        return [content]
+    words = lambda s: level(full(re.split(r"\s+", s, flags=re.A)), " ", lambda w: [w[i : i + limit] for i in range(0, len(w), limit)])
+    sentences = lambda p: level(full(re.split(r"(?<=[.!?])\s+(?=[A-Z0-9À-ÖØ-Þ\"'(])", p, flags=re.A)), " ", words)
+    return level(full(re.split(r"\n\s*\n+", content, flags=re.A)), "\n\n", sentences)
+
+
+@pytest.mark.parametrize("limit", [100, 1000])
+def test_all_documents_are_split_as_by_a_plain_splitter(spark, limit):
+    docs = I.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("content")).where("content is not null")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "x" * 950 + " Y. Z! \n \n\n" + "word. " * 90), (-2, ""), (-3, " " * 300)], "doc_id long, content string"))
+    got = {}
+    for r in segment.split_sections(docs, limit).orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    want = {r.doc_id: plain_split(r.content, limit) for r in docs.collect()}
+    assert got == {i: p for i, p in want.items() if p}
