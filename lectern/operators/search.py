@@ -87,8 +87,9 @@ def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: in
     spark = queries.sparkSession
     asked = cut(_weights(queries, index, boosts), "asked")
     chunks = index.fields.agg(F.max("n")).first()[0] or 0
-    # all hits of a block of queries in a shard are one table, so both are small then; the best ones need large shards to tell soon what is not among them
-    shards = max(1, -(-chunks // (SHARD_CHUNKS if k is not None else SHARD_CHUNKS // 8)))
+    # small tables are dealt to all cores; all hits of a block of queries in a shard are one table, so both are small then
+    fewest = min(spark.sparkContext.defaultParallelism, -(-chunks // 1024))
+    shards = max(1, fewest, -(-chunks // (SHARD_CHUNKS if k is not None else SHARD_CHUNKS // 8)))
     blocks = max(1, -(-queries.count() // (SHARD_QUERIES if k is not None else SHARD_QUERIES // 8)))
     impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     shard, every = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))

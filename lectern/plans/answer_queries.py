@@ -11,6 +11,7 @@ from lectern.operators import search, select
 from lectern.plans import inputs as I
 from lectern.plans import search_queries as S
 from lectern.plans.text_queries import _EVW, CONCEPTS, _any, _strings
+from lectern.sources.store import cut
 
 NAMES = [(f"SRC{i}", f"SRC{i}") for i in range(6)]
 
@@ -101,16 +102,16 @@ def wording_checks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(A.forbidden_phrases(F.col("a")), ",").alias("phrases"), A.paired_phrase_error(F.col("q"), F.col("a")).alias("paired"), A.false_absence(F.col("a"), F.col("c")).alias("absence"))
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
-    return I.sources(spark, d).withColumn("content", F.lit("text"))
+def _sources(spark: SparkSession, d: str, answers: DataFrame | None = None) -> DataFrame:
+    return I.sources(spark, d, answers).withColumn("content", F.lit("text"))
 
 
-def _drift(spark: SparkSession, d: str) -> DataFrame:
+def _drift(spark: SparkSession, d: str, answers: DataFrame | None = None) -> DataFrame:
     """Each answer with a spec of two concept groups, and one without any; the own code of every fourth is insufficient."""
     k = F.col("answer_id")
     mode = F.when(k % 3 == 0, "broad_topic").when(k % 3 == 1, "relation_required").otherwise("direct_topic")
     concepts = F.array(*[F.array(*[F.lit(t) for t in g]) for g in CONCEPTS])
-    rows = _answers(spark, d).select("answer_id", "answer", F.slice("codes", 1, 1).alias("codes"))
+    rows = (_answers(spark, d) if answers is None else answers).select("answer_id", "answer", F.slice("codes", 1, 1).alias("codes"))
     two = F.array(F.struct(F.lit(0).alias("spec_idx"), concepts.alias("concepts"), mode.alias("evidence_mode")), F.struct(F.lit(1).alias("spec_idx"), F.array().cast("array<array<string>>").alias("concepts"), F.lit("direct_topic").alias("evidence_mode")))
     specs = rows.select("answer_id", "codes", F.explode(two).alias("s")).select("answer_id", "codes", "s.*")
     poor = specs.where("answer_id % 4 = 0").select("answer_id", "spec_idx", F.explode("codes").alias("code"))
@@ -122,7 +123,9 @@ def subject_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    q = A.quality_report(_answers(spark, d), _sources(spark, d), _names(spark), _drift(spark, d))
+    # the made-up answers are put together once
+    answers = cut(_answers(spark, d), "answers")
+    q = A.quality_report(answers, _sources(spark, d, answers), _names(spark), _drift(spark, d, answers))
     return q.select("answer_id", F.array_join("hard", ",").alias("hard"), F.array_join("soft", ",").alias("soft"), "verdict")
 
 

@@ -114,9 +114,9 @@ ANSWERS_SQL = (
 )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six numbered sources for each answer, of changing countries."""
-    ids = answers(spark, sf_dir).select("answer_id")
+def sources(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Six numbered sources for each answer (of ``of``, if given), of changing countries."""
+    ids = (answers(spark, sf_dir) if of is None else of).select("answer_id")
     n = ids.select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("citation"))
     return n.select("answer_id", "citation", F.concat(F.lit("SRC"), ((F.col("answer_id") + F.when(F.col("citation") > 3, F.col("citation")).otherwise(0)) % 5).cast("string")).alias("country_code"))
 
