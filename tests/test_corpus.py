@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import audit, facets, turns
-from lectern.sources import corpus, dims
+from lectern.sources import corpus, dims, versioned
 
 CHUNK = "chunk_id string, document_id string, country_code string, v int"
 
@@ -46,7 +46,7 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "t")
     corpus.replace_partition(spark.createDataFrame([("a", "d1", "ES", 1), ("c", "d2", "FR", 1)], CHUNK), path)
     corpus.replace_partition(spark.createDataFrame([("x", "d9", "ES", 2)], CHUNK), path)
-    assert sorted((r.chunk_id, r.country_code) for r in spark.read.parquet(path).collect()) == [("c", "FR"), ("x", "ES")]
+    assert sorted((r.chunk_id, r.country_code) for r in versioned.read_table(spark, path).collect()) == [("c", "FR"), ("x", "ES")]
 
 
 def test_replacement_plans(spark):
