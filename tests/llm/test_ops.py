@@ -514,7 +514,7 @@ def test_false_discoveries_among_the_secrets(spark):
 
 def test_words_are_no_secrets_on_small_tables(spark):
     """Three rows are too few to tell by their own words what passes; identifiers of any length are not reported."""
-    names = ["getUserAccountByEmailAddress2", "TheQuickBrownFoxJumpsOverTheLazyDog7", "parseTheWholeConfigurationFileFromTheDefaultDirectoryAndReportEveryLineThatCouldNotBeRead1" * 2]
+    names = ["getUserAccountByEmailAddress2", "TheNameOfTheLastAccountThatWasLocked7", "parseTheWholeConfigurationFileFromTheDefaultDirectoryAndReportEveryLineThatCouldNotBeRead1" * 2]
     rows = frame(spark, [(i, f"see {n} there") for i, n in enumerate(names)])
     assert [r.secrets for r in secrets.find_secrets(rows).collect()] == [[], [], []]
 

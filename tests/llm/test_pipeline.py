@@ -73,4 +73,4 @@ def test_empty_tables(spark, folder, tmp_path, table):
 
 
 def test_queries_are_registered_once_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
