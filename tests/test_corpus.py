@@ -1,7 +1,9 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import audit, facets, turns
+from lectern.plans import corpus_queries
 from lectern.sources import corpus, dims, versioned
 
 CHUNK = "chunk_id string, document_id string, country_code string, v int"
@@ -112,3 +114,13 @@ def test_a_cluster_has_to_name_its_shared_folder(spark):
     named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "hdfs://x/y/"), sparkContext=cluster.sparkContext)
     assert store.fresh_path(named, "t").startswith("hdfs://x/y/lectern-")
     assert store.free_names(spark.range(1).toDF("KEY").withColumn("_key", F.lit(1)), "key", "h") == ["__key", "h"]
+
+
+def test_capitals_are_those_of_the_sql(spark):
+    """classified_blocks takes its topics in capitals; every letter that either engine changes, and a sharp s within a word."""
+    letters = [c for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))) if c.upper() != c]
+    texts = ["Straße", "ﬁnger", "élan", *letters]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", corpus_queries._capital(F.col("t")).alias("u")).collect()
+    wanted = duckdb.execute("select unnest($1) as t, upper(unnest($1)) as u", [texts]).fetchall()
+    assert {r.t: r.u for r in rows} == dict(wanted)
+    assert "upper(label) AS topic" in corpus_queries.ORACLE_SQL["classified_blocks"]
