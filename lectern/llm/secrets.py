@@ -10,8 +10,8 @@ length class (powers of two) the limit is the lowest p-value at which the false
 the class's tokens times (decoys that pass + 1) / (decoys + 1), are at most ``FDR`` of the tokens reported. Short tokens
 give weak tests, many of their decoys pass, and the limit rises; where none is strict enough, or where there are too few
 decoys to tell, nothing is reported. Tokens that fail a test at ``FLOOR`` are never reported. Decoys are made for every
-length class in which there is a token, of the words of about ``DECOYS`` documents, and where there are fewer, of
-``WORDS`` as well.
+length class in which there is a token, of the words of all different texts that fill it, and where those are fewer than
+``DECOYS``, of ``WORDS`` as well.
 
 The tokens of all texts are found and tested once, and written; limits and spans come from that table.
 
@@ -33,7 +33,7 @@ LEAST_TOKEN = 20
 #: p-values are binned by hundredths of their decimal logarithm; under ``FLOOR`` a token is not random.
 BINS = 3000
 FLOOR = 0.001
-#: Decoys of each length class, in expectation.
+#: Decoys of each length class, at least.
 DECOYS = 2048
 #: Words of decoys where documents are too few.
 WORDS = tuple(
@@ -138,8 +138,13 @@ def candidates(text: Column) -> Column:
     return F.filter(tested, lambda s: s["bin"].isNotNull())
 
 
-def _decoys(words: Column, seed: Column, classes: list[int]) -> Column:
-    """For each length class a token made of ``words`` from a place on, capitalised and closed by a digit; short arrays go round. None without words."""
+def _decoys(words: Column, seed: Column, classes: list[int], wanted: dict[int, Column] | None = None) -> Column:
+    """For each length class a token made of ``words`` from a place on, capitalised and closed by a digit, going round at the end.
+
+    A class gets one where the words fill it, so a text's decoys are together no longer than twice the text; with
+    ``wanted`` where that holds, and short arrays go round more than once.
+    """
+    letters = F.length(F.array_join(words, ""))
 
     def one(size: int) -> Column:
         n = max(LEAST_TOKEN + 4, 3 << (size - 1))
@@ -147,21 +152,26 @@ def _decoys(words: Column, seed: Column, classes: list[int]) -> Column:
         # words have two letters at least
         joined = F.array_join(F.transform(F.sequence(at, at + n // 2), lambda i: F.initcap(F.get(words, (i % F.size(words)).cast("int")))), "")
         token = F.concat(F.substring(joined, 1, n - 1), F.pmod(at, F.lit(10)).cast("string"))
-        return F.struct(F.lit(size).alias("class"), _p_bin(p_value(token)).alias("bin"))
+        return F.when(letters >= n if wanted is None else wanted[size], F.struct(F.lit(size).alias("class"), _p_bin(p_value(token)).alias("bin")))
 
-    return F.when(F.size(words) > 0, F.array(*[one(c) for c in classes])).otherwise(F.array().cast("array<struct<class:int,bin:int>>"))
+    return F.filter(F.array(*[one(c) for c in classes]), lambda d: d["bin"].isNotNull())
 
 
 def decoys(texts: DataFrame, classes: list[int]) -> DataFrame:
-    """``class, bin`` of decoys of each length class, about ``DECOYS`` of each: one from each of so many different ``texts(text)``, and where there are fewer, the others from ``WORDS``."""
+    """``class, bin`` of decoys of each length class: one from each different one of all ``texts(text)`` whose words fill it, and where that makes fewer than ``DECOYS``, the others from ``WORDS``."""
     spark = texts.sparkSession
-    known = texts.where("text is not null")
-    rows = known.count()
-    some = known.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < DECOYS / max(1, rows) * (1 << 20)).distinct()
-    some = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"), F.xxhash64("text").alias("seed"))
-    more = spark.range(max(0, DECOYS - rows)).select(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.get(F.array(*[F.lit(w) for w in WORDS]), F.pmod(F.xxhash64("id", i), F.lit(len(WORDS))).cast("int"))).alias("words"), F.xxhash64("id").alias("seed"))
-    each = F.inline(let(F.col("words"), lambda w: _decoys(w, F.col("seed"), classes)))
-    return some.unionByName(more).select(each).where("bin is not null") if classes else spark.createDataFrame([], "class int, bin int")
+    if not classes:
+        return spark.createDataFrame([], "class int, bin int")
+    # equal texts give equal decoys, which count once
+    known = texts.where("text is not null").select(F.sha2("text", 256).alias("digest"), F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"), F.xxhash64("text").alias("seed"))
+    own = known.select("digest", let(F.col("words"), lambda w: _decoys(w, F.col("seed"), classes)).alias("d")).dropDuplicates(["digest"])
+    own = cut(own.select(F.inline("d")), "decoys")
+    have = dict(own.groupBy("class").agg(F.count("*")).collect())
+    short = {c: max(0, DECOYS - have.get(c, 0)) for c in classes}
+    picked = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.get(F.array(*[F.lit(w) for w in WORDS]), F.pmod(F.xxhash64("id", i), F.lit(len(WORDS))).cast("int")))
+    more = spark.range(max(short.values())).select("id", picked.alias("words"), F.xxhash64("id").alias("seed"))
+    wanted = {c: F.col("id") < n for c, n in short.items()}
+    return own.unionByName(more.select(F.inline(let(F.col("words"), lambda w: _decoys(w, F.col("seed"), classes, wanted)))))
 
 
 def random_limits(tokens: DataFrame, texts: DataFrame, fdr: float = FDR) -> dict[int, int]:

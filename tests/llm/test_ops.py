@@ -519,6 +519,15 @@ def test_words_are_no_secrets_on_small_tables(spark):
     assert [r.secrets for r in secrets.find_secrets(rows).collect()] == [[], [], []]
 
 
+def test_decoys_come_from_every_different_text(spark):
+    """More texts than ``DECOYS``: each gives one to every class that its words fill, copies none, and fixed words are not needed."""
+    n = secrets.DECOYS + 500
+    texts = [f"{WORDS[i % 48]} {WORDS[i // 48 % 48]} {WORDS[i // 2304]} some more words of it that go on and on for quite some while" for i in range(n)]
+    docs = frame(spark, [*enumerate(texts), *[(n + i, t) for i, t in enumerate(texts[:300])], (-1, "short"), (-2, None)])
+    found = Counter(c for c, _ in secrets.decoys(docs, [4, 5, 9]).collect())
+    assert found == {4: n, 5: n, 9: secrets.DECOYS}
+
+
 def test_very_many_spans_take_linear_time(spark):
     import time
 
