@@ -11,6 +11,7 @@ from lectern.operators import detect, evidence, turns
 from lectern.operators.select import merge_codes
 from lectern.plans import inputs as I
 from lectern.sources import dims
+from lectern.sources.corpus import spread
 from lectern.sources.dims import small
 
 # An inline dictionary of words that occur in the tables: code and alias in the form of `ascii_words`.
@@ -99,7 +100,7 @@ def turn_hints(spark: SparkSession, d: str) -> DataFrame:
 def _misspelt(spark: SparkSession, d: str) -> DataFrame:
     """A supported name for each customer, one of its letters left out."""
     names = spark.createDataFrame([(i, name) for i, (_, name, _) in enumerate(V.ENTITIES)], "k int, name string")
-    c = I.table(spark, d, "customer").select(F.col("c_custkey").alias("text_id"), (F.col("c_custkey") % len(V.ENTITIES)).cast("int").alias("k"))
+    c = spread(I.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("text_id"), (F.col("c_custkey") % len(V.ENTITIES)).cast("int").alias("k"))
     word = F.expr("concat(substring(name, 1, cast(text_id % length(name) as int)), substring(name, cast(text_id % length(name) as int) + 2))")
     return c.join(F.broadcast(names), "k").select("text_id", word.alias("fragment"))
 
@@ -116,7 +117,8 @@ def _subjects(spark: SparkSession, d: str) -> DataFrame:
     n = F.initcap(F.lower("n_name"))
     k = F.col("c_custkey")
     frames = F.array(F.concat(F.lit("notice rules in "), n), F.concat(n, F.lit("'s notice rules")), F.concat(n, F.lit(": overtime")), F.concat(F.lit("In the "), n, F.lit(", paid leave")), F.concat(F.lit("differences between "), n, F.lit(" and "), n), n, F.concat(F.lit("severance under "), n, F.lit("ian law")), F.lit("inland notice"))
-    rows = I.table(spark, d, "customer").join(F.broadcast(I.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = spread(I.table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    rows = customers.join(F.broadcast(I.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(k.alias("subject_id"), F.get(frames, (k % 8).cast("int")).alias("subject_text"), F.array(F.array(F.concat(F.lit("pay in "), n), F.lit("Pay"), n), F.array(n)).alias("concepts"), F.array(n).alias("names"), F.array(F.concat(n, F.lit("ian"))).alias("demonyms"), n.alias("n"))
 
 
