@@ -13,6 +13,7 @@ from lectern.plans import inputs as I
 from lectern.sources import dims
 from lectern.sources.corpus import spread
 from lectern.sources.dims import small
+from lectern.sources.store import cut
 
 # An inline dictionary of words that occur in the tables: code and alias in the form of `ascii_words`.
 ALIASES = (("EN", "the"), ("EN", "of the"), ("FR", "la"), ("FR", "de la"), ("DE", "und"), ("ES", "el"), ("ES", "de"), ("IT", "in"))
@@ -185,7 +186,8 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 def relation_proximity(spark: SparkSession, d: str) -> DataFrame:
     groups = I.queries(spark, d).select("query_id", F.lit(len(CONCEPTS)).alias("n_groups"))
-    return evidence.relation_hits(_positions(spark, d), groups, ["query_id", "chunk_id"], 6)
+    hits = _hits(spark, d).select("query_id", "chunk_id", F.col("content").alias("body"))
+    return evidence.relation_hits(evidence.concept_places(hits, _terms(spark, d), ["query_id", "chunk_id"]), groups, ["query_id", "chunk_id"], 6)
 
 
 def subject_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +209,8 @@ def evidence_grade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    grades = evidence.grade_evidence(_specs(spark, d), _hits(spark, d))
+    # read three times below
+    grades = cut(evidence.grade_evidence(_specs(spark, d), _hits(spark, d)), "grades")
     kept, keys, out = evidence.gate_hits(_specs(spark, d), _hits(spark, d).withColumn("rank", F.col("chunk_id")), grades)
     a = kept.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit("kept").alias("what"), "n")
     b = keys.groupBy("query_id").agg(F.countDistinct("key").alias("n")).select("query_id", F.lit("keys").alias("what"), "n")
