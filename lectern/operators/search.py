@@ -33,21 +33,33 @@ def _bounded(df: DataFrame, rows: int = TERM_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame | None = None) -> Index:
+def _counted(words: Column) -> Column:
+    """``array<struct<term, tf>>``: each word with how often it occurs, from the places where a word begins among the sorted ones."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(every, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return X.let(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).cast("long").alias("tf"))))
+
+    return X.let(F.sort_array(words), of)
+
+
+def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame | None = None, keep: tuple[str, ...] = ()) -> Index:
     """RNK1. With ``only_terms(term)`` postings of other terms are dropped at the scan; field statistics cover the whole corpus either way.
 
-    Texts are cut to words once. Chunks are dealt by their id before, so their words are counted where they are.
+    Words are counted in the row of their text, so neither texts nor words are shuffled. ``keep`` names columns of
+    ``chunks`` that postings carry along.
     """
     arrays = F.array(*[F.struct(F.lit(f).alias("field"), X.search_tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])
-    own = chunks.select("chunk_id", *fields).repartition("chunk_id")
-    per = own.select("chunk_id", F.explode(arrays).alias("f")).select("chunk_id", "f.field", "f.words").withColumn("dl", F.size("words")).where("dl > 0")
-    per = cut(per, "words")
+    own = chunks.select("chunk_id", *keep, F.explode(arrays).alias("f"))
+    per = own.select("chunk_id", *keep, "f.field", F.size("f.words").alias("dl"), _counted(F.col("f.words")).alias("counts")).where("dl > 0")
+    # written once: field statistics, document frequencies and every query over this index read it back
+    per = cut(per, "counts")
     stats = cut(per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "field-stats")
-    flat = per.select("field", "chunk_id", "dl", F.explode("words").alias("term"))
+    postings = per.select("field", "chunk_id", *keep, "dl", F.explode("counts").alias("c")).select("field", "c.term", "chunk_id", *keep, "dl", "c.tf")
     if only_terms is not None:
-        flat = flat.join(_bounded(only_terms.select("term").distinct()), "term", "left_semi")
-    # written once: document frequencies, and every query over this index, read it back
-    postings = cut(flat.groupBy("field", "term", "chunk_id", "dl").agg(F.count("*").alias("tf")), "postings")
+        postings = cut(postings.join(_bounded(only_terms.select("term").distinct()), "term", "left_semi").select("field", "term", "chunk_id", *keep, "dl", "tf"), "postings")
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(postings, stats, terms)
 
