@@ -64,9 +64,11 @@ def parse_canonical(answers: DataFrame, names: DataFrame) -> DataFrame:
     A heading equals a name of a requested entity or ``Comparison``. Text before the first heading is ``unresolved``;
     an indented line after a bullet continues it; another plain line is ``standalone``.
     """
-    rows = lines_of(answers).where("line <> ''").withColumns({"bullet": F.col("raw").rlike(BULLET), "label": F.lower(F.regexp_replace("line", r"^[#*\s]+|[*:\s]+$", ""))})
-    asked = answers.select("answer_id", F.explode("codes").alias("code")).join(small(names.select("code", F.lower("alias").alias("label")).distinct()), "code")
-    rows = rows.join(asked, ["answer_id", "label"], "left")
+    told = answers.select("answer_id", "answer", "codes").crossJoin(F.broadcast(_dimension(names)))
+    rows = told.select("answer_id", "codes", "by_label", F.posexplode(F.split("answer", "\n")).alias("line_no", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+    rows = rows.withColumns({"bullet": F.col("raw").rlike(BULLET), "label": F.lower(F.regexp_replace("line", r"^[#*\s]+|[*:\s]+$", ""))})
+    own = F.array_max(F.array_intersect(F.try_element_at("by_label", F.col("label")), F.col("codes")))
+    rows = rows.select("answer_id", "line_no", "raw", "line", "bullet", "label", own.alias("code"))
     head = ~F.col("bullet") & (F.col("code").isNotNull() | (F.col("label") == "comparison"))
     w = Window.partitionBy("answer_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_h", head).withColumns({"section_no": F.sum(F.col("_h").cast("int")).over(w), "bullet_no": F.sum((F.col("bullet") & ~F.col("_h")).cast("int")).over(w)})
@@ -87,16 +89,15 @@ def extract_claims(parsed: DataFrame) -> DataFrame:
 
 def structure_errors(answers: DataFrame, parsed: DataFrame) -> DataFrame:
     """ANS7: ``answer_id, error``, the first of: unresolved text, standalone text, an empty country section, a requested country without its own section."""
-    sections = parsed.where("section_no > 0").groupBy("answer_id", "section_no", "code", "comparison").agg(F.count_if(F.col("kind") == "bullet").alias("bullets"))
-    lost = answers.select("answer_id", F.explode("codes").alias("code")).join(sections.select("answer_id", "code").where("code is not null").distinct(), ["answer_id", "code"], "left_anti")
-    found = (
-        parsed.where("kind = 'unresolved'").select("answer_id", F.lit(1).alias("p"))
-        .unionByName(parsed.where("kind = 'standalone'").select("answer_id", F.lit(2).alias("p")))
-        .unionByName(sections.where("code is not null and bullets = 0").select("answer_id", F.lit(3).alias("p")))
-        .unionByName(lost.select("answer_id", F.lit(4).alias("p")))
-    )
+    # lines are read once: first by section, then by answer
+    loose = F.min(F.when(F.col("kind") == "unresolved", 1).when(F.col("kind") == "standalone", 2))
+    sections = parsed.groupBy("answer_id", "section_no").agg(F.max("code").alias("code"), F.count_if(F.col("kind") == "bullet").alias("bullets"), loose.alias("p"))
+    own = F.when(F.col("section_no") > 0, F.col("code"))
+    per = sections.groupBy("answer_id").agg(F.min(F.coalesce("p", F.when(own.isNotNull() & (F.col("bullets") == 0), 3))).alias("p"), F.collect_set(own).alias("have"))
+    lost = F.size(F.array_except("codes", F.coalesce("have", F.array().cast("array<string>")))) > 0
+    found = answers.select("answer_id", "codes").join(per, "answer_id", "left").select("answer_id", F.coalesce("p", F.when(lost, 4)).alias("p")).where("p is not null")
     names = F.array(F.lit("unresolved_content"), F.lit("standalone_text"), F.lit("empty_section"), F.lit("missing_section"))
-    return found.groupBy("answer_id").agg(F.min("p").alias("p")).select("answer_id", F.get(names, F.col("p") - 1).alias("error"))
+    return found.select("answer_id", F.get(names, F.col("p") - 1).alias("error"))
 
 
 def uncited_claims(claims: DataFrame) -> DataFrame:

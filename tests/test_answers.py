@@ -60,3 +60,17 @@ def test_renumbering(spark):
     s = spark.createDataFrame([(1, 1, 3), (1, 2, 7), (2, 1, 3), (3, 1, 3), (3, 2, 3)], "answer_id long, source_order int, citation int")
     got = {r.answer_id: (r.answer, r.renumbered) for r in A.dense_renumber(a, s).collect()}
     assert got == {1: ("x [2] y [1, 2].", True), 2: ("x [8]", False), 3: ("no", False)}
+
+
+def test_lines_are_dealt_once(spark, tmp_path):
+    """Made-up answers are put together in their document's row, and the structure of an answer needs one exchange of its lines."""
+    from lectern.plans import inputs
+
+    spark.createDataFrame([(1, "a\r\n\r\n b [x]\nc\nd"), (2, " \n"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    a = inputs.answers(spark, str(tmp_path))
+    assert "hashpartitioning" not in a._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in a.collect()] == [(1, "SRC1\n- a [1]\n- b x\nComparison\n- d [5]")]
+    rows = spark.createDataFrame([(1, SPAIN, ["ES"]), (2, "", ["ES"]), (3, "Spain\n- x", ["ES", "FR"]), (4, "Spain\nFrance\n- y", ["ES", "FR"])], "answer_id long, answer string, codes array<string>")
+    found = A.structure_errors(rows, A.parse_canonical(rows, dims.entity_names(spark)))
+    assert found._jdf.queryExecution().executedPlan().toString().count("posexplode(split(answer") <= 2  # in the initial and the final plan
+    assert {r.answer_id: r.error for r in found.collect()} == {2: "missing_section", 3: "missing_section", 4: "empty_section"}
