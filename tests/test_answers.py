@@ -70,7 +70,7 @@ def test_lines_are_dealt_once(spark, tmp_path):
     a = inputs.answers(spark, str(tmp_path))
     assert "hashpartitioning" not in a._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in a.collect()] == [(1, "SRC1\n- a [1]\n- b x\nComparison\n- d [5]")]
-    rows = spark.createDataFrame([(1, SPAIN, ["ES"]), (2, "", ["ES"]), (3, "Spain\n- x", ["ES", "FR"]), (4, "Spain\nFrance\n- y", ["ES", "FR"])], "answer_id long, answer string, codes array<string>")
+    rows = spark.createDataFrame([(1, SPAIN, ["ES"]), (2, "", ["ES"]), (3, "Spain\n- x", ["ES", "SE"]), (4, "Spain\nSweden\n- y", ["ES", "SE"])], "answer_id long, answer string, codes array<string>")
     found = A.structure_errors(rows, A.parse_canonical(rows, dims.entity_names(spark)))
     assert found._jdf.queryExecution().executedPlan().toString().count("posexplode(split(answer") <= 2  # in the initial and the final plan
     assert {r.answer_id: r.error for r in found.collect()} == {2: "missing_section", 3: "missing_section", 4: "empty_section"}
