@@ -94,8 +94,11 @@ def _weights(queries: DataFrame, index: Index, boosts: dict[str, float]) -> Data
     return asked.select("query_id", "field", "term", F.col("qtf").cast("long").alias("qtf"), (F.col("qtf") * F.col("w")).alias("weight"), required_terms(F.col("n_terms"), F.col("_filtered")).cast("long").alias("need"))
 
 
-def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: int | None, digits: int) -> DataFrame:
-    """Shards of chunks meet blocks of queries, each pair in one task; see ``ranking.Shard``."""
+def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: int | None, digits: int, kinds_of: DataFrame | None = None) -> DataFrame:
+    """Shards of chunks meet blocks of queries, each pair in one task; see ``ranking.Shard``.
+
+    With ``kinds_of(query_id, kind)`` the chunks of a shard are of one kind, and a query meets shards of its kinds only.
+    """
     spark = queries.sparkSession
     asked = cut(_weights(queries, index, boosts), "asked")
     chunks = index.fields.agg(F.max("n")).first()[0] or 0
@@ -106,6 +109,8 @@ def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: in
     impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     shard, every = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
     postings = index.postings.join(_bounded(asked.select("field", "term").distinct()), ["field", "term"], "left_semi").join(F.broadcast(index.fields), "field")
+    if kinds_of is not None:
+        return _by_kind(postings, asked, kinds_of, shards, impact, k, digits)
     left = postings.select(shard.alias("shard"), F.explode(every).alias("block"), "field", "term", "chunk_id", "dl", impact.alias("impact"))
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "field", "term", "qtf", "weight", "need")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.postings.schema['chunk_id'].dataType.simpleString()}, score double"
@@ -117,6 +122,25 @@ def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: in
     return found.select("query_id", "chunk_id", F.round("score", digits).alias("score"))
 
 
+def _by_kind(postings: DataFrame, asked: DataFrame, kinds_of: DataFrame, shards: int, impact: Column, k: int | None, digits: int) -> DataFrame:
+    """``query_id, kind, chunk_id, score``: the best ``k`` of each query among the chunks of each of its kinds."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    left = postings.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "kind", "field", "term", "chunk_id", "dl", impact.alias("impact"))
+    right = asked.join(_bounded(kinds_of.select("query_id", "kind").distinct()), "query_id").select(places, "kind", "query_id", "field", "term", "qtf", "weight", "need")
+    left = left.join(_bounded(kinds_of.select("kind").distinct()), "kind", "left_semi").select(*left.columns)
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, kind string, chunk_id {postings.schema['chunk_id'].dataType.simpleString()}, score double"
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        if not postings.num_rows or not asked.num_rows:
+            return pa.table({"query_id": asked.column("query_id").slice(0, 0), "kind": pa.array([], pa.string()), "chunk_id": postings.column("chunk_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        found = ranked(Shard(postings), asked, k, TIE, 10.0**-digits)
+        kind = pa.array([asked.column("kind")[0].as_py()] * found.num_rows, pa.string())
+        return pa.table({"query_id": found.column("query_id"), "kind": kind, "chunk_id": found.column("chunk_id"), "score": found.column("score")})
+
+    found = left.groupBy("shard", "kind").cogroup(right.groupBy("shard", "kind")).applyInArrow(run, schema)
+    return found.select("query_id", "kind", "chunk_id", F.round("score", digits).alias("score"))
+
+
 def bm25_search(queries: DataFrame, index: Index, boosts: dict[str, float], digits: int = 4) -> DataFrame:
     """RNK2: ``queries(query_id, query, filtered)`` -> ``query_id, chunk_id, score``: the best field plus ``TIE`` times the others.
 
@@ -135,6 +159,16 @@ def bm25_top(queries: DataFrame, index: Index, boosts: dict[str, float], limit:
     return top_k(_in_shards(queries, index, boosts, limit + offset, digits), limit, offset)
 
 
+def bm25_top_kinds(queries: DataFrame, index: Index, boosts: dict[str, float], kinds_of: DataFrame, limit: int = 10, digits: int = 4) -> DataFrame:
+    """``query_id, kind, chunk_id, score, rank``: the first ``limit`` of ``bm25_search`` within each kind of chunks that a query asks for.
+
+    ``index`` was built with ``keep=("kind",)``; ``kinds_of(query_id, kind)``. Equals ranking all hits by kind, without making them.
+    """
+    w = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "chunk_id")
+    rows = _in_shards(queries, index, boosts, limit, digits, kinds_of)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def top_k(hits: DataFrame, limit: Column | int = 10, offset: Column | int = 0) -> DataFrame:
     """RNK3: a page of each query by score, ties by chunk; ``rank`` starts at 1."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators.search import Index, bm25_search, candidate_limits, top_k
+from lectern.operators.search import Index, bm25_search, bm25_top, bm25_top_kinds, candidate_limits
+from lectern.sources.store import bounded, cut
 
 TOTAL_CHARS, SOURCE_CHARS, POOL = 16_000, 4000, 20
 
@@ -38,17 +39,15 @@ def topic_balanced(hits: DataFrame, limit: Column | int, topics: str = "topics",
 def retrieve_per_topic(queries: DataFrame, chunks: DataFrame, index: Index, boosts: dict[str, float], pool: int = POOL) -> DataFrame:
     """RNK11: ``queries(query_id, query, topics, limit)``: a ranking for each topic, interleaved, then balanced; one broad ranking if no topic finds anything.
 
-    Every query is scored once, its topics meet the hits.
+    ``index`` keeps ``legal_topic`` as ``kind``: each shard ranks the chunks of one topic, so only pages leave it.
     """
-    topical = queries.select("query_id", F.posexplode("topics").alias("group_idx", "topic"))
-    meta = chunks.select("chunk_id", "legal_topic")
-    scored = bm25_search(queries.select("query_id", "query", F.lit(True).alias("filtered")), index, boosts).join(meta, "chunk_id")
-    hits = scored.join(topical, "query_id").where("legal_topic = topic")
-    w = Window.partitionBy("query_id", "group_idx").orderBy(F.desc("score"), "chunk_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool).select("query_id", "group_idx", "chunk_id", "legal_topic", "score", "rank")
-    joined = interleave(ranked, pool).withColumn("rank", F.col("position")).drop("position")
-    broad = bm25_search(queries.select("query_id", "query").join(joined.select("query_id").distinct(), "query_id", "left_anti"), index, boosts).join(meta, "chunk_id")
-    broad = top_k(broad, pool).select("query_id", F.lit(0).alias("group_idx"), "chunk_id", "legal_topic", "score", "rank")
+    topical = queries.select("query_id", F.posexplode("topics").alias("group_idx", "kind"))
+    page = bm25_top_kinds(queries.select("query_id", "query", F.lit(True).alias("filtered")), index, boosts, topical, pool)
+    ranked = page.join(topical, ["query_id", "kind"]).select("query_id", "group_idx", "chunk_id", F.col("kind").alias("legal_topic"), "score", "rank")
+    # read twice: queries that it leaves without a hit are ranked broadly
+    joined = cut(interleave(ranked, pool).withColumn("rank", F.col("position")).drop("position"), "topical")
+    broad = cut(bm25_top(queries.select("query_id", "query").join(joined.select("query_id").distinct(), "query_id", "left_anti"), index, boosts, pool), "broad")
+    broad = chunks.select("chunk_id", "legal_topic").join(bounded(broad), "chunk_id").select("query_id", F.lit(0).alias("group_idx"), "chunk_id", "legal_topic", "score", "rank")
     both = joined.unionByName(broad).join(queries.select("query_id", "topics", "limit"), "query_id")
     return topic_balanced(both, F.col("limit"))
 

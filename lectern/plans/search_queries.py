@@ -31,8 +31,9 @@ def bm25(fields: str, msm: str) -> str:
     return WITH + I.CHUNKS_SQL + ", " + I.QUERIES_SQL + ", " + _BM25.format(fields=fields, msm=msm)
 
 
-def _index(chunks: DataFrame, queries: DataFrame, fields: list[str]) -> search.Index:
-    return search.build_postings(chunks, fields, search.query_terms(queries).select("term"))
+def _index(chunks: DataFrame, queries: DataFrame, fields: list[str], kind: str | None = None) -> search.Index:
+    rows = chunks if kind is None else chunks.withColumn("kind", F.col(kind))
+    return search.build_postings(rows, fields, search.query_terms(queries).select("term"), () if kind is None else ("kind",))
 
 
 def _hits(spark: SparkSession, d: str, boosts: dict[str, float], filtered: bool) -> DataFrame:
@@ -144,14 +145,14 @@ def existing_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of each query in groups by language, ranked within."""
-    c = I.chunks(spark, d)
-    hits = _hits(spark, d, CONTENT, True).join(c.select("chunk_id", "language", "legal_topic", "country_code", "content"), "chunk_id")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id", "language").orderBy(F.desc("score"), "chunk_id")
-    group = F.when(F.col("language") == "en", 0).when(F.col("language") == "fr", 1).when(F.col("language") == "de", 2).otherwise(3)
-    return hits.withColumns({"rank": F.row_number().over(w), "group_idx": group}).where("rank <= 8")
+    """The best hits of each query in groups by language, ranked within."""
+    c, q = I.chunks(spark, d), I.queries(spark, d).withColumn("filtered", F.lit(True))
+    # languages are few; a null one is a group too
+    c = c.withColumn("kind", F.coalesce(F.concat(F.lit("="), "language"), F.lit("")))
+    kinds = q.select("query_id").crossJoin(F.broadcast(c.select("kind").distinct()))
+    hits = search.bm25_top_kinds(q, _index(c, q, ["content"], "kind"), CONTENT, kinds, 8)
+    group = F.when(F.col("kind") == "=en", 0).when(F.col("kind") == "=fr", 1).when(F.col("kind") == "=de", 2).otherwise(3)
+    return hits.withColumn("group_idx", group)
 
 
 _RANKED = """ranked AS (SELECT * FROM (SELECT h.query_id, h.chunk_id, h.score, c.language, c.legal_topic, c.country_code, c.content,
@@ -192,7 +193,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_topics(spark: SparkSession, d: str) -> DataFrame:
     c = I.chunks(spark, d)
     q = I.queries(spark, d).withColumns({"topics": F.array(F.lit("beta"), F.when(F.col("query_id") % 2 == 0, "alpha").otherwise("nothing")), "limit": F.lit(5)})
-    return select.retrieve_per_topic(q, c, _index(c, q, ["content"]), CONTENT).select("query_id", "chunk_id", "position")
+    return select.retrieve_per_topic(q, c, _index(c, q, ["content"], "legal_topic"), CONTENT).select("query_id", "chunk_id", "position")
 
 
 def retrieve_countries(spark: SparkSession, d: str) -> DataFrame:

@@ -177,3 +177,25 @@ def test_most_postings_are_not_looked_at():
     all_read, shard.read = shard.read, 0
     shard.best(big, 1, 10, 0.2, 1e-4)
     assert shard.read < all_read / 3
+
+
+def test_rankings_by_kind_equal_the_ranking_of_all_hits(spark):
+    """The pages of each query in each of its kinds, ties included, from shards that rank one kind."""
+    import random
+
+    rng = random.Random(3)
+    words = ["a", "b", "c", "d", "e", "f"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 5, 9]))), rng.choice(["x", "y", None])) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, kind string")
+    queries = spark.createDataFrame([(1, "a b zz", True), (2, "c", True), (3, "e f a", False), (4, "zz", True)], "query_id long, query string, filtered boolean")
+    asked = [(1, "x"), (1, "y"), (2, "y"), (3, "x"), (3, "none"), (4, "x")]
+    index = search.build_postings(chunks, ["content"], search.query_terms(queries).select("term"), ("kind",))
+    got = {tuple(r) for r in search.bm25_top_kinds(queries, index, {"content": 2.0}, spark.createDataFrame(asked, "query_id long, kind string"), 7).select("query_id", "kind", "rank", "chunk_id", "score").collect()}
+    kind = {r[0]: r[2] for r in rows}
+    want, per = set(), {}
+    for r in sorted(search.bm25_search(queries, index, {"content": 2.0}).collect(), key=lambda r: (-r.score, r.chunk_id)):
+        if (r.query_id, kind[r.chunk_id]) in asked:
+            n = per[r.query_id, kind[r.chunk_id]] = per.get((r.query_id, kind[r.chunk_id]), 0) + 1
+            if n <= 7:
+                want.add((r.query_id, kind[r.chunk_id], n, r.chunk_id, r.score))
+    assert got == want and len(want) == 28
