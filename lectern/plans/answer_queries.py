@@ -11,7 +11,7 @@ from lectern.operators import search, select
 from lectern.plans import inputs as I
 from lectern.plans import search_queries as S
 from lectern.plans.text_queries import _EVW, CONCEPTS, _any, _strings
-from lectern.sources.store import cut
+from lectern.sources.store import bounded, cut
 
 NAMES = [(f"SRC{i}", f"SRC{i}") for i in range(6)]
 
@@ -145,9 +145,10 @@ def renumber_citations(spark: SparkSession, d: str) -> DataFrame:
 def context_texts(spark: SparkSession, d: str) -> DataFrame:
     c, q = I.chunks(spark, d), I.queries(spark, d)
     index = search.build_postings(c, ["content"], search.query_terms(q).select("term"))
-    hits = search.bm25_top(q.withColumn("filtered", F.lit(True)), index, {"content": 5.0}, 4).join(c, "chunk_id")
-    cut = select.context_budget(hits, 4000, 1000)
-    return A.context_text(cut).select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("chars"))
+    # a page for each query is small: it meets the texts where they are
+    top = cut(search.bm25_top(q.withColumn("filtered", F.lit(True)), index, {"content": 5.0}, 4), "pages")
+    chosen = select.context_budget(c.join(bounded(top), "chunk_id"), 4000, 1000)
+    return A.context_text(chosen).select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("chars"))
 
 
 def cited_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import facets, search, select
 from lectern.plans import inputs as I
+from lectern.sources.store import bounded, cut
 
 CONTENT = {"content": 5.0}
 WITH = "WITH "
@@ -166,7 +167,7 @@ def interleave_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _by_score(spark: SparkSession, d: str) -> DataFrame:
     c = I.chunks(spark, d).select("chunk_id", "legal_topic", "country_code", "content")
-    return _top(spark, d, CONTENT, True, 20).join(c, "chunk_id")
+    return c.join(bounded(cut(_top(spark, d, CONTENT, True, 20), "pages")), "chunk_id")
 
 
 def topic_balanced(spark: SparkSession, d: str) -> DataFrame:
