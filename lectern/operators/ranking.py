@@ -9,8 +9,11 @@ reach the k-th best score any more. Postings of dropped chunks are not looked at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Classes of chunk lengths: two for each power of two.
 CLASSES = 64
@@ -18,6 +21,42 @@ CLASSES = 64
 TOP_POSTINGS, TOP_TERMS = 64, 12
 
 
+#: Texts whose words are held at a time.
+TEXTS = 512
+
+
+def counted(batches: Iterator[pa.RecordBatch], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``words``, blanks between them, get ``dl``, the number of words, and in place of the words ``terms`` and ``tfs``: the numbers of those in ``numbers``, and how often each occurs. Rows without words go."""
+    width = max(1, len(numbers))
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
+            # a text without words is split into one empty word
+            batch = batch.filter(pc.not_equal(batch.column("words"), ""))
+            lists = pc.split_pattern(batch.column("words"), " ")
+            words, row = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = np.array([numbers.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+            own = number[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+            keys, tf = np.unique((row * width + own)[own >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) * width), pa.int32())
+            rest = {n: batch.column(n) for n in batch.schema.names if n != "words"}
+            dl = pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64())
+            terms, tfs = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (keys % width, tf))
+            yield pa.RecordBatch.from_pydict({**rest, "dl": dl, "terms": terms, "tfs": tfs})
+
+
+def unpacked(rows: pa.Table, k1: float, b: float) -> pa.Table:
+    """The postings of a shard from ``rows(field, chunk_id, dl, avgdl, terms, tfs)``, one for each field of a chunk."""
+    rows = rows.combine_chunks()
+    lists = rows.column("terms").combine_chunks()
+    of = pc.list_parent_indices(lists)
+    tf, dl = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (rows.column("tfs").combine_chunks().flatten(), rows.column("dl").combine_chunks().take(of)))
+    average = rows.column("avgdl").combine_chunks().take(of).to_numpy(zero_copy_only=False)
+    impact = tf / (tf + k1 * (1 - b + b * dl / average))
+    field, chunk = (rows.column(c).combine_chunks().dictionary_encode().take(of) for c in ("field", "chunk_id"))
+    return pa.table({"field": field, "term": lists.flatten(), "chunk_id": chunk, "dl": pa.array(dl.astype(np.int64)), "impact": pa.array(impact)})
+
+
 class Shard:
     """``postings(field, term, chunk_id, dl, impact)`` of the chunks of a shard; ``impact`` is the share of a term's weight that a chunk gets, ``dl`` the words of the field."""
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from lectern.functions import text as X
 from lectern.functions import values as V
-from lectern.operators.ranking import Shard, ranked
+from lectern.operators.ranking import Shard, counted, ranked, unpacked
 from lectern.sources.store import cut
 
 K1, B = 1.2, 0.75
@@ -18,15 +20,23 @@ BOOSTS = {"content": 5.0, "subsection": 3.0, "section": 2.0}
 TIE = 0.2
 #: Rows up to which the terms of all queries are broadcast to the corpus scan.
 TERM_ROWS = 1_000_000
+#: Terms up to which every Python worker holds those of all queries.
+NUMBERED_TERMS = 100_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(field, term, chunk_id, dl, tf)``, ``fields(field, n, avgdl)``, ``terms(field, term, df)``."""
+    """``postings(field, term, chunk_id, dl, tf)``, ``fields(field, n, avgdl)``, ``terms(field, term, df)``.
+
+    Where the terms of interest were given and are few, ``rows(field, chunk_id, dl, terms, tfs)`` has the postings of a text
+    as arrays in its row, its terms by their numbers in ``numbers(number, term)``.
+    """
 
     postings: DataFrame
     fields: DataFrame
     terms: DataFrame
+    rows: DataFrame | None = None
+    numbers: DataFrame | None = None
 
 
 def _bounded(df: DataFrame, rows: int = TERM_ROWS) -> DataFrame:
@@ -51,6 +61,10 @@ def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame |
     Words are counted in the row of their text, so neither texts nor words are shuffled. ``keep`` names columns of
     ``chunks`` that postings carry along.
     """
+    if only_terms is not None:
+        some = [r.term for r in only_terms.select("term").where("term is not null").distinct().limit(NUMBERED_TERMS + 1).collect()]
+        if len(some) <= NUMBERED_TERMS:
+            return _packed(chunks, fields, some, keep)
     arrays = F.array(*[F.struct(F.lit(f).alias("field"), X.search_tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])
     own = chunks.select("chunk_id", *keep, F.explode(arrays).alias("f"))
     per = own.select("chunk_id", *keep, "f.field", F.size("f.words").alias("dl"), _counted(F.col("f.words")).alias("counts")).where("dl > 0")
@@ -64,6 +78,27 @@ def build_postings(chunks: DataFrame, fields: list[str], only_terms: DataFrame |
     return Index(postings, stats, terms)
 
 
+def _packed(chunks: DataFrame, fields: list[str], some: list[str], keep: tuple[str, ...]) -> Index:
+    """The index of ``some`` terms: a text's words are counted in one pass, and a row holds all its postings."""
+    spark = chunks.sparkSession
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), X.spaced_tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])
+    own = chunks.select("chunk_id", *keep, F.explode(texts).alias("f")).select("chunk_id", *keep, "f.field", "f.words")
+    held = spark.sparkContext.broadcast({t: i for i, t in enumerate(some)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return counted(batches, held.value)
+
+    schema = own.drop("words").schema.add("dl", LongType()).add("terms", ArrayType(IntegerType())).add("tfs", ArrayType(IntegerType()))
+    # written once: field statistics, document frequencies and every query over this index read it back
+    rows = cut(own.mapInArrow(run, schema), "counts")
+    numbers = spark.createDataFrame(list(enumerate(some)), "number int, term string")
+    stats = cut(rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "field-stats")
+    df = cut(rows.select("field", F.explode("terms").alias("number")).groupBy("field", "number").agg(F.count("*").alias("df")), "frequencies")
+    each = rows.select("field", "chunk_id", *keep, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("c")).join(F.broadcast(numbers), F.col("c.terms") == F.col("number"))
+    postings = each.select("field", "term", "chunk_id", *keep, "dl", F.col("c.tfs").cast("long").alias("tf"))
+    return Index(postings, stats, df.join(F.broadcast(numbers), "number").select("field", "term", "df"), rows, numbers)
+
+
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     """``query_id, term, qtf, n_terms``; a repeated term counts each time."""
     words = queries.select("query_id", X.search_tokens(F.col(text)).alias("w")).withColumn("n_terms", F.size("w"))
@@ -106,34 +141,39 @@ def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: in
     fewest = min(spark.sparkContext.defaultParallelism, -(-chunks // 1024))
     shards = max(1, fewest, -(-chunks // (SHARD_CHUNKS if k is not None else SHARD_CHUNKS // 8)))
     blocks = max(1, -(-queries.count() // (SHARD_QUERIES if k is not None else SHARD_QUERIES // 8)))
-    impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    shard, every = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
-    postings = index.postings.join(_bounded(asked.select("field", "term").distinct()), ["field", "term"], "left_semi").join(F.broadcast(index.fields), "field")
+    shard, every = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    if index.rows is not None:
+        asked = asked.withColumnRenamed("term", "_t").join(F.broadcast(index.numbers), F.col("_t") == F.col("term")).drop("_t", "term").withColumnRenamed("number", "term")
+        rows, values = index.rows.where(F.size("terms") > 0).join(F.broadcast(index.fields.select("field", "avgdl")), "field"), ["field", "chunk_id", "dl", "avgdl", "terms", "tfs"]
+    else:
+        impact = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        rows = index.postings.join(_bounded(asked.select("field", "term").distinct()), ["field", "term"], "left_semi").join(F.broadcast(index.fields), "field").withColumn("impact", impact)
+        values = ["field", "term", "chunk_id", "dl", "impact"]
+    packed = index.rows is not None
     if kinds_of is not None:
-        return _by_kind(postings, asked, kinds_of, shards, impact, k, digits)
-    left = postings.select(shard.alias("shard"), F.explode(every).alias("block"), "field", "term", "chunk_id", "dl", impact.alias("impact"))
+        return _by_kind(rows.select(shard.alias("shard"), "kind", *values), asked, kinds_of, shards, packed, k, digits)
+    left = rows.select(shard.alias("shard"), every.alias("block"), *values)
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "field", "term", "qtf", "weight", "need")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.postings.schema['chunk_id'].dataType.simpleString()}, score double"
 
-    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
-        return ranked(Shard(postings), asked, k, TIE, 10.0**-digits)
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        return ranked(Shard(unpacked(rows, K1, B) if packed else rows), asked, k, TIE, 10.0**-digits)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, kinds)
     return found.select("query_id", "chunk_id", F.round("score", digits).alias("score"))
 
 
-def _by_kind(postings: DataFrame, asked: DataFrame, kinds_of: DataFrame, shards: int, impact: Column, k: int | None, digits: int) -> DataFrame:
+def _by_kind(left: DataFrame, asked: DataFrame, kinds_of: DataFrame, shards: int, packed: bool, k: int | None, digits: int) -> DataFrame:
     """``query_id, kind, chunk_id, score``: the best ``k`` of each query among the chunks of each of its kinds."""
     places = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    left = postings.select(F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), "kind", "field", "term", "chunk_id", "dl", impact.alias("impact"))
     right = asked.join(_bounded(kinds_of.select("query_id", "kind").distinct()), "query_id").select(places, "kind", "query_id", "field", "term", "qtf", "weight", "need")
     left = left.join(_bounded(kinds_of.select("kind").distinct()), "kind", "left_semi").select(*left.columns)
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, kind string, chunk_id {postings.schema['chunk_id'].dataType.simpleString()}, score double"
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, kind string, chunk_id {left.schema['chunk_id'].dataType.simpleString()}, score double"
 
-    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
-        if not postings.num_rows or not asked.num_rows:
-            return pa.table({"query_id": asked.column("query_id").slice(0, 0), "kind": pa.array([], pa.string()), "chunk_id": postings.column("chunk_id").slice(0, 0), "score": pa.array([], pa.float64())})
-        found = ranked(Shard(postings), asked, k, TIE, 10.0**-digits)
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table({"query_id": asked.column("query_id").slice(0, 0), "kind": pa.array([], pa.string()), "chunk_id": rows.column("chunk_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        found = ranked(Shard(unpacked(rows, K1, B) if packed else rows), asked, k, TIE, 10.0**-digits)
         kind = pa.array([asked.column("kind")[0].as_py()] * found.num_rows, pa.string())
         return pa.table({"query_id": found.column("query_id"), "kind": kind, "chunk_id": found.column("chunk_id"), "score": found.column("score")})
 

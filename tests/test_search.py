@@ -199,3 +199,25 @@ def test_rankings_by_kind_equal_the_ranking_of_all_hits(spark):
             if n <= 7:
                 want.add((r.query_id, kind[r.chunk_id], n, r.chunk_id, r.score))
     assert got == want and len(want) == 28
+
+
+def test_given_terms_are_counted_in_one_row_a_text(spark, monkeypatch):
+    """An index of given terms equals the whole index cut to them, and holds the postings of a text in its row."""
+    rows = [(1, "Le café, le CAFÉ - été 42!", "head"), (2, "", None), (3, None, "le le"), (4, " ?! ", "été"), (5, "none of them", "42 42x"), (6, "x " * 900 + "le", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, section string")
+    terms = spark.createDataFrame([("le",), ("café",), ("42",), ("x",), ("absent",), ("le",), (None,)], "term string")
+    fields = ["content", "section"]
+    index = search.build_postings(chunks, fields, terms)
+    whole = search.build_postings(chunks, fields)
+
+    def postings(i):
+        return sorted(map(tuple, i.postings.where(F.col("term").isin("le", "café", "42", "x")).select("field", "term", "chunk_id", "dl", "tf").collect()))
+
+    assert postings(index) == postings(whole)
+    assert sorted(map(tuple, index.fields.select("field", "n", "avgdl").collect())) == sorted(map(tuple, whole.fields.select("field", "n", "avgdl").collect()))
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, whole.terms.where(F.col("term").isin("le", "café", "42", "x")).collect()))
+    assert index.rows.count() == index.rows.select("field", "chunk_id").distinct().count() == 7
+    # more terms than a worker is to hold take the way through joins
+    monkeypatch.setattr(search, "NUMBERED_TERMS", 3)
+    joined = search.build_postings(chunks, fields, terms)
+    assert joined.rows is None and postings(joined) == postings(whole)
