@@ -91,13 +91,15 @@ class Shard:
         best = own.max(axis=0)
         return np.where(able.any(axis=0), best + tie * (own.sum(axis=0) - best), -np.inf)
 
-    def _reached(self, lists: list[tuple[int, int, int, float]], need: int, k: int, tie: float) -> float:
-        """The k-th best score of the chunks in which the terms that can add most have their largest impacts."""
+    def _reached(self, lists: list[tuple[int, int, int, float]], need: int, k: int, tie: float, allowed: np.ndarray | None) -> float:
+        """The k-th best score of the allowed chunks in which the terms that can add most have their largest impacts."""
         some = []
         for i, *_ in lists[:TOP_TERMS]:
-            a, b = self.start[i], self.start[i + 1]
-            part = np.argpartition(-self.impact[a:b], TOP_POSTINGS)[:TOP_POSTINGS] if b - a > TOP_POSTINGS else np.arange(b - a)
-            some.append(self.chunk[a:b][part])
+            chunk, impact = self.chunk[self.start[i] : self.start[i + 1]], self.impact[self.start[i] : self.start[i + 1]]
+            if allowed is not None:
+                chunk, impact = chunk[allowed[chunk]], impact[allowed[chunk]]
+            part = np.argpartition(-impact, TOP_POSTINGS)[:TOP_POSTINGS] if len(chunk) > TOP_POSTINGS else np.arange(len(chunk))
+            some.append(chunk[part])
         chosen = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
         if len(chosen) < k:
             return -np.inf
@@ -118,8 +120,8 @@ class Shard:
         self.read += len(there)
         return a + at[there], there
 
-    def best(self, terms: list[tuple[str, str, int, float]], need: int, k: int | None, tie: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks and scores of the hits of a query with ``terms`` (field, term, times, weight): all of them, or those that can be among the best ``k``, where scores that differ by less than ``slack`` may be equal."""
+    def best(self, terms: list[tuple[str, str, int, float]], need: int, k: int | None, tie: float, slack: float, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks and scores of the hits of a query with ``terms`` (field, term, times, weight): all of them, or those that can be among the best ``k``, where scores that differ by less than ``slack`` may be equal. Only ``allowed`` chunks count, if given."""
         n, field = len(self.chunks), {f: i for i, f in enumerate(self.fields)}
         lists = [(self.place[f, t], field[f], times, weight) for f, t, times, weight in terms if (f, t) in self.place]
         lists.sort(key=lambda x: -x[3] * self.peaks[x[0]].max())
@@ -131,7 +133,7 @@ class Shard:
                 matched[f, self.chunk[a:b]] += times
                 self.read += b - a
             total = self._combined(scores, matched, need, tie)
-            hits = np.flatnonzero(np.isfinite(total))
+            hits = np.flatnonzero(np.isfinite(total) if allowed is None else np.isfinite(total) & allowed)
             return hits, total[hits]
         # what the terms from one on can add to a chunk of each class, and how many terms they are in each field
         adds = np.array([weight * self.peaks[i] for i, _, _, weight in lists])
@@ -140,8 +142,8 @@ class Shard:
         for j in range(len(lists) - 1, -1, -1):
             times[j] = times[j + 1]
             times[j, lists[j][1]] += lists[j][2]
-        least = self._reached(lists, need, k, tie)
-        alive = np.arange(n)
+        least = self._reached(lists, need, k, tie, allowed)
+        alive = np.arange(n) if allowed is None else np.flatnonzero(allowed)
         for j, (i, f, own, weight) in enumerate(lists):
             if j:
                 able = scores[:, alive].sum(axis=0) + tails[j][self.kind[alive]] >= least - slack
@@ -152,7 +154,7 @@ class Shard:
                     now = self._combined(scores[:, alive], matched[:, alive], need, tie)
                     least = max(least, float(np.partition(now, len(now) - k)[len(now) - k]))
             else:
-                alive = alive[tails[0][self.kind] >= least - slack]
+                alive = alive[tails[0][self.kind[alive]] >= least - slack]
             at, there = self._find(i, alive)
             scores[f, alive[there]] += weight * self.impact[at]
             matched[f, alive[there]] += own
@@ -165,7 +167,32 @@ class Shard:
         return hits, total
 
 
-def ranked(shard: Shard, asked: pa.Table, k: int | None, tie: float, slack: float) -> pa.Table:
+class Filters:
+    """Which chunks of a shard the filters of a query let pass. ``rows`` has ``chunk_id`` and the attributes, ``asked`` arrays of allowed values by the same names; an empty array doesn't filter. ``unless`` is a value of an attribute that passes only if the query filters that attribute."""
+
+    def __init__(self, shard: Shard, rows: pa.Table, asked: pa.Table, attributes: tuple[str, ...], unless: tuple[str, str]) -> None:
+        place = pc.index_in(rows.column("chunk_id").combine_chunks(), value_set=shard.chunks).to_numpy(zero_copy_only=False)
+        self.codes, self.values = {}, {}
+        for a in attributes:
+            column = rows.column(a).combine_chunks().dictionary_encode(null_encoding="encode")
+            self.values[a] = {v: i for i, v in enumerate(column.dictionary.to_pylist())}
+            self.codes[a] = np.zeros(len(shard.chunks), np.int64)
+            self.codes[a][place] = column.indices.to_numpy(zero_copy_only=False)
+        self.asked, self.unless, self.size = asked, unless, len(shard.chunks)
+
+    def __call__(self, i: int) -> np.ndarray:
+        """The chunks that pass the filters in row ``i`` of ``asked``."""
+        passed = np.ones(self.size, bool)
+        for a, codes in self.codes.items():
+            wanted = self.asked.column(a)[i].as_py()
+            if wanted:
+                passed &= np.isin(codes, [self.values[a][v] for v in wanted if v in self.values[a]])
+            elif a == self.unless[0] and self.unless[1] in self.values[a]:
+                passed &= codes != self.values[a][self.unless[1]]
+        return passed
+
+
+def ranked(shard: Shard, asked: pa.Table, k: int | None, tie: float, slack: float, filters: Filters | None = None) -> pa.Table:
     """``query_id, chunk_id, score`` of the queries in ``asked(query_id, field, term, qtf, weight, need)``; with ``k`` the hits of each that may be among its best ``k``."""
     ids = asked.column("query_id").combine_chunks().dictionary_encode()
     number = ids.indices.to_numpy(zero_copy_only=False)
@@ -175,7 +202,7 @@ def ranked(shard: Shard, asked: pa.Table, k: int | None, tie: float, slack: floa
         by_query.setdefault(q, []).append(i)
     queries, chunks, scores = [], [], []
     for q, own in by_query.items():
-        hits, values = shard.best([rows[i][:4] for i in own], rows[own[0]][4], k, tie, slack)
+        hits, values = shard.best([rows[i][:4] for i in own], rows[own[0]][4], k, tie, slack, None if filters is None else filters(own[0]))
         queries.append(np.full(len(hits), q))
         chunks.append(hits)
         scores.append(values)

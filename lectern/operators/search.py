@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from lectern.functions import text as X
 from lectern.functions import values as V
-from lectern.operators.ranking import Shard, counted, ranked, unpacked
+from lectern.operators.ranking import Filters, Shard, counted, ranked, unpacked
 from lectern.sources.store import cut
 
 K1, B = 1.2, 0.75
@@ -129,10 +129,11 @@ def _weights(queries: DataFrame, index: Index, boosts: dict[str, float]) -> Data
     return asked.select("query_id", "field", "term", F.col("qtf").cast("long").alias("qtf"), (F.col("qtf") * F.col("w")).alias("weight"), required_terms(F.col("n_terms"), F.col("_filtered")).cast("long").alias("need"))
 
 
-def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: int | None, digits: int, kinds_of: DataFrame | None = None) -> DataFrame:
+def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: int | None, digits: int, kinds_of: DataFrame | None = None, filtered: bool = False) -> DataFrame:
     """Shards of chunks meet blocks of queries, each pair in one task; see ``ranking.Shard``.
 
     With ``kinds_of(query_id, kind)`` the chunks of a shard are of one kind, and a query meets shards of its kinds only.
+    If ``filtered``, postings carry ``ATTRIBUTES``, and a query counts only chunks that pass its filters.
     """
     spark = queries.sparkSession
     asked = cut(_weights(queries, index, boosts), "asked")
@@ -152,12 +153,16 @@ def _in_shards(queries: DataFrame, index: Index, boosts: dict[str, float], k: in
     packed = index.rows is not None
     if kinds_of is not None:
         return _by_kind(rows.select(shard.alias("shard"), "kind", *values), asked, kinds_of, shards, packed, k, digits)
-    left = rows.select(shard.alias("shard"), every.alias("block"), *values)
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "field", "term", "qtf", "weight", "need")
+    attributes = ATTRIBUTES if filtered else ()
+    if filtered:
+        asked = asked.join(_bounded(queries.select("query_id", *_wanted(queries))), "query_id")
+    left = rows.select(shard.alias("shard"), every.alias("block"), *values, *attributes)
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "field", "term", "qtf", "weight", "need", *attributes)
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.postings.schema['chunk_id'].dataType.simpleString()}, score double"
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        return ranked(Shard(unpacked(rows, K1, B) if packed else rows), asked, k, TIE, 10.0**-digits)
+        shard = Shard(unpacked(rows, K1, B) if packed else rows)
+        return ranked(shard, asked, k, TIE, 10.0**-digits, Filters(shard, rows, asked, attributes, ("subsection", "Contact")) if filtered else None)
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, kinds)
     return found.select("query_id", "chunk_id", F.round("score", digits).alias("score"))
@@ -199,6 +204,14 @@ def bm25_top(queries: DataFrame, index: Index, boosts: dict[str, float], limit:
     return top_k(_in_shards(queries, index, boosts, limit + offset, digits), limit, offset)
 
 
+def bm25_top_filtered(queries: DataFrame, index: Index, boosts: dict[str, float], limit: int = 10, digits: int = 4) -> DataFrame:
+    """The first ``limit`` hits of each query that pass its filters: ``top_k`` of ``filter_hits`` of ``bm25_search``, without making the other hits.
+
+    ``index`` was built with ``keep=ATTRIBUTES``; statistics are those of the whole corpus.
+    """
+    return top_k(_in_shards(queries, index, boosts, limit, digits, filtered=True), limit)
+
+
 def bm25_top_kinds(queries: DataFrame, index: Index, boosts: dict[str, float], kinds_of: DataFrame, limit: int = 10, digits: int = 4) -> DataFrame:
     """``query_id, kind, chunk_id, score, rank``: the first ``limit`` of ``bm25_search`` within each kind of chunks that a query asks for.
 
@@ -239,6 +252,20 @@ def filters_given(queries: DataFrame) -> Column:
 
 
 _KEYS = ("_code", "_topic", "_sub", "_lang", "_year")
+#: What a chunk has for each of the keys.
+ATTRIBUTES = ("country_code", "legal_topic", "subsection", "language", "reference_year")
+
+
+def _wanted(queries: DataFrame) -> list[Column]:
+    """The values that a query's filters let pass, an array for each of ``ATTRIBUTES``; empty where it doesn't filter."""
+    none = F.array().cast("array<string>")
+    return [
+        X.dedupe_list(F.coalesce("country_codes", none), lambda v: F.upper(X.squash_ws(v))).alias("country_code"),
+        X.dedupe_list(F.coalesce("legal_topics", none)).alias("legal_topic"),
+        X.dedupe_list(F.coalesce("subsections", none)).alias("subsection"),
+        F.array_compact(F.array(F.lower(F.trim("language")))).alias("language"),
+        F.array_compact(F.array("reference_year")).alias("reference_year"),
+    ]
 
 
 def _asked(queries: DataFrame) -> DataFrame:

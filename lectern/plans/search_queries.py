@@ -86,8 +86,8 @@ _ALLOWED = """allowed AS (SELECT q.query_id, c.chunk_id FROM queries q JOIN chun
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     chunks, queries = I.chunks(spark, d), _filters(I.queries(spark, d))
     queries = queries.withColumn("filtered", search.filters_given(queries))
-    hits = search.bm25_search(queries, _index(chunks, queries, ["content"]), CONTENT)
-    return search.top_k(search.filter_hits(hits, queries, chunks), 10)
+    index = search.build_postings(chunks, ["content"], search.query_terms(queries).select("term"), search.ATTRIBUTES)
+    return search.bm25_top_filtered(queries, index, CONTENT, 10)
 
 
 def filter_counts(spark: SparkSession, d: str) -> DataFrame:

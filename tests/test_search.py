@@ -221,3 +221,21 @@ def test_given_terms_are_counted_in_one_row_a_text(spark, monkeypatch):
     monkeypatch.setattr(search, "NUMBERED_TERMS", 3)
     joined = search.build_postings(chunks, fields, terms)
     assert joined.rows is None and postings(joined) == postings(whole)
+
+
+def test_filtered_pages_equal_the_filtered_ranking(spark, monkeypatch):
+    """Filters are met inside the shards: the same pages as ranking all hits and filtering them, without these hits."""
+    monkeypatch.setattr(search, "SHARD_CHUNKS", 100)
+    monkeypatch.setattr(search, "SHARD_QUERIES", 32)
+    rng = random.Random(5)
+    some = lambda *v: rng.choice((None, *v))
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((0, 1, 3, 9)))), some("SRC0", "SRC1"), some("alpha", "beta"), some("Contact", "sub 1"), some("en", "fr"), some(2020, 2021)) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string, country_code string, legal_topic string, subsection string, language string, reference_year int")
+    lists = [None, [], ["src0 ", "SRC9"], [None, " "]], [None, [], ["alpha", "beta"]], [None, ["Contact"], ["sub 1"]]
+    asked = [(i, " ".join(rng.sample("abcdefghz", 4)), *[rng.choice(x) for x in lists], rng.choice((None, " EN")), rng.choice((None, 2021)), i % 2 == 0) for i in range(40)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, country_codes array<string>, legal_topics array<string>, subsections array<string>, language string, reference_year int, filtered boolean")
+    index = search.build_postings(chunks, ["content"], search.query_terms(queries).select("term"), search.ATTRIBUTES)
+    want = search.top_k(search.filter_hits(search.bm25_search(queries, index, {"content": 5.0}), queries, chunks), 5)
+    got = search.bm25_top_filtered(queries, index, {"content": 5.0}, 5)
+    pages = [sorted(map(tuple, df.select("query_id", "rank", "chunk_id", "score").collect())) for df in (got, want)]
+    assert pages[0] == pages[1] and len({p[0] for p in pages[0]}) > 30
