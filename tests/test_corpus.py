@@ -124,3 +124,16 @@ def test_capitals_are_those_of_the_sql(spark):
     wanted = duckdb.execute("select unnest($1) as t, upper(unnest($1)) as u", [texts]).fetchall()
     assert {r.t: r.u for r in rows} == dict(wanted)
     assert "upper(label) AS topic" in corpus_queries.ORACLE_SQL["classified_blocks"]
+
+
+def test_headings_in_two_writings_are_one_topic(spark, tmp_path):
+    """Labels that differ in capitals only are one alias, so blocks under them stay one row each, as in the SQL."""
+    head = "<h1>{}</h1><p>a</p><h2>{}</h2><p>b</p><h3>Zeta</h3><p>c</p>"
+    pages = [(3, head.format("Leave", "Notice period")), (6, head.format("LEAVE", "NOTICE period")), (7, head.format("leave", "notice Period")), (9, head.format("Straße", "Größe")), (12, head.format("STRAßE", "GRÖßE"))]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in corpus_queries.classified_blocks(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    wanted = con.execute(corpus_queries.ORACLE_SQL["classified_blocks"]).fetchall()
+    assert len(got) == 6 * len(pages)
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
