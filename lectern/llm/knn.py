@@ -141,7 +141,8 @@ def _searched(trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 out = [(q["query_id"], -i, min(HIGHEST, max(LOWEST, s)), worse(s)) for q, v in zip(row.queries, asked, strict=True) for s, i in search(tree, _whole(v, wide), q["query_id"], k, q["least"])]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "worse"])
 
-    return blocks.join(trees, ["dim", "shard"]).mapInPandas(run, _HITS)
+    # Spark tells the size of either side by its compressed files, and of blocks without the copies for each shard, so by itself it would broadcast through the driver
+    return blocks.join(trees.hint("merge"), ["dim", "shard"]).mapInPandas(run, _HITS)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -667,6 +667,22 @@ def test_top_k_of_nothing(spark):
     assert knn.top_k(v, v.select(F.col("vec_id").alias("query_id"), "v")).count() == 0
 
 
+def test_top_k_sends_neither_blocks_nor_trees_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SHARD_ROWS", 50)
+    plans, searched = [], knn._searched
+
+    def seen(*args):
+        out = searched(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(knn, "_searched", seen)
+    v = knn.integer_vectors(frame(spark, [(i, [float(i % 7), float(i % 11)]) for i in range(200)], "vec_id long, embedding array<float>"))
+    assert knn.top_k(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")).count() == 20
+    assert len(plans) == 2
+    assert all("SortMergeJoin [dim" in p and "BroadcastHashJoin [dim" not in p for p in plans)
+
+
 # ---- language ------------------------------------------------------------------------------------------------------
 
 
