@@ -4,13 +4,12 @@ Vectors are dealt to shards by a hash of their id. A shard's tree splits at the
 keeps the tight bounding box of each node; a box bounds the score of anything in it by the sum over dimensions of
 max(q lo, q hi). Nodes are visited from the best bound down until no bound reaches the k-th score. Query blocks first
 search one shard each; the k-th scores found there go with them to all other shards and prune from the start.
-Queries meet shards in blocks of bounded size, on both sides.
+Queries meet shards in blocks of bounded size, on both sides, in cogroups.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,8 @@ from lectern.sources.store import cut
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
+#: Blocks that a tree meets in one task at most, on average.
+PART_BLOCKS = 64
 LEAF_ROWS = 64
 
 _TREE = "dim int, shard int, n int, ids binary, vectors binary, lo binary, hi binary, left binary, right binary, start binary, stop binary"
@@ -129,20 +130,26 @@ def shard_trees(vectors: DataFrame, shards: int) -> DataFrame:
     return vectors.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")}).groupBy("dim", "shard").applyInPandas(build, _TREE)
 
 
-def _searched(trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                tree = {c: np.frombuffer(getattr(row, c), np.int64) for c in ("ids", "left", "right", "start", "stop")}
-                asked = np.array([q["v"] for q in row.queries], np.float64).reshape(len(row.queries), row.dim)
-                boxes = {c: np.frombuffer(getattr(row, c), np.float64).reshape(-1, row.dim) if row.dim else np.zeros((len(tree["ids"] if c == "vectors" else tree["left"]), 0)) for c in ("vectors", "lo", "hi")}
-                wide = bool(row.dim) and float(np.abs(boxes["vectors"]).max()) * float(np.abs(asked).max()) * row.dim >= 2.0**62
-                tree |= {c: _whole(rows, wide) for c, rows in boxes.items()}
-                out = [(q["query_id"], -i, min(HIGHEST, max(LOWEST, s)), worse(s)) for q, v in zip(row.queries, asked, strict=True) for s, i in search(tree, _whole(v, wide), q["query_id"], k, q["least"])]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "worse"])
+def _searched(trees: DataFrame, blocks: DataFrame, k: int, parts: int) -> DataFrame:
+    """Blocks and trees meet in cogroups by dimension, shard and part of the blocks, so neither goes through the driver and a tree is handed over once for many blocks."""
 
-    # Spark tells the size of either side by its compressed files, and of blocks without the copies for each shard, so by itself it would broadcast through the driver
-    return blocks.join(trees.hint("merge"), ["dim", "shard"]).mapInPandas(run, _HITS)
+    def run(blocks: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in trees.itertuples(index=False):
+            tree = {c: np.frombuffer(getattr(row, c), np.int64) for c in ("ids", "left", "right", "start", "stop")}
+            boxes = {c: np.frombuffer(getattr(row, c), np.float64).reshape(-1, row.dim) if row.dim else np.zeros((len(tree["ids"] if c == "vectors" else tree["left"]), 0)) for c in ("vectors", "lo", "hi")}
+            most, trees_by_width = float(np.abs(boxes["vectors"]).max()) if row.dim else 0.0, {}
+            for queries in blocks.queries:
+                asked = np.array([q["v"] for q in queries], np.float64).reshape(len(queries), row.dim)
+                wide = bool(row.dim) and most * float(np.abs(asked).max()) * row.dim >= 2.0**62
+                if wide not in trees_by_width:
+                    trees_by_width[wide] = tree | {c: _whole(rows, wide) for c, rows in boxes.items()}
+                out += [(q["query_id"], -i, min(HIGHEST, max(LOWEST, s)), worse(s)) for q, v in zip(queries, asked, strict=True) for s, i in search(trees_by_width[wide], _whole(v, wide), q["query_id"], k, q["least"])]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "worse"])
+
+    dealt = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ("dim", "shard", "part")
+    return blocks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(run, _HITS)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -166,12 +173,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     start = in_blocks(queries.withColumn("least", F.lit(None).cast("long")))
-    first = cut(_searched(trees, start.withColumn("shard", home), k), "first")
+    # at home a shard meets one block in so many, later it meets all others
+    parts, home_parts = -(-n_blocks // PART_BLOCKS), -(-n_blocks // (PART_BLOCKS * shards))
+    first = cut(_searched(trees, start.withColumns({"shard": home, "part": F.pmod(F.floor(F.col("block") / shards), F.lit(home_parts)).cast("int")}), k, home_parts), "first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s")).where((F.col("c") == k) & (F.col("s") > LOWEST)).select("query_id", F.col("s").alias("least"))
     if shards > 1:
         rest = in_blocks(queries.join(kth, "query_id", "left"))
-        rest = rest.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))
-        first = first.unionByName(_searched(trees, rest, k))
+        rest = rest.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home))).withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
+        first = first.unionByName(_searched(trees, rest, k, parts))
     ranked = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("worse", "vec_id", "score"))), 1, k).alias("best"))
     out = ranked.select("query_id", F.posexplode("best").alias("p", "b"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

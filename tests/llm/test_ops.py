@@ -680,7 +680,23 @@ def test_top_k_sends_neither_blocks_nor_trees_through_the_driver(spark, monkeypa
     v = knn.integer_vectors(frame(spark, [(i, [float(i % 7), float(i % 11)]) for i in range(200)], "vec_id long, embedding array<float>"))
     assert knn.top_k(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")).count() == 20
     assert len(plans) == 2
-    assert all("SortMergeJoin [dim" in p and "BroadcastHashJoin [dim" not in p for p in plans)
+    assert all("FlatMapCoGroupsInPandas" in p and "BroadcastHashJoin [dim" not in p for p in plans)
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_top_k_of_many_blocks_and_shards_equals_brute_force(spark, monkeypatch, together):
+    """More parts of blocks than one, at home and later, and more queries than vectors."""
+    for name, n in (("SHARD_ROWS", 30), ("BLOCK_ROWS", 10), ("PART_BLOCKS", together)):
+        monkeypatch.setattr(knn, name, n)
+    rows = [(i, [float(i % 7), float(i % 11), float(i % 3)]) for i in range(90)]
+    v = knn.integer_vectors(frame(spark, rows, "vec_id long, embedding array<float>"))
+    asked = frame(spark, [(1000 + i, [float(i % 5), float(-i % 13), 1.0]) for i in range(200)], "query_id long, v array<double>")
+    whole = {i: [256 * x for x in e] for i, e in rows}
+    want = []
+    for q in asked.collect():
+        best = sorted((-sum(x * y for x, y in zip(q.v, e, strict=True)), i) for i, e in whole.items())[:5]
+        want += [(q.query_id, n + 1, i, int(-s)) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, knn.top_k(v, asked).collect())) == sorted(want)
 
 
 # ---- language ------------------------------------------------------------------------------------------------------
